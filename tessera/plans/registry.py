@@ -36,5 +36,5 @@ def query(name: str, ops: str, oracle: str | None = None):
 
 def all_queries() -> dict[str, Query]:
     # Import the query modules for their registration side effect.
-    from . import queries_columns, queries_relational  # noqa: F401
+    from . import queries_columns, queries_relational, queries_splits  # noqa: F401
     return QUERIES
