@@ -133,7 +133,7 @@ class PCAReduction:
         cols = list(cols)
         vec = VectorAssembler(inputCols=cols, outputCol="__features", handleInvalid="skip")
         model = PCA(k=len(cols), inputCol="__features", outputCol="__pca").fit(vec.transform(df))
-        pc = model.pc.toArray()
+        pc = np.array(model.pc.toArray(), copy=True)
         ev = np.asarray(model.explainedVariance.toArray())
         for j in range(pc.shape[1]):
             i = int(np.argmax(np.abs(pc[:, j])))
