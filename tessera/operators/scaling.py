@@ -91,19 +91,24 @@ class PCAModelInfo:
     components: np.ndarray        # d x k loadings (columns are components)
     explained_variance: np.ndarray  # ratio per component (all d)
     feature_cols: list
+    signs: list = None            # +1/-1 per component (sign alignment)
+    ml_model: object = None       # the fitted Spark ML PCAModel
 
     def transform(self, df: DataFrame, prefix: str = "PC") -> DataFrame:
-        """Project the (already centred) features: one column per component."""
-        cols = [F.col(c).cast("double") for c in self.feature_cols]
-        out = []
-        for j in range(self.k):
-            expr = None
-            for i, c in enumerate(cols):
-                term = c * F.lit(float(self.components[i, j]))
-                expr = term if expr is None else expr + term
-            out.append(expr.alias(f"{prefix}{j + 1}"))
+        """Project the (already centred) features: one column per component.
+
+        The projection runs inside Spark ML's PCAModel (BLAS per row); the
+        first k coordinates are sliced out and sign-aligned.
+        """
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.functions import vector_to_array
+        vec = VectorAssembler(inputCols=self.feature_cols, outputCol="__features",
+                              handleInvalid="keep")
+        proj = self.ml_model.transform(vec.transform(df)).withColumn("__arr", vector_to_array("__pca"))
         keep = [c for c in df.columns if c not in self.feature_cols]
-        return df.select(*keep, *out)
+        out = [(F.col("__arr")[j] * F.lit(float(self.signs[j]))).alias(f"{prefix}{j + 1}")
+               for j in range(self.k)]
+        return proj.select(*keep, *out)
 
     def loadings_df(self, spark, top: int = 5) -> DataFrame:
         """Top-|loading| features per component."""
@@ -135,13 +140,14 @@ class PCAReduction:
         model = PCA(k=len(cols), inputCol="__features", outputCol="__pca").fit(vec.transform(df))
         pc = np.array(model.pc.toArray(), copy=True)
         ev = np.asarray(model.explainedVariance.toArray())
+        signs = []
         for j in range(pc.shape[1]):
             i = int(np.argmax(np.abs(pc[:, j])))
-            if pc[i, j] < 0:
-                pc[:, j] = -pc[:, j]
+            signs.append(-1.0 if pc[i, j] < 0 else 1.0)
+            pc[:, j] = pc[:, j] * signs[-1]
         if self.n_components is not None:
             k = int(self.n_components)
         else:
             k = int(np.searchsorted(np.cumsum(ev), self.variance, side="right") + 1)
         k = max(1, min(k, len(cols)))
-        return PCAModelInfo(k, pc[:, :k], ev, cols)
+        return PCAModelInfo(k, pc[:, :k], ev, cols, signs[:k], model)

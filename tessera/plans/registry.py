@@ -36,5 +36,6 @@ def query(name: str, ops: str, oracle: str | None = None):
 
 def all_queries() -> dict[str, Query]:
     # Import the query modules for their registration side effect.
-    from . import queries_columns, queries_prepare, queries_relational, queries_splits  # noqa: F401
+    from . import (queries_columns, queries_outliers, queries_prepare,  # noqa: F401
+                   queries_relational, queries_splits)
     return QUERIES
