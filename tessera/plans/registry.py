@@ -37,5 +37,5 @@ def query(name: str, ops: str, oracle: str | None = None):
 def all_queries() -> dict[str, Query]:
     # Import the query modules for their registration side effect.
     from . import (queries_columns, queries_outliers, queries_prepare,  # noqa: F401
-                   queries_quality, queries_relational, queries_splits)
+                   queries_quality, queries_relational, queries_spatial, queries_splits)
     return QUERIES
