@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from . import profile as P
 from .quantiles import grouped_quantiles
 
@@ -118,6 +119,7 @@ class LabelEncoding:
 
     def fit(self, df: DataFrame, cols: Sequence[str]) -> LabelModel:
         spark = df.sparkSession
+        ship_package(spark)
         tables = {}
         for c in cols:
             vals = (df.select(F.coalesce(F.col(c).cast("string"), F.lit(self.missing_token)).alias("value"))

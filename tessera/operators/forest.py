@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .quantiles import grouped_quantiles, quantiles
 
 EULER = 0.5772156649015329
@@ -144,6 +145,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], key_cols: Sequence[
     """
     features = list(features)
     spark = df.sparkSession
+    ship_package(spark)
     grp = F.col(group_col).cast("string") if group_col else F.lit("")
     base = df.select(*key_cols, grp.alias("__grp"),
                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])

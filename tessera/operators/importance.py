@@ -16,6 +16,7 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .metrics import average_rank
 from .models import FEATURES, assemble
 
@@ -44,6 +45,7 @@ def ensemble_importance(member_importance: DataFrame, name: str) -> DataFrame:
 def _positions(df: DataFrame, order_cols, row_id: str) -> DataFrame:
     """(pos, row_id) for a distributed global ordering (range sort + zipWithIndex)."""
     spark = df.sparkSession
+    ship_package(spark)
     ordered = df.orderBy(*order_cols).select(row_id)
     rdd = ordered.rdd.zipWithIndex().map(lambda t: (t[1], t[0][0]))
     dtype = df.schema[row_id].dataType.simpleString()

@@ -5,7 +5,8 @@ Multi-level grid: a polygon with bounding-box extent e goes to the level L
 whose cell size ``s0 * 2**L`` is at least e, so it covers at most 2 × 2 cells
 there; a point is keyed once per level in use (a handful).  The equi-join on
 (level, cell) yields candidate pairs, the bounding box prunes them, and the
-exact ray-casting expression decides.  Large polygons therefore cost 4 cells,
+exact even-odd ray-casting test decides: unrolled scalar expressions for
+polygons with few edges, numpy over Arrow batches for the rest.  Large polygons therefore cost 4 cells,
 not thousands, and AQE's skew-join splitting handles a crowded cell.
 """
 
@@ -13,18 +14,126 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.geometry import point_in_polygon, polygon_bbox, ring_edges, wkt_rings
+from ..session import ship_package
+from ..functions.geometry import polygon_bbox, ring_edges, wkt_rings
+
+
+EDGE_COLS = ["__ex1", "__ey1", "__ex2", "__ey2"]
 
 
 def prepare_polygons(polys: DataFrame, id_col: str, wkt_col: str) -> DataFrame:
-    """(id, edges, bbox) per polygon — parsed once, before any join."""
+    """(id, edges, bbox) per polygon — parsed once, before any join.  Edges are
+    also kept as four flat coordinate arrays for the vectorised exact test."""
     rings = wkt_rings(wkt_col)
-    return (polys.select(id_col, rings.alias("__rings"))
-                 .select(id_col, ring_edges(F.col("__rings")).alias("edges"),
-                         polygon_bbox(F.col("__rings")).alias("bbox")))
+    out = (polys.select(id_col, rings.alias("__rings"))
+                .select(id_col, ring_edges(F.col("__rings")).alias("edges"),
+                        polygon_bbox(F.col("__rings")).alias("bbox")))
+    def field(k):
+        return lambda e: e[k]
+    return out.withColumns({c: F.transform("edges", field(k))
+                            for c, k in zip(EDGE_COLS, ["x1", "y1", "x2", "y2"])})
+
+
+def _flat(col: pa.Array):
+    """Values and 0-based offsets of a (possibly sliced) list array."""
+    offs = col.offsets.to_numpy()
+    return col.flatten().to_numpy(zero_copy_only=False).astype(float), offs - offs[0]
+
+
+def _inside_batches(x_col: str, y_col: str):
+    """Even-odd test per row over Arrow batches (same rule as ``point_in_polygon``)."""
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            px = b.column(x_col).to_numpy(zero_copy_only=False).astype(float)
+            py = b.column(y_col).to_numpy(zero_copy_only=False).astype(float)
+            x1, offs = _flat(b.column(EDGE_COLS[0]))
+            y1, _ = _flat(b.column(EDGE_COLS[1]))
+            x2, _ = _flat(b.column(EDGE_COLS[2]))
+            y2, _ = _flat(b.column(EDGE_COLS[3]))
+            row = np.repeat(np.arange(n), np.diff(offs))
+            inside = _even_odd(px, py, row, x1, y1, x2, y2, n)
+            yield b.append_column("__inside", pa.array(inside, type=pa.bool_()))
+    return run
+
+
+def exact_inside(cand: DataFrame, x_col: str, y_col: str) -> DataFrame:
+    """Keep candidate (point, polygon) rows whose point is strictly inside.
+
+    Spark's higher-order functions run interpreted, so the per-edge test is
+    done on Arrow batches with numpy (zero-copy list offsets) instead.
+    """
+    ship_package(cand.sparkSession)
+    schema = T.StructType(cand.schema.fields + [T.StructField("__inside", T.BooleanType())])
+    return (cand.mapInArrow(_inside_batches(x_col, y_col), schema)
+                .where(F.col("__inside")).drop("__inside"))
+
+
+MAX_BROADCAST_EDGES = 4_000_000
+
+
+def pack_polygons(prepared: DataFrame, poly_id: str, max_edges: int = MAX_BROADCAST_EDGES):
+    """Broadcast packed edge arrays when the polygon set is provably small.
+
+    One aggregation measures the total edge count; under the bound the edges
+    are collected once (ids, offsets, four coordinate arrays) and broadcast,
+    so candidate pairs only carry (x, y, polygon id).  Over the bound: None,
+    and the candidates carry their polygon's edges instead.
+    """
+    total = prepared.agg(F.sum(F.size(EDGE_COLS[0]))).first()[0] or 0
+    if total > max_edges:
+        return None
+    rows = prepared.select(poly_id, *EDGE_COLS).collect()
+    ids = [r[0] for r in rows]
+    counts = np.array([len(r[1]) for r in rows], dtype=np.int64)
+    offs = np.concatenate([[0], np.cumsum(counts)])
+    coords = [np.array([v for r in rows for v in r[k + 1]], dtype=float) for k in range(4)]
+    sc = prepared.sparkSession.sparkContext
+    return sc.broadcast((ids, offs, coords))
+
+
+def _even_odd(px, py, row, x1, y1, x2, y2, n):
+    """Per-row inside flags from per-edge arrays (``row`` = owning row index)."""
+    ex, ey = px[row], py[row]
+    cross = (x2 - x1) * (ey - y1) - (y2 - y1) * (ex - x1)
+    on_edge = ((cross == 0) & (ex >= np.minimum(x1, x2)) & (ex <= np.maximum(x1, x2))
+               & (ey >= np.minimum(y1, y2)) & (ey <= np.maximum(y1, y2)))
+    straddle = (y1 > ey) != (y2 > ey)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x_at = np.where(straddle, (x2 - x1) * (ey - y1) / np.where(straddle, y2 - y1, 1.0) + x1, 0.0)
+    crosses = straddle & (ex < x_at)
+    n_cross = np.bincount(row, weights=crosses, minlength=n)
+    n_edge = np.bincount(row, weights=on_edge, minlength=n)
+    return (n_cross.astype(np.int64) % 2 == 1) & (n_edge == 0)
+
+
+def exact_inside_packed(cand: DataFrame, x_col: str, y_col: str, poly_id: str, packed) -> DataFrame:
+    """Exact test with the broadcast polygon table: candidates carry only ids."""
+    import pandas as pd
+
+    def run(batches):
+        ids, offs, (cx1, cy1, cx2, cy2) = packed.value
+        index = pd.Index(ids)
+        for b in batches:
+            n = b.num_rows
+            px = b.column(x_col).to_numpy(zero_copy_only=False).astype(float)
+            py = b.column(y_col).to_numpy(zero_copy_only=False).astype(float)
+            pos = index.get_indexer(b.column(poly_id).to_pandas())
+            start, cnt = offs[pos], offs[pos + 1] - offs[pos]
+            row = np.repeat(np.arange(n), cnt)
+            first = np.repeat(start - np.concatenate([[0], np.cumsum(cnt)[:-1]]), cnt)
+            e = first + np.arange(len(row))
+            inside = _even_odd(px, py, row, cx1[e], cy1[e], cx2[e], cy2[e], n)
+            yield b.filter(pa.array(inside, type=pa.bool_()))
+    # Only the hits travel back to the JVM.
+    ship_package(cand.sparkSession)
+    return cand.mapInArrow(run, cand.schema)
 
 
 def base_cell_size(prepared: DataFrame) -> float:
@@ -50,7 +159,10 @@ def points_in_polygons(points: DataFrame, x_col: str, y_col: str, polys: DataFra
     """All (point row, polygon id) pairs with the point strictly inside the polygon."""
     prepared = prepare_polygons(polys, poly_id, wkt_col)
     s0 = s0 or base_cell_size(prepared)
+    packed = pack_polygons(prepared, poly_id)
     cells = _polygon_cells(prepared, s0)
+    if packed is not None:  # edges travel by broadcast, not through the join
+        cells = cells.drop("edges", *EDGE_COLS)
     levels = sorted(r[0] for r in cells.select("__lvl").distinct().collect())
     keyed = points.where(F.col(x_col).isNotNull() & F.col(y_col).isNotNull()).withColumn(
         "__pk", F.explode(F.array(*[
@@ -62,10 +174,12 @@ def points_in_polygons(points: DataFrame, x_col: str, y_col: str, polys: DataFra
                   .withColumn("__cy", F.col("__pk.cy")).drop("__pk"))
     px, py = F.col(x_col), F.col(y_col)
     cand = keyed.join(cells, on=["__lvl", "__cx", "__cy"], how="inner")
-    inside = cand.where((px > F.col("bbox.minx")) & (px < F.col("bbox.maxx"))
-                        & (py > F.col("bbox.miny")) & (py < F.col("bbox.maxy"))
-                        & point_in_polygon(px, py, F.col("edges")))
-    return inside.drop("__lvl", "__cx", "__cy", "edges", "bbox")
+    in_box = cand.where((px > F.col("bbox.minx")) & (px < F.col("bbox.maxx"))
+                        & (py > F.col("bbox.miny")) & (py < F.col("bbox.maxy")))
+    in_box = in_box.drop("__lvl", "__cx", "__cy", "edges", "bbox")
+    if packed is not None:
+        return exact_inside_packed(in_box.drop(*EDGE_COLS), x_col, y_col, poly_id, packed)
+    return exact_inside(in_box, x_col, y_col).drop(*EDGE_COLS)
 
 
 def category_counts_in_polygons(points: DataFrame, x_col: str, y_col: str, category_col: str,

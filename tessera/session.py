@@ -56,6 +56,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers (Arrow / pandas UDFs).
+
+    Python functions are pickled by reference to their module, so executors
+    must be able to import ``tessera``.  The package is zipped once on the
+    driver and distributed with ``addPyFile`` (Spark's own file server);
+    a session started inside the repository also works without it.
+    """
+    key = spark.sparkContext.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="tessera-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "tessera"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir=os.path.basename(pkg))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into shared storage (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
