@@ -39,5 +39,5 @@ def all_queries() -> dict[str, Query]:
     from . import (queries_cleaning, queries_columns, queries_flows, queries_metrics,  # noqa: F401
                    queries_outliers, queries_prepare,
                    queries_models, queries_quality, queries_relational, queries_spatial,
-                   queries_splits)
+                   queries_sources, queries_splits)
     return QUERIES
