@@ -33,19 +33,22 @@ class TrainConfig:
     seed: int = 42
     ensemble_size: int = 5
     log_shift: float = 0.0
+    baseline_cv: bool = True
 
 
 def train_and_evaluate(prepared: DataFrame, cfg: TrainConfig) -> dict:
     spark = prepared.sparkSession
-    data = ML.assemble(prepared, cfg.features)
+    data = ML.assemble(prepared, cfg.features).cache()
     train = S.kfold(data.where(F.col("split") == "train"), cfg.row_id, cfg.cv_folds, cfg.seed).cache()
     folds = list(range(cfg.cv_folds))
     st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(cfg.label).alias("s")).first()
     baselines = ML.baseline_estimators(st["n"], st["s"] or 0.0, cfg.label, cfg.seed)
     # M7: baseline CV scores
-    rows = [(name, f, sc) for name, est in baselines.items()
-            for f, sc in enumerate(ML.cv_score(est, train, cfg.label, "fold", folds))]
-    cv = M.cv_scores(spark.createDataFrame(rows, "model string, fold int, score double"))
+    cv = None
+    if cfg.baseline_cv:
+        rows = [(name, f, sc) for name, est in baselines.items()
+                for f, sc in enumerate(ML.cv_score(est, train, cfg.label, "fold", folds))]
+        cv = M.cv_scores(spark.createDataFrame(rows, "model string, fold int, score double"))
     # M6: search, then rebuild with the best parameters
     searches, optimized = {}, {}
     for fam in cfg.families:
