@@ -219,8 +219,8 @@ class AssociationPruning:
         cols = P.string_columns(df, exclude)
         if not cols:
             return AssociationPruningModel(self.threshold, [], [], {})
-        nu = df.agg(*[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(cols)]).first()
-        n_unique = {c: nu[f"u{i}"] for i, c in enumerate(cols)}
+        from .encoding import cardinality
+        n_unique = cardinality(df, cols)
         cols = [c for c in cols if n_unique[c] > 1]
         if len(cols) < 2:
             return AssociationPruningModel(self.threshold, [], [], n_unique)
