@@ -222,3 +222,14 @@ def q_global_importance(spark, d):
     per = I.basic_importance(ols, FEATS, "ols", spark).unionByName(
         I.basic_importance(tree, FEATS, "tree", spark))
     return I.global_importance(per)
+
+
+@query("sampled_shap", "E4")
+def q_sampled_shap(spark, d):
+    """Monte-Carlo Shapley importance of a depth-8 decision tree: 100 sampled
+    test rows explained against 100 sampled training rows, 20 permutations."""
+    data = _data(spark, d)
+    tree = ML.make_estimator("DecisionTree", {"maxDepth": 8}, "label").fit(data.where(F.col("split") == "train"))
+    tt = training_table(spark, d)
+    return I.sampled_shap(tree, tt.where(F.col("split") == "test"), FEATS, "row_id",
+                          "Baseline_DecisionTree", n_rows=100, n_background=100, n_samples=20)

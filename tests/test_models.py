@@ -85,3 +85,20 @@ def test_pca_matches_numpy(spark):
     ev = np.linalg.eigvalsh(np.cov(x.T))[::-1]
     assert list(info.explained_variance) == pytest.approx(list(ev / ev.sum()), abs=1e-9)
     assert info.k == int(np.searchsorted(np.cumsum(ev / ev.sum()), 0.95, side="right") + 1)
+
+
+def test_sampled_shap_recovers_linear_shap(spark):
+    """On a linear model sampled Shapley values converge to the exact linear form."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (600, 3)) * np.array([1.0, 3.0, 0.2])
+    y = x @ np.array([2.0, 1.0, 5.0]) + rng.normal(0, 0.01, 600)
+    df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(600)],
+                               "row_id int, a double, b double, c double, label double")
+    model = ML.baseline_estimators(600, float(y.std()), "label")["Baseline_LinearRegression"].fit(
+        ML.assemble(df, ["a", "b", "c"]))
+    exact = {r.feature: r.shap_importance for r in I.linear_shap(model, df, ["a", "b", "c"]).collect()}
+    sampled = {r.feature: r.shap_importance for r in
+               I.sampled_shap(model, df, ["a", "b", "c"], "row_id", n_rows=100, n_background=100,
+                              n_samples=30).collect()}
+    for f in "abc":
+        assert sampled[f] == pytest.approx(exact[f], abs=0.08)
