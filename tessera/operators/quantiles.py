@@ -13,7 +13,8 @@ set in one task.  This operator is exact and bounded:
    the bracket's distinct values only (a few per group), and interpolated.
 
 If a bracket ever misses its rank (it should not), that (group, p) is retried
-with the full range, which is still exact.
+with the full range, which is still exact.  When every group is small
+(≤ ``SMALL_GROUP`` values) one exact ``percentile`` aggregation is used instead.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10000
+# Groups this small are resolved by Spark's exact ``percentile`` in one
+# aggregation (its per-group buffer is then bounded by this many values).
+SMALL_GROUP = 100_000
 
 
 def _bracket_probs(p: float, accuracy: int) -> tuple[float, float]:
@@ -47,6 +51,19 @@ def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     if single:  # one global group: a constant key, and the target table is broadcast
         g = ["__grp"]
         base = base.withColumn("__grp", F.lit(0))
+    largest = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+    if largest <= SMALL_GROUP:
+        exact = base.groupBy(*g).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias("__q"))
+        out = exact.select(*g, "n", *[F.col("__q")[i].alias(f"{out_prefix}_{i}") for i in range(len(probs))])
+        if single:
+            out = out.drop("__grp")
+            if largest == 0:  # keep one row for an empty input
+                out = base.sparkSession.createDataFrame(
+                    [(0,) + (None,) * len(probs)],
+                    "n long, " + ", ".join(f"{out_prefix}_{i} double" for i in range(len(probs))))
+        return out
     brackets = []
     for p in probs:
         brackets.extend(_bracket_probs(p, accuracy))

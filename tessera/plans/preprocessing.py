@@ -13,6 +13,7 @@ the training rows only; ``'all'`` reproduces the reference's pre-split fits
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -65,7 +66,13 @@ class PrepConfig:
 
 def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
     """Run the flow; returns the prepared table and a report of every fit."""
-    info: dict = {}
+    info: dict = {"timings": {}}
+    clock = [time.perf_counter()]
+
+    def lap(step):
+        now = time.perf_counter()
+        info["timings"][step] = round(now - clock[0], 3)
+        clock[0] = now
     t = cfg.target
     protected = [cfg.row_id, t] + [c for c in (cfg.year_col, cfg.month_col) if c]
 
@@ -74,15 +81,18 @@ def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
                                     remove_listed=cfg.on("specific_columns_removal"),
                                     remove_constant=cfg.on("constant_columns_removal"))
     cleaned = out = out.persist()
+    lap("clean")
     # 3. Cramér's V analysis (report only, as in the reference flow)
     if cfg.on("cramers_analysis"):
         m = C.AssociationPruning(cfg.cramer_threshold).fit(out, exclude=protected)
         info["cramers"] = {"high_pairs": m.high_pairs, "recommended_removals": m.dropped}
+    lap("cramers")
     # 4. thresholded numeric conversion (C4)
     if cfg.on("numeric_conversion"):
         conv = C.NumericConversion(cfg.numeric_threshold).fit(out, exclude=protected)
         out = conv.transform(out)
         info["numeric_conversion"] = {"converted": conv.converted, "skipped": conv.skipped}
+    lap("numeric_conversion")
     # 8 (early): the split only needs order keys, so it is assigned before the
     # fits that must see training rows only.
     if cfg.use_temporal_split and cfg.year_col and cfg.month_col:
@@ -90,6 +100,7 @@ def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
     else:
         out = S.random_split(out, cfg.row_id, cfg.seed, cfg.test_size, cfg.val_size)
     split_table = out = out.persist()
+    lap("split")
     fit_rows = out.where(F.col("split") == "train") if cfg.fit_scope == "train" else out
     # 5. encoding by cardinality (C6): one-hot and label now, target after the split
     text = P.string_columns(out, protected + ["split"])
@@ -106,10 +117,12 @@ def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
             out = E.LabelEncoding().fit(fit_rows, label).transform(out)
         info["encoding"] = routes
     fit_rows = out.where(F.col("split") == "train") if cfg.fit_scope == "train" else out
+    lap("encoding")
     # 6. imputation
     imp = E.Imputer().fit(fit_rows.select(*[c for c in out.columns if c not in target_cols]), target=t)
     out = imp.transform(out)
     info["imputation"] = {"fills": imp.fills, "dropped": imp.dropped}
+    lap("imputation")
     # 7. Pearson pruning (C5), target and keys excluded
     if cfg.on("correlation_removal"):
         num = [c for c in P.numeric_columns(out, protected) if c not in target_cols]
@@ -117,6 +130,7 @@ def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
         pr = C.CorrelationPruning(cfg.corr_threshold).fit(fit_rows.select(*num), num)
         out = pr.transform(out)
         info["correlation_removal"] = pr.dropped
+    lap("correlation")
     # 9. target encoding after the split: cross-fitted on train, full-train on val/test
     for c in target_cols:
         train = out.where(F.col("split") == "train")
@@ -125,12 +139,14 @@ def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
         enc_train = te.fit_transform_crossfit(folded, c, t, "fold").drop("fold")
         enc_rest = te.fit(train, c, t).transform(out.where(F.col("split") != "train"))
         out = enc_train.unionByName(enc_rest.select(*enc_train.columns))
+    lap("target_encoding")
     # 11a. target log (fitted on train; shift stored and used for val/test too, Q2/Q3)
     if cfg.log_target:
         lt = LogTarget().fit(out.where(F.col("split") == "train"), t)
         out = lt.transform(out, "__tlog").withColumnRenamed(t, f"{t}_original") \
                 .withColumnRenamed("__tlog", t)
         info["log_target"] = {"shift": lt.shift, "median_log": lt.median_log}
+    lap("log_target")
     # 11b. outliers removed from the training rows only
     if cfg.outliers:
         train = out.where(F.col("split") == "train")
@@ -144,21 +160,25 @@ def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
                                       cfg.iqr_multiplier, cfg.contamination, cfg.min_methods)
         drop = flags.where(F.col("is_outlier")).select(cfg.row_id)
         out = out.join(drop, cfg.row_id, "left_anti")
+    lap("outliers")
     # 10. scaling fitted on train
     feats = [c for c in P.numeric_columns(out, protected + [f"{t}_original"])]
     if cfg.scale and feats:
         sc = StandardScaling().fit(out.where(F.col("split") == "train"), feats)
         out = sc.transform(out)
+    lap("scaling")
     # 12. PCA (optional)
     if cfg.pca and feats:
         pca = PCAReduction(cfg.pca_variance).fit(out.where(F.col("split") == "train"), feats)
         out = pca.transform(out)
         info["pca_components"] = pca.k
+    lap("pca")
     # Cut the lineage: the prepared table is written to the shared checkpoint
     # directory, so later multi-pass training reads it instead of replaying
     # every fit, and executor loss does not recompute the whole chain.
     out = cut_lineage(out)
     cleaned.unpersist()
     split_table.unpersist()
+    lap("checkpoint")
     info["columns"] = out.columns
     return out, info

@@ -54,7 +54,10 @@ def test_crossfit_uses_only_other_folds(spark):
         assert r.enc == pytest.approx(lam * yc.mean() + (1 - lam) * ys.mean(), rel=1e-9)
 
 
-def test_quantiles_match_numpy_on_bracket_path(spark):
+@pytest.mark.parametrize("small_group", [0, 10**9])
+def test_quantiles_match_numpy(spark, monkeypatch, small_group):
+    """Bracket path (small_group=0) and the single-aggregation path agree with numpy."""
+    monkeypatch.setattr(Q, "SMALL_GROUP", small_group)
     rng = np.random.default_rng(1)
     vals = np.round(rng.lognormal(3, 1, 20000), 3)
     groups = rng.integers(0, 3, len(vals))
