@@ -75,7 +75,7 @@ def _validation(spark, d):
 
 @query("model_ranking", "W5,A15", oracle=_PRED_SQL + """
 SELECT model, """ + ", ".join(f"{sql_rnd(c, 6)} AS {c}" for c in _VT_COLS) + """, Training_Time,
-       row_number() OVER (ORDER BY Val_RMSE, model) AS rank,
+       CAST(row_number() OVER (ORDER BY Val_RMSE, model) AS INTEGER) AS rank,
        rank() OVER (ORDER BY Training_Time DESC) + (count(*) OVER (PARTITION BY Training_Time) - 1) / 2.0 AS time_rank
 FROM vt""")
 def q_model_ranking(spark, d):

@@ -38,7 +38,8 @@ def training_table(spark, d):
 
 
 def _data(spark, d):
-    return ML.assemble(training_table(spark, d), FEATS)
+    # Several fits read it: cache once instead of replaying the join and split.
+    return ML.assemble(training_table(spark, d), FEATS).cache()
 
 
 def _fit_baselines(spark, d, data=None):
