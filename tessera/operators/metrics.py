@@ -159,3 +159,12 @@ def test_evaluation(pred: DataFrame, model_col: str = "model", label_log: str =
     return a.select(model_col, *[F.col(c).alias(f"{c}_log") for c in ("rmse", "r2", "mae", "mape")]).join(
         b.select(model_col, *[F.col(c).alias(f"{c}_orig") for c in ("rmse", "r2", "mae", "mape")]),
         on=model_col)
+
+
+def top_k(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k: int,
+          rank_col: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each group in the given order (ties broken
+    by the later order columns).  The window's groups are the caller's small
+    result groups (models, features, components), not raw data keys."""
+    w = Window.partitionBy(*group_cols).orderBy(*order) if group_cols else Window.orderBy(*order)
+    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)

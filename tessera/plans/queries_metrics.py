@@ -154,3 +154,13 @@ def q_scale_diagnostics(spark, d):
     out = M.scale_diagnostics(base, ["label", "label_orig"])
     return out.select("split", "column", "n_non_finite", rnd("std", 4).alias("std"),
                       rnd("range", 4).alias("range"), rnd("mean", 4).alias("mean"), "large_std", "large_range")
+
+
+@query("top_k_per_group", "W6", oracle="""
+WITH c AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) AS INTEGER) AS rank FROM c)
+SELECT * FROM r WHERE rank <= 3""")
+def q_top_k_per_group(spark, d):
+    from ..session import load
+    counts = load(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return M.top_k(counts, ["p_type"], [F.col("n").desc(), F.col("p_brand")], 3)

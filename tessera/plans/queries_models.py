@@ -234,3 +234,18 @@ def q_sampled_shap(spark, d):
     tt = training_table(spark, d)
     return I.sampled_shap(tree, tt.where(F.col("split") == "test"), FEATS, "row_id",
                           "Baseline_DecisionTree", n_rows=100, n_background=100, n_samples=20)
+
+
+@query("timeseries_cv", "W4,M7,A16")
+def q_timeseries_cv(spark, d):
+    """Expanding-window CV (5 folds, month order) of OLS and ridge on the
+    training rows: fold i trains on all blocks before its test block."""
+    data = _data(spark, d).where(F.col("split") == "train").withColumn(
+        "k", S.temporal_key("yr", "mo"))
+    blocks = S.timeseries_blocks(data, ["k", "row_id"], 5).cache()
+    st = blocks.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
+    est = ML.baseline_estimators(st["n"], st["s"] or 0.0, "label")
+    tb = {i: (F.col("block") <= i, F.col("block") == i + 1) for i in range(5)}
+    rows = [(name, f, sc) for name in ("Baseline_LinearRegression", "Baseline_Ridge")
+            for f, sc in enumerate(ML.cv_score(est[name], blocks, "label", "block", range(5), tb))]
+    return M.cv_scores(spark.createDataFrame(rows, "model string, fold int, score double"))
