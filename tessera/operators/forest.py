@@ -149,39 +149,37 @@ def isolation_scores(df: DataFrame, features: Sequence[str], key_cols: Sequence[
     grp = F.col(group_col).cast("string") if group_col else F.lit("")
     base = df.select(*key_cols, grp.alias("__grp"),
                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    counts = {r["__grp"]: r["n"] for r in
-              base.groupBy("__grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Pool: ~2·ψ·T rows per group; per tree, ~2ψ candidates from the pool;
-    # then the ψ lowest hash ranks.  Explode + filter run in one pipelined
-    # stage, so only the candidates reach the shuffle.
-    frac = {g: min(1.0, 2.0 * psi * n_trees / n) for g, n in counts.items()}
-    cand = {g: min(1.0, 2.0 * psi / max(1.0, frac[g] * n)) for g, n in counts.items()}
-    psi_g = {g: min(psi, n) for g, n in counts.items()}
-
-    def per_group(values, default):
-        expr = F.lit(default)
-        for g, v in values.items():
-            expr = F.when(F.col("__grp") == F.lit(g), F.lit(v)).otherwise(expr)
-        return expr
+    # Per-group sampling parameters: one row per group, joined by key (a
+    # size-checked broadcast), so any number of groups costs no extra code.
+    counts = base.groupBy("__grp").agg(F.count(F.lit(1)).alias("__n"))
+    n = F.col("__n").cast("double")
+    frac = F.least(F.lit(1.0), F.lit(2.0 * psi * n_trees) / n)
+    params = counts.select(
+        "__grp", frac.alias("__frac"),
+        F.least(F.lit(psi).cast("long"), F.col("__n")).alias("__psi"),
+        F.least(F.lit(1.0), F.lit(2.0 * psi) / F.greatest(F.lit(1.0), frac * n)).alias("__cand"))
+    params = params.select("__grp", "__frac", "__psi", "__cand").cache()
+    psi_b = {r["__grp"]: int(r["__psi"]) for r in params.select("__grp", "__psi").collect()}
 
     def unit(h):
         return F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30)
     keyc = [F.col(c) for c in key_cols]
-    pool = base.where(unit(F.xxhash64(*keyc, F.lit(seed))) < per_group(frac, 1.0))
+    from .encoding import sized_broadcast
+    with_p = base.join(sized_broadcast(params), "__grp")
+    pool = with_p.where(unit(F.xxhash64(*keyc, F.lit(seed))) < F.col("__frac"))
     rank_key = F.xxhash64(*keyc, F.col("__tree"), F.lit(seed + 1))
     from pyspark.sql import Window
     w = Window.partitionBy("__grp", "__tree").orderBy(rank_key, *key_cols)
     samples = (pool.withColumn("__tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-                   .where(unit(F.xxhash64(*keyc, F.col("__tree"), F.lit(seed + 2))) < per_group(cand, 1.0))
+                   .where(unit(F.xxhash64(*keyc, F.col("__tree"), F.lit(seed + 2))) < F.col("__cand"))
                    .withColumn("__rk", F.row_number().over(w))
-                   .where(F.col("__rk") <= per_group(psi_g, psi))
-                   .drop("__rk"))
+                   .where(F.col("__rk") <= F.col("__psi"))
+                   .drop("__rk", "__frac", "__psi", "__cand"))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     nodes = (samples.groupBy("__grp", "__tree")
                     .applyInPandas(_grow_udf(features, max_depth, seed), NODE_SCHEMA)
                     .toPandas())
     forest = spark.sparkContext.broadcast(_pack(nodes))
-    psi_b = dict(psi_g)
     keys = list(key_cols) + ([group_col] if group_col else [])
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in
                            base.select(*key_cols).schema.fields) + ", __grp string, score double"
