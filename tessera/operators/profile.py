@@ -204,11 +204,11 @@ def cramers_v_from_cells(cells: DataFrame) -> DataFrame:
     terms = (cells.join(ra, pair + ["a"]).join(rb, pair + ["b"])
                   .withColumn("t", F.col("n").cast("double") * F.col("n")
                               / (F.col("na").cast("double") * F.col("nb"))))
-    per = terms.groupBy(*pair).agg(
-        F.sum("n").cast("double").alias("n"),
-        F.sum("t").alias("s"),
-        F.count_distinct("a").cast("double").alias("r"),
-        F.count_distinct("b").cast("double").alias("k"))
+    # Levels per side = rows of the margin tables (no count-distinct Expand).
+    levels = (ra.groupBy(*pair).agg(F.count(F.lit(1)).cast("double").alias("r"))
+                .join(rb.groupBy(*pair).agg(F.count(F.lit(1)).cast("double").alias("k")), pair))
+    per = terms.groupBy(*pair).agg(F.sum("n").cast("double").alias("n"),
+                                   F.sum("t").alias("s")).join(levels, pair)
     n, r, k = F.col("n"), F.col("r"), F.col("k")
     chi2 = n * (F.col("s") - 1.0)
     phi2c = F.greatest(F.lit(0.0), F.try_divide(chi2, n) - F.try_divide((k - 1) * (r - 1), n - 1))
