@@ -12,8 +12,6 @@ not thousands, and AQE's skew-join splitting handles a crowded cell.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
