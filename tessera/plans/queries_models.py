@@ -217,11 +217,15 @@ def q_importance_compare(spark, d):
 
 @query("global_importance", "D4,A19,E2")
 def q_global_importance(spark, d):
-    """Importance of two models side by side (0 for missing) and their mean per feature."""
+    """Importance of OLS and a tree, their voting ensemble (mean of members),
+    side by side (0 for missing) and the mean per feature."""
     data, ols = _ols_model(spark, d)
     tree = ML.make_estimator("DecisionTree", {"maxDepth": 8}, "label").fit(data.where(F.col("split") == "train"))
-    per = I.basic_importance(ols, FEATS, "ols", spark).unionByName(
+    members = I.basic_importance(ols, FEATS, "ols", spark).unionByName(
         I.basic_importance(tree, FEATS, "tree", spark))
+    voting = I.ensemble_importance(members.select("model", "feature", "importance"), "voting")
+    per = members.select("model", "feature", "importance").unionByName(
+        voting.select("model", "feature", "importance"))
     return I.global_importance(per)
 
 

@@ -87,6 +87,11 @@ def train_and_evaluate(prepared: DataFrame, cfg: TrainConfig) -> dict:
             part = I.basic_importance(model, cfg.features, name, spark)
             imp = part if imp is None else imp.unionByName(part)
     if imp is not None:
+        if len(members) >= 2:  # E2: the voting ensemble's importance = mean of its members
+            ens = I.ensemble_importance(imp.where(F.col("model").isin(*members))
+                                           .select("model", "feature", "importance"), "Ensemble_Voting")
+            imp = imp.select("model", "feature", "importance").unionByName(
+                ens.select("model", "feature", "importance"))
         out["importance"] = imp
         out["global_importance"] = I.global_importance(imp)
     return out
