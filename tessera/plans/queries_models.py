@@ -203,7 +203,7 @@ def q_linear_shap(spark, d):
                          background=tt.where(F.col("split") == "train"))
 
 
-@query("importance_compare", "E5,E2,D4,A19")
+@query("importance_compare", "E5,W5")
 def q_importance_compare(spark, d):
     """Basic + linear SHAP + permutation importance of OLS joined, averaged and ranked."""
     data, ols = _ols_model(spark, d)
