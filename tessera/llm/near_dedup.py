@@ -102,19 +102,19 @@ def posterior_bounds(n_hashes: int, threshold: float, miss: float, step: int) ->
     return out
 
 
-def _signatures(id_type: pa.DataType, k: int, n_hashes: int):
+def _signatures(k: int, n_hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, (a, b) = WordHash(), hash_parameters(n_hashes)
         for batch in batches:
             sizes, keys, sigs = [], [], []
-            for text in batch.column(1).cast(pa.binary()):
+            for text in batch.column(0).cast(pa.binary()):
                 s = shingle_set(text.as_py() or b"", k, seen)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(minhash(s, a, b).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(id_type), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+                [*batch.columns[1:], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array(sigs, pa.binary())], [*batch.schema.names[1:], "n_shingles", "node", "sig"])
     return run
 
 
@@ -201,12 +201,14 @@ class _Verifier:
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, n_hashes: int = 100,
-                    miss: float = 1e-5) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+                    miss: float = 1e-5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, component_key.
 
     Documents are linked when 100 * |intersection| >= ``percent`` * |union| of
     their sets of ``shingle_words``-word shingles; ``component_id`` is the
     smallest doc_id reachable by links and ``kept`` says doc_id = component_id.
+    ``component_key`` names the component also where ids are null or repeated
+    (null without shingles).  The ``keep`` columns are carried along.
 
     Null, empty and blank texts have no shingles, are linked with nothing and
     kept.  Repeated rows give repeated results.  A null doc_id is never the
@@ -216,11 +218,10 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark)
-    docs = docs.select("doc_id", "text")
-    id_type = pa.int64()
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    sigs = scratch.write(docs.mapInArrow(_signatures(id_type, shingle_words, n_hashes),
-                                         "doc_id long, n_shingles long, node binary, sig binary"), "signatures")
+    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
+    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[1:])
+    sigs = scratch.write(docs.mapInArrow(_signatures(shingle_words, n_hashes),
+                                         f"{carried}, n_shingles long, node binary, sig binary"), "signatures")
     # The text of a class is found again by its smallest doc_id, or, for a null id, by the null.
     classes = scratch.write(
         sigs.where("n_shingles > 0").groupBy("node")
@@ -269,11 +270,40 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     named = classes.select("node", "min_id").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("min_id").alias("component_id"))
-    named = named.join(smallest, "label").select("node", "component_id")
-    out = sigs.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    named = named.join(smallest, "label").select("node", "component_id", F.lower(F.hex("label")).alias("component_key"))
+    out = sigs.drop("sig").join(named, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "component_key", *keep)
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of every component: the smallest doc_id; columns as they were.
+
+    Of rows with that doc_id the one with the smallest text hash stays, and of
+    repeated rows one.  Documents without shingles all stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    own = F.xxhash64("text").alias("_th")
+    marks = scratch.write(near_duplicates(docs.withColumn("_th", own), keep=("_th",), **options)
+                          .where("n_shingles > 0").select("doc_id", "_th", "component_key"), "marks")
+    place = F.struct("doc_id", "_th")
+    stays = marks.groupBy("component_key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    lost = scratch.write(
+        marks.join(stays, "component_key").groupBy("doc_id", "_th")
+        .agg(F.count("*").alias("n"), F.bool_or(F.col("first").eqNullSafe(place)).alias("stays"))
+        .where("n > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "stays"), "lost")
+    few = lost.count() <= BROADCAST_IDS
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_t"))
+
+    def against(rows: DataFrame, how: str) -> DataFrame:
+        return docs.join(F.broadcast(rows) if few else rows, same, how)
+    out = against(lost, "left_anti")
+    repeated = lost.where("stays")
+    if not repeated.isEmpty():  # one of each set of repeated rows
+        once = against(repeated, "left_semi").withColumn("_th", own).dropDuplicates(["doc_id", "_th"]).drop("_th")
+        out = out.unionByName(once)
+    return out
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,18 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import decontaminate, line_dedup, near_dedup, packing, quality, sentence_dedup
 from .common import load
 
+#: Production parameter of the line dedup: the fewest consecutive lines that make a repeat.
+RUN_LINES = 2
+
+
+def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by two co-trained views; ``kept`` is the decision."""
+    return quality.score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents freed of runs of two and more lines that occur earlier."""
+    return line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), run_lines=RUN_LINES)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in 10-word windows of benchmark items, and the items found."""
+    return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10)
+
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity of at least 85 %."""
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op9_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents freed of sentence spans that occur earlier; ``repeated`` says whether any was removed."""
+    out = sentence_dedup.dedup_sentences(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("repeated", out.n_removed > 0)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack(load(spark, sf_dir, "documents"), capacity=1024, end_id=2, vocabulary="byte_bpe_50k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_quality_cotraining, op2_line_dedup, op3_decontamination, op7_minhash_near_dedup,
+                                    op9_sentence_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express; the others are tested against brute force."""
+    return {"op2_line_dedup": line_dedup.ORACLE.replace("{run}", str(RUN_LINES)),
+            "op3_decontamination": decontaminate.ORACLE}
