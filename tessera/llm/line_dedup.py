@@ -90,8 +90,8 @@ def dedup_lines(docs: DataFrame, *, run_lines: int = 2) -> DataFrame:
 #: The same result by comparing every window of every document directly ({run} consecutive lines).
 ORACLE = r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-f AS (SELECT doc_id, [i FOR i IN range(1, len(ls) + 1) IF trim(ls[i]) <> ''] AS at, ls FROM l),
-h AS (SELECT doc_id, at, ls, [trim(ls[i]) FOR i IN at] AS fl FROM f),
+f AS (SELECT doc_id, [i FOR i IN range(1, len(ls) + 1) IF trim(ls[i]) <> ''] AS pos, ls FROM l),
+h AS (SELECT doc_id, pos, ls, [trim(ls[i]) FOR i IN pos] AS fl FROM f),
 w AS (SELECT doc_id, s, least({run}, len(fl)) AS k, array_to_string(fl[s + 1:s + least({run}, len(fl))], chr(10)) AS gram
       FROM (SELECT doc_id, fl, unnest(range(0, len(fl) - least({run}, len(fl)) + 1)) AS s FROM h WHERE len(fl) > 0)),
 r AS (SELECT *, row_number() OVER (PARTITION BY k, gram ORDER BY doc_id, s) AS nth FROM w),
@@ -99,7 +99,7 @@ gone AS (SELECT doc_id, list_distinct(list(j)) AS g
          FROM (SELECT doc_id, unnest(range(s, s + k)) AS j FROM r WHERE nth > 1) GROUP BY doc_id)
 SELECT h.doc_id, CASE WHEN h.ls IS NULL THEN NULL ELSE
          array_to_string([ls[i] FOR i IN range(1, len(ls) + 1)
-                          IF NOT list_contains([at[j + 1] FOR j IN coalesce(g, [])], i)], chr(10)) END AS text,
+                          IF NOT list_contains([pos[j + 1] FOR j IN coalesce(g, [])], i)], chr(10)) END AS text,
        CAST(coalesce(len(fl), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_deleted
 FROM h LEFT JOIN gone USING (doc_id)
 """

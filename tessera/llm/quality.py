@@ -146,7 +146,7 @@ def co_train(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, confident:
     for r in range(rounds + 1):
         rows = rows.persist()
         models = _fit_view(rows, "xt", "yt"), _fit_view(rows, "xm", "ym")
-        if None in models or r == rounds:
+        if any(m is None for m in models) or r == rounds:
             break
         pt, pm = _probability("xt", models[0]), _probability("xm", models[1])
         scored = rows.withColumn("pt", F.when(F.col("y").isNull(), pt)).withColumn("pm", F.when(F.col("y").isNull(), pm))
@@ -161,7 +161,7 @@ def co_train(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, confident:
         rows.unpersist()
         rows = new
     out = None
-    if None not in models:
+    if all(m is not None for m in models):
         held = rows.where("held")
         margins = np.array([[*map(float, v)] for v in held.select(
             F.col("y"), *(F.log(p / (1 - p)) for p in (F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), _probability(x, w)))
