@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality, sentence_dedup
+from . import decontaminate, html_extract, line_dedup, near_dedup, packing, quality, sentence_dedup, toxicity
 from .common import load
 
 #: Production parameter of the line dedup: the fewest consecutive lines that make a repeat.
@@ -28,11 +29,23 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by the wrappers of their hosts."""
+    return html_extract.extract_pages(load(spark, sf_dir, "pages"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity of at least 85 %."""
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; labels train only where crc32 of the doc_id leaves another remainder than 1 by 3."""
+    docs = load(spark, sf_dir, "documents").withColumn("held_out", toxicity.crc_held_out(F.col("doc_id")))
+    return toxicity.score_toxicity(docs, load(spark, sf_dir, "labels"), F.col("held_out"), keep=("doc_id", "held_out"),
+                                   threshold=0.7)
+
+
 def op9_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents freed of sentence spans that occur earlier; ``repeated`` says whether any was removed."""
     out = sentence_dedup.dedup_sentences(load(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -45,8 +58,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_cotraining, op2_line_dedup, op3_decontamination, op7_minhash_near_dedup,
-                                    op9_sentence_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_cotraining, op2_line_dedup, op3_decontamination, op4_html_extraction,
+                                    op7_minhash_near_dedup, op8_toxicity, op9_sentence_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
