@@ -23,7 +23,7 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = (links.where("a is not null and b is not null and a <> b")
              .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    edges = scratch.write(edges, "edges")
+    old = None
     while True:
         # Large star: every larger neighbour of u moves to the smallest of u and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,15 +33,16 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         # Small star: u and its smaller neighbours move to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = (moved.unionByName(low.select("u", F.col("m").alias("v")))
-                 .where("u <> v").distinct())
-        new = scratch.write(small, "edges")
-        scratch.drop(edges)
-        edges = new
-        # Settled when no node is both a child and a parent: every edge then ends in its root.
-        if edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
-            # A node has one root only if it has one parent.
-            if edges.groupBy("u").count().where("count > 1").isEmpty():
-                break
+        small = moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = scratch.write(small, "edges")
+        scratch.drop(old)
+        old = edges
+        # Settled when every child has one parent and no parent is a child: each edge then ends in its root.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        unsettled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where(
+            "up > 1 or (up > 0 and down > 0)")
+        if unsettled.isEmpty():
+            break
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

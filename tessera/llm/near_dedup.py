@@ -8,10 +8,12 @@
    soon as the posterior probability of reaching the threshold falls below
    ``miss`` (uniform prior: P(J >= t | m of n agree) = P(Binomial(n + 1, t) <= m)).
 4. Survivors are verified exactly on their full shingle sets and linked.
-5. Buckets that still hold several components get further leaders (8, 64, ...
-   per bucket, chosen by hash), paired only with members of other components,
-   until every bucket is one component or all its members have led.  So no two
-   texts that share a band stay unchecked unless they are already connected.
+5. Classes of buckets that still hold several components are joined exactly by
+   prefix filtering: the shingles of a set are ordered from the rarest among
+   these classes on, and two sets of the threshold's similarity share one of
+   their first n - ceil(t n) + 1.  The copies of one text differ in their rare
+   shingles, so this pairs neither whole buckets nor classes already connected,
+   and no two texts that share a band stay unchecked.
 
 The only loss is the chosen one: a pair at the threshold shares no band with
 probability at most ``miss``, or is pruned by step 3 with that probability.
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, ship_package
@@ -133,6 +135,19 @@ def _sets(k: int):
     return run
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles, label) -> one row (node, label, n, shingle) for every shingle."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            sizes = [len(x) for x in sets]
+            take = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(take), part.column(2).take(take), pa.array(np.repeat(sizes, sizes), pa.int64()),
+                 pa.array(np.concatenate(sets), pa.int64())], ["node", "label", "n", "shingle"])
+
+
 def _bayes(bounds: list[tuple[int, int]], n_hashes: int):
     """(a, b, sig_a, sig_b) -> (a, b, matches) of the pairs that no batch of the comparison pruned."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,21 +197,43 @@ class _Verifier:
                 .select("a", "b", "sig_a", "sig_b"))
         return both.mapInArrow(_bayes(self.bounds, self.n_hashes), "a binary, b binary, matches long")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full shingle sets reach the threshold."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = self.scratch.write(ends.join(self.classes, "node").select(F.col("row_key").alias("_key")), "ids")
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """The full shingle sets of some classes, made anew from their texts."""
+        ids = self.scratch.write(nodes.join(self.classes, "node").select(F.col("row_key").alias("_key")), "ids")
         few = ids.count() <= BROADCAST_IDS
         texts = self.docs.join(F.broadcast(ids) if few else ids, "_key", "left_semi").select("text")
-        # A document that shares its key with another by chance gives a further set; the node joins below ignore it.
+        # Documents that only share a key give further sets; the joins by node leave them out.
         sets = self.scratch.write(
             texts.mapInArrow(_sets(self.k), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
+        self.scratch.drop(ids)
+        return sets
+
+    def prefix_pairs(self, named: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components among (node, label) that share a shingle of their rarest."""
+        rows = self.scratch.write(
+            self.sets(named.select("node")).join(named, "node")
+            .mapInArrow(_shingle_rows, "node binary, label binary, n long, shingle long"), "shingles")
+        often = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+        # A shingle of one class only takes a place in its class's prefix but joins nothing.
+        place = Window.partitionBy("node").orderBy("df", "shingle")
+        head = (rows.join(often, "shingle").withColumn("nth", F.row_number().over(place))
+                .where(100 * (F.col("nth") - 1) <= (100 - self.percent) * F.col("n")).where("df > 1"))
+        head = self.scratch.write(head.select("node", "label", "n", "shingle"), "prefixes")
+        x, y = (head.select("shingle", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "label", "n"))) for e in "xy")
+        return (x.join(y, "shingle")
+                .where((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
+                       & (100 * F.least("n_x", "n_y") >= self.percent * F.greatest("n_x", "n_y")))
+                .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose full shingle sets reach the threshold."""
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = (pairs.select("a", "b")
                 .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
                 .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
                 .select("a", "b", "set_a", "set_b"))
         out = self.scratch.write(both.mapInArrow(_exact(self.percent), "a binary, b binary"), "links")
-        self.scratch.drop(ids, sets)
+        self.scratch.drop(sets)
         return out
 
 
@@ -246,26 +283,14 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     if not rest.isEmpty():
         labels = _merge(labels, v.links(rest), scratch)
 
-    # Further leaders in buckets that still hold several components.
-    low, high = 0, 8
-    while True:
-        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = (named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-                 .where("x <> y").select("key"))
-        # A class's place in the order of its bucket is the fraction that its (uniform) key stands for.
-        place = F.conv(F.hex(F.substring("node", 1, 6)), 16, 10).cast("double") / F.lit(2.0**48) * F.col("size")
-        todo = scratch.write(named.where("size > 2").join(open_, "key").withColumn("place", place), "open")
-        if todo.where(F.col("place") >= low).isEmpty():
-            break
-        lead = todo.where((F.col("place") >= low) & (F.col("place") < high)).select(
-            "key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        pairs = (todo.join(lead, "key").where("node > a and label <> label_a")
-                 .select("a", F.col("node").alias("b")).distinct())
-        more = scratch.write(v.survivors(pairs), "more")
-        if not more.isEmpty():
-            labels = _merge(labels, v.links(more), scratch)
-        scratch.drop(todo, more)
-        low, high = high, high * 8
+    # The rest of the buckets that still hold several components.
+    named = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    rest = scratch.write(named.join(open_, "key", "left_semi").select("node", "label").distinct(), "open")
+    if not rest.isEmpty():
+        pairs = scratch.write(v.survivors(v.prefix_pairs(rest)), "rest")
+        if not pairs.isEmpty():
+            labels = _merge(labels, v.links(pairs), scratch)
 
     named = classes.select("node", "min_id").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))

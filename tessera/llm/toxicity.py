@@ -37,6 +37,8 @@ _SUSPECT = re.compile(rf"[^\W\d_][{_SIGNS}.\-_]*[{_SIGNS}][{_SIGNS}.\-_]*[^\W\d_
                       rf"|[^\W\d_]{{2}}[@$013457]+$|([^\W\d_])\1\1|[^\W\d_][.\-_*][^\W\d_][.\-_*][^\W\d_]")
 #: Single letters (or signs for letters) spelled out: at least four, one gap between each.
 _SPELLED = re.compile(rf"(?<!\S)(?:[^\W\d_]|[{_SIGNS}])(?:[ .\-_*](?:[^\W\d_]|[{_SIGNS}])){{3,39}}(?=[.,;:?!]*(?:\s|$))")
+#: Log-odds from which a feature is kept, and from which a further word counts besides the strongest.
+LEAN, SURE = 1.5, 3.5
 _EDGE = ".,;:?\"'()[]{}<>!"
 #: Longest word that is decoded; longer runs of signs are no words.
 MAX_WORD = 40
@@ -178,7 +180,7 @@ class Scorer:
     weights: np.ndarray | None
     prior: float
 
-    def strongest(self, text: str) -> tuple[float, float, float]:
+    def strongest(self, text: str) -> tuple[float, float]:
         words = self.decoder.restored(text)
         get = self.odds.get
         best = []
@@ -189,7 +191,7 @@ class Scorer:
             if v > 0:
                 best.append(v)
         best.sort(reverse=True)
-        return (best[0] if best else 0.0, best[1] if len(best) > 1 else 0.0, sum(best[2:6]))
+        return (best[0] if best else 0.0, sum(v > SURE for v in best[1:4]))
 
     def score(self, text: str) -> float:
         if self.weights is None:
@@ -268,10 +270,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, *, keep
         counted = (rows.where("odds").select("text", "y")
                    .mapInArrow(_feature_rows(spark.sparkContext.broadcast(model)), "feature string, toxic long, other long")
                    .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
-        value = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("other") + 0.5) / (o + 1))
+        # Cautious log-odds: one standard deviation off the toxic count, one more document among the others.
+        value = F.log((F.col("toxic") - F.sqrt("toxic") + 0.5) / (t + 1)) - F.log((F.col("other") + 1) / (o + 1))
         # Bounded by the labelled sample: only features that lean clearly to toxic rows are kept.
         odds = {r.feature: float(r.v) for r in
-                counted.where(F.col("toxic") >= least_docs).withColumn("v", value).where("v > 2").collect()}
+                counted.where(F.col("toxic") >= least_docs).withColumn("v", value).where(f"v > {LEAN}").collect()}
         x = rows.where("not odds").select("text", "y").mapInArrow(
             _strongest_rows(spark.sparkContext.broadcast((model, odds))), "x array<double>, y int").toPandas()
         weights = fit_logistic(np.array(x.x.tolist()), x.y.to_numpy(float))
