@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, near_dedup, packing, quality, sentence_dedup, toxicity
+from . import decontaminate, html_extract, line_dedup, near_dedup, packing, pii, quality, sentence_dedup, toxicity
 from .common import load
 
 #: Production parameter of the line dedup: the fewest consecutive lines that make a repeat.
@@ -34,6 +34,11 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(load(spark, sf_dir, "pages"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in all documents."""
+    return pii.find_personal_data(load(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity of at least 85 %."""
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"), shingle_words=3, percent=85)
@@ -59,7 +64,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_cotraining, op2_line_dedup, op3_decontamination, op4_html_extraction,
-                                    op7_minhash_near_dedup, op8_toxicity, op9_sentence_dedup, op10_best_fit_packing)}
+                                    op6_personal_data, op7_minhash_near_dedup, op8_toxicity, op9_sentence_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
