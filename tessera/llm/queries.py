@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, near_dedup, packing, pii, quality, sentence_dedup, toxicity
+from . import bm25, decontaminate, html_extract, line_dedup, near_dedup, packing, pii, quality, sentence_dedup, toxicity
 from .common import load
 
 #: Production parameter of the line dedup: the fewest consecutive lines that make a repeat.
@@ -34,6 +34,11 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(load(spark, sf_dir, "pages"))
 
 
+def op5_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every document whose id is divisible by 100, by BM25."""
+    return bm25.search(load(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0, k=10)
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and added spans of personal data in all documents."""
     return pii.find_personal_data(load(spark, sf_dir, "documents"))
@@ -63,11 +68,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_cotraining, op2_line_dedup, op3_decontamination, op4_html_extraction,
+    return {f.__name__: f for f in (op1_quality_cotraining, op2_line_dedup, op3_decontamination, op4_html_extraction, op5_bm25_topk,
                                     op6_personal_data, op7_minhash_near_dedup, op8_toxicity, op9_sentence_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; the others are tested against brute force."""
     return {"op2_line_dedup": line_dedup.ORACLE.replace("{run}", str(RUN_LINES)),
-            "op3_decontamination": decontaminate.ORACLE}
+            "op3_decontamination": decontaminate.ORACLE, "op5_bm25_topk": bm25.ORACLE}
