@@ -47,44 +47,45 @@ def dedup_lines(docs: DataFrame, *, run_lines: int = 2) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     names = docs.columns
-    own = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th")]
+    # The whole row travels as one column, so no name of it meets a name used here.
+    rows = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("text"),
+                       F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     lines = F.split("text", "\n", -1)
     filled = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
     hashes = F.transform(filled, lambda x: F.xxhash64(x))
     windows = scratch.write(
-        docs.where("text is not null").select(*own, hashes.alias("h"))
-        .select("_id", "_th", F.explode(_windows(F.col("h"), run_lines)).alias("w"))
-        .select("_id", "_th", "w.*"), "windows")
+        rows.where("text is not null").select("id", "th", hashes.alias("h"))
+        .select("id", "th", F.explode(_windows(F.col("h"), run_lines)).alias("w"))
+        .select("id", "th", "w.*"), "windows")
 
     # Fingerprints selected at one place only cannot be in a repeated window.
-    place = F.struct("_id", "_th", "at")
+    place = F.struct("id", "th", "at")
     marks = (windows.groupBy("mark").agg(F.min(place).alias("x"), F.max(place).alias("y"))
              .where(~F.col("x").eqNullSafe(F.col("y"))).select("mark"))
-    near = scratch.write(windows.join(marks, "mark", "left_semi").select("_id", "_th", "start", "lines", "gram"), "near")
-    place = F.struct("_id", "_th", "start")
+    near = scratch.write(windows.join(marks, "mark", "left_semi").select("id", "th", "start", "lines", "gram"), "near")
+    place = F.struct("id", "th", "start")
     grams = (near.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .where(~F.col("first").eqNullSafe(F.col("last"))).select("gram", "first"))
-    later = (near.join(grams, "gram").where(~F.col("first").eqNullSafe(place)).select("_id", "_th", "start", "lines"))
+    later = (near.join(grams, "gram").where(~F.col("first").eqNullSafe(place)).select("id", "th", "start", "lines"))
     # Windows of one document that overlap or touch are one run: the union of their lines.
-    runs = (later.groupBy("_id", "_th")
+    runs = (later.groupBy("id", "th")
             .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("lines") - 1))))
-                 .alias("_gone")))
-    runs = scratch.write(runs, "runs")
+                 .alias("gone")))
+    runs = scratch.write(runs.select(F.col("id").alias("rid"), F.col("th").alias("rth"), "gone"), "runs")
     scratch.drop(windows, near)
 
     places = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
-    joined = docs.select("*", *own).join(
-        runs.select(F.col("_id").alias("_rid"), F.col("_th").alias("_rth"), "_gone"),
-        F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left")
-    gone = F.transform("_gone", lambda j: F.get(F.col("_places"), j))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(F.array_sort(left), lambda i: F.get(F.col("_lines"), i)), "\n"))
-    out = joined.withColumn("_places", F.when(F.col("_gone").isNotNull(), places)).withColumn(
-        "_lines", F.when(F.col("_gone").isNotNull(), lines))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in names if c not in ("n_lines", "n_deleted")]
-    return out.select(*columns, F.coalesce(F.size(filled), F.lit(0)).cast("long").alias("n_lines"),
-                      F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    joined = rows.join(runs, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
+    joined = joined.withColumn("places", F.when(F.col("gone").isNotNull(), places)).withColumn(
+        "parts", F.when(F.col("gone").isNotNull(), lines))
+    gone = F.transform("gone", lambda j: F.get(F.col("places"), j))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), gone)
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(F.array_sort(left), lambda i: F.get(F.col("parts"), i)), "\n"))
+    columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names
+               if c not in ("n_lines", "n_deleted")]
+    return joined.select(*columns, F.coalesce(F.size(filled), F.lit(0)).cast("long").alias("n_lines"),
+                         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
 
 
 #: The same result by comparing every window of every document directly ({run} consecutive lines).

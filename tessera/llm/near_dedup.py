@@ -309,26 +309,29 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     repeated rows one.  Documents without shingles all stay.
     """
     scratch = Scratch(docs.sparkSession)
-    own = F.xxhash64("text").alias("_th")
-    marks = scratch.write(near_duplicates(docs.withColumn("_th", own), keep=("_th",), **options)
-                          .where("n_shingles > 0").select("doc_id", "_th", "component_key"), "marks")
-    place = F.struct("doc_id", "_th")
+    # The whole row travels as one column, so no name of it meets a name used here.
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                       text.alias("text"), F.xxhash64(text).alias("th"))
+    marks = scratch.write(near_duplicates(rows, keep=("th",), **options).where("n_shingles > 0")
+                          .select("doc_id", "th", "component_key"), "marks")
+    place = F.struct("doc_id", "th")
     stays = marks.groupBy("component_key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     lost = scratch.write(
-        marks.join(stays, "component_key").groupBy("doc_id", "_th")
+        marks.join(stays, "component_key").groupBy("doc_id", "th")
         .agg(F.count("*").alias("n"), F.bool_or(F.col("first").eqNullSafe(place)).alias("stays"))
-        .where("n > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "stays"), "lost")
+        .where("n > 1 or not stays").select(F.col("doc_id").alias("lost_id"), F.col("th").alias("lost_th"), "stays"), "lost")
     few = lost.count() <= BROADCAST_IDS
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_t"))
+    same = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("th") == F.col("lost_th"))
 
-    def against(rows: DataFrame, how: str) -> DataFrame:
-        return docs.join(F.broadcast(rows) if few else rows, same, how)
-    out = against(lost, "left_anti")
+    def against(table: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(table) if few else table, same, how)
+    out = against(lost, "left_anti").select("row")
     repeated = lost.where("stays")
     if not repeated.isEmpty():  # one of each set of repeated rows
-        once = against(repeated, "left_semi").withColumn("_th", own).dropDuplicates(["doc_id", "_th"]).drop("_th")
-        out = out.unionByName(once)
-    return out
+        out = out.unionByName(against(repeated, "left_semi").groupBy("doc_id", "th").agg(F.any_value("row").alias("row"))
+                              .select("row"))
+    return out.select("row.*")
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -134,10 +134,14 @@ def dedup_sentences(docs: DataFrame, *, least_sentences: int = 3, least_words: i
     ship_package(spark)
     scratch = Scratch(spark)
     docs = docs.drop("n_sentences", "n_removed")
-    own = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th")]
-    rows = docs.where("text is not null").select(*own, F.col("text").cast("string"))
-    found = scratch.write(rows.mapInArrow(_span_rows((least_sentences, least_words, enough_words)),
-                                          "_id long, _th long, first int, last int, key long"), "spans")
+    # The whole row travels as one column, so no name of it meets a name used here.
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"),
+                       F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_th"))
+    found = scratch.write(
+        rows.where("text is not null").select("_id", "_th", "text")
+        .mapInArrow(_span_rows((least_sentences, least_words, enough_words)),
+                    "_id long, _th long, first int, last int, key long"), "spans")
     place = F.struct("_id", "_th", "first")
     keys = scratch.write(
         found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("z"))
@@ -148,9 +152,10 @@ def dedup_sentences(docs: DataFrame, *, least_sentences: int = 3, least_words: i
     scratch.drop(found, keys)
     few = runs.agg(F.sum(F.size("_runs") + 4)).first()[0] or 0
     runs = runs.select(F.col("_id").alias("_rid"), F.col("_th").alias("_rth"), "_runs")
-    marked = (docs.select("*", *own)
-              .join(F.broadcast(runs) if few <= BROADCAST_ROWS else runs,
-                    F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left")
-              .select(*docs.columns, "_runs"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return marked.mapInArrow(_remove, f"{kept}, n_sentences long, n_removed long")
+    marked = rows.join(F.broadcast(runs) if few <= BROADCAST_ROWS else runs,
+                       F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left")
+    kind = rows.schema["row"].dataType.simpleString()
+    out = marked.select("row", "text", "_runs").mapInArrow(
+        _remove, f"row {kind}, text string, n_sentences long, n_removed long")
+    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns),
+                      "n_sentences", "n_removed")
