@@ -11,9 +11,10 @@
 5. Classes of buckets that still hold several components are joined exactly by
    prefix filtering: the shingles of a set are ordered from the rarest among
    these classes on, and two sets of the threshold's similarity share one of
-   their first n - ceil(t n) + 1.  The copies of one text differ in their rare
-   shingles, so this pairs neither whole buckets nor classes already connected,
-   and no two texts that share a band stay unchecked.
+   their first n - ceil(t n) + 1, with enough shingles left after the first
+   shared one (prefix and positional filter).  The copies of one text differ in
+   their rare shingles, so this pairs neither whole buckets nor classes already
+   connected, and no two texts that share a band stay unchecked.
 
 The only loss is the chosen one: a pair at the threshold shares no band with
 probability at most ``miss``, or is pruned by step 3 with that probability.
@@ -218,11 +219,13 @@ class _Verifier:
         place = Window.partitionBy("node").orderBy("df", "shingle")
         head = (rows.join(often, "shingle").withColumn("nth", F.row_number().over(place))
                 .where(100 * (F.col("nth") - 1) <= (100 - self.percent) * F.col("n")).where("df > 1"))
-        head = self.scratch.write(head.select("node", "label", "n", "shingle"), "prefixes")
-        x, y = (head.select("shingle", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "label", "n"))) for e in "xy")
+        # Shingles from this one on: no pair whose first common shingle this is has more in common.
+        head = head.withColumn("left", F.col("n") - F.col("nth") + 1)
+        head = self.scratch.write(head.select("node", "label", "n", "left", "shingle"), "prefixes")
+        x, y = (head.select("shingle", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "label", "n", "left"))) for e in "xy")
+        enough = (100 + self.percent) * F.least("left_x", "left_y") >= self.percent * (F.col("n_x") + F.col("n_y"))
         return (x.join(y, "shingle")
-                .where((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
-                       & (100 * F.least("n_x", "n_y") >= self.percent * F.greatest("n_x", "n_y")))
+                .where((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & enough)
                 .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
 
     def links(self, pairs: DataFrame) -> DataFrame:
