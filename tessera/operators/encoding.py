@@ -4,8 +4,9 @@ Routing by cardinality: fewer than ``low`` distinct values → one-hot with the
 first sorted level dropped; ``low``..``high``-1 → target encoding; ``high`` or
 more → label encoding.  The routing bounds the size of every small table we
 broadcast: one-hot levels (< low) and target-encoding statistics (< high
-categories × folds).  Label encoding has no bound, so its level table is
-built distributed (global sort + ``zipWithIndex``) and joined normally.
+categories).  Label encoding has no bound, so its level table is numbered
+distributed (global sort, numbers within and offsets of partitions) and joined
+normally.
 """
 
 from __future__ import annotations
@@ -13,15 +14,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import cut_lineage
 from . import profile as P
+from .numbering import number_rows
 from .quantiles import grouped_quantiles
 
 LOW_CARD, HIGH_CARD = 10, 100
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 200_000
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -30,8 +32,7 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     The count runs on an already-aggregated table (cheap); above the bound the
     join stays a shuffle join (AQE may still pick broadcast from real sizes).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 # --------------------------------------------------------------------------- C6
@@ -84,59 +85,53 @@ class OneHotModel:
 
 
 class OneHot:
-    def __init__(self, drop_first: bool = True, max_levels: int = LOW_CARD):
+    """Levels of all columns from one job; any number of levels (the routing keeps them few)."""
+
+    def __init__(self, drop_first: bool = True):
         self.drop_first = drop_first
-        self.max_levels = max_levels
 
     def fit(self, df: DataFrame, cols: Sequence[str]) -> OneHotModel:
-        levels = {}
-        for c in cols:
-            vals = (df.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct()
-                      .limit(self.max_levels + 1).collect())
-            if len(vals) > self.max_levels:
-                raise ValueError(f"{c}: more than {self.max_levels} levels for one-hot")
-            lv = sorted(v[0] for v in vals)
-            levels[c] = lv[1:] if self.drop_first else lv
-        return OneHotModel(levels)
+        cells = P._unpivot(df, list(cols), "string").where(F.col("value").isNotNull()).distinct().collect()
+        levels = {c: sorted(r["value"] for r in cells if r["column"] == c) for c in cols}
+        return OneHotModel({c: lv[1:] if self.drop_first else lv for c, lv in levels.items()})
 
 
 # --------------------------------------------------------------------------- C6b
 @dataclass
 class LabelModel:
     tables: dict  # column -> DataFrame(value string, code long)
+    unseen: int | None = None
 
     def transform(self, df: DataFrame, missing_token: str = "nan") -> DataFrame:
-        """Codes of the text form (nulls as ``missing_token``); unseen values → null."""
+        """Codes of the text form (nulls as ``missing_token``); unseen values → ``unseen`` (null by default)."""
         out = df
         for c, tab in self.tables.items():
             key = f"__{c}_key"
             out = (out.withColumn(key, F.coalesce(F.col(c).cast("string"), F.lit(missing_token)))
                       .join(tab.withColumnRenamed("value", key).withColumnRenamed("code", f"__{c}_code"),
                             on=key, how="left")
-                      .withColumn(c, F.col(f"__{c}_code")).drop(key, f"__{c}_code"))
+                      .withColumn(c, F.coalesce(F.col(f"__{c}_code"), F.lit(self.unseen).cast("long")))
+                      .drop(key, f"__{c}_code"))
         return out.select(*df.columns)
 
 
 class LabelEncoding:
     """Sorted distinct text values → 0..n-1, nulls encoded as the text 'nan'.
 
-    Codes come from a distributed global sort of the distinct values and
-    ``zipWithIndex`` (per-partition offsets), never from one partition.
+    The distinct cells of all columns are sorted and numbered once across the
+    cluster; a value's code is its number less its column's first.
     """
 
-    def __init__(self, missing_token: str = "nan"):
-        self.missing_token = missing_token
+    def __init__(self, missing_token: str = "nan", unseen: int | None = None):
+        self.missing_token, self.unseen = missing_token, unseen
 
     def fit(self, df: DataFrame, cols: Sequence[str]) -> LabelModel:
-        spark = df.sparkSession
-        ship_package(spark)
-        tables = {}
-        for c in cols:
-            vals = (df.select(F.coalesce(F.col(c).cast("string"), F.lit(self.missing_token)).alias("value"))
-                      .distinct().orderBy("value"))
-            indexed = vals.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1]))
-            tables[c] = spark.createDataFrame(indexed, "value string, code long")
-        return LabelModel(tables)
+        cells = P._unpivot(df, list(cols), "string").select(
+            "column", F.coalesce("value", F.lit(self.missing_token)).alias("value")).distinct()
+        placed = number_rows(cells, ["column", "value"], "place")
+        first = {r["column"]: r["m"] for r in placed.groupBy("column").agg(F.min("place").alias("m")).collect()}
+        return LabelModel({c: placed.where(F.col("column") == c).select(
+            "value", (F.col("place") - F.lit(first.get(c, 0))).alias("code")) for c in cols}, self.unseen)
 
 
 # --------------------------------------------------------------------------- C7
@@ -214,7 +209,8 @@ class TargetEncoding:
         per_f = _moments(valid, [fold_col], target, center)
         tot = valid.agg(F.count(F.lit(1)).alias("N"), F.sum(F.col(target) - F.lit(center)).alias("S"),
                         F.sum((F.col(target) - F.lit(center)) ** 2).alias("SS")).first()
-        loo = (per_cf.join(per_c, "__cat")
+        per_c = per_c.withColumnRenamed("__cat", "__all")
+        loo = (per_cf.join(per_c, F.col("__cat").eqNullSafe(F.col("__all")))
                      .select("__cat", fold_col,
                              (F.col("t_n") - F.col("n")).alias("__n"),
                              (F.col("t_s") - F.col("s")).alias("__s"),
@@ -236,6 +232,42 @@ class TargetEncoding:
         return out.drop("__cat", "__n", "__s", "__ss", "__gn", "__gs", "__gss")
 
 
+    def encode_split(self, df: DataFrame, columns: Sequence[str], target: str, fold_col: str) -> DataFrame:
+        """Encode several columns of a split table at once.
+
+        Rows with a fold (training) get the statistics of the other folds, rows
+        without (validation, test) those of all training rows, unseen categories
+        the global mean.  One aggregation serves all columns; each column then
+        costs one join with its categories (one row each, folds as a map).
+        """
+        columns = list(columns)
+        train = df.where(F.col(fold_col).isNotNull() & F.col(target).isNotNull())
+        center = float(train.agg(F.avg(target)).first()[0] or 0.0)
+        per_f = {r[fold_col]: r for r in _moments(train, [fold_col], target, center).collect()}
+        total = [sum(r[x] for r in per_f.values()) for x in ("n", "s", "ss")]
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category")) for c in columns])
+        cut = _moments(train.select(fold_col, target, F.inline(cells)), ["column", "category", fold_col], target, center)
+        stats = cut.groupBy("column", "category").agg(
+            F.sum("n").alias("__n"), F.sum("s").alias("__s"), F.sum("ss").alias("__ss"),
+            F.map_from_entries(F.collect_list(F.struct(fold_col, F.struct("n", "s", "ss")))).alias("__own"))
+        stats = cut_lineage(stats)
+
+        def less(all_: Column, own: Column) -> Column:
+            return all_ - F.coalesce(own, F.lit(0))
+        own = F.element_at("__own", F.col(fold_col))
+        own_global = F.element_at(F.create_map(*[x for f, r in per_f.items() for x in (
+            F.lit(f), F.struct(F.lit(r["n"]).alias("n"), F.lit(r["s"]).alias("s"), F.lit(r["ss"]).alias("ss")))]),
+            F.col(fold_col)) if per_f else F.lit(None).cast("struct<n:long,s:double,ss:double>")
+        gmean, gvar = _mean_var(*[less(F.lit(t), own_global[x]) for t, x in zip(total, ("n", "s", "ss"))], center)
+        mean, var = _mean_var(*[less(F.col(f"__{x}"), own[x]) for x in ("n", "s", "ss")], center)
+        enc = F.coalesce(_shrunk(less(F.col("__n"), own["n"]), mean, var, gmean, gvar), gmean, F.lit(center))
+        for c in columns:
+            mine = stats.where(F.col("column") == c).select(F.col("category").alias("__cat"), "__n", "__s", "__ss", "__own")
+            df = (df.join(sized_broadcast(mine), _null_safe_key(df, c, "__cat"), "left")
+                  .withColumn(c, enc).drop("__cat", "__n", "__s", "__ss", "__own"))
+        return df
+
+
 # --------------------------------------------------------------------------- C8
 def column_modes(df: DataFrame, cols: Sequence[str], as_type: str) -> dict:
     """Most frequent non-null value per column (ties → smallest), one shuffle."""
@@ -253,7 +285,8 @@ class ImputerModel:
     dropped: list = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df.drop(*self.dropped)
+        """Null and NaN become the column's fill."""
+        out = P.nan_to_null(df.drop(*self.dropped))
         return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.fills.items()
                                 if c in out.columns})
 
@@ -261,18 +294,20 @@ class ImputerModel:
 class Imputer:
     """Numeric: median / mean / most_frequent; text: constant ('MISSING') or
     most_frequent.  All-null numeric columns are dropped.  Only columns with
-    missing values get a fill.  Medians are exact (``grouped_quantiles``)."""
+    missing values get a fill, or with ``every`` all columns (for rows that the
+    fit has not seen).  NaN is missing.  Medians are exact (``grouped_quantiles``)."""
 
     def __init__(self, numeric: str = "median", categorical: str = "constant",
-                 fill_value: str = "MISSING"):
-        self.numeric, self.categorical, self.fill_value = numeric, categorical, fill_value
+                 fill_value: str = "MISSING", every: bool = False):
+        self.numeric, self.categorical, self.fill_value, self.every = numeric, categorical, fill_value, every
 
     def fit(self, df: DataFrame, target: str | None = None) -> ImputerModel:
+        df = P.nan_to_null(df)
         num = P.numeric_columns(df, [target] if target else [])
         cat = P.string_columns(df)
         census = {r["column"]: r for r in P.null_census(df, num + cat).collect()}
-        num_m = [c for c in num if census[c]["n_missing"] > 0]
-        cat_m = [c for c in cat if census[c]["n_missing"] > 0]
+        num_m = [c for c in num if self.every or census[c]["n_missing"] > 0]
+        cat_m = [c for c in cat if self.every or census[c]["n_missing"] > 0]
         dropped = [c for c in num_m if census[c]["n_missing"] == census[c]["n_rows"]]
         num_m = [c for c in num_m if c not in dropped]
         fills = {}

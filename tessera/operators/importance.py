@@ -1,10 +1,9 @@
 """Feature importance (E1-E5): built-in, ensemble mean, permutation, linear
 Shapley values, and the method comparison with an average-tie rank.
 
-Permutation importance shuffles one column with a seeded permutation built
-from two distributed orderings (row id order and hash order, each numbered by
-``zipWithIndex``) joined on position — no single-partition window — then
-scores the fitted model on the shuffled copy: importance = MSE(shuffled) −
+Permutation importance draws the seeded permutations of all features and
+repeats from one distributed ordering (numbered without a single-partition
+window), scores all shuffled copies in one job, and reports MSE(shuffled) −
 MSE(original), mean and population std over repeats.
 """
 
@@ -16,9 +15,9 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from .metrics import average_rank
 from .models import FEATURES, assemble
+from .numbering import number_rows
 
 
 def basic_importance(model: Model, features: Sequence[str], name: str,
@@ -42,48 +41,51 @@ def ensemble_importance(member_importance: DataFrame, name: str) -> DataFrame:
                              .withColumn("model", F.lit(name)))
 
 
-def _positions(df: DataFrame, order_cols, row_id: str) -> DataFrame:
-    """(pos, row_id) for a distributed global ordering (range sort + zipWithIndex)."""
-    spark = df.sparkSession
-    ship_package(spark)
-    ordered = df.orderBy(*order_cols).select(row_id)
-    rdd = ordered.rdd.zipWithIndex().map(lambda t: (t[1], t[0][0]))
-    dtype = df.schema[row_id].dataType.simpleString()
-    return spark.createDataFrame(rdd, f"pos long, {row_id} {dtype}")
+def permuted_rows(base: DataFrame, row_id: str, features: Sequence[str], n: int, n_repeats: int,
+                  seed: int = 42) -> DataFrame:
+    """Every row once per (feature, repeat), with that feature's value from a seeded permutation of the rows.
 
-
-def permute_column(df: DataFrame, row_id: str, col: str, seed: int) -> DataFrame:
-    """``df`` with ``col`` replaced by a seeded permutation of its values."""
-    natural = _positions(df, [F.col(row_id)], row_id)
-    shuffled = _positions(df, [F.xxhash64(F.col(row_id), F.lit(seed)), F.col(row_id)], row_id)
-    donor = (natural.withColumnRenamed(row_id, "__target")
-                    .join(shuffled.withColumnRenamed(row_id, "__donor"), "pos"))
-    donor_vals = df.select(F.col(row_id).alias("__donor"), F.col(col).alias("__val"))
-    mapping = donor.join(donor_vals, "__donor").select(F.col("__target").alias(row_id), "__val")
-    return df.join(mapping, row_id).withColumn(col, F.col("__val")).drop("__val")
+    ``run`` = feature index * n_repeats + repeat.  The rows of all runs are sorted
+    together by (run, seeded hash) and numbered; the row at the same place of the
+    natural order takes the value.
+    """
+    runs = F.explode(F.sequence(F.lit(0), F.lit(len(features) * n_repeats - 1)))
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    which = F.floor(F.col("run") / n_repeats).cast("int")
+    natural = number_rows(base, [F.col(row_id)], "pos")
+    donors = natural.select(row_id, values.alias("__x"), runs.alias("run")).select(
+        "run", F.get("__x", which).alias("__val"), F.xxhash64(F.col(row_id), F.col("run"), F.lit(seed)).alias("__h"), row_id)
+    donors = number_rows(donors, ["run", "__h", row_id], "__g").select(
+        "run", (F.col("__g") - F.col("run") * n).alias("pos"), "__val")
+    rows = natural.select("*", runs.alias("run")).join(donors, ["run", "pos"])
+    return rows.withColumns({f: F.when(which == j, F.col("__val")).otherwise(F.col(f).cast("double"))
+                             for j, f in enumerate(features)}).drop("__val", "pos")
 
 
 def permutation_importance(model: Model, df: DataFrame, features: Sequence[str], row_id: str,
                            label: str, n_repeats: int = 10, seed: int = 42,
                            name: str = "model") -> DataFrame:
-    """(model, feature, importance_mean, importance_std) on the given rows."""
-    def mse(frame):
-        p = model.transform(assemble(frame, features))
-        return p.agg(F.avg((F.col(label) - F.col("prediction")) ** 2)).first()[0]
-    base = df.select(row_id, label, *features).cache()
-    base_mse = mse(base)
-    rows = []
-    for j, f in enumerate(features):
-        drops = []
-        for r in range(n_repeats):
-            shuffled = permute_column(base, row_id, f, seed + 1000 * j + r)
-            drops.append(mse(shuffled) - base_mse)
-        m = sum(drops) / len(drops)
-        sd = (sum((x - m) ** 2 for x in drops) / len(drops)) ** 0.5
-        rows.append((name, f, m, sd))
+    """(model, feature, importance_mean, importance_std) on the given rows.
+
+    All (feature, repeat) runs are scored in one job: mean squared error with the
+    permuted feature minus the plain one, mean and population std over repeats.
+    """
+    features = list(features)
+    base = df.select(row_id, label, *features).persist()
+    error = (F.col(label) - F.col("prediction")) ** 2
+    plain = model.transform(assemble(base, features)).agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("e")).first()
+    rows = permuted_rows(base, row_id, features, plain["n"], n_repeats, seed)
+    runs = model.transform(assemble(rows, features)).groupBy("run").agg(F.avg(error).alias("e")).collect()
     base.unpersist()
+    drops: dict = {}
+    for r in sorted(runs, key=lambda r: r["run"]):
+        drops.setdefault(features[r["run"] // n_repeats], []).append(r["e"] - plain["e"])
+    out = []
+    for f, v in drops.items():
+        m = sum(v) / len(v)
+        out.append((name, f, m, (sum((x - m) ** 2 for x in v) / len(v)) ** 0.5))
     return df.sparkSession.createDataFrame(
-        rows, "model string, feature string, importance_mean double, importance_std double")
+        out, "model string, feature string, importance_mean double, importance_std double")
 
 
 def linear_shap(model: Model, df: DataFrame, features: Sequence[str], name: str = "model",
@@ -133,17 +135,17 @@ def global_importance(per_model: DataFrame, value_col: str = "importance") -> Da
 
 
 def sampled_shap(model: Model, df: DataFrame, features: Sequence[str], row_id: str,
-                 name: str = "model", n_rows: int = 100, n_background: int = 100,
+                 name: str = "model", n_rows: int | None = None, n_background: int = 100,
                  n_samples: int = 20, seed: int = 42) -> DataFrame:
     """E4 (any model): Monte-Carlo Shapley values (Štrumbelj & Kononenko 2014).
 
     For an explained row x, feature j and sample m: a random feature order
     (seeded hash ranks) and a random background row z give two synthetic
     rows — features up to and including j in the order from x, the rest from z
-    (x+) and the same without j (x−); φ_j ≈ mean_m f(x+) − f(x−).  The
-    explained and background rows are seeded-hash samples (the sample sizes
-    are the operator's parameters, as in the reference); the synthetic rows
-    (n_rows · n_samples · d · 2) are scored by ``model.transform`` in one job.
+    (x+) and the same without j (x−); φ_j ≈ mean_m f(x+) − f(x−).  All rows
+    are explained unless ``n_rows`` asks for a seeded-hash sample; the background
+    is a sample of ``n_background`` rows; the synthetic rows
+    (rows · n_samples · d · 2) are scored by ``model.transform`` in one job.
     Importance = mean |φ_j| over explained rows, normalised to sum 1.
     """
     from pyspark.ml.functions import array_to_vector
@@ -151,7 +153,7 @@ def sampled_shap(model: Model, df: DataFrame, features: Sequence[str], row_id: s
     d = len(feats)
     vec = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats])
     keyed = df.select(F.col(row_id).alias("__rid"), vec.alias("__x"))
-    explained = keyed.orderBy(F.xxhash64("__rid", F.lit(seed)), "__rid").limit(n_rows)
+    explained = keyed if n_rows is None else keyed.orderBy(F.xxhash64("__rid", F.lit(seed)), "__rid").limit(n_rows)
     # The background sample has at most n_background rows: numbering it with
     # a window over that bounded sample is cheap.
     bg_order = F.xxhash64("__rid", F.lit(seed + 1))

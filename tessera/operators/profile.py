@@ -44,6 +44,11 @@ def _unpivot(df: DataFrame, cols: Sequence[str], value_type: str) -> DataFrame:
     return df.select(F.inline(pairs))
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN of every floating-point column as null: one kind of missing value."""
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
+
+
 def _chunked_agg(df: DataFrame, exprs: list, per_job: int = MAX_AGGS_PER_JOB) -> dict:
     """Run a long list of named aggregate expressions in bounded-size jobs."""
     out = {}

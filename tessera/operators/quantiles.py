@@ -5,16 +5,13 @@ unbounded for continuous values at scale and puts a hot group's whole value
 set in one task.  This operator is exact and bounded:
 
 1. one aggregation per group: ``count`` and ``approx_percentile`` at
-   ``p ± 2/accuracy`` — a rank bracket around the target ranks (the sketch's
-   rank error is at most n/accuracy);
-2. rows inside the bracket are counted per distinct value (partial
-   aggregation first), and rows below it are counted;
-3. the target ranks ``floor/ceil((n-1)p)`` are located by a cumulative sum over
-   the bracket's distinct values only (a few per group), and interpolated.
-
-If a bracket ever misses its rank (it should not), that (group, p) is retried
-with the full range, which is still exact.  When every group is small
-(≤ ``SMALL_GROUP`` values) one exact ``percentile`` aggregation is used instead.
+   ``p ± 2/accuracy`` — a first range around the target ranks;
+2. the rows are counted per bucket of every target's range (and below and
+   above it), combined before the shuffle; the bucket that holds the rank is
+   the next range, until it holds one value.  A rank that the sketch's range
+   missed lies in the bucket below or above, so no case needs a second way.
+
+One path for every size; a group's targets are at most ``BUCKETS`` rows at a time.
 """
 
 from __future__ import annotations
@@ -24,15 +21,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_ACCURACY = 10000
-# Groups this small are resolved by Spark's exact ``percentile`` in one
-# aggregation (its per-group buffer is then bounded by this many values).
-SMALL_GROUP = 100_000
+BUCKETS = 1024
+# A target table of up to this many rows (about 100 bytes each) is broadcast.
+BROADCAST_TARGETS = 200_000
 
 
-def _bracket_probs(p: float, accuracy: int) -> tuple[float, float]:
-    eps = 2.0 / accuracy
-    return max(0.0, p - eps), min(1.0, p + eps)
+def _bucket(v, lo, hi):
+    """Bucket of ``v`` in [lo, hi], its two ends alone in theirs; -1 below, ``BUCKETS`` above."""
+    share = F.try_divide(v / 4 - lo / 4, hi / 4 - lo / 4)
+    inner = F.when(F.isnan(share) | share.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+    return (F.when(v < lo, -1).when(v > hi, BUCKETS).when(v == lo, 0).when(v == hi, BUCKETS - 1)
+            .otherwise(1 + F.floor(inner * (BUCKETS - 3)).cast("int")))
 
 
 def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
@@ -42,7 +44,8 @@ def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
 
     Returns one row per group with ``n`` (non-null count) and one column per
     probability named ``{out_prefix}_{i}`` (i = position in ``probs``).  Nulls
-    are ignored; a group with no values gets null quantiles.
+    and NaN are ignored; a group with no values has no row, but without groups
+    there is always one row, with null quantiles if there are no values.
     """
     g = list(group_cols)
     single = not g
@@ -51,87 +54,53 @@ def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     if single:  # one global group: a constant key, and the target table is broadcast
         g = ["__grp"]
         base = base.withColumn("__grp", F.lit(0))
-    largest = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
-    if largest <= SMALL_GROUP:
-        exact = base.groupBy(*g).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias("__q"))
-        out = exact.select(*g, "n", *[F.col("__q")[i].alias(f"{out_prefix}_{i}") for i in range(len(probs))])
-        if single:
-            out = out.drop("__grp")
-            if largest == 0:  # keep one row for an empty input
-                out = base.sparkSession.createDataFrame(
-                    [(0,) + (None,) * len(probs)],
-                    "n long, " + ", ".join(f"{out_prefix}_{i} double" for i in range(len(probs))))
-        return out
-    brackets = []
-    for p in probs:
-        brackets.extend(_bracket_probs(p, accuracy))
+    eps = 2.0 / accuracy
+    near = [min(1.0, max(0.0, p + e)) for p in probs for e in (-eps, eps)]
     stats = base.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-        F.approx_percentile("__v", F.array(*[F.lit(b) for b in brackets]), accuracy).alias("__br"))
-    # One row per (group, p) with the target ranks and the bracket.
-    prow = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p"))
-                     for i, p in enumerate(probs)])
-    targets = (stats.withColumn("__pp", F.explode(prow))
-                    .select(*g, "__n", "__min", "__max", F.col("__pp.pi").alias("__pi"),
-                            F.col("__pp.p").alias("__p"), "__br")
-                    .withColumn("__h", (F.col("__n") - 1).cast("double") * F.col("__p"))
-                    .withColumn("__k0", F.floor("__h"))
-                    .withColumn("__k1", F.ceil("__h"))
-                    .withColumn("__lo", F.element_at("__br", (F.col("__pi") * 2 + 1).cast("int")))
-                    .withColumn("__hi", F.element_at("__br", (F.col("__pi") * 2 + 2).cast("int")))
-                    .drop("__br"))
-    # The resolved table is small (groups x probs); cache it to test for misses.
-    resolved = _resolve(base, targets, g, single).cache()
-    missed = resolved.where(F.col("__val").isNull() & (F.col("__n") > 0))
-    final = resolved
-    if missed.limit(1).count() > 0:
-        # Small inputs can put a rank just outside the sketch bracket: redo
-        # those (group, p) over the full [min, max] range, still exact.
-        full = (targets.join(missed.select(*g, "__pi"), on=g + ["__pi"], how="left_semi")
-                       .withColumn("__lo", F.col("__min")).withColumn("__hi", F.col("__max")))
-        retried = _resolve(base, full, g, single)
-        final = (resolved.where(F.col("__val").isNotNull() | (F.col("__n") == 0))
-                         .unionByName(retried))
-    wide = (final.groupBy(*g).pivot("__pi", list(range(len(probs))))
-                 .agg(F.first("__val")))
-    counts = stats.select(*g, F.col("__n").alias("n"))
-    wide = wide.select(*g, *[F.col(f"`{i}`").alias(f"{out_prefix}_{i}") for i in range(len(probs))])
-    out = counts.join(wide, on=g, how="left")
+        F.count(F.lit(1)).alias("n"),
+        F.approx_percentile("__v", F.array(*[F.lit(x) for x in near]), accuracy).alias("__br"))
+    rank = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probs]
+    wanted = F.array(*[F.struct(f(h).cast("long").alias("k"), F.get("__br", F.lit(2 * i)).alias("lo"),
+                                F.get("__br", F.lit(2 * i + 1)).alias("hi"))
+                       for i, h in enumerate(rank) for f in (F.floor, F.ceil)])
+    stats = cut_lineage(stats.select(*g, "n", F.explode(wanted).alias("t")).groupBy(*g, "n", "t.k").agg(
+        F.min("t.lo").alias("__lo"), F.max("t.hi").alias("__hi")))
+    targets = stats.select(*g, "k", "__lo", "__hi", F.lit(0).cast("long").alias("__below"), F.lit(None).cast("double").alias("__val"))
+    few = single or stats.count() <= BROADCAST_TARGETS
+    first = True
+    while True:
+        todo = targets.where(F.col("__val").isNull())
+        if not first and todo.isEmpty():
+            break
+        joined = base.join(F.broadcast(todo) if few else todo, g)
+        if not first:
+            joined = joined.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
+        first = False
+        keys = [*g, "k"]
+        counts = (joined.groupBy(*keys, "__below", _bucket(F.col("__v"), F.col("__lo"), F.col("__hi")).alias("__b"))
+                  .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__x"), F.max("__v").alias("__y")))
+        # At most BUCKETS + 2 rows per target.
+        along = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+        picked = (counts.withColumn("__end", F.col("__below") + F.sum("__c").over(along))
+                  .where((F.col("k") < F.col("__end")) & (F.col("k") >= F.col("__end") - F.col("__c"))))
+        new = picked.select(*keys, F.col("__x").alias("__lo"), F.col("__y").alias("__hi"),
+                            (F.col("__end") - F.col("__c")).alias("__below"),
+                            F.when(F.col("__x") == F.col("__y"), F.col("__x")).alias("__val"))
+        targets = cut_lineage(targets.where(F.col("__val").isNotNull()).unionByName(new))
+    found = stats.select(*g, "k", "n").join(targets.select(*g, "k", "__val"), [*g, "k"])
+    at = found.groupBy(*g, "n").agg(F.map_from_entries(F.collect_list(F.struct("k", "__val"))).alias("__m"))
+
+    def between(h):
+        low, high = (F.element_at("__m", f(h).cast("long")) for f in (F.floor, F.ceil))
+        return low + (h - F.floor(h)) * (high - low)
+    out = at.select(*g, "n", *[between(h).alias(f"{out_prefix}_{i}") for i, h in enumerate(rank)])
     if single:
-        out = out.drop("__grp")
+        empty = df.sparkSession.range(1).select(F.lit(0).alias("__grp"))
+        out = empty.join(out, "__grp", "left").select(
+            F.coalesce("n", F.lit(0)).cast("long").alias("n"), *[f"{out_prefix}_{i}" for i in range(len(probs))])
     return out
 
 
-def _resolve(base: DataFrame, targets: DataFrame, g: list[str], single: bool) -> DataFrame:
-    """Exact values at ranks k0/k1 inside each bracket, interpolated."""
-    t = targets.select(*g, "__pi", "__n", "__h", "__k0", "__k1", "__lo", "__hi")
-    # With a single group the target table has len(probs) rows: broadcast it so
-    # the constant key never funnels the data into one shuffle partition.
-    joined = base.join(F.broadcast(t) if single else t, on=g, how="inner")
-    below = (joined.groupBy(*g, "__pi")
-                   .agg(F.count_if(F.col("__v") < F.col("__lo")).alias("__below")))
-    inside = (joined.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-                    .groupBy(*g, "__pi", "__v").agg(F.count(F.lit(1)).alias("__c")))
-    w = Window.partitionBy(*g, "__pi").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (inside.join(below, on=g + ["__pi"])
-                 .withColumn("__end", F.col("__below") + F.sum("__c").over(w))
-                 .withColumn("__start", F.col("__end") - F.col("__c")))
-    cum = cum.join(t.select(*g, "__pi", "__k0", "__k1", "__h"), on=g + ["__pi"])
-
-    def at(k):
-        return F.min(F.when((F.col("__start") <= F.col(k)) & (F.col(k) < F.col("__end")),
-                            F.col("__v")))
-    picked = cum.groupBy(*g, "__pi", "__h", "__k0").agg(at("__k0").alias("__v0"),
-                                                         at("__k1").alias("__v1"))
-    val = F.col("__v0") + (F.col("__h") - F.col("__k0")) * (F.col("__v1") - F.col("__v0"))
-    out = t.select(*g, "__pi", "__n").join(
-        picked.select(*g, "__pi", val.alias("__val")), on=g + ["__pi"], how="left")
-    return out.select(*g, "__pi", "__n", "__val")
-
-
 def quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
               accuracy: int = DEFAULT_ACCURACY) -> list[float | None]:
     """Global exact quantiles of one column, returned to the driver (a few numbers)."""

@@ -21,8 +21,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PIVOT_CATEGORIES = 1000
-
 
 def _cols(c: str | Sequence[str]) -> list[str]:
     return [c] if isinstance(c, str) else list(c)
@@ -85,23 +83,27 @@ def safe_name(name: str) -> str:
     return str(name).replace("-", "_").replace(" ", "_").replace(".", "_")
 
 
-def distinct_categories(df: DataFrame, category_col: str,
-                        max_categories: int = MAX_PIVOT_CATEGORIES) -> list:
-    """Bounded fit: the sorted distinct category values (each becomes a column)."""
-    vals = (df.where(F.col(category_col).isNotNull()).select(category_col).distinct()
-              .limit(max_categories + 1).collect())
-    if len(vals) > max_categories:
-        raise ValueError(f"{category_col} has more than {max_categories} categories; "
-                         "a wide pivot would not fit in a schema")
+def distinct_categories(df: DataFrame, category_col: str) -> list:
+    """The sorted distinct category values (each becomes a column of the wide form)."""
+    vals = df.where(F.col(category_col).isNotNull()).select(category_col).distinct().collect()
     return sorted(v[0] for v in vals)
 
 
+def counts_long(df: DataFrame, entity_col: str, category_col: str, entities: DataFrame) -> DataFrame:
+    """The wide counts as rows (entity, category, n) for any number of categories, without the zeros of absent pairs."""
+    counts = df.where(F.col(category_col).isNotNull()).groupBy(entity_col, category_col).agg(F.count(F.lit(1)).alias("n"))
+    return (entities.select(entity_col).distinct().join(counts, entity_col, "left")
+            .withColumn("n", F.coalesce("n", F.lit(0))))
+
+
 def counts_wide(df: DataFrame, entity_col: str, category_col: str, categories: list,
                 prefix: str = "POI", suffix: str = "count",
                 entities: DataFrame | None = None) -> DataFrame:
     """Long → wide counts: one ``{prefix}_{category}_{suffix}`` column per category.
 
     One ``groupBy(entity).pivot(category, values)`` job replaces N left joins.
+    Spark limits a pivot to ``spark.sql.pivotMaxValues`` only when it looks for the
+    values itself; for more categories than a schema should have, ``counts_long``.
     With ``entities`` every entity is kept and missing counts are 0 (the
     entity × category grid without materialising it).
     """
@@ -109,7 +111,10 @@ def counts_wide(df: DataFrame, entity_col: str, category_col: str, categories: l
               .groupBy(entity_col)
               .pivot(category_col, categories)
               .agg(F.count(F.lit(1))))
-    names = {str(c): f"{prefix}_{safe_name(c)}_{suffix}" for c in categories}
+    names: dict = {}
+    for c in categories:  # categories that only differ in replaced characters get a number
+        name = f"{prefix}_{safe_name(c)}_{suffix}"
+        names[str(c)] = name if name not in names.values() else f"{name}_{sum(n.startswith(name) for n in names.values())}"
     wide = wide.select(entity_col, *[F.col(f"`{str(c)}`").alias(names[str(c)]) for c in categories])
     if entities is not None:
         wide = entities.select(entity_col).join(wide, on=entity_col, how="left")

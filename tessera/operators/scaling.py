@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.target import inverse_log_target, is_finite, log_shift_for_min, log_target
+from . import profile as P
 from .quantiles import quantiles
 
 
@@ -69,13 +70,14 @@ class StandardScalingModel:
 
 
 class StandardScaling:
-    """(x - mean) / population std, fitted on the rows given (train); std 0 → 1."""
+    """(x - mean) / population std, fitted on the rows given (train); std 0 → 1.  NaN is missing."""
 
     def fit(self, df: DataFrame, cols: Sequence[str]) -> StandardScalingModel:
+        df = P.nan_to_null(df)
         exprs = []
         for i, c in enumerate(cols):
             exprs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
-        row = df.agg(*exprs).first()
+        row = P._chunked_agg(df, exprs)
         means, scales = {}, {}
         for i, c in enumerate(cols):
             means[c] = float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0

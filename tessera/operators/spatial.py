@@ -5,9 +5,14 @@ Multi-level grid: a polygon with bounding-box extent e goes to the level L
 whose cell size ``s0 * 2**L`` is at least e, so it covers at most 2 × 2 cells
 there; a point is keyed once per level in use (a handful).  The equi-join on
 (level, cell) yields candidate pairs, the bounding box prunes them, and the
-exact even-odd ray-casting test decides: unrolled scalar expressions for
-polygons with few edges, numpy over Arrow batches for the rest.  Large polygons therefore cost 4 cells,
-not thousands, and AQE's skew-join splitting handles a crowded cell.
+exact even-odd ray-casting test decides, with numpy over Arrow batches.  Large
+polygons therefore cost 4 cells, not thousands, and AQE's skew-join splitting
+handles a crowded cell.
+
+Candidates carry the number of their polygon; the edges are broadcast in parts of
+a checked size, and a polygon table too large for one part is tested part by part
+in the same way.  Polygons without text or edges hold no point; polygons with the
+same id are polygons of their own; without polygons nothing is inside.
 """
 
 from __future__ import annotations
@@ -16,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 from ..functions.geometry import polygon_bbox, ring_edges, wkt_rings
 
 
@@ -38,62 +42,17 @@ def prepare_polygons(polys: DataFrame, id_col: str, wkt_col: str) -> DataFrame:
                             for c, k in zip(EDGE_COLS, ["x1", "y1", "x2", "y2"])})
 
 
-def _flat(col: pa.Array):
-    """Values and 0-based offsets of a (possibly sliced) list array."""
-    offs = col.offsets.to_numpy()
-    return col.flatten().to_numpy(zero_copy_only=False).astype(float), offs - offs[0]
+#: Edges that are broadcast at once (four doubles each).
+PART_EDGES = 4_000_000
 
 
-def _inside_batches(x_col: str, y_col: str):
-    """Even-odd test per row over Arrow batches (same rule as ``point_in_polygon``)."""
-    def run(batches):
-        for b in batches:
-            n = b.num_rows
-            px = b.column(x_col).to_numpy(zero_copy_only=False).astype(float)
-            py = b.column(y_col).to_numpy(zero_copy_only=False).astype(float)
-            x1, offs = _flat(b.column(EDGE_COLS[0]))
-            y1, _ = _flat(b.column(EDGE_COLS[1]))
-            x2, _ = _flat(b.column(EDGE_COLS[2]))
-            y2, _ = _flat(b.column(EDGE_COLS[3]))
-            row = np.repeat(np.arange(n), np.diff(offs))
-            inside = _even_odd(px, py, row, x1, y1, x2, y2, n)
-            yield b.append_column("__inside", pa.array(inside, type=pa.bool_()))
-    return run
-
-
-def exact_inside(cand: DataFrame, x_col: str, y_col: str) -> DataFrame:
-    """Keep candidate (point, polygon) rows whose point is strictly inside.
-
-    Spark's higher-order functions run interpreted, so the per-edge test is
-    done on Arrow batches with numpy (zero-copy list offsets) instead.
-    """
-    ship_package(cand.sparkSession)
-    schema = T.StructType(cand.schema.fields + [T.StructField("__inside", T.BooleanType())])
-    return (cand.mapInArrow(_inside_batches(x_col, y_col), schema)
-                .where(F.col("__inside")).drop("__inside"))
-
-
-MAX_BROADCAST_EDGES = 4_000_000
-
-
-def pack_polygons(prepared: DataFrame, poly_id: str, max_edges: int = MAX_BROADCAST_EDGES):
-    """Broadcast packed edge arrays when the polygon set is provably small.
-
-    One aggregation measures the total edge count; under the bound the edges
-    are collected once (ids, offsets, four coordinate arrays) and broadcast,
-    so candidate pairs only carry (x, y, polygon id).  Over the bound: None,
-    and the candidates carry their polygon's edges instead.
-    """
-    total = prepared.agg(F.sum(F.size(EDGE_COLS[0]))).first()[0] or 0
-    if total > max_edges:
-        return None
-    rows = prepared.select(poly_id, *EDGE_COLS).collect()
-    ids = [r[0] for r in rows]
-    counts = np.array([len(r[1]) for r in rows], dtype=np.int64)
-    offs = np.concatenate([[0], np.cumsum(counts)])
-    coords = [np.array([v for r in rows for v in r[k + 1]], dtype=float) for k in range(4)]
-    sc = prepared.sparkSession.sparkContext
-    return sc.broadcast((ids, offs, coords))
+def pack_polygons(prepared: DataFrame):
+    """Broadcast numbers, offsets and edge coordinates of one bounded part of the polygons."""
+    t = prepared.select("__pid", *EDGE_COLS).orderBy("__pid").toArrow().combine_chunks()
+    lists = [t.column(c).combine_chunks() for c in EDGE_COLS]
+    offs = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    coords = [x.flatten().to_numpy(zero_copy_only=False).astype(float) for x in lists]
+    return prepared.sparkSession.sparkContext.broadcast((t.column("__pid").to_numpy(), offs, coords))
 
 
 def _even_odd(px, py, row, x1, y1, x2, y2, n):
@@ -111,21 +70,18 @@ def _even_odd(px, py, row, x1, y1, x2, y2, n):
     return (n_cross.astype(np.int64) % 2 == 1) & (n_edge == 0)
 
 
-def exact_inside_packed(cand: DataFrame, x_col: str, y_col: str, poly_id: str, packed) -> DataFrame:
-    """Exact test with the broadcast polygon table: candidates carry only ids."""
-    import pandas as pd
-
+def exact_inside(cand: DataFrame, x_col: str, y_col: str, packed) -> DataFrame:
+    """Candidate rows whose point is strictly inside their polygon (``__pid``)."""
     def run(batches):
-        ids, offs, (cx1, cy1, cx2, cy2) = packed.value
-        index = pd.Index(ids)
+        numbers, offs, (cx1, cy1, cx2, cy2) = packed.value
         for b in batches:
             n = b.num_rows
             px = b.column(x_col).to_numpy(zero_copy_only=False).astype(float)
             py = b.column(y_col).to_numpy(zero_copy_only=False).astype(float)
-            pos = index.get_indexer(b.column(poly_id).to_pandas())
+            pos = np.searchsorted(numbers, b.column("__pid").to_numpy(zero_copy_only=False))
             start, cnt = offs[pos], offs[pos + 1] - offs[pos]
             row = np.repeat(np.arange(n), cnt)
-            first = np.repeat(start - np.concatenate([[0], np.cumsum(cnt)[:-1]]), cnt)
+            first = np.repeat(start - np.concatenate([[0], np.cumsum(cnt)[:-1]]), cnt) if n else start
             e = first + np.arange(len(row))
             inside = _even_odd(px, py, row, cx1[e], cy1[e], cx2[e], cy2[e], n)
             yield b.filter(pa.array(inside, type=pa.bool_()))
@@ -155,29 +111,37 @@ def _polygon_cells(prepared: DataFrame, s0: float) -> DataFrame:
 def points_in_polygons(points: DataFrame, x_col: str, y_col: str, polys: DataFrame,
                        poly_id: str, wkt_col: str, s0: float | None = None) -> DataFrame:
     """All (point row, polygon id) pairs with the point strictly inside the polygon."""
-    prepared = prepare_polygons(polys, poly_id, wkt_col)
-    s0 = s0 or base_cell_size(prepared)
-    packed = pack_polygons(prepared, poly_id)
-    cells = _polygon_cells(prepared, s0)
-    if packed is not None:  # edges travel by broadcast, not through the join
-        cells = cells.drop("edges", *EDGE_COLS)
-    levels = sorted(r[0] for r in cells.select("__lvl").distinct().collect())
-    keyed = points.where(F.col(x_col).isNotNull() & F.col(y_col).isNotNull()).withColumn(
-        "__pk", F.explode(F.array(*[
-            F.struct(F.lit(L).alias("l"),
-                     F.floor(F.col(x_col) / F.lit(s0 * 2.0 ** L)).alias("cx"),
-                     F.floor(F.col(y_col) / F.lit(s0 * 2.0 ** L)).alias("cy"))
-            for L in levels])))
-    keyed = (keyed.withColumn("__lvl", F.col("__pk.l")).withColumn("__cx", F.col("__pk.cx"))
-                  .withColumn("__cy", F.col("__pk.cy")).drop("__pk"))
+    prepared = prepare_polygons(polys.where(F.col(wkt_col).isNotNull()), poly_id, wkt_col)
+    # Written once: the numbers given here stay when a later task is run again.
+    prepared = cut_lineage(prepared.where(F.size(EDGE_COLS[0]) > 0).withColumn("__pid", F.monotonically_increasing_id()))
+    total = prepared.agg(F.sum(F.size(EDGE_COLS[0]))).first()[0] or 0
     px, py = F.col(x_col), F.col(y_col)
-    cand = keyed.join(cells, on=["__lvl", "__cx", "__cy"], how="inner")
-    in_box = cand.where((px > F.col("bbox.minx")) & (px < F.col("bbox.maxx"))
-                        & (py > F.col("bbox.miny")) & (py < F.col("bbox.maxy")))
-    in_box = in_box.drop("__lvl", "__cx", "__cy", "edges", "bbox")
-    if packed is not None:
-        return exact_inside_packed(in_box.drop(*EDGE_COLS), x_col, y_col, poly_id, packed)
-    return exact_inside(in_box, x_col, y_col).drop(*EDGE_COLS)
+    real = points.where(px.isNotNull() & py.isNotNull() & ~F.isnan(px.cast("double")) & ~F.isnan(py.cast("double")))
+    if not total:
+        return real.join(prepared.select(poly_id), F.lit(False), "inner")
+    s0 = s0 or base_cell_size(prepared)
+    parts = -(-total // PART_EDGES)
+    out = None
+    for part in range(parts):
+        mine = prepared.where(F.pmod(F.xxhash64("__pid"), F.lit(parts)) == part) if parts > 1 else prepared
+        cells = _polygon_cells(mine, s0).drop("edges", *EDGE_COLS)
+        levels = sorted(r[0] for r in cells.select("__lvl").distinct().collect())
+        if not levels:
+            continue
+        keyed = real.withColumn(
+            "__pk", F.explode(F.array(*[
+                F.struct(F.lit(L).alias("l"),
+                         F.floor(px / F.lit(s0 * 2.0 ** L)).alias("cx"),
+                         F.floor(py / F.lit(s0 * 2.0 ** L)).alias("cy"))
+                for L in levels])))
+        keyed = (keyed.withColumn("__lvl", F.col("__pk.l")).withColumn("__cx", F.col("__pk.cx"))
+                      .withColumn("__cy", F.col("__pk.cy")).drop("__pk"))
+        cand = keyed.join(cells, on=["__lvl", "__cx", "__cy"], how="inner")
+        in_box = cand.where((px > F.col("bbox.minx")) & (px < F.col("bbox.maxx"))
+                            & (py > F.col("bbox.miny")) & (py < F.col("bbox.maxy"))).drop("__lvl", "__cx", "__cy", "bbox")
+        hits = exact_inside(in_box, x_col, y_col, pack_polygons(mine)).drop("__pid")
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def category_counts_in_polygons(points: DataFrame, x_col: str, y_col: str, category_col: str,

@@ -2,15 +2,17 @@
 
 The reference splits a sorted table by row position.  A global
 ``row_number()`` would pull every row into one task, so instead we find the
-*boundary rows* — the rows at positions ``b`` of the ordering — with exact
-order statistics (``kth_values``) and assign each row by a lexicographic
-comparison with those boundaries, a pure column expression (no shuffle).
-
-``kth_values`` brackets the wanted ranks with ``approx_percentile``, counts
-the rows below each bracket, and resolves the exact value from the distinct
-values inside the bracket (bounded, a few per boundary); brackets that are
-still large are refined recursively.  Ordering keys must be unique in their
-last column (the tie-break) for positions to be well defined (Q14).
+*boundary rows* — the rows at positions ``b`` of the ordering — and assign each
+row by a lexicographic comparison with those boundaries, a pure column
+expression (no shuffle).
+
+Boundaries come from bucket histograms: one job counts the rows of every bucket
+of the current value ranges of *all* boundaries together; the bucket that holds
+a boundary's rank becomes its next range, until the range holds one value.  A
+range of a few months ends after one job, a 64-bit hash order of any number of
+rows after three.  What reaches the driver is at most ``BUCKETS`` counts per
+boundary.  Ordering keys must be unique in their last column (the tie-break)
+for positions to be well defined (Q14).
 """
 
 from __future__ import annotations
@@ -21,104 +23,99 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, NumericType, ShortType, StringType
 
-ACCURACY = 10000
-MAX_COLLECT = 50000
-MAX_DEPTH = 4
-
-
-def _resolve_small(df: DataFrame, col: str, ks: list[int], below: int) -> dict:
-    """Exact values at ranks ``ks`` from the distinct values of a small range."""
-    vals = df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(col).collect()
-    out, cum, i = {}, below, 0
-    for k in sorted(ks):
-        while i < len(vals) and cum + vals[i]["n"] <= k:
-            cum += vals[i]["n"]
-            i += 1
-        if i < len(vals):
-            out[k] = (vals[i][col], cum)
-    return out
+BUCKETS = 4096
+_CHUNK = 6  # bytes of a string that one 48-bit key holds
 
 
-def kth_values(df: DataFrame, col: str, ks: Sequence[int], lo=None, hi=None, below: int = 0,
-               depth: int = 0, widen: float = 1.0) -> dict:
-    """Exact order statistics of a non-null column: ``{k: (value, n_below_value)}``.
+def order_keys(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """Numeric expressions whose lexicographic order is that of ``cols``.
 
-    ``k`` are 0-based ranks in ascending order of ``col``; ``n_below_value`` is
-    the number of rows strictly below the returned value.  Each level costs
-    two small aggregation jobs; the data reaching the driver is bounded by
-    ``MAX_COLLECT`` distinct values.
+    Integers and floating-point numbers stand for themselves, dates and
+    timestamps for their microseconds, strings for their bytes, six at a time.
     """
-    ks = sorted(set(int(k) for k in ks))
-    if not ks:
-        return {}
-    sub = df.select(col).where(F.col(col).isNotNull())
-    if lo is not None:
-        sub = sub.where((F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi)))
-    eps = 2.0 * widen / ACCURACY
-    m = sub.agg(F.count(F.lit(1)).alias("m")).first()["m"]
-    if m <= MAX_COLLECT or depth >= MAX_DEPTH:
-        return _resolve_small(sub, col, ks, below)
-    probs = []
-    for k in ks:
-        p = (k - below + 0.5) / m
-        probs += [min(1.0, max(0.0, p - eps)), min(1.0, max(0.0, p + eps))]
-    br = sub.agg(F.approx_percentile(col, F.array(*[F.lit(p) for p in probs]), ACCURACY)).first()[0]
-    exprs = []
-    for i, _ in enumerate(ks):
-        a, b = br[2 * i], br[2 * i + 1]
-        exprs += [F.count_if(F.col(col) < F.lit(a)).alias(f"b{i}"),
-                  F.count_if((F.col(col) >= F.lit(a)) & (F.col(col) <= F.lit(b))).alias(f"i{i}")]
-    cnt = sub.agg(*exprs).first()
-    out = {}
-    for i, k in enumerate(ks):
-        a, b = br[2 * i], br[2 * i + 1]
-        nb = below + cnt[f"b{i}"]
-        if nb <= k < nb + cnt[f"i{i}"]:
-            out.update(kth_values(df, col, [k], a, b, nb, depth + 1))
+    out = []
+    for c in cols:
+        t = df.schema[c].dataType
+        if isinstance(t, (ByteType, ShortType, IntegerType, LongType)):
+            out.append(F.col(c).cast("long"))
+        elif isinstance(t, NumericType):
+            out.append(F.col(c).cast("double"))
+        elif isinstance(t, StringType):
+            raw = F.encode(F.col(c), "UTF-8")
+            longest = df.agg(F.max(F.octet_length(c))).first()[0] or 0
+            out += [F.conv(F.rpad(F.hex(F.substring(raw, 1 + i, _CHUNK)), 2 * _CHUNK, "0"), 16, 10).cast("long")
+                    for i in range(0, max(1, longest), _CHUNK)]
         else:
-            # The sketch bracket missed the rank: retry this level, wider.
-            out.update(kth_values(df, col, [k], lo, hi, below, depth + 1, widen * 8))
+            out.append(F.unix_micros(F.col(c).cast("timestamp")))
     return out
 
 
-def boundaries(df: DataFrame, cols: Sequence[str], positions: Sequence[int]) -> dict:
-    """For each 0-based position, the ordering tuple of the row at that position.
+def _bucket(v: Column, lo, hi) -> Column:
+    """A bucket number that never falls when ``v`` grows; ``lo <= v <= hi``."""
+    if isinstance(lo, int) and hi - lo < 2 ** 62:
+        width = (hi - lo) // BUCKETS + 1
+        return F.floor((v - F.lit(lo)) / F.lit(float(width)))
+    span = float(hi) / BUCKETS - float(lo) / BUCKETS
+    return F.floor((v.cast("double") - F.lit(float(lo))) / F.lit(span)).cast("long")
 
-    Lexicographic: the first column's value at the rank, then the rank within
-    that value's rows on the next column, and so on.
-    """
+
+def boundaries(df: DataFrame, keys: Sequence[Column], positions: Sequence[int]) -> dict:
+    """For each 0-based position, the ordering tuple of the row at that position (all positions at once)."""
+    todo = {int(p): [(), int(p), None] for p in positions}
+    if not todo:
+        return {}
+    rows = df.select(*[k.alias(f"k{j}") for j, k in enumerate(keys)])
+    ends = rows.agg(*[f(f"k{j}").alias(f"{n}{j}") for j in range(len(keys)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     out = {}
-    for pos in positions:
-        sub, k, tup = df, pos, []
-        for j, c in enumerate(cols):
-            (v, nb) = kth_values(sub, c, [k])[k]
-            tup.append(v)
-            k -= nb
-            sub = sub.where(F.col(c) == F.lit(v))
-        out[pos] = tuple(tup)
+    while todo:
+        ranges = sorted({(prefix, r or (ends[f"lo{len(prefix)}"], ends[f"hi{len(prefix)}"]))
+                         for prefix, _, r in todo.values()})
+        part, bucket = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for i, (prefix, (lo, hi)) in enumerate(ranges):
+            v = F.col(f"k{len(prefix)}")
+            inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+            for j, x in enumerate(prefix):
+                inside = inside & (F.col(f"k{j}") == F.lit(x))
+            part = F.when(inside, F.lit(i)).otherwise(part)
+            bucket = F.when(inside, F.lit(0).cast("long") if lo == hi else _bucket(v, lo, hi).cast("long")).otherwise(bucket)
+        value = [f"k{j}" for j in sorted({len(p) for p, _ in ranges})]
+        counted = (rows.select(part.alias("part"), bucket.alias("bucket"), *value).where(F.col("part").isNotNull())
+                   .groupBy("part", "bucket")
+                   .agg(F.count(F.lit(1)).alias("n"), *[f(v).alias(f"{m}_{v}") for v in value
+                                                        for m, f in (("lo", F.min), ("hi", F.max))]).collect())
+        by_part: dict = {}
+        for r in sorted(counted, key=lambda r: (r["part"], r["bucket"])):
+            by_part.setdefault(ranges[r["part"]], []).append(r)
+        for p, (prefix, k, r) in list(todo.items()):
+            j = len(prefix)
+            for b in by_part[prefix, r or (ends[f"lo{j}"], ends[f"hi{j}"])]:
+                if k < b["n"]:
+                    break
+                k -= b["n"]
+            lo, hi = b[f"lo_k{j}"], b[f"hi_k{j}"]
+            todo[p] = [(*prefix, lo), k, None] if lo == hi else [prefix, k, (lo, hi)]
+            if len(todo[p][0]) == len(keys):
+                out[p] = todo.pop(p)[0]
     return out
 
 
-def before(cols: Sequence[str], tup: tuple) -> Column:
+def before(keys: Sequence[Column], tup: tuple) -> Column:
     """Row ordering tuple < ``tup`` (lexicographic)."""
     expr = None
-    for j in range(len(cols) - 1, -1, -1):
-        lt = F.col(cols[j]) < F.lit(tup[j])
-        expr = lt if expr is None else (lt | ((F.col(cols[j]) == F.lit(tup[j])) & expr))
+    for k, x in list(zip(keys, tup))[::-1]:
+        lt = k < F.lit(x)
+        expr = lt if expr is None else (lt | ((k == F.lit(x)) & expr))
     return expr
 
 
-def assign_blocks(df: DataFrame, cols: Sequence[str], positions: Sequence[int],
-                  out_col: str = "block") -> DataFrame:
-    """Block index = how many of ``positions`` lie at or before the row's position."""
-    n = df.count()
-    pos = sorted(p for p in positions if 0 <= p < n)
-    bnd = boundaries(df, cols, pos)
+def block_index(keys: Sequence[Column], bounds: dict) -> Column:
+    """How many of the boundary positions lie at or before the row's position."""
     expr = F.lit(0)
-    for p in pos:
-        expr = expr + F.when(before(cols, bnd[p]), F.lit(0)).otherwise(F.lit(1))
-    return df.withColumn(out_col, expr)
+    for p in sorted(bounds):
+        expr = expr + F.when(before(keys, bounds[p]), F.lit(0)).otherwise(F.lit(1))
+    return expr
 
 
 # --------------------------------------------------------------------------- W1/W2
@@ -150,7 +147,7 @@ def temporal_split(df: DataFrame, year: str, month: str, tiebreak: str,
     keyed = df.withColumn("__tk", temporal_key(year, month))
     n = keyed.count()
     s = temporal_sizes(n, test_size, val_size)
-    cols = ["__tk", tiebreak]
+    cols = order_keys(keyed, ["__tk", tiebreak])
     pos = [p for p in (s.train, s.train + s.val) if p < n]
     bnd = boundaries(keyed, cols, pos)
     expr = F.lit("test")
@@ -186,7 +183,7 @@ def random_split(df: DataFrame, key: str, seed: int = 42, test_size: float = 0.1
     ordered = df.withColumn("__ro", order if order is not None else random_order(key, seed))
     n = ordered.count()
     s = random_sizes(n, test_size, val_size)
-    cols = ["__ro", key]
+    cols = order_keys(ordered, ["__ro", key])
     b = [s.test, s.test + s.val]
     pos = [p for p in b if p < n]
     bnd = boundaries(ordered, cols, pos)
@@ -202,16 +199,22 @@ def random_split(df: DataFrame, key: str, seed: int = 42, test_size: float = 0.1
 
 # --------------------------------------------------------------------------- W4
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, order: Column | None = None,
-          fold_col: str = "fold") -> DataFrame:
-    """Shuffled K-fold: the first n mod k folds have one more row (positions in hash order)."""
+          fold_col: str = "fold", rows: Column | None = None) -> DataFrame:
+    """Shuffled K-fold: the first n mod k folds have one more row (positions in hash order).
+
+    With ``rows`` only the rows for which it is true have folds; the others get null.
+    """
     ordered = df.withColumn("__ro", order if order is not None else random_order(key, seed))
-    n = ordered.count()
+    keys = order_keys(ordered, ["__ro", key])
+    folded = ordered if rows is None else ordered.where(rows)
+    n = folded.count()
     sizes = [n // k + (1 if i < n % k else 0) for i in range(k)]
     starts, acc = [], 0
     for sz in sizes[:-1]:
         acc += sz
         starts.append(acc)
-    return assign_blocks(ordered, ["__ro", key], starts, fold_col).drop("__ro")
+    block = block_index(keys, boundaries(folded, keys, [p for p in starts if p < n]))
+    return ordered.withColumn(fold_col, block if rows is None else F.when(rows, block)).drop("__ro")
 
 
 def timeseries_blocks(df: DataFrame, order_cols: Sequence[str], k: int = 5,
@@ -223,7 +226,8 @@ def timeseries_blocks(df: DataFrame, order_cols: Sequence[str], k: int = 5,
     n = df.count()
     s = n // (k + 1)
     starts = [n - (k - i) * s for i in range(k)]
-    return assign_blocks(df, list(order_cols), starts, block_col)
+    keys = order_keys(df, order_cols)
+    return df.withColumn(block_col, block_index(keys, boundaries(df, keys, [p for p in starts if 0 <= p < n])))
 
 
 def fold_table(df: DataFrame, block_col: str = "block", k: int = 5) -> DataFrame:

@@ -1,10 +1,12 @@
 """C11: the 13-step preparation flow as one lazy DataFrame chain.
 
 Every step is a fit (one aggregation job; a few names or numbers reach the
-driver) followed by a lazy transform.  The table is persisted twice — after
-cleaning and after the split — because several fits read it.  The result is
-one table ``(row_id, split, features..., target, target_original)``: features
-and target are never separated (Q17).
+driver) followed by a lazy transform.  The table is persisted after cleaning,
+after the split and after encoding, because several fits read it.  The result
+is one table ``(row_id, split, features..., target, target_original)``: features
+and target are never separated (Q17).  Year and month stay features.  No feature
+is null on any split: labels that the fit has not seen get the code -1, every
+column has a fill, and the flow ends with a check.
 
 ``fit_scope='train'`` fits imputation, correlation pruning and encoders on
 the training rows only; ``'all'`` reproduces the reference's pre-split fits
@@ -53,7 +55,7 @@ class PrepConfig:
     iqr_multiplier: float = 1.5
     contamination: float = 0.1
     min_methods: int = 2
-    outlier_features: bool = False            # add the isolation forest vote
+    outlier_features: bool = True             # the isolation forest votes on the scaled features
     scale: bool = True
     pca: bool = False
     pca_variance: float = 0.95
@@ -114,12 +116,13 @@ def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
         if onehot:
             out = E.OneHot().fit(fit_rows, onehot).transform(out)
         if label:
-            out = E.LabelEncoding().fit(fit_rows, label).transform(out)
+            out = E.LabelEncoding(unseen=-1).fit(fit_rows, label).transform(out)
         info["encoding"] = routes
     fit_rows = out.where(F.col("split") == "train") if cfg.fit_scope == "train" else out
     lap("encoding")
-    # 6. imputation
-    imp = E.Imputer().fit(fit_rows.select(*[c for c in out.columns if c not in target_cols]), target=t)
+    # 6. imputation (C8): a fill for every column, so rows outside the fit are covered too
+    no_fill = [*target_cols, cfg.row_id, "split"]
+    imp = E.Imputer(every=True).fit(fit_rows.select(*[c for c in out.columns if c not in no_fill]), target=t)
     out = imp.transform(out)
     info["imputation"] = {"fills": imp.fills, "dropped": imp.dropped}
     lap("imputation")
@@ -132,41 +135,38 @@ def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
         info["correlation_removal"] = pr.dropped
     lap("correlation")
     # 9. target encoding after the split: cross-fitted on train, full-train on val/test
-    for c in target_cols:
-        train = out.where(F.col("split") == "train")
-        folded = S.kfold(train, cfg.row_id, 5, cfg.seed)
-        te = E.TargetEncoding()
-        enc_train = te.fit_transform_crossfit(folded, c, t, "fold").drop("fold")
-        enc_rest = te.fit(train, c, t).transform(out.where(F.col("split") != "train"))
-        out = enc_train.unionByName(enc_rest.select(*enc_train.columns))
+    if target_cols:
+        out = S.kfold(out, cfg.row_id, 5, cfg.seed, rows=F.col("split") == "train")
+        out = E.TargetEncoding().encode_split(out, target_cols, t, "fold").drop("fold")
+    encoded = out = out.persist()
     lap("target_encoding")
+    # 10. scaling fitted on train, before outliers are looked for
+    feats = P.numeric_columns(out, [cfg.row_id, t])
+    train = out.where(F.col("split") == "train")
+    if cfg.scale and feats:
+        out = StandardScaling().fit(train, feats).transform(out)
+    lap("scaling")
     # 11a. target log (fitted on train; shift stored and used for val/test too, Q2/Q3)
     if cfg.log_target:
-        lt = LogTarget().fit(out.where(F.col("split") == "train"), t)
+        lt = LogTarget().fit(train, t)
         out = lt.transform(out, "__tlog").withColumnRenamed(t, f"{t}_original") \
                 .withColumnRenamed("__tlog", t)
         info["log_target"] = {"shift": lt.shift, "median_log": lt.median_log}
     lap("log_target")
-    # 11b. outliers removed from the training rows only
+    # 11b. outliers (on the log target and the scaled features) leave the training rows only
     if cfg.outliers:
         train = out.where(F.col("split") == "train")
-        feats = P.numeric_columns(train, protected + [f"{t}_original"]) if cfg.outlier_features else None
+        votes = feats if cfg.outlier_features else None
         if cfg.outlier_strategy == "category" and cfg.outlier_category:
-            flags = O.detect_outliers_by_category(train, t, cfg.outlier_category, [cfg.row_id], feats,
+            flags = O.detect_outliers_by_category(train, t, cfg.outlier_category, [cfg.row_id], votes,
                                                   cfg.z_threshold, cfg.iqr_multiplier, cfg.contamination,
                                                   cfg.min_methods, log_target=False)
         else:
-            flags = O.detect_outliers(train, t, [cfg.row_id], feats, cfg.z_threshold,
+            flags = O.detect_outliers(train, t, [cfg.row_id], votes, cfg.z_threshold,
                                       cfg.iqr_multiplier, cfg.contamination, cfg.min_methods)
         drop = flags.where(F.col("is_outlier")).select(cfg.row_id)
         out = out.join(drop, cfg.row_id, "left_anti")
     lap("outliers")
-    # 10. scaling fitted on train
-    feats = [c for c in P.numeric_columns(out, protected + [f"{t}_original"])]
-    if cfg.scale and feats:
-        sc = StandardScaling().fit(out.where(F.col("split") == "train"), feats)
-        out = sc.transform(out)
-    lap("scaling")
     # 12. PCA (optional)
     if cfg.pca and feats:
         pca = PCAReduction(cfg.pca_variance).fit(out.where(F.col("split") == "train"), feats)
@@ -177,8 +177,12 @@ def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
     # directory, so later multi-pass training reads it instead of replaying
     # every fit, and executor loss does not recompute the whole chain.
     out = cut_lineage(out)
-    cleaned.unpersist()
-    split_table.unpersist()
+    for table in (cleaned, split_table, encoded):
+        table.unpersist()
+    left = [c for c in out.columns if c not in (cfg.row_id, "split", t, f"{t}_original")]
+    empty = P.null_census(out, left).where("n_missing > 0").collect() if left else []
+    if empty:
+        raise ValueError(f"features with missing values after preparation: {[r['column'] for r in empty]}")
     lap("checkpoint")
     info["columns"] = out.columns
     return out, info

@@ -57,7 +57,7 @@ def q_training_report(spark, d):
     prepared, info = prepare(raw_dataset(spark, d), _config())
     prepared = prepared.cache()
     feats = [c for c, t in prepared.dtypes if t in ("double", "int", "bigint", "boolean")
-             and c not in ("o_orderkey", "o_totalprice", "o_totalprice_original", "yr")]
+             and c not in ("o_orderkey", "o_totalprice", "o_totalprice_original")]
     prepared = prepared.select("o_orderkey", "split", "o_totalprice", "o_totalprice_original",
                                *[F.col(c).cast("double").alias(c) for c in feats])
     small = {"RandomForest": {"numTrees": ("int", 10, 30, 10), "maxDepth": ("int", 4, 8, 1)},

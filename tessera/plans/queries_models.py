@@ -187,10 +187,10 @@ def q_feature_importance(spark, d):
 
 @query("permutation_importance", "E3")
 def q_permutation_importance(spark, d):
-    """MSE increase when each feature is shuffled (3 seeded repeats) on the test rows."""
+    """MSE increase when each feature is shuffled (10 seeded repeats) on the test rows."""
     data, ols = _ols_model(spark, d)
     test = training_table(spark, d).where(F.col("split") == "test")
-    return I.permutation_importance(ols, test, FEATS, "row_id", "label", n_repeats=3,
+    return I.permutation_importance(ols, test, FEATS, "row_id", "label", n_repeats=10,
                                     name="Baseline_LinearRegression")
 
 
@@ -211,7 +211,7 @@ def q_importance_compare(spark, d):
     test = tt.where(F.col("split") == "test")
     basic = I.basic_importance(ols, FEATS, "ols", spark)
     shap = I.linear_shap(ols, test, FEATS, "ols", background=tt.where(F.col("split") == "train"))
-    perm = I.permutation_importance(ols, test, FEATS, "row_id", "label", n_repeats=2, name="ols")
+    perm = I.permutation_importance(ols, test, FEATS, "row_id", "label", name="ols")
     return I.compare_methods(basic, shap, perm)
 
 
@@ -231,13 +231,13 @@ def q_global_importance(spark, d):
 
 @query("sampled_shap", "E4")
 def q_sampled_shap(spark, d):
-    """Monte-Carlo Shapley importance of a depth-8 decision tree: 100 sampled
-    test rows explained against 100 sampled training rows, 20 permutations."""
+    """Monte-Carlo Shapley importance of a depth-8 decision tree over all test
+    rows, against a background of 100 of them, 20 permutations."""
     data = _data(spark, d)
     tree = ML.make_estimator("DecisionTree", {"maxDepth": 8}, "label").fit(data.where(F.col("split") == "train"))
     tt = training_table(spark, d)
     return I.sampled_shap(tree, tt.where(F.col("split") == "test"), FEATS, "row_id",
-                          "Baseline_DecisionTree", n_rows=100, n_background=100, n_samples=20)
+                          "Baseline_DecisionTree", n_background=100, n_samples=20)
 
 
 @query("timeseries_cv", "W4,M7,A16")

@@ -68,11 +68,31 @@ def test_ols_and_metrics_match_numpy(spark):
     assert m.r2 == pytest.approx(1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2), rel=1e-6)
 
 
-def test_permutation_keeps_values(spark):
-    df = spark.createDataFrame([(i, float(i * i)) for i in range(300)], "row_id int, v double")
-    out = I.permute_column(df, "row_id", "v", 5).toPandas()
-    assert sorted(out.v) == sorted(float(i * i) for i in range(300))
-    assert (out.sort_values("row_id").v.values != np.array([i * i for i in range(300)])).sum() > 250
+def test_permuted_rows_keep_every_value_once(spark):
+    df = spark.createDataFrame([(i, float(i * i), float(-i)) for i in range(300)], "row_id int, v double, w double").repartition(5)
+    out = I.permuted_rows(df, "row_id", ["v", "w"], 300, 2, seed=5).toPandas()
+    assert len(out) == 1200
+    for run, part in out.groupby("run"):
+        moved, kept = ("v", "w") if run < 2 else ("w", "v")
+        want = {"v": [float(i * i) for i in range(300)], "w": [float(-i) for i in range(300)]}
+        part = part.sort_values("row_id")
+        assert sorted(part[moved]) == sorted(want[moved]) and list(part[kept]) == want[kept]
+        assert (part[moved].values != np.array(want[moved])).sum() > 250
+
+
+def test_permutation_importance_of_a_linear_model(spark):
+    """MSE grows by 2 b^2 var(x) when an independent feature of a linear model is shuffled; in few jobs."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (2000, 2)) * np.array([1.0, 2.0])
+    y = x @ np.array([3.0, 0.5])
+    df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(2000)], "row_id int, a double, b double, label double")
+    model = ML.baseline_estimators(2000, float(y.std()), "label")["Baseline_LinearRegression"].fit(ML.assemble(df, ["a", "b"]))
+    spark.sparkContext.setJobGroup("permute", "permutation importance")
+    got = {r.feature: r.importance_mean for r in I.permutation_importance(model, df, ["a", "b"], "row_id", "label").collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("permute"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == pytest.approx({"a": 2 * 9 * x[:, 0].var(), "b": 2 * 0.25 * x[:, 1].var()}, rel=0.08)
+    assert jobs <= 25  # an adaptive query runs one job for each shuffle
 
 
 def test_pca_matches_numpy(spark):

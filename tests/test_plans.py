@@ -6,13 +6,10 @@ import pytest
 
 from tessera.plans.registry import all_queries
 
-# (Small fit results built on the driver with createDataFrame appear as an
-# ExistingRDD scan of a few rows; that is not a Python compute node.)
 PYTHON_NODES = ["BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow",
                 "FlatMapGroupsInPandas", "PythonMapInArrow"]
-# Operators that run Python in Arrow-batched tasks (or number rows through an
-# RDD zipWithIndex) by design.
-PYTHON_ALLOWED = {"point_in_polygon_counts", "inside_any_zone", "label_encode",
+# Operators that run Python in Arrow-batched tasks by design.
+PYTHON_ALLOWED = {"point_in_polygon_counts", "inside_any_zone",
                   "isolation_forest", "outliers_vote_forest", "outliers_by_category_forest",
                   "permutation_importance", "importance_compare", "prepared_dataset",
                   "training_report"}

@@ -17,7 +17,7 @@ def test_temporal_sizes_golden(n, train, val, test):
 
 
 def test_temporal_split_exact_and_ordered(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_COLLECT", 300)
+    monkeypatch.setattr(S, "BUCKETS", 8)
     rng = np.random.default_rng(3)
     n = 5000
     # one month holds a third of the rows (a hot key)
@@ -33,6 +33,35 @@ def test_temporal_split_exact_and_ordered(spark, monkeypatch):
     assert key[out.split == "val"].max() < key[out.split == "test"].min()
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "string", "date"])
+def test_boundaries_match_a_sort(spark, monkeypatch, kind):
+    monkeypatch.setattr(S, "BUCKETS", 5)
+    rng = np.random.default_rng(7)
+    raw = [int(x) for x in np.concatenate([rng.integers(-2**62, 2**62, 60), rng.integers(0, 9, 60), [0] * 40])]
+    cast = {"long": "k", "double": "cast(k as double) / 7", "string": "concat('é', cast(k as string))",
+            "date": "date_add(date'2000-01-01', cast(k % 5000 as int))"}[kind]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(raw)], "k long, id long").selectExpr(f"{cast} AS v", "id")
+    rows = [tuple(r) for r in df.orderBy("v", "id").collect()]
+    keys = S.order_keys(df, ["v", "id"])
+    ks = [0, 1, 77, 120, 159]
+    got = S.boundaries(df, keys, ks)
+    for k in ks:
+        below = df.where(S.before(keys, got[k])).collect()
+        assert sorted(tuple(r) for r in below) == sorted(rows[:k])
+
+
+def test_split_takes_few_jobs(spark):
+    df = spark.range(20000).selectExpr("id", "2020 AS yr", "cast(id % 12 AS int) AS mo")
+    status = spark.sparkContext.statusTracker()
+    for call in (lambda: S.temporal_split(df, "yr", "mo", "id"), lambda: S.random_split(df, "id"), lambda: S.kfold(df, "id")):
+        spark.sparkContext.setJobGroup("split-jobs", "count the jobs of one split")
+        before = len(status.getJobIdsForGroup("split-jobs"))
+        call()
+        # An adaptive query runs one job for its shuffle and one for its result.
+        assert len(status.getJobIdsForGroup("split-jobs")) - before <= 14
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_kfold_and_timeseries_blocks(spark):
     df = spark.range(13).withColumnRenamed("id", "k")
     folds = S.kfold(df, "k", 5).groupBy("fold").count().orderBy("fold").collect()
@@ -89,10 +118,23 @@ def test_spatial_join_has_no_cartesian_product(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_spatial_fallback_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(G, "MAX_BROADCAST_EDGES", 1)
+def test_spatial_join_in_parts(spark, monkeypatch):
     polys = spark.createDataFrame([(k, _wkt(v)) for k, v in POLYS.items()], "pid int, wkt string")
-    pts = [(1.0, 1.0), (15.0, 15.0), (11.0, 11.0), (36.0, 1.0)]
+    pts = [(1.0, 1.0), (15.0, 15.0), (11.0, 11.0), (36.0, 1.0), (float("nan"), 1.0), (None, 1.0)]
     points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pts)], "i int, x double, y double")
-    got = {(r.i, r.pid) for r in G.points_in_polygons(points, "x", "y", polys, "pid", "wkt").collect()}
-    assert got == {(0, 1), (2, 2), (3, 3)}
+    for edges in (4_000_000, 5):
+        monkeypatch.setattr(G, "PART_EDGES", edges)
+        got = {(r.i, r.pid) for r in G.points_in_polygons(points, "x", "y", polys, "pid", "wkt").collect()}
+        assert got == {(0, 1), (2, 2), (3, 3)}
+
+
+def test_spatial_null_repeated_and_no_polygons(spark):
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 50.0, 50.0)], "i int, x double, y double")
+    square = "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"
+    polys = spark.createDataFrame([(1, square), (1, square), (2, None), (None, square)], "pid int, wkt string")
+    got = sorted((r.i, r.pid) for r in G.points_in_polygons(points, "x", "y", polys, "pid", "wkt").collect() if r.pid)
+    assert got == [(1, 1), (1, 1)]
+    assert G.points_in_polygons(points, "x", "y", polys.limit(0), "pid", "wkt").collect() == []
+    for zones, want in ((polys, [1, 0]), (polys.limit(0), [0, 0]), (polys.where("wkt is null"), [0, 0])):
+        flags = {r.i: r.in_zone for r in G.inside_any(points, "i", "x", "y", zones, "pid", "wkt").collect()}
+        assert [flags[1], flags[2]] == want

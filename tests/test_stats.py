@@ -54,35 +54,29 @@ def test_crossfit_uses_only_other_folds(spark):
         assert r.enc == pytest.approx(lam * yc.mean() + (1 - lam) * ys.mean(), rel=1e-9)
 
 
-@pytest.mark.parametrize("small_group", [0, 10**9])
-def test_quantiles_match_numpy(spark, monkeypatch, small_group):
-    """Bracket path (small_group=0) and the single-aggregation path agree with numpy."""
-    monkeypatch.setattr(Q, "SMALL_GROUP", small_group)
+@pytest.mark.parametrize("buckets,accuracy", [(8, 20), (1024, 10000)])
+def test_quantiles_match_numpy(spark, monkeypatch, buckets, accuracy):
+    """Coarse sketches and buckets (several passes, missed ranges) and the usual ones agree with numpy."""
+    monkeypatch.setattr(Q, "BUCKETS", buckets)
     rng = np.random.default_rng(1)
     vals = np.round(rng.lognormal(3, 1, 20000), 3)
     groups = rng.integers(0, 3, len(vals))
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)], "g int, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     got = {r.g: [r[f"q_{i}"] for i in range(len(probs))] for r in
-           Q.grouped_quantiles(df, ["g"], "v", probs, accuracy=50).collect()}
+           Q.grouped_quantiles(df, ["g"], "v", probs, accuracy=accuracy).collect()}
     for g in range(3):
         want = np.quantile(vals[groups == g], probs)
         assert got[g] == pytest.approx(list(want), rel=1e-12)
-    assert Q.quantiles(df, "v", [0.5], accuracy=50)[0] == pytest.approx(float(np.median(vals)))
-
-
-def test_kth_values_exact_when_refining(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_COLLECT", 500)
-    monkeypatch.setattr(S, "ACCURACY", 200)
-    rng = np.random.default_rng(7)
-    vals = rng.integers(0, 10**9, 30000)
-    df = spark.createDataFrame([(int(v),) for v in vals], "v long")
-    ks = [0, 1, 777, 15000, 29999]
-    got = S.kth_values(df, "v", ks)
-    srt = np.sort(vals)
-    for k in ks:
-        assert got[k][0] == srt[k]
-        assert got[k][1] == int(np.searchsorted(srt, srt[k], side="left"))
+    assert Q.quantiles(df, "v", [0.5], accuracy=accuracy)[0] == pytest.approx(float(np.median(vals)))
+
+
+def test_quantiles_of_odd_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", None), ("b", None), ("c", float("inf")), ("c", 1.0),
+                                ("c", 2.0)], "g string, v double")
+    got = {r.g: (r.n, r.q_0) for r in Q.grouped_quantiles(df, ["g"], "v", [0.5]).collect()}
+    assert got == {"a": (1, 1.0), "c": (3, 2.0)}
+    assert Q.quantiles(df.where("g = 'b'"), "v", [0.5]) == [None]
 
 
 def test_value_profile_counts_nulls(spark):
