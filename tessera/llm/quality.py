@@ -115,7 +115,7 @@ def _fit_view(rows: DataFrame, x: str, y: str) -> np.ndarray | None:
     rows = rows.where(F.col(y).isNotNull()).select(array_to_vector(x).alias("features"), F.col(y).cast("double").alias("label"))
     if rows.select("label").distinct().count() < 2:
         return None
-    m = LogisticRegression(regParam=1e-4, maxIter=60).fit(rows)
+    m = LogisticRegression(regParam=1e-4, maxIter=25, tol=1e-4).fit(rows)
     return np.append(m.coefficients.toArray(), m.intercept)
 
 
@@ -125,7 +125,7 @@ def _probability(x: str, w: np.ndarray) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
-def co_train(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, confident: float = 0.95, share: float = 0.1,
+def co_train(docs: DataFrame, labels: DataFrame, *, rounds: int = 2, confident: float = 0.95, share: float = 0.1,
              max_labelled: int = 20_000, max_pool: int = 10_000) -> CoTrained | None:
     """Fit both views; None if the labelled sample lacks a class."""
     spark = docs.sparkSession
