@@ -7,16 +7,16 @@
    repetition for one or two letters.  Viterbi decoding takes the path of the
    highest probability under the character model and the channel's costs.
 3. Features are the distinct words, plain and restored, and their beginnings.
-   Their log-odds of toxic against other documents come from one part of the
-   labelled rows, the logistic regression over a document's strongest log-odds
-   from another part; rows held out by the caller train nothing.
+   Their log-odds of toxic against other documents come from the labelled rows;
+   the logistic regression over a document's strongest log-odds learns from the
+   same rows, each by the log-odds of the folds it is not in.  Rows held out by
+   the caller train nothing.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -200,31 +200,39 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _feature_rows(decoder):
-    """(text, y) -> (feature, toxic, other): counts of documents, combined within a batch."""
+def _feature_rows(shared):
+    """(text, y, fold) -> (feature, fold, toxic, other): counts of documents, combined within a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Decoder(decoder.value)
+        reader = Decoder(shared.value)
         for batch in batches:
-            found = (Counter(), Counter())
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                found[y].update(features(reader.restored(text.as_py() or "")))
-            keys = list(found[0].keys() | found[1].keys())
+            found = {}
+            for text, y, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for x in features(reader.restored(text.as_py() or "")):
+                    found.setdefault((x, fold), [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([found[1][k] for k in keys], pa.int64()),
-                 pa.array([found[0][k] for k in keys], pa.int64())], ["feature", "toxic", "other"])
+                [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()),
+                 pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64())],
+                ["feature", "fold", "toxic", "other"])
     return run
 
 
 def _strongest_rows(shared):
+    """(text, y, fold) -> (x, y): the evidence in a text by the log-odds of the other folds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, odds = shared.value
-        s = Scorer(Decoder(model), odds, None, 0.0)
+        decoder = Decoder(model)
+        scorers = [Scorer(decoder, o, None, 0.0) for o in odds]
         for batch in batches:
-            rows = [s.strongest(t.as_py() or "") for t in batch.column(0)]
+            rows = [scorers[f].strongest(t.as_py() or "") for t, f in zip(batch.column(0), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
     return run
 
 
+def _log_odds(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """Cautious log-odds: one standard deviation off the toxic count, one more document among the others."""
+    return np.log((toxic - np.sqrt(toxic) + 0.5) / (n_toxic + 1)) - np.log((other + 1) / (n_other + 1))
+
+
 def _score_rows(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, odds, weights, prior = shared.value
@@ -258,25 +266,32 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, *, keep
     rows = (docs.where(~F.coalesce(held_out, F.lit(False))).select("doc_id", "text")
             .join(F.broadcast(known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_labelled)), "doc_id"))
     scratch = Scratch(spark)
-    # Log-odds and regression learn from different rows.
-    rows = scratch.write(rows.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) < 2).alias("odds")),
-                         "labelled")
-    sizes = {bool(r.odds): (r.t or 0, r.n - (r.t or 0)) for r in
-             rows.groupBy("odds").agg(F.sum("y").alias("t"), F.count("*").alias("n")).collect()}
-    toxic, other = (sum(v[k] for v in sizes.values()) for k in (0, 1))
+    # A row's evidence for the regression comes from the log-odds of the other folds.
+    folds = 3
+    rows = scratch.write(rows.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(folds)).alias("fold")), "labelled")
+    sizes = np.zeros((folds, 2))
+    for r in rows.groupBy("fold", "y").count().collect():
+        sizes[r.fold, r.y] = r["count"]
+    other, toxic = sizes.sum(axis=0)
     odds, weights = {}, None
-    if sizes.get(True) and min(sizes[True]) and sizes.get(False) and min(sizes[False]):
-        t, o = sizes[True]
-        counted = (rows.where("odds").select("text", "y")
-                   .mapInArrow(_feature_rows(spark.sparkContext.broadcast(model)), "feature string, toxic long, other long")
-                   .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
-        # Cautious log-odds: one standard deviation off the toxic count, one more document among the others.
-        value = F.log((F.col("toxic") - F.sqrt("toxic") + 0.5) / (t + 1)) - F.log((F.col("other") + 1) / (o + 1))
+    if (sizes.sum(axis=0) - sizes).min() > 0:
+        counted = (rows.mapInArrow(_feature_rows(spark.sparkContext.broadcast(model)),
+                                   "feature string, fold long, toxic long, other long")
+                   .groupBy("feature").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c))).alias(f"{c}{f}")
+                                             for f in range(folds) for c in ("other", "toxic")]).fillna(0))
+        t, o = (sum((F.col(f"{c}{f}") for f in range(folds)), F.lit(0)) for c in ("toxic", "other"))
+        lean = F.log((t - F.sqrt(t) + 0.5) / (toxic + 1)) - F.log((o + 1) / (other + 1))
         # Bounded by the labelled sample: only features that lean clearly to toxic rows are kept.
-        odds = {r.feature: float(r.v) for r in
-                counted.where(F.col("toxic") >= least_docs).withColumn("v", value).where(f"v > {LEAN}").collect()}
-        x = rows.where("not odds").select("text", "y").mapInArrow(
-            _strongest_rows(spark.sparkContext.broadcast((model, odds))), "x array<double>, y int").toPandas()
+        kept = counted.where((t >= least_docs) & (lean > LEAN)).orderBy("feature").toPandas()
+        n = np.stack([[kept[f"{c}{f}"].to_numpy(float) for c in ("other", "toxic")] for f in range(folds)])
+        total = n.sum(axis=0)
+
+        def table(counts: np.ndarray, docs_: np.ndarray) -> dict[str, float]:
+            return dict(zip(kept.feature, _log_odds(counts[1], counts[0], docs_[1], docs_[0]).tolist()))
+        odds = table(total, sizes.sum(axis=0))
+        parts = [table(total - n[f], sizes.sum(axis=0) - sizes[f]) for f in range(folds)]
+        x = rows.mapInArrow(_strongest_rows(spark.sparkContext.broadcast((model, parts))),
+                            "x array<double>, y int").toPandas()
         weights = fit_logistic(np.array(x.x.tolist()), x.y.to_numpy(float))
     scratch.drop(rows)
     shared = spark.sparkContext.broadcast((model, odds, weights, toxic / max(1, toxic + other)))
