@@ -20,13 +20,13 @@ FLOOR_STRINGS = ["P1-3", "S1-T-2", "PT-ST-1", " p2 ", "SEMI", "RIAL", "S2", "0",
                  None, "P2-P3", "S-ST", "T-1", "P12;S1", "2.5", "-4", "1_0"]
 
 
-def _floor_input(spark, d):
+def floor_input(spark, d):
     arr = F.array(*[F.lit(s).cast("string") for s in FLOOR_STRINGS])
     idx = (F.col("p_size") % len(FLOOR_STRINGS) + 1).cast("int")
     return load(spark, d, "part").select("p_partkey", F.element_at(arr, idx).alias("floor_str"))
 
 
-def _floor_oracle() -> str:
+def floor_oracle() -> str:
     lit = ", ".join("NULL" if s is None else "'" + s.replace("'", "''") + "'" for s in FLOOR_STRINGS)
     fl = r"^[+-]?(\d(_?\d)*(\.(\d(_?\d)*)?)?|\.\d(_?\d)*)(E[+-]?\d(_?\d)*)?$"
     return rf"""
@@ -60,9 +60,9 @@ FROM a
 """
 
 
-@query("floor_features", "F1", oracle=_floor_oracle())
+@query("floor_features", "F1", oracle=floor_oracle())
 def q_floor_features(spark, d):
-    out = with_floor_features(_floor_input(spark, d), "floor_str")
+    out = with_floor_features(floor_input(spark, d), "floor_str")
     w = "floor_floor_numeric_weighted"
     return out.withColumn(w, rnd(w, 6))
 

@@ -17,7 +17,7 @@ from .common import rnd, sql_rnd
 from .registry import query
 
 
-def _acts_units(spark, d):
+def acts_units(spark, d):
     orders = load(spark, d, "orders").withColumn(
         "declared_units", F.lit(1) + F.col("o_custkey") % 7)
     lines = load(spark, d, "lineitem")
@@ -33,7 +33,7 @@ g AS (SELECT o_orderkey FROM j GROUP BY o_orderkey HAVING count(*) = min(declare
 SELECT * FROM j WHERE o_orderkey IN (SELECT o_orderkey FROM g)
 """)
 def q_coherent_groups(spark, d):
-    j = _acts_units(spark, d).select("o_orderkey", "declared_units", "l_linenumber",
+    j = acts_units(spark, d).select("o_orderkey", "declared_units", "l_linenumber",
                                       "l_partkey", "l_quantity")
     return R.coherent_groups(j, "o_orderkey", "declared_units")
 
@@ -55,7 +55,7 @@ def q_price_redistribution(spark, d):
     part = load(spark, d, "part").select(
         "p_partkey", (F.lit(0.9) * F.col("p_retailprice")).alias("unit_min"),
         (F.lit(1.1) * F.col("p_retailprice")).alias("unit_max"))
-    u = (_acts_units(spark, d)
+    u = (acts_units(spark, d)
          .join(part, F.col("p_partkey") == F.col("l_partkey"))
          .select("o_orderkey", "o_totalprice", "l_linenumber", "l_partkey", "unit_min", "unit_max",
                  F.when(F.col("l_partkey") % 11 == 0, None).otherwise(F.col("l_quantity")).alias("area")))

@@ -11,7 +11,7 @@ from ..operators import cleaning as C
 from ..operators import relational as R
 from ..session import ensure_checkpoint_dir, load
 from ..sources.io import cached_step, sample_rows
-from .queries_columns import _TEXT_SQL, _floor_input, _floor_oracle, _sql_parse, _text_table
+from .queries_columns import _TEXT_SQL, floor_input, floor_oracle, _sql_parse, _text_table
 from .registry import query
 
 
@@ -30,7 +30,7 @@ def q_sample_rows(spark, d):
     return sample_rows(o, 10, order_by=["o_orderkey"])
 
 
-@query("cached_floor_features", "S1,S2,S4", oracle=_floor_oracle())
+@query("cached_floor_features", "S1,S2,S4", oracle=floor_oracle())
 def q_cached_floor_features(spark, d):
     """Floor features built once as a step output (parquet under the shared
     checkpoint directory, committed with ``_SUCCESS``) and read back."""
@@ -40,7 +40,7 @@ def q_cached_floor_features(spark, d):
     path = os.path.join(base, "tessera-steps", os.path.basename(d.rstrip("/")), "floor_features.parquet")
 
     def build():
-        out = with_floor_features(_floor_input(spark, d), "floor_str")
+        out = with_floor_features(floor_input(spark, d), "floor_str")
         return out.withColumn("floor_floor_numeric_weighted", rnd("floor_floor_numeric_weighted", 6))
     return cached_step(spark, path, build, force=True)
 

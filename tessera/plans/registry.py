@@ -36,7 +36,7 @@ def query(name: str, ops: str, oracle: str | None = None):
 
 def all_queries() -> dict[str, Query]:
     # Import the query modules for their registration side effect.
-    from . import (queries_cleaning, queries_columns, queries_flows, queries_metrics,  # noqa: F401
+    from . import (queries_cleaning, queries_columns, queries_dataset, queries_flows, queries_metrics,  # noqa: F401
                    queries_outliers, queries_prepare,
                    queries_models, queries_quality, queries_relational, queries_spatial,
                    queries_sources, queries_splits)

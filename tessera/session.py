@@ -23,6 +23,8 @@ _SCALE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Checkpoint files go when nothing reads them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -45,7 +47,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset."""
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
+
+    Only a local master, whose executors are this process, gets a scratch folder
+    when the setting is absent; on a cluster its absence is an error, because
+    executors would write checkpoints to disks that the others cannot read.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -53,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
