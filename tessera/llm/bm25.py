@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package
+from .common import Scratch, bounded, ship_package
 from .decontaminate import words_of
 from .near_dedup import WordHash
 
@@ -198,10 +198,10 @@ def search(docs: DataFrame, is_query: Column, *, k: int = 10, k1: float = 1.2, b
     ship_package(spark)
     scratch = Scratch(spark)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    index = scratch.write(docs.select("doc_id", "text").mapInArrow(_index_rows, _INDEX), "index")
+    index = scratch.write(docs.select("doc_id", "text").mapInArrow(bounded(_index_rows), _INDEX), "index")
     queries = scratch.write(docs.where(is_query & F.col("doc_id").isNotNull()).select("doc_id", "text").dropDuplicates()
-                            .mapInArrow(_query_rows, "query_id long, terms binary, counts binary, n long"), "queries")
-    sizes = index.select(F.octet_length("lengths").alias("n"), "lengths").mapInArrow(_lengths, "n long, words long").agg(
+                            .mapInArrow(bounded(_query_rows), "query_id long, terms binary, counts binary, n long"), "queries")
+    sizes = index.select(F.octet_length("lengths").alias("n"), "lengths").mapInArrow(bounded(_lengths), "n long, words long").agg(
         F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     words = queries.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(words / query_words))
@@ -222,7 +222,7 @@ def search(docs: DataFrame, is_query: Column, *, k: int = 10, k1: float = 1.2, b
         weights = np.log(1 + (sizes.n - seen + 0.5) / (seen + 0.5))[place] * counts
         shared = spark.sparkContext.broadcast(
             (np.array([r.query_id for r in mine]), np.cumsum([0, *map(len, terms)]), flat, weights, sizes.words / sizes.n))
-        part = index.mapInArrow(_search(shared, k, k1, b), "query_id long, doc_id long, score double")
+        part = index.mapInArrow(bounded(_search(shared, k, k1, b)), "query_id long, doc_id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "query_id long, doc_id long, score double")

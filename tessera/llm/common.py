@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,25 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def bounded(run: Callable[[Batches], Batches], rows: int = 256) -> Callable[[Batches], Batches]:
+    """``run`` on pieces of at most ``rows`` rows, so a task's working memory does not follow Spark's batch size.
+
+    When the task ends, freed memory goes back to the system: the worker process
+    lives on and may run other work next.
+    """
+    def task(batches: Batches) -> Batches:
+        yield from run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    return task
+
+
 class Scratch:
     """Parquet tables in the folder that all executors share (``spark.checkpoint.dir``).
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package
+from .common import Scratch, bounded, ship_package
 
 #: Bytes of benchmark text whose tables are broadcast at once.
 PART_BYTES = 16_000_000
@@ -151,13 +151,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ke
     for k in range(parts):
         mine = [(r.item_id, (r.text or "").encode()) for r in items.where(part == k).collect()]
         tables = spark.sparkContext.broadcast(shift_tables(mine, window))
-        state = state.mapInArrow(_scan(tables), state.schema)
+        state = state.mapInArrow(bounded(_scan(tables)), state.schema)
         if k + 1 < parts:
             state = scratch.write(state, "hits")
             scratch.drop(old)
             old = state
     state = state.drop("_text")
-    return state.mapInArrow(_digest, ", ".join(
+    return state.mapInArrow(bounded(_digest), ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name not in ("_hits", "_items"))
         + ", " + RESULT)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package
+from .common import Scratch, bounded, ship_package
 from .components import connected_components
 
 #: Up to this many ids a document filter is broadcast (about 32 MB); beyond it, Spark joins by shuffle.
@@ -44,7 +44,7 @@ class WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = h
         return h
@@ -196,7 +196,7 @@ class _Verifier:
         both = (pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
                 .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
                 .select("a", "b", "sig_a", "sig_b"))
-        return both.mapInArrow(_bayes(self.bounds, self.n_hashes), "a binary, b binary, matches long")
+        return both.mapInArrow(bounded(_bayes(self.bounds, self.n_hashes), 4096), "a binary, b binary, matches long")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """The full shingle sets of some classes, made anew from their texts."""
@@ -205,7 +205,7 @@ class _Verifier:
         texts = self.docs.join(F.broadcast(ids) if few else ids, "_key", "left_semi").select("text")
         # Documents that only share a key give further sets; the joins by node leave them out.
         sets = self.scratch.write(
-            texts.mapInArrow(_sets(self.k), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
+            texts.mapInArrow(bounded(_sets(self.k)), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
         self.scratch.drop(ids)
         return sets
 
@@ -213,7 +213,7 @@ class _Verifier:
         """Pairs (a, b) of different components among (node, label) that share a shingle of their rarest."""
         rows = self.scratch.write(
             self.sets(named.select("node")).join(named, "node")
-            .mapInArrow(_shingle_rows, "node binary, label binary, n long, shingle long"), "shingles")
+            .mapInArrow(bounded(_shingle_rows), "node binary, label binary, n long, shingle long"), "shingles")
         often = rows.groupBy("shingle").agg(F.count("*").alias("df"))
         # A shingle of one class only takes a place in its class's prefix but joins nothing.
         place = Window.partitionBy("node").orderBy("df", "shingle")
@@ -235,7 +235,7 @@ class _Verifier:
                 .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
                 .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
                 .select("a", "b", "set_a", "set_b"))
-        out = self.scratch.write(both.mapInArrow(_exact(self.percent), "a binary, b binary"), "links")
+        out = self.scratch.write(both.mapInArrow(bounded(_exact(self.percent)), "a binary, b binary"), "links")
         self.scratch.drop(sets)
         return out
 
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     scratch = Scratch(spark)
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[1:])
-    sigs = scratch.write(docs.mapInArrow(_signatures(shingle_words, n_hashes),
+    sigs = scratch.write(docs.mapInArrow(bounded(_signatures(shingle_words, n_hashes)),
                                          f"{carried}, n_shingles long, node binary, sig binary"), "signatures")
     # The text of a class is found again by its smallest doc_id, or, for a null id, by the null.
     classes = scratch.write(

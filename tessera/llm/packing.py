@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package
+from .common import Scratch, bounded, ship_package
 
 #: Characters outside these ranges go through the reference encoder of ``tokenizers`` itself.
 _UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
@@ -48,12 +48,8 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        path = _resolve(vocabulary)
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        self.fast = None
+        self.path = path = _resolve(vocabulary)
+        self.slow = self.fast = None
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -66,6 +62,11 @@ class Encoder:
     def __call__(self, text: str) -> list[int]:
         if self.fast and not _UNUSUAL.search(text):
             return self.fast.encode_ordinary(text)
+        if self.slow is None:  # only where it is needed: it takes more memory
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
@@ -230,7 +231,7 @@ def pack(docs: DataFrame, *, capacity: int = 1024, end_id: int = 2, vocabulary:
     ship_package(spark)
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = docs.mapInArrow(_tokenise(vocabulary, capacity, end_id, pa.int64()),
+    pieces = docs.mapInArrow(bounded(_tokenise(vocabulary, capacity, end_id, pa.int64())),
                              "doc_id long, piece long, start long, length long, ids_crc32 long")
     # Written once: row numbers taken here stay the same when a later task is run again.
     pieces = scratch.write(pieces.withColumn("pid", F.monotonically_increasing_id()), "pieces")
@@ -263,12 +264,12 @@ def pack(docs: DataFrame, *, capacity: int = 1024, end_id: int = 2, vocabulary:
                           .select("shard", "island", F.col("g.bins").alias("elites")))
                 base = base.join(guests, ["shard", "island"])
             base = base.select("shard", "island", "sizes", "elites").repartition("shard", "island")
-            best = scratch.write(base.mapInArrow(_islands(capacity, population, generations),
+            best = scratch.write(base.mapInArrow(bounded(_islands(capacity, population, generations)),
                                                  "shard long, island int, n_bins int, bins array<int>"), f"best-{level}")
         won = best.groupBy("shard").agg(F.min_by("bins", F.struct("n_bins", "island")).alias("bins"))
         placed = scratch.write(
             dealt.join(won, "shard").select("shard", "items", "bins")
-            .mapInArrow(_place(capacity, 0 if last else loose), ", ".join(f"{c} long" for c in _PIECE)
+            .mapInArrow(bounded(_place(capacity, 0 if last else loose)), ", ".join(f"{c} long" for c in _PIECE)
                         + ", bin long, offset long, loose boolean"), f"placed-{level}")
         stay = placed if last else placed.where("not loose")
         done.append(stay.select(*columns, (F.lit(level * 2**60) + F.col("bin")).alias("sequence_id"), "offset"))

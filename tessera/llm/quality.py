@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package
+from .common import Scratch, bounded, ship_package
 
 #: Character classes of the text view: each byte belongs to the first that holds it; 14 and 15 are lead and
 #: continuation bytes of non-ASCII characters, 13 is every other byte.
@@ -140,7 +140,7 @@ def co_train(docs: DataFrame, labels: DataFrame, *, rounds: int = 2, confident:
             .where(F.col("y").isNotNull() | (part < pool_share))
             .select("text", "source", "lang", "n_chars", F.col("y").cast("double").alias("y"),
                     (F.col("y").isNotNull() & (part >= 0.8)).alias("held")))
-    rows = scratch.write(rows.mapInArrow(_features, "xt array<double>, xm array<double>, y double, held boolean"), "rows")
+    rows = scratch.write(rows.mapInArrow(bounded(_features), "xt array<double>, xm array<double>, y double, held boolean"), "rows")
     rows = rows.withColumn("yt", F.when(~F.col("held"), F.col("y"))).withColumn("ym", F.col("yt"))
     models = (None, None)
     for r in range(rounds + 1):
@@ -216,7 +216,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, keep: tuple[str, ...] =
     kept = docs.select(*keep)
     rows = docs.select(*(F.col(c).cast(t).alias(f"_{c}") for c, t in
                          (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))), *keep)
-    return rows.mapInArrow(_score(model, threshold), ", ".join(
+    return rows.mapInArrow(bounded(_score(model, threshold)), ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
         + ", text_score double, meta_score double, score double, kept boolean")
 

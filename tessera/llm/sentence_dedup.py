@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package
+from .common import Scratch, bounded, ship_package
 
 #: Where a sentence starts: after .!? and white space, after a line end, or at a capital after a word without end mark.
 _START = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=[^\W\d_A-ZÀ-ÖØ-Þ])[ \t]+(?=[A-ZÀ-ÖØ-Þ])")
@@ -140,7 +140,7 @@ def dedup_sentences(docs: DataFrame, *, least_sentences: int = 3, least_words: i
                        F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_th"))
     found = scratch.write(
         rows.where("text is not null").select("_id", "_th", "text")
-        .mapInArrow(_span_rows((least_sentences, least_words, enough_words)),
+        .mapInArrow(bounded(_span_rows((least_sentences, least_words, enough_words))),
                     "_id long, _th long, first int, last int, key long"), "spans")
     place = F.struct("_id", "_th", "first")
     keys = scratch.write(
@@ -156,6 +156,6 @@ def dedup_sentences(docs: DataFrame, *, least_sentences: int = 3, least_words: i
                        F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left")
     kind = rows.schema["row"].dataType.simpleString()
     out = marked.select("row", "text", "_runs").mapInArrow(
-        _remove, f"row {kind}, text string, n_sentences long, n_removed long")
+        bounded(_remove), f"row {kind}, text string, n_sentences long, n_removed long")
     return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns),
                       "n_sentences", "n_removed")

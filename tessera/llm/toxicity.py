@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package
+from .common import Scratch, bounded, ship_package
 from .quality import fit_logistic
 
 #: The letters that a sign of a disguised word may stand for.
@@ -55,9 +55,9 @@ for _c, _i in _CODE.items():
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of character trigrams of a batch: one row for each that occurs."""
+    """Counts of the character trigrams of a task's texts: one row for each that occurs."""
+    total = np.zeros(N_CODES ** 3, np.int64)
     for batch in batches:
-        total = np.zeros(N_CODES ** 3, np.int64)
         for text in batch.column(0):
             text = text.as_py()
             for at in range(0, len(text), 1 << 20):
@@ -67,13 +67,13 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = c[(c != 0) | np.concatenate(([True], c[:-1] != 0))]
                 c = np.insert(c, np.flatnonzero(c == 0), 0)
                 total += np.bincount((c[:-2] * N_CODES + c[1:-1]) * N_CODES + c[2:], minlength=N_CODES ** 3)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["gram", "n"])
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["gram", "n"])
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """Log-probability of each character after two others, counted over all texts (bounded by the alphabet)."""
-    counts = (docs.where("text is not null").select("text").mapInArrow(_trigrams, "gram long, n long")
+    counts = (docs.where("text is not null").select("text").mapInArrow(bounded(_trigrams), "gram long, n long")
               .groupBy("gram").agg(F.sum("n").alias("n")).toPandas())
     tri = np.zeros(N_CODES ** 3)
     tri[counts.gram.to_numpy(np.int64)] = counts.n.to_numpy(float)
@@ -201,18 +201,23 @@ class Scorer:
 
 
 def _feature_rows(shared):
-    """(text, y, fold) -> (feature, fold, toxic, other): counts of documents, combined within a batch."""
+    """(text, y, fold) -> (feature, fold, toxic, other): counts of documents, combined up to a bounded number."""
+    def rows(found: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()),
+             pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64())],
+            ["feature", "fold", "toxic", "other"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Decoder(shared.value)
+        reader, found = Decoder(shared.value), {}
         for batch in batches:
-            found = {}
             for text, y, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 for x in features(reader.restored(text.as_py() or "")):
                     found.setdefault((x, fold), [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()),
-                 pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64())],
-                ["feature", "fold", "toxic", "other"])
+            if len(found) >= 300_000:
+                yield rows(found)
+                found = {}
+        yield rows(found)
     return run
 
 
@@ -275,7 +280,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, *, keep
     other, toxic = sizes.sum(axis=0)
     odds, weights = {}, None
     if (sizes.sum(axis=0) - sizes).min() > 0:
-        counted = (rows.mapInArrow(_feature_rows(spark.sparkContext.broadcast(model)),
+        counted = (rows.mapInArrow(bounded(_feature_rows(spark.sparkContext.broadcast(model))),
                                    "feature string, fold long, toxic long, other long")
                    .groupBy("feature").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c))).alias(f"{c}{f}")
                                              for f in range(folds) for c in ("other", "toxic")]).fillna(0))
@@ -290,13 +295,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, *, keep
             return dict(zip(kept.feature, _log_odds(counts[1], counts[0], docs_[1], docs_[0]).tolist()))
         odds = table(total, sizes.sum(axis=0))
         parts = [table(total - n[f], sizes.sum(axis=0) - sizes[f]) for f in range(folds)]
-        x = rows.mapInArrow(_strongest_rows(spark.sparkContext.broadcast((model, parts))),
+        x = rows.mapInArrow(bounded(_strongest_rows(spark.sparkContext.broadcast((model, parts)))),
                             "x array<double>, y int").toPandas()
         weights = fit_logistic(np.array(x.x.tolist()), x.y.to_numpy(float))
     scratch.drop(rows)
     shared = spark.sparkContext.broadcast((model, odds, weights, toxic / max(1, toxic + other)))
     kept = docs.select(*keep)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(_score_rows(shared, threshold), ", ".join(
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(bounded(_score_rows(shared, threshold)), ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double, predicted int")
 
 
