@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 from collections import defaultdict
@@ -9,12 +10,17 @@ from tessera.llm import packing as P
 TEXTS = ["", None, "Hello world", "Ünïcödé – “quotes” 你好 🙂", "a" * 500, "word " * 300, "<|endoftext|> x\x85y  z", "tab\tand\n\nlines "]
 
 
-def ids_of(text):
+@functools.cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [2]
+    return t
+
+
+def ids_of(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def test_pieces_rebuild_every_document_and_sequences_have_no_gaps(docs_of):
