@@ -263,7 +263,9 @@ def pack(docs: DataFrame, *, capacity: int = 1024, end_id: int = 2, vocabulary:
                           .agg(F.sort_array(F.collect_set(F.struct("n_bins", "bins"))).alias("g"))
                           .select("shard", "island", F.col("g.bins").alias("elites")))
                 base = base.join(guests, ["shard", "island"])
-            base = base.select("shard", "island", "sizes", "elites").repartition("shard", "island")
+            # Little data and much work: a stated number of tasks, which is not merged by size.
+            tasks = min(shards * islands, 4 * spark.sparkContext.defaultParallelism)
+            base = base.select("shard", "island", "sizes", "elites").repartition(tasks, "shard", "island")
             best = scratch.write(base.mapInArrow(bounded(_islands(capacity, population, generations)),
                                                  "shard long, island int, n_bins int, bins array<int>"), f"best-{level}")
         won = best.groupBy("shard").agg(F.min_by("bins", F.struct("n_bins", "island")).alias("bins"))

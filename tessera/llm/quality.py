@@ -19,8 +19,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +110,9 @@ class CoTrained:
 
 
 def _fit_view(rows: DataFrame, x: str, y: str) -> np.ndarray | None:
+    # Here, so that workers which only need the features do not load it.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
     rows = rows.where(F.col(y).isNotNull()).select(array_to_vector(x).alias("features"), F.col(y).cast("double").alias("label"))
     if rows.select("label").distinct().count() < 2:
         return None
