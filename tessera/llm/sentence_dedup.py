@@ -118,7 +118,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          [*(names[i] for i in keep), "n_sentences", "n_removed"])
 
 
-def dedup_sentences(docs: DataFrame, *, least_sentences: int = 3, least_words: int = 20,
+def dedup_sentences(docs: DataFrame, *, least_sentences: int = 3, least_words: int = 30,
                     enough_words: int = 40) -> DataFrame:
     """``docs`` with ``text`` freed of repeated sentence spans, and n_sentences, n_removed.
 
