@@ -68,7 +68,7 @@ def test_matches_brute_force(docs_of):
 
 
 def test_repeated_rows_and_empty_table(docs_of):
-    text = "Same words here again. Then some more of them. And a last one too, really long enough to count as span here."
+    text = "Same words here again. Then some more of them. And a last one too, really long enough to count as a span here, with all of the words that it takes for that to hold."
     got = S.dedup_sentences(docs_of([(2, text), (1, text), (1, text), (None, None)])).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 3)]
     assert S.dedup_sentences(docs_of([])).collect() == []
