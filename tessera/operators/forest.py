@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 from .quantiles import grouped_quantiles, quantiles
 
 EULER = 0.5772156649015329
@@ -158,7 +158,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], key_cols: Sequence[
         "__grp", frac.alias("__frac"),
         F.least(F.lit(psi).cast("long"), F.col("__n")).alias("__psi"),
         F.least(F.lit(1.0), F.lit(2.0 * psi) / F.greatest(F.lit(1.0), frac * n)).alias("__cand"))
-    params = params.select("__grp", "__frac", "__psi", "__cand").cache()
+    params = cut_lineage(params.select("__grp", "__frac", "__psi", "__cand"))
     psi_b = {r["__grp"]: int(r["__psi"]) for r in params.select("__grp", "__psi").collect()}
 
     def unit(h):
@@ -207,7 +207,8 @@ def isolation_flags(df: DataFrame, features: Sequence[str], key_cols: Sequence[s
                     n_trees: int = 100, psi: int = 256, seed: int = 42) -> DataFrame:
     """Rows whose score exceeds the exact (1 − contamination) score quantile
     (per group when ``group_col``).  Returns keys (+group), score, is_outlier."""
-    scored = isolation_scores(df, features, key_cols, group_col, n_trees, psi, seed)
+    # Scored once: the quantile and the flags read the written scores.
+    scored = cut_lineage(isolation_scores(df, features, key_cols, group_col, n_trees, psi, seed))
     if not group_col:
         cut = quantiles(scored, "score", [1.0 - contamination])[0]
         flag = F.col("score") > F.lit(cut) if cut is not None else F.lit(False)

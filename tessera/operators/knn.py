@@ -1,89 +1,130 @@
-"""Exact k-nearest-neighbour regression without all-pairs joins.
-
-Projection onto two coordinates is a contraction (projected distance ≤ full
-distance), so a 2-D grid over the two highest-variance coordinates can prune
-exactly:
-
-1. equal-count cells: cut points per axis from ``approx_percentile`` of the
-   training rows (about ``per_cell`` training rows per cell);
-2. bound: each query meets the training rows of its own and the 8
-   neighbouring cells; the k-th smallest full distance there is R (∞ if fewer
-   than k candidates);
-3. exact: each query meets the cells overlapping the square of half-side R
-   around its projection; the k nearest by full distance among them are the
-   true k nearest (any closer row would project within R).
-
-Prediction = mean label of the k nearest (uniform weights, Euclidean).
+"""Exact k-nearest-neighbour regression in blocks.
+
+A bounded sample of training rows serves as pivots.  Every training and query row
+belongs to its nearest pivot; a pivot's rows lie within its radius, so by the
+triangle inequality the distance of a query cell to a training cell is at least
+d(pivots) - both radii and at most d(pivots) + both radii.  A query cell meets
+only the training cells that can hold one of its k nearest: those whose lower
+bound does not exceed the smallest upper bound that covers k rows.  Cells are cut
+into blocks of bounded size; a pair of blocks is one matrix product, its k best
+rows per query are measured again exactly, and the best k of all blocks win.
+
+How much is pruned depends on the data: clustered rows meet few cells, rows that
+are spread evenly in many dimensions meet nearly all of them, and the work is
+then the blocked product of both sides.
+
+Prediction = mean label of the k nearest (uniform weights, Euclidean distance,
+ties by training id).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, ship_package
+
+MAX_PIVOTS = 1024
+BLOCK_ROWS = 1024
+
+
+def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+
 
-def _bucket(v: Column, cuts: list[float]) -> Column:
-    """Index of the cell containing v: number of cut points ≤ v."""
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= v))
+def _nearest_pivot(pivots):
+    """Adds the nearest pivot and the distance to it."""
+    def run(batches):
+        p = pivots.value
+        for b in batches:
+            x = _matrix(b.column("vec"), p.shape[1])
+            cell, dist = np.empty(len(x), np.int64), np.empty(len(x))
+            for at in range(0, len(x), 1024):
+                s = slice(at, at + 1024)
+                near = ((x[s] ** 2).sum(1)[:, None] + (p ** 2).sum(1) - 2 * x[s] @ p.T).argmin(1)
+                cell[s], dist[s] = near, np.sqrt(((x[s] - p[near]) ** 2).sum(1))
+            yield b.append_column("cell", pa.array(cell)).append_column("dist", pa.array(dist))
+    return run
 
 
-def _dist(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                              lambda acc, t: acc + t))
+def _in_blocks(rows: DataFrame, cells: dict) -> DataFrame:
+    """(cell, part, rows): the rows of a cell in parts of about ``BLOCK_ROWS``."""
+    parts = F.create_map(*[x for c, r in cells.items() for x in (F.lit(c), F.lit(-(-r["n"] // BLOCK_ROWS)))])
+    part = F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("cell")))
+    return (rows.groupBy("cell", part.alias("part"))
+            .agg(F.collect_list(F.struct("id", "vec", "y")).alias("rows")))
+
+
+def _block_pairs(k: int, dim: int):
+    """(query rows, training rows) -> the k nearest training rows of every query of the pair."""
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                q, t = b.column(0)[i].values, b.column(1)[i].values
+                x, z = _matrix(q.field("vec"), dim), _matrix(t.field("vec"), dim)
+                d2 = (x ** 2).sum(1)[:, None] + (z ** 2).sum(1) - 2 * x @ z.T
+                # A few more than k, because the product rounds; then the exact distances.
+                m = min(len(z), k + 16)
+                near = np.argpartition(d2, m - 1, axis=1)[:, :m]
+                exact = np.sqrt(((x[:, None, :] - z[near]) ** 2).sum(2))
+                row = np.repeat(np.arange(len(x)), m)
+                yield pa.RecordBatch.from_arrays(
+                    [q.field("id").take(pa.array(row)), t.field("id").take(pa.array(near.ravel())),
+                     pa.array(exact.ravel()), t.field("y").take(pa.array(near.ravel()))], ["qid", "tid", "d", "y"])
+    return run
+
+
+def _cells_of(rows: DataFrame) -> dict:
+    return {r["cell"]: r for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()}
+
+
+def cell_pairs(pivots: np.ndarray, queries: dict, train: dict, k: int) -> list[tuple[int, int]]:
+    """The (query cell, training cell) pairs that can hold one of the k nearest."""
+    ts = sorted(train)
+    n, radius = np.array([train[c]["n"] for c in ts]), np.array([train[c]["r"] for c in ts])
+    out = []
+    for c in sorted(queries):
+        d = np.sqrt(((pivots[ts] - pivots[c]) ** 2).sum(1))
+        upper = d + radius + queries[c]["r"]
+        order = np.argsort(upper)
+        enough = np.searchsorted(np.cumsum(n[order]), k)
+        reach = upper[order][enough] if enough < len(ts) else math.inf
+        out += [(int(c), int(t)) for t, low in zip(ts, d - radius - queries[c]["r"]) if low <= reach * (1 + 1e-9)]
+    return out
 
 
 def knn_regress(train: DataFrame, queries: DataFrame, id_col: str, vec_col: str, label_col: str,
-                k: int = 5, per_cell: int = 64) -> DataFrame:
-    """``(id, prediction, k_found)`` for every query row."""
-    t = train.select(F.col(id_col).alias("__tid"), F.col(vec_col).cast("array<double>").alias("__tv"),
-                     F.col(label_col).cast("double").alias("__y"))
-    q = queries.select(F.col(id_col).alias("__qid"), F.col(vec_col).cast("array<double>").alias("__qv"))
-    dim = len(train.select(vec_col).first()[0])
-    var = t.agg(*[F.var_pop(F.col("__tv")[i]).alias(f"v{i}") for i in range(dim)]).first()
-    order = sorted(range(dim), key=lambda i: -(var[f"v{i}"] or 0.0))
-    ax, ay = order[0], order[min(1, dim - 1)]
-    n_train = t.count()
-    per_axis = max(1, int(math.ceil(math.sqrt(max(1, n_train) / per_cell))))
-    probs = [i / per_axis for i in range(1, per_axis)]
-    cuts_x, cuts_y = [], []
-    if probs:
-        qs = t.agg(F.approx_percentile(F.col("__tv")[ax], probs, 10000).alias("x"),
-                   F.approx_percentile(F.col("__tv")[ay], probs, 10000).alias("y")).first()
-        cuts_x, cuts_y = sorted(set(qs["x"])), sorted(set(qs["y"]))
-    edges_x = [-math.inf] + cuts_x + [math.inf]
-    edges_y = [-math.inf] + cuts_y + [math.inf]
-
-    tc = (t.withColumn("__bx", _bucket(F.col("__tv")[ax], cuts_x))
-           .withColumn("__by", _bucket(F.col("__tv")[ay], cuts_y)))
-    qc = (q.withColumn("__px", F.col("__qv")[ax]).withColumn("__py", F.col("__qv")[ay])
-           .withColumn("__qbx", _bucket(F.col("__px"), cuts_x))
-           .withColumn("__qby", _bucket(F.col("__py"), cuts_y)))
-
-    # Phase 1: bound R from the 3 x 3 neighbourhood.
-    near = (qc.withColumn("__bx", F.explode(F.sequence(F.col("__qbx") - 1, F.col("__qbx") + 1)))
-              .withColumn("__by", F.explode(F.sequence(F.col("__qby") - 1, F.col("__qby") + 1))))
-    c1 = near.join(tc, on=["__bx", "__by"]).withColumn("__d", _dist(F.col("__qv"), F.col("__tv")))
-    w = Window.partitionBy("__qid").orderBy("__d", "__tid")
-    bound = (c1.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == k)
-               .select("__qid", F.col("__d").alias("__R")))
-
-    # Phase 2: cells overlapping the square of half-side R (all cells if R unknown).
-    nx, ny = len(edges_x) - 1, len(edges_y) - 1
-    q2 = qc.join(bound, on="__qid", how="left")
-    big = F.col("__R").isNull()
-    lo_x = F.when(big, 0).otherwise(_bucket(F.col("__px") - F.col("__R"), cuts_x))
-    hi_x = F.when(big, nx - 1).otherwise(_bucket(F.col("__px") + F.col("__R"), cuts_x))
-    lo_y = F.when(big, 0).otherwise(_bucket(F.col("__py") - F.col("__R"), cuts_y))
-    hi_y = F.when(big, ny - 1).otherwise(_bucket(F.col("__py") + F.col("__R"), cuts_y))
-    cells = (q2.withColumn("__bx", F.explode(F.sequence(lo_x, hi_x)))
-               .withColumn("__by", F.explode(F.sequence(lo_y, hi_y))))
-    c2 = (cells.join(tc, on=["__bx", "__by"])
-               .withColumn("__d", _dist(F.col("__qv"), F.col("__tv")))
-               .where(big | (F.col("__d") <= F.col("__R"))))
-    top = c2.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
-    return (top.groupBy("__qid").agg(F.avg("__y").alias("prediction"), F.count(F.lit(1)).alias("k_found"))
-               .withColumnRenamed("__qid", id_col))
+                k: int = 5) -> DataFrame:
+    """``(id, prediction, k_found)`` for every query row.
+
+    Rows without a vector are left out; with fewer than k training rows all of
+    them count; without training rows there is no result.
+    """
+    spark = train.sparkSession
+    ship_package(spark)
+    vec = F.col(vec_col).cast("array<double>").alias("vec")
+    t = train.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vec, F.col(label_col).cast("double").alias("y"))
+    q = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vec, F.lit(None).cast("double").alias("y"))
+    kind = train.schema[id_col].dataType.simpleString()
+    n = t.count()
+    m = min(MAX_PIVOTS, max(1, math.ceil(math.sqrt(n))))
+    sample = t.orderBy(F.xxhash64("id"), "id").limit(m).select("vec").collect()
+    if not sample:
+        return spark.createDataFrame([], f"`{id_col}` {kind}, prediction double, k_found long")
+    pivots = np.array([r["vec"] for r in sample], float)
+    shared = spark.sparkContext.broadcast(pivots)
+    placed = f"id {kind}, vec array<double>, y double, cell long, dist double"
+    t, q = (cut_lineage(x.mapInArrow(_nearest_pivot(shared), placed)) for x in (t, q))
+    t_cells, q_cells = _cells_of(t), _cells_of(q)
+    pairs = spark.createDataFrame(cell_pairs(pivots, q_cells, t_cells, k), "qcell long, cell long")
+    near = (_in_blocks(q, q_cells).select(F.col("cell").alias("qcell"), F.col("rows").alias("q"))
+            .join(pairs, "qcell").join(_in_blocks(t, t_cells), "cell").select("q", F.col("rows").alias("t")))
+    found = near.mapInArrow(_block_pairs(k, pivots.shape[1]), f"qid {kind}, tid {kind}, d double, y double")
+    w = Window.partitionBy("qid").orderBy("d", "tid")
+    top = found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
+    return (top.groupBy("qid").agg(F.avg("y").alias("prediction"), F.count(F.lit(1)).alias("k_found"))
+               .withColumnRenamed("qid", id_col))

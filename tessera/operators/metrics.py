@@ -165,6 +165,9 @@ def top_k(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k:
           rank_col: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group in the given order (ties broken
     by the later order columns).  The window's groups are the caller's small
-    result groups (models, features, components), not raw data keys."""
+    result groups (models, features, components), not raw data keys; without
+    groups Spark's top-k keeps k rows per task."""
+    if not group_cols:
+        df = df.orderBy(*order).limit(k)
     w = Window.partitionBy(*group_cols).orderBy(*order) if group_cols else Window.orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)

@@ -112,6 +112,19 @@ class PCAModelInfo:
                for j in range(self.k)]
         return proj.select(*keep, *out)
 
+    def reconstruction_error(self, df: DataFrame, prefix: str = "PC") -> float:
+        """Mean squared difference of the centred features and their projection back, over all cells.
+
+        The components are orthonormal, so it is the squared length that the projection leaves out.
+        """
+        centre = df.agg(*[F.avg(c).alias(str(i)) for i, c in enumerate(self.feature_cols)]).first()
+        length = sum(((F.col(c) - F.lit(centre[i])) ** 2 for i, c in enumerate(self.feature_cols)), F.lit(0.0))
+        moved = df.withColumns({c: F.col(c) - F.lit(centre[i]) for i, c in enumerate(self.feature_cols)})
+        kept = sum((F.col(f"{prefix}{j + 1}") ** 2 for j in range(self.k)), F.lit(0.0))
+        whole = df.agg(F.avg(length)).first()[0]
+        part = self.transform(moved, prefix).agg(F.avg(kept)).first()[0]
+        return max(0.0, whole - part) / len(self.feature_cols)
+
     def loadings_df(self, spark, top: int = 5) -> DataFrame:
         """Top-|loading| features per component."""
         rows = []
@@ -138,7 +151,7 @@ class PCAReduction:
     def fit(self, df: DataFrame, cols: Sequence[str]) -> PCAModelInfo:
         from pyspark.ml.feature import PCA, VectorAssembler
         cols = list(cols)
-        vec = VectorAssembler(inputCols=cols, outputCol="__features", handleInvalid="skip")
+        vec = VectorAssembler(inputCols=cols, outputCol="__features", handleInvalid="error")
         model = PCA(k=len(cols), inputCol="__features", outputCol="__pca").fit(vec.transform(df))
         pc = np.array(model.pc.toArray(), copy=True)
         ev = np.asarray(model.explainedVariance.toArray())

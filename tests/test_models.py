@@ -43,7 +43,7 @@ def test_knn_matches_brute_force(spark):
     df = spark.createDataFrame([(i, list(map(float, x[i])), float(y[i])) for i in range(1500)],
                                "id int, v array<double>, y double")
     train, test = df.where("id >= 200"), df.where("id < 200")
-    got = {r.id: r.prediction for r in knn_regress(train, test, "id", "v", "y", k=5, per_cell=20).collect()}
+    got = {r.id: r.prediction for r in knn_regress(train, test, "id", "v", "y", k=5).collect()}
     tr = x[200:]
     for q in range(200):
         d = np.sqrt(((tr - x[q]) ** 2).sum(axis=1))
@@ -95,6 +95,30 @@ def test_permutation_importance_of_a_linear_model(spark):
     assert jobs <= 25  # an adaptive query runs one job for each shuffle
 
 
+def test_knn_meets_few_cells_of_clustered_rows():
+    from tessera.operators.knn import cell_pairs
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 10, (30, 16))
+    x = centres[rng.integers(0, 30, 3000)] + rng.normal(0, 0.3, (3000, 16))
+    pivots = x[:55]
+    cell = ((x[:, None] - pivots) ** 2).sum(2).argmin(1)
+    dist = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+    cells = {int(c): {"n": int((cell == c).sum()), "r": float(dist[cell == c].max())} for c in set(cell)}
+    met = cell_pairs(pivots, cells, cells, 5)
+    share = sum(cells[a]["n"] * cells[b]["n"] for a, b in met) / 3000 ** 2
+    assert share < 0.3
+    for a in range(0, 3000, 100):  # no neighbour lies in a cell that is left out
+        near = np.argsort(((x - x[a]) ** 2).sum(1))[:5]
+        assert {(int(cell[a]), int(cell[b])) for b in near} <= set(met)
+
+
+def test_knn_odd_inputs(spark):
+    train = spark.createDataFrame([(1, [0.0, 1.0], 2.0), (2, None, 3.0), (3, [5.0, 5.0], 4.0)], "id int, v array<double>, y double")
+    queries = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "id int, v array<double>")
+    assert [tuple(r) for r in knn_regress(train, queries, "id", "v", "y", k=5).collect()] == [(1, 3.0, 2)]
+    assert knn_regress(train.limit(0), queries, "id", "v", "y").collect() == []
+
+
 def test_pca_matches_numpy(spark):
     from tessera.operators.scaling import PCAReduction
     rng = np.random.default_rng(9)
@@ -105,6 +129,8 @@ def test_pca_matches_numpy(spark):
     ev = np.linalg.eigvalsh(np.cov(x.T))[::-1]
     assert list(info.explained_variance) == pytest.approx(list(ev / ev.sum()), abs=1e-9)
     assert info.k == int(np.searchsorted(np.cumsum(ev / ev.sum()), 0.95, side="right") + 1)
+    assert info.reconstruction_error(df) == pytest.approx(
+        ev[info.k:].sum() * 499 / 500 / 4, rel=1e-6, abs=1e-9)
 
 
 def test_sampled_shap_recovers_linear_shap(spark):
