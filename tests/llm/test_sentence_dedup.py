@@ -72,3 +72,16 @@ def test_repeated_rows_and_empty_table(docs_of):
     got = S.dedup_sentences(docs_of([(2, text), (1, text), (1, text), (None, None)])).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 3)]
     assert S.dedup_sentences(docs_of([])).collect() == []
+
+
+def test_repeats_of_twenty_words_in_three_sentences_go(docs_of):
+    text = "Same words here again. Then some more of them. And a last one too, really long enough to count as span here."
+    got = S.dedup_sentences(docs_of([(2, text), (1, text)])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 3)]
+
+
+def test_passage_pasted_after_a_comma_loses_its_whole_sentences(docs_of):
+    said = [" ".join([f"Word{k}"] + ["w"] * (n - 1)) + "." for k, n in enumerate((26, 9, 9, 9))]
+    got = S.dedup_sentences(docs_of([(1, " ".join(said)), (2, "Other text, " + " ".join(said))])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 3)]
+    assert {r.doc_id: r.text for r in got}[2] == "Other text, " + said[0]
