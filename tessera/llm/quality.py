@@ -1,13 +1,13 @@
 """Quality classifier by co-training of a text-content view and a page-metadata view.
 
-Both views start from the labelled rows.  In each round every view scores a pool
-of unlabelled documents and hands its confident pseudo-labels to the *other*
+Both views start from the labelled rows.  In each round every view scores all
+unlabelled documents and hands its confident pseudo-labels to the *other*
 view's training set.  After the rounds each view is calibrated on labelled rows
 that neither has trained on, and a logistic combination of the calibrated views
 scores every document where it lies.
 
-Training reads a bounded sample (``max_labelled`` labelled and ``max_pool``
-unlabelled documents, chosen by hash); scoring reads everything.
+At most ``max_labelled`` labels, chosen by hash, are used; features of all
+documents are written once, and every round reads them all.
 """
 
 from __future__ import annotations
@@ -116,18 +116,55 @@ def _fit_view(rows: DataFrame, x: str, y: str) -> np.ndarray | None:
     rows = rows.where(F.col(y).isNotNull()).select(array_to_vector(x).alias("features"), F.col(y).cast("double").alias("label"))
     if rows.select("label").distinct().count() < 2:
         return None
-    m = LogisticRegression(regParam=1e-4, maxIter=25, tol=1e-4).fit(rows)
+    m = LogisticRegression(regParam=1e-4, maxIter=60).fit(rows)
     return np.append(m.coefficients.toArray(), m.intercept)
 
 
-def _probability(x: str, w: np.ndarray) -> Column:
+def _margin(x: str, w: np.ndarray) -> Column:
     margin = F.aggregate(F.zip_with(x, F.array(*map(F.lit, map(float, w[:-1]))), lambda a, b: a * b),
                          F.lit(float(w[-1])), lambda s, v: s + v)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+    return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), margin))
 
 
-def co_train(docs: DataFrame, labels: DataFrame, *, rounds: int = 2, confident: float = 0.95, share: float = 0.1,
-             max_labelled: int = 20_000, max_pool: int = 10_000) -> CoTrained | None:
+def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for i, dim in enumerate((TEXT_DIM, META_DIM))]
+
+
+def _probabilities(views: list[np.ndarray], models: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    return [1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500))) for x, w in zip(views, models)]
+
+
+def _unlabelled_scores(models: tuple[np.ndarray, np.ndarray]):
+    """Features of unlabelled rows -> the probabilities of both views."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(p) for p in _probabilities(_views(batch), models)], ["pt", "pm"])
+    return run
+
+
+def _taught(past: list[tuple]):
+    """(xt, xm, y, held) -> the rows with a label for either view after the ``past`` rounds of models and cuts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            views = _views(batch)
+            y = batch.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            free = np.isnan(y)
+            start = np.where(batch.column(3).to_numpy(zero_copy_only=False).astype(bool), np.nan, y)
+            taught = [start, start]
+            for models, cuts in past:
+                said = [np.where(p >= high, 1.0, np.where(p <= low, 0.0, np.nan))
+                        for p, (low, high) in zip(_probabilities(views, models), cuts)]
+                # Each view learns from what the other is sure of.
+                taught = [np.where(free & np.isnan(t), s, t) for t, s in zip(taught, reversed(said))]
+            take = pa.array(np.flatnonzero(~np.isnan(taught[0]) | ~np.isnan(taught[1])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take),
+                 *(pa.array(t, pa.float64(), from_pandas=True).take(take) for t in taught)], ["xt", "xm", "yt", "ym"])
+    return run
+
+
+def co_train(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, confident: float = 0.95, share: float = 0.1,
+             max_labelled: int = 20_000) -> CoTrained | None:
     """Fit both views; None if the labelled sample lacks a class."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -136,46 +173,35 @@ def co_train(docs: DataFrame, labels: DataFrame, *, rounds: int = 2, confident:
              .agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2").select("doc_id", "y")
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1e6
-    pool_share = min(1.0, max_pool / max(1, docs.count()))
     rows = (docs.join(F.broadcast(known), "doc_id", "left")
-            .where(F.col("y").isNotNull() | (part < pool_share))
             .select("text", "source", "lang", "n_chars", F.col("y").cast("double").alias("y"),
-                    (F.col("y").isNotNull() & (part >= 0.8)).alias("held")))
+                    (F.col("y").isNotNull() & F.coalesce(part >= 0.8, F.lit(False))).alias("held")))
     rows = scratch.write(rows.mapInArrow(bounded(_features), "xt array<double>, xm array<double>, y double, held boolean"), "rows")
-    rows = rows.withColumn("yt", F.when(~F.col("held"), F.col("y"))).withColumn("ym", F.col("yt"))
-    models = (None, None)
+    models, past = (None, None), []
     for r in range(rounds + 1):
-        rows = rows.persist()
-        models = _fit_view(rows, "xt", "yt"), _fit_view(rows, "xm", "ym")
+        source = rows if past else rows.where("y is not null")
+        taught = scratch.write(source.mapInArrow(bounded(_taught(past)), "xt array<double>, xm array<double>, yt double, ym double"),
+                               "taught")
+        models = _fit_view(taught, "xt", "yt"), _fit_view(taught, "xm", "ym")
+        scratch.drop(taught)
         if any(m is None for m in models) or r == rounds:
             break
-        pt, pm = _probability("xt", models[0]), _probability("xm", models[1])
-        scored = rows.withColumn("pt", F.when(F.col("y").isNull(), pt)).withColumn("pm", F.when(F.col("y").isNull(), pm))
-        cuts = scored.approxQuantile(["pt", "pm"], [share / 2, 1 - share / 2], 0.01)
-        pseudo = []
-        for p, cut in zip(("pt", "pm"), cuts):
-            low, high = (min(1 - confident, cut[0]), max(confident, cut[1])) if cut else (-1.0, 2.0)
-            pseudo.append(F.when(F.col(p) >= high, 1.0).when(F.col(p) <= low, 0.0))
-        # Each view learns from what the other is sure of.
-        new = scratch.write(scored.select("xt", "xm", "y", "held", F.coalesce("yt", pseudo[1]).alias("yt"),
-                                          F.coalesce("ym", pseudo[0]).alias("ym")), "rows")
-        rows.unpersist()
-        rows = new
+        cuts = (rows.where("y is null").select("xt", "xm").mapInArrow(bounded(_unlabelled_scores(models)), "pt double, pm double")
+                .approxQuantile(["pt", "pm"], [share / 2, 1 - share / 2], 0.01))
+        past.append((models, [(min(1 - confident, cut[0]), max(confident, cut[1])) if cut else (-1.0, 2.0) for cut in cuts]))
     out = None
     if all(m is not None for m in models):
-        held = rows.where("held")
-        margins = np.array([[*map(float, v)] for v in held.select(
-            F.col("y"), *(F.log(p / (1 - p)) for p in (F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), _probability(x, w)))
-                                                       for x, w in zip(("xt", "xm"), models)))).collect()])
+        margins = np.array([[*map(float, v)] for v in rows.where("held").select(
+            "y", *(_margin(x, w) for x, w in zip(("xt", "xm"), models))).collect()])
         if len(margins) and len(set(margins[:, 0])) == 2:
             y, scales = margins[:, 0], []
             for k in (1, 2):
-                scales.append(fit_logistic(np.clip(margins[:, k:k + 1], -30, 30), y))
+                scales.append(fit_logistic(margins[:, k:k + 1], y))
             both = np.column_stack([CoTrained.calibrated(margins[:, k + 1], s) for k, s in enumerate(scales)])
             out = CoTrained(*models, *scales, fit_logistic(both, y))
         else:  # too few labels to calibrate: the text view as it is
             out = CoTrained(*models, np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([1.0, 0.0, 0.0]))
-    rows.unpersist()
+    scratch.drop(rows)
     return out
 
 

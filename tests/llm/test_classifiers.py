@@ -90,3 +90,19 @@ def test_toxicity_without_labels_or_rows(docs_of, spark):
     got = T.score_toxicity(docs_of([(1, "idiot")]).drop("score"), labels, F.lit(False)).collect()
     assert [(r.score, r.predicted) for r in got] == [(0.0, 0)]
     assert T.score_toxicity(docs_of([]).drop("score"), labels, F.lit(False)).collect() == []
+
+
+def test_quality_trains_on_every_unlabelled_document(spark, monkeypatch):
+    """12 000 unlabelled rows: all are scored in every round, and labelled by the surer view."""
+    docs = spark.range(12_200).selectExpr(
+        "id as doc_id", "case when id % 4 = 0 then 'XX$$ | XX$$ |' else concat('birds sing over hills ', id) end as text",
+        "case when id % 4 = 0 then 'bad' else 'good' end as source", "'en' as lang", "20L as n_chars")
+    labels = spark.range(200).selectExpr("id as doc_id", "cast(id % 4 > 0 as int) as quality")
+    sizes, fit = [], Q._fit_view
+
+    def counted(rows, x, y):
+        sizes.append(rows.where(F.col(y).isNotNull()).count())
+        return fit(rows, x, y)
+    monkeypatch.setattr(Q, "_fit_view", counted)
+    assert Q.co_train(docs, labels) is not None
+    assert len(sizes) == 8 and sizes[0] == sizes[1] < 200 and min(sizes[2::2]) > 11_000 and min(sizes[3::2]) > 200
