@@ -6,8 +6,8 @@ triangle inequality the distance of a query cell to a training cell is at least
 d(pivots) - both radii and at most d(pivots) + both radii.  A query cell meets
 only the training cells that can hold one of its k nearest: those whose lower
 bound does not exceed the smallest upper bound that covers k rows.  Cells are cut
-into blocks of bounded size; a pair of blocks is one matrix product, its k best
-rows per query are measured again exactly, and the best k of all blocks win.
+into blocks of bounded size; a pair of blocks is one matrix product, the rows
+within its rounding error of the k-th are measured exactly, and the best k win.
 
 How much is pruned depends on the data: clustered rows meet few cells, rows that
 are spread evenly in many dimensions meet nearly all of them, and the work is
@@ -66,15 +66,25 @@ def _block_pairs(k: int, dim: int):
             for i in range(b.num_rows):
                 q, t = b.column(0)[i].values, b.column(1)[i].values
                 x, z = _matrix(q.field("vec"), dim), _matrix(t.field("vec"), dim)
-                d2 = (x ** 2).sum(1)[:, None] + (z ** 2).sum(1) - 2 * x @ z.T
-                # A few more than k, because the product rounds; then the exact distances.
-                m = min(len(z), k + 16)
-                near = np.argpartition(d2, m - 1, axis=1)[:, :m]
-                exact = np.sqrt(((x[:, None, :] - z[near]) ** 2).sum(2))
-                row = np.repeat(np.arange(len(x)), m)
+                xx, zz = (x ** 2).sum(1), (z ** 2).sum(1)
+                d2 = xx[:, None] + zz - 2 * x @ z.T
+                # Every row within the rounding error of the k-th one is measured exactly, and cut by distance and id.
+                slack = 4 * (dim + 4) * np.finfo(float).eps * (xx + zz.max())
+                reach = np.partition(d2, min(len(z), k) - 1, axis=1)[:, min(len(z), k) - 1] + 2 * slack
+                order = t.field("id").to_numpy(zero_copy_only=False)
+                row, near, dist = [], [], []
+                for i in range(len(x)):
+                    # ~: a distance that is no number is measured too.
+                    c = np.flatnonzero(~(d2[i] > reach[i]))
+                    exact = np.sqrt(((x[i] - z[c]) ** 2).sum(1))
+                    best = np.lexsort((order[c], exact))[:k]
+                    row.append(np.full(len(best), i))
+                    near.append(c[best])
+                    dist.append(exact[best])
+                row, near, dist = map(np.concatenate, (row, near, dist))
                 yield pa.RecordBatch.from_arrays(
-                    [q.field("id").take(pa.array(row)), t.field("id").take(pa.array(near.ravel())),
-                     pa.array(exact.ravel()), t.field("y").take(pa.array(near.ravel()))], ["qid", "tid", "d", "y"])
+                    [q.field("id").take(pa.array(row)), t.field("id").take(pa.array(near)),
+                     pa.array(dist), t.field("y").take(pa.array(near))], ["qid", "tid", "d", "y"])
     return run
 
 

@@ -148,3 +148,21 @@ def test_sampled_shap_recovers_linear_shap(spark):
                               n_samples=30).collect()}
     for f in "abc":
         assert sampled[f] == pytest.approx(exact[f], abs=0.08)
+
+
+def test_knn_takes_the_smallest_ids_of_many_ties_and_survives_large_norms():
+    import pyarrow as pa
+
+    from tessera.operators.knn import _block_pairs
+
+    def nearest(x, z, ids):
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("vec", pa.list_(pa.float64())), ("y", pa.float64())]))
+        q = pa.array([[{"id": 0, "vec": list(x), "y": None}]], kind)
+        t = pa.array([[{"id": int(i), "vec": list(v), "y": 1.0} for i, v in zip(ids, z)]], kind)
+        out = next(_block_pairs(5, len(x))([pa.RecordBatch.from_arrays([q, t], ["q", "t"])]))
+        return sorted(out.column(1).to_pylist())
+    rng = np.random.default_rng(1)
+    assert nearest(np.zeros(4), np.ones((300, 4)), rng.permutation(300)) == [0, 1, 2, 3, 4]
+    far = np.full(4, 1e8)
+    steps = rng.permutation(300)
+    assert nearest(far, far + steps[:, None] * 1e-3, steps) == [0, 1, 2, 3, 4]
