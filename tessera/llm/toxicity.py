@@ -33,15 +33,17 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
         "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 _SIGNS = "".join(map(re.escape, LEET))
 #: A letter next to a sign inside a word, or a letter three times.
-_SUSPECT = re.compile(rf"[^\W\d_][{_SIGNS}.\-_]*[{_SIGNS}][{_SIGNS}.\-_]*[^\W\d_]|^[{_SIGNS}]+[^\W\d_]{{2}}"
+_SUSPECT = re.compile(rf"[^\W\d_][.\-_]*[{_SIGNS}][{_SIGNS}.\-_]*[^\W\d_]|^[{_SIGNS}]+[^\W\d_]{{2}}"
                       rf"|[^\W\d_]{{2}}[@$013457]+$|([^\W\d_])\1\1|[^\W\d_][.\-_*][^\W\d_][.\-_*][^\W\d_]")
-#: Single letters (or signs for letters) spelled out: at least four, one gap between each.
-_SPELLED = re.compile(rf"(?<!\S)(?:[^\W\d_]|[{_SIGNS}])(?:[ .\-_*](?:[^\W\d_]|[{_SIGNS}])){{3,39}}(?=[.,;:?!]*(?:\s|$))")
+#: Single letters (or signs for letters) spelled out: at least three, one gap between each.
+_SPELLED = re.compile(rf"(?<!\S)(?:[^\W\d_]|[{_SIGNS}])(?:[ .\-_*](?:[^\W\d_]|[{_SIGNS}])){{2,}}(?=[.,;:?!]*(?:\s|$))")
 #: Log-odds from which a feature is kept, and from which a further word counts besides the strongest.
 LEAN, SURE = 1.5, 3.5
 _EDGE = ".,;:?\"'()[]{}<>!"
-#: Longest word that is decoded; longer runs of signs are no words.
-MAX_WORD = 40
+#: A longer repetition stands for the same letters as three.
+_LONG = re.compile(r"(.)\1{3,}", re.S)
+#: Longest word that the decoder remembers.
+MAX_SEEN = 40
 
 #: The character model's alphabet: 0 is the edge of a word and every other character.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -119,10 +121,10 @@ class Decoder:
         if known is not None:
             return known
         lp = self.model
-        # State: the last two letter codes; value: score and text so far.
-        states = {(0, 0): (0.0, "")}
-        for options in self.lattice(word[:MAX_WORD]):
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+        # State: the last two letter codes; value: score and the chain of letters so far.
+        states = {(0, 0): (0.0, None)}
+        for options in self.lattice(word):
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, text) in states.items():
                 for letters, cost in options:
                     s, x, y = score + cost, a, b
@@ -131,12 +133,17 @@ class Decoder:
                         s += lp[x, y, k]
                         x, y = y, k
                     if (x, y) not in step or s > step[x, y][0]:
-                        step[x, y] = (s, text + letters)
+                        step[x, y] = (s, (text, letters))
             states = step
-        best = max(((s + lp[a, b, 0], t) for (a, b), (s, t) in states.items()), default=(0.0, ""))[1]
+        chain, parts = max(((s + lp[a, b, 0], t) for (a, b), (s, t) in states.items()), key=lambda v: v[0])[1], []
+        while chain:
+            chain, letters = chain
+            parts.append(letters)
+        best = "".join(reversed(parts))
         if len(self.seen) >= 100_000:
             self.seen.clear()
-        self.seen[word] = best
+        if len(word) <= MAX_SEEN:
+            self.seen[word] = best
         return best
 
     def restored(self, text: str) -> set[str]:
@@ -147,16 +154,18 @@ class Decoder:
             bare = word.strip(_EDGE)
             if bare.isalpha():
                 out.add(bare)
-                if len(bare) <= MAX_WORD and _SUSPECT.search(bare):
+                bare = _LONG.sub(r"\1\1\1", bare)
+                if _SUSPECT.search(bare):
                     out.add(self.decode(bare))
             else:
                 out.update(re.findall(r"[^\W\d_]+", word))
-                if 3 <= len(word) <= MAX_WORD and _SUSPECT.search(word):
-                    for form in {bare, word.rstrip(".,;:?")}:
+                short = _LONG.sub(r"\1\1\1", word)
+                if len(word) >= 3 and _SUSPECT.search(short):
+                    for form in {short.strip(_EDGE), short.rstrip(".,;:?")}:
                         out.add(self.decode(form))
         for m in _SPELLED.finditer(low):
             letters = re.sub(r"[ .\-_]", "", m.group())
-            if len(set(letters)) > 2:
+            if len(set(letters)) > 1:
                 out.add(self.decode(letters))
         out.discard("")
         return out
@@ -164,7 +173,7 @@ class Decoder:
 
 def features(words: set[str]) -> set[str]:
     """The words and their beginnings of three to six letters."""
-    out = {f"={w}" for w in words if len(w) <= MAX_WORD}
+    out = {f"={w}" for w in words}
     for w in words:
         for k in range(3, min(6, len(w)) + 1):
             out.add(w[:k])

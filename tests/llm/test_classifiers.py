@@ -106,3 +106,14 @@ def test_quality_trains_on_every_unlabelled_document(spark, monkeypatch):
     monkeypatch.setattr(Q, "_fit_view", counted)
     assert Q.co_train(docs, labels) is not None
     assert len(sizes) == 8 and sizes[0] == sizes[1] < 200 and min(sizes[2::2]) > 11_000 and min(sizes[3::2]) > 200
+
+
+@pytest.mark.parametrize("said", ["i" * 30 + "d" * 30 + "iot", "i" * 50 + "diot!", "1" * 45 + "diot"])
+def test_decoder_restores_words_stretched_over_forty_characters(said):
+    d = decoder([" ".join(WORDS * 3), "idiot stupid moron idiots stupidly"])
+    assert "idiot" in d.restored(f"you are an {said}, really")
+
+
+def test_decoder_reads_long_and_short_spelled_words():
+    d = decoder([" ".join(WORDS * 3), "idiot stupid moron fat " + "ab" * 30])
+    assert "fat" in d.restored("so f a t indeed") and "ab" * 30 in d.restored(".".join("ab" * 30))
