@@ -140,7 +140,7 @@ def q_baseline_cv(spark, d):
 
 @query("ensembles", "M9,M8")
 def q_ensembles(spark, d):
-    """Voting (mean of OLS, tree, GBT) and stacking (3-fold OOF → ridge); metrics per split."""
+    """Voting (mean of OLS, tree, GBT) and stacking (5-fold OOF → ridge); metrics per split."""
     data = _data(spark, d)
     train = data.where(F.col("split") == "train")
     est = {"Baseline_LinearRegression": ML.baseline_estimators(1, 0.0, "label")["Baseline_LinearRegression"],
@@ -149,8 +149,8 @@ def q_ensembles(spark, d):
                                                            "label")}
     members = ML.predict_long(ML.fit_all(est, train), data, "row_id", "label").cache()
     vote = ML.voting(members, list(est))
-    folded = data.withColumn("fold", F.pmod(F.xxhash64("row_id"), F.lit(3)))
-    stack = ML.stacking(est, folded, "row_id", "label", "fold", [0, 1, 2])
+    folded = data.withColumn("fold", F.pmod(F.xxhash64("row_id"), F.lit(5)))
+    stack = ML.stacking(est, folded, "row_id", "label", "fold", list(range(5)))
     return _metrics(vote.unionByName(stack).select("row_id", "split", "label", "prediction", "model"))
 
 
@@ -242,7 +242,7 @@ def q_sampled_shap(spark, d):
 
 @query("timeseries_cv", "W4,M7,A16")
 def q_timeseries_cv(spark, d):
-    """Expanding-window CV (5 folds, month order) of OLS and ridge on the
+    """Expanding-window CV (5 folds, month order) of all baselines on the
     training rows: fold i trains on all blocks before its test block."""
     data = _data(spark, d).where(F.col("split") == "train").withColumn(
         "k", S.temporal_key("yr", "mo"))
@@ -250,6 +250,6 @@ def q_timeseries_cv(spark, d):
     st = blocks.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
     est = ML.baseline_estimators(st["n"], st["s"] or 0.0, "label")
     tb = {i: (F.col("block") <= i, F.col("block") == i + 1) for i in range(5)}
-    rows = [(name, f, sc) for name in ("Baseline_LinearRegression", "Baseline_Ridge")
-            for f, sc in enumerate(ML.cv_score(est[name], blocks, "label", "block", range(5), tb))]
+    rows = [(name, f, sc) for name, e in est.items()
+            for f, sc in enumerate(ML.cv_score(e, blocks, "label", "block", range(5), tb))]
     return M.cv_scores(spark.createDataFrame(rows, "model string, fold int, score double"))
