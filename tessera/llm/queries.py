@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, decontaminate, html_extract, line_dedup, near_dedup, packing, pii, quality, sentence_dedup, toxicity
+from . import bm25, decontaminate, fingerprints, html_extract, line_dedup, near_dedup, packing, periodic_runs, pii, quality, sentence_dedup, toxicity
 from .common import load
 
 #: Production parameter of the line dedup: the fewest consecutive lines that make a repeat.
@@ -67,9 +67,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), capacity=1024, end_id=2, vocabulary="byte_bpe_50k.json")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of at least 24 words and three periods in all documents, one in ten made periodic first."""
+    return periodic_runs.periodic_runs(load(spark, sf_dir, "documents"), least_words=24, retell=True)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and of their edited texts; near rows of those whose id is divisible by 100."""
+    return fingerprints.fingerprint_documents(load(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0, radius=7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_cotraining, op2_line_dedup, op3_decontamination, op4_html_extraction, op5_bm25_topk,
-                                    op6_personal_data, op7_minhash_near_dedup, op8_toxicity, op9_sentence_dedup, op10_best_fit_packing)}
+                                    op6_personal_data, op7_minhash_near_dedup, op8_toxicity, op9_sentence_dedup, op10_best_fit_packing,
+                                    op12_periodic_runs, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
