@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, decontaminate, fingerprints, html_extract, line_dedup, near_dedup, packing, periodic_runs, pii, quality, sentence_dedup, toxicity
+from . import bm25, decontaminate, fingerprints, html_extract, line_dedup, near_dedup, packing, periodic_runs, pii, prefix_trie, quality, sentence_dedup, toxicity
 from .common import load
 
 #: Production parameter of the line dedup: the fewest consecutive lines that make a repeat.
@@ -67,6 +67,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), capacity=1024, end_id=2, vocabulary="byte_bpe_50k.json")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations with their subtree totals."""
+    return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of at least 24 words and three periods in all documents, one in ten made periodic first."""
     return periodic_runs.periodic_runs(load(spark, sf_dir, "documents"), least_words=24, retell=True)
@@ -80,10 +85,11 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_cotraining, op2_line_dedup, op3_decontamination, op4_html_extraction, op5_bm25_topk,
                                     op6_personal_data, op7_minhash_near_dedup, op8_toxicity, op9_sentence_dedup, op10_best_fit_packing,
-                                    op12_periodic_runs, op13_fingerprints)}
+                                    op11_prefix_trie, op12_periodic_runs, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; the others are tested against brute force."""
     return {"op2_line_dedup": line_dedup.ORACLE.replace("{run}", str(RUN_LINES)),
-            "op3_decontamination": decontaminate.ORACLE, "op5_bm25_topk": bm25.ORACLE}
+            "op3_decontamination": decontaminate.ORACLE, "op5_bm25_topk": bm25.ORACLE,
+            "op11_prefix_trie": prefix_trie.ORACLE}
