@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded, ship_package
 
 #: Where a sentence starts: after .!? and white space, after a line end, or at a capital after a word without end mark.
-_START = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=[^\W\d_A-ZÀ-ÖØ-Þ])[ \t]+(?=[A-ZÀ-ÖØ-Þ])")
+#: A run of blanks is tried once, from its start, so its length counts once.
+_START = re.compile(r"(?<=[.!?])\s++|(?<!\s)(?=[^\S\n]*+\n)\s++|(?<=[^\W\d_A-ZÀ-ÖØ-Þ])[ \t]++(?=[A-ZÀ-ÖØ-Þ])")
 #: Up to this many rows a table of hashes or spans is broadcast (about 32 MB); beyond it, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -26,6 +27,13 @@ def test_sentences_start_after_marks_lines_and_at_pasted_capitals():
     assert S.sentences(" \n ") == []
 
 
+def test_long_runs_of_blanks_take_time_in_proportion():
+    for blanks in (" " * 1_000_000, "\t" * 1_000_000, " \n" * 500_000, "\x0b" * 1_000_000):
+        start = time.perf_counter()
+        assert S.sentences(f"one{blanks}two") in ([(0, 1_000_006)], [(0, 3), (1_000_003, 1_000_006)])
+        assert time.perf_counter() - start < 1
+
+
 def brute_force(rows, limits):
     """Every span looked up among all earlier ones, in order of doc_id and place."""
     seen, out = {}, {}
