@@ -14,6 +14,7 @@ next level, until one shard is left.
 from __future__ import annotations
 
 import base64
+import json
 import math
 import os
 import random
@@ -50,6 +51,10 @@ class Encoder:
     def __init__(self, vocabulary: str):
         self.path = path = _resolve(vocabulary)
         self.slow = self.fast = None
+        # Texts that hold an added token (its id stands for the whole of it) go through ``tokenizers``.
+        with open(path, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        self.unusual = re.compile("|".join([_UNUSUAL.pattern, *map(re.escape, added)]))
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -60,13 +65,12 @@ class Encoder:
                                           special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast and not _UNUSUAL.search(text):
+        if self.fast and not self.unusual.search(text):
             return self.fast.encode_ordinary(text)
         if self.slow is None:  # only where it is needed: it takes more memory
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
 

@@ -14,9 +14,7 @@ TEXTS = ["", None, "Hello world", "Ünïcödé – “quotes” 你好 🙂", "a
 def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(text):
@@ -62,7 +60,9 @@ def test_encoders_agree_on_ordinary_and_odd_texts():
     encode = P.Encoder("byte_bpe_50k.json")
     rng = random.Random(1)
     pool = [chr(c) for r in ((9, 14), (28, 127), (160, 592), (0x400, 0x410), (0x2000, 0x2010)) for c in range(*r)]
-    for text in [t or "" for t in TEXTS] + ["".join(rng.choices(pool + [" ", "a", "'s"] * 40, k=60)) for _ in range(300)]:
+    marked = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext", "é<|endoftext|>\n"]
+    assert 50256 in encode(marked[0])
+    for text in marked + [t or "" for t in TEXTS] + ["".join(rng.choices(pool + [" ", "a", "'s"] * 40, k=60)) for _ in range(300)]:
         assert encode(text) + [2] == ids_of(text)
 
 
