@@ -59,9 +59,10 @@ def _numbered(conversations: DataFrame, scratch: Scratch) -> tuple[DataFrame, Da
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     said = F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text)
-    rows = conversations.where("conv_id is not null").select(
+    # Written before the sort, which reads its input twice: texts are read once.
+    rows = scratch.write(conversations.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), role.alias("_role"), _digest(said).alias("h"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("w"))
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("w")), "digests")
     order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("_role"), F.col("h")]
     at = F.monotonically_increasing_id()
     turns = scratch.write(rows.orderBy(*order).select("conv_id", "h", "w", at.alias("place"))
