@@ -96,6 +96,15 @@ def counts_long(df: DataFrame, entity_col: str, category_col: str, entities: Dat
             .withColumn("n", F.coalesce("n", F.lit(0))))
 
 
+def count_names(categories: list, prefix: str, suffix: str) -> dict:
+    """The column of each category; categories that only differ in replaced characters get a number."""
+    names: dict = {}
+    for c in categories:
+        name = f"{prefix}_{safe_name(c)}_{suffix}"
+        names[str(c)] = name if name not in names.values() else f"{name}_{sum(n.startswith(name) for n in names.values())}"
+    return names
+
+
 def counts_wide(df: DataFrame, entity_col: str, category_col: str, categories: list,
                 prefix: str = "POI", suffix: str = "count",
                 entities: DataFrame | None = None) -> DataFrame:
@@ -111,10 +120,7 @@ def counts_wide(df: DataFrame, entity_col: str, category_col: str, categories: l
               .groupBy(entity_col)
               .pivot(category_col, categories)
               .agg(F.count(F.lit(1))))
-    names: dict = {}
-    for c in categories:  # categories that only differ in replaced characters get a number
-        name = f"{prefix}_{safe_name(c)}_{suffix}"
-        names[str(c)] = name if name not in names.values() else f"{name}_{sum(n.startswith(name) for n in names.values())}"
+    names = count_names(categories, prefix, suffix)
     wide = wide.select(entity_col, *[F.col(f"`{str(c)}`").alias(names[str(c)]) for c in categories])
     if entities is not None:
         wide = entities.select(entity_col).join(wide, on=entity_col, how="left")

@@ -1,5 +1,5 @@
-"""Spatial joins: point-in-polygon counts per category (J3 + J5) and the
-"inside any zone" flag (J4), with no cartesian product.
+"""Spatial joins: the (point, polygon) pairs and the "inside any zone" flag (J4),
+with no cartesian product.  Counts by category (J3 + J5) are in ``cell_counts``.
 
 Multi-level grid: a polygon with bounding-box extent e goes to the level L
 whose cell size ``s0 * 2**L`` is at least e, so it covers at most 2 × 2 cells
@@ -70,8 +70,10 @@ def _even_odd(px, py, row, x1, y1, x2, y2, n):
     return (n_cross.astype(np.int64) % 2 == 1) & (n_edge == 0)
 
 
-def exact_inside(cand: DataFrame, x_col: str, y_col: str, packed) -> DataFrame:
-    """Candidate rows whose point is strictly inside their polygon (``__pid``)."""
+def exact_inside(cand: DataFrame, x_col: str, y_col: str, packed, keep: list[str] | None = None) -> DataFrame:
+    """Candidate rows whose point is strictly inside their polygon (``__pid``); only the ``keep`` columns if given."""
+    keep = keep or cand.columns
+
     def run(batches):
         numbers, offs, (cx1, cy1, cx2, cy2) = packed.value
         for b in batches:
@@ -84,10 +86,10 @@ def exact_inside(cand: DataFrame, x_col: str, y_col: str, packed) -> DataFrame:
             first = np.repeat(start - np.concatenate([[0], np.cumsum(cnt)[:-1]]), cnt) if n else start
             e = first + np.arange(len(row))
             inside = _even_odd(px, py, row, cx1[e], cy1[e], cx2[e], cy2[e], n)
-            yield b.filter(pa.array(inside, type=pa.bool_()))
+            yield b.select(keep).filter(pa.array(inside, type=pa.bool_()))
     # Only the hits travel back to the JVM.
     ship_package(cand.sparkSession)
-    return cand.mapInArrow(run, cand.schema)
+    return cand.mapInArrow(run, cand.select(*keep).schema)
 
 
 def base_cell_size(prepared: DataFrame) -> float:
@@ -144,18 +146,6 @@ def points_in_polygons(points: DataFrame, x_col: str, y_col: str, polys: DataFra
     return out
 
 
-def category_counts_in_polygons(points: DataFrame, x_col: str, y_col: str, category_col: str,
-                                polys: DataFrame, poly_id: str, wkt_col: str, categories: list,
-                                prefix: str = "POI") -> DataFrame:
-    """J3 + J5: per polygon, the number of points of each category inside it,
-    one ``{prefix}_{category}_count`` column per category, zeros kept."""
-    from .relational import counts_wide
-    pairs = points_in_polygons(points.select(x_col, y_col, category_col), x_col, y_col,
-                               polys, poly_id, wkt_col)
-    return counts_wide(pairs, poly_id, category_col, categories, prefix=prefix,
-                       entities=polys.select(poly_id))
-
-
 def inside_any(points: DataFrame, point_id: str, x_col: str, y_col: str, zones: DataFrame,
                zone_id: str, wkt_col: str, out_col: str = "in_zone") -> DataFrame:
     """1 when the point lies strictly inside at least one zone, else 0."""

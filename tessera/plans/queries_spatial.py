@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import spatial as G
+from ..operators.cell_counts import category_counts_in_polygons
 from ..operators.relational import distinct_categories
 from ..session import load
 from .queries_relational import _EVENT_TYPES
@@ -80,7 +81,7 @@ FROM p LEFT JOIN hits h USING (parcel_id) GROUP BY p.parcel_id""")
 def q_point_in_polygon_counts(spark, d):
     pts = pois(spark, d)
     cats = distinct_categories(pts, "event_type")
-    return G.category_counts_in_polygons(pts, "x", "y", "event_type", parcels(spark, d),
+    return category_counts_in_polygons(pts, "x", "y", "event_type", parcels(spark, d),
                                          "parcel_id", "isodistance", cats)
 
 
