@@ -123,8 +123,8 @@ class ConstantColumns:
 
     def fit(self, df: DataFrame, exclude: Sequence[str] = ()) -> ConstantColumnsModel:
         cols = [c for c in df.columns if c not in exclude]
-        rows = [r.asDict() for r in P.value_profile(df, cols).collect()]
-        const = [r["column"] for r in rows if r["top_share"] >= self.threshold]
+        rows = [r.asDict() for r in P.frequent_values(df, cols, self.threshold).collect()] if cols else []
+        const = [r["column"] for r in rows]
         return ConstantColumnsModel(self.threshold, [c for c in cols if c in const], rows)
 
 

@@ -10,7 +10,6 @@ every task instead of landing in one.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import parse_number
+from .contingency import contingency
+from .gram import pearson_pairs
 
 # Aggregate expressions per job: hundreds of expressions in one ``agg`` exceed
 # the JVM method-size limits of whole-stage codegen.
@@ -91,10 +92,10 @@ def value_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 
     All columns go through one ``groupBy(column, value).count()`` over the
     unpivoted cells — a single shuffle of distinct cells whatever the width.
-    Ties for the modal value pick the smallest text (nulls sort first).
+    Ties for the modal value pick the smallest text (nulls sort first); NaN is null.
     """
     cols = list(cols or df.columns)
-    cells = _unpivot(df, cols, "string").withColumn(
+    cells = _unpivot(nan_to_null(df), cols, "string").withColumn(
         "value", F.coalesce(F.col("value"), F.lit(NULL_TOKEN)))
     counts = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     prof = counts.groupBy("column").agg(
@@ -110,10 +111,51 @@ def value_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         "n_rows")
 
 
+#: Items that a frequency sketch tracks; a share above a few thousandths is never missed.
+TRACKED = 1024
+
+
+def frequent_values(df: DataFrame, cols: Sequence[str] | None = None, least_share: float = 0.5,
+                    columns_per_job: int = 60) -> DataFrame:
+    """Columns whose most frequent value covers at least ``least_share`` of the rows, without a shuffle of cells.
+
+    (column, top_count, top_share, top_value, n_rows); null counts as a value, NaN is
+    null, and of equally frequent values the smallest text wins (null first).  A
+    mergeable frequency sketch over the hashes of the values proposes candidates, its
+    estimates never fall below the truth; one pass then counts the candidates exactly.
+    """
+    cols = list(cols or df.columns)
+    least_share = max(least_share, 8 / TRACKED)
+    text = nan_to_null(df).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL_TOKEN)).alias(f"v{i}")
+                                    for i, c in enumerate(cols)])
+    text = text.select("*", *[F.xxhash64(f"v{i}").alias(f"h{i}") for i in range(len(cols))])
+    jobs = [range(k, min(len(cols), k + columns_per_job)) for k in range(0, len(cols), columns_per_job)]
+    found = []
+    for mine in jobs:
+        most = int(1 / least_share) + 1
+        row = text.agg(F.count(F.lit(1)).alias("n"),
+                       *[F.expr(f"approx_top_k(h{i}, {most}, {TRACKED})").alias(f"k{i}") for i in mine]).first()
+        asked = [(i, item[0]) for i in mine for item in row[f"k{i}"] if item["count"] >= least_share * row.n]
+        if not asked:
+            continue
+        hit = {k: F.col(f"h{i}") == h for k, (i, h) in enumerate(asked)}
+        exact = text.agg(*[f(F.when(hit[k], F.col(f"v{i}"))).alias(f"{n}{k}") for k, (i, _) in enumerate(asked)
+                           for n, f in (("n", F.count), ("low", F.min), ("high", F.max))]).first()
+        best: dict[int, tuple] = {}
+        for k, (i, _) in enumerate(asked):
+            n, value = exact[f"n{k}"], exact[f"low{k}"]
+            if value != exact[f"high{k}"]:  # two values with one hash
+                r = value_profile(df, [cols[i]]).first()
+                n, value = round(r.top_share * r.n_rows), NULL_TOKEN if r.top_value is None else r.top_value
+            if n >= least_share * row.n:
+                best[i] = min(best.get(i, (-n, value)), (-n, value))
+        found += [(cols[i], -n, -n / row.n, None if value == NULL_TOKEN else value, row.n) for i, (n, value) in sorted(best.items())]
+    return df.sparkSession.createDataFrame(found, "column string, top_count long, top_share double, top_value string, n_rows long")
+
+
 def constant_columns(df: DataFrame, threshold: float = 0.95, exclude: Sequence[str] = ()) -> DataFrame:
     """C2 fit: columns whose most frequent value covers ``>= threshold`` of rows."""
-    cols = [c for c in df.columns if c not in exclude]
-    return value_profile(df, cols).where(F.col("top_share") >= threshold)
+    return frequent_values(df, [c for c in df.columns if c not in exclude], threshold)
 
 
 # --------------------------------------------------------------------------- F2
@@ -136,27 +178,6 @@ def conversion_rates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 
 
 # --------------------------------------------------------------------------- A12
-def pearson_pairs(df: DataFrame, cols: Sequence[str]) -> list[tuple[str, str, float | None]]:
-    """Pairwise-complete Pearson r for every pair (i < j) of ``cols``.
-
-    r = covar_pop(a, b) / (stddev_pop(a | b present) * stddev_pop(b | a present)):
-    Spark's moment aggregates are numerically stable, skip rows with a null on
-    either side, and ``try_divide`` makes a constant column give null instead
-    of an ANSI error.  Pairs are evaluated in bounded-size jobs.
-    """
-    cols = list(cols)
-    pairs = list(itertools.combinations(range(len(cols)), 2))
-    exprs = []
-    for i, j in pairs:
-        a, b = F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")
-        both = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
-        am, bm = F.when(both, a), F.when(both, b)
-        exprs.append(F.try_divide(F.covar_pop(am, bm),
-                                  F.stddev_pop(am) * F.stddev_pop(bm)).alias(f"r_{i}_{j}"))
-    res = _chunked_agg(df, exprs, MAX_AGGS_PER_JOB // 3)
-    return [(cols[i], cols[j], res[f"r_{i}_{j}"]) for i, j in pairs]
-
-
 def pearson_pairs_df(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     rows = pearson_pairs(df, cols)
     return df.sparkSession.createDataFrame(
@@ -179,22 +200,6 @@ def pearson_drop_list(pairs: list[tuple[str, str, float | None]], order: Sequenc
 
 
 # --------------------------------------------------------------------------- A13
-def contingency(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Cell counts for every column pair: ``(c1, c2, a, b, n)``; nulls dropped.
-
-    Each row contributes one cell per pair; the explode feeds a map-side
-    partial aggregate, so only distinct cells per task reach the shuffle.
-    """
-    cols = list(cols)
-    pairs = list(itertools.combinations(cols, 2))
-    cells = F.array(*[F.struct(F.lit(x).alias("c1"), F.lit(y).alias("c2"),
-                               F.col(x).cast("string").alias("a"),
-                               F.col(y).cast("string").alias("b")) for x, y in pairs])
-    return (df.select(F.inline(cells))
-              .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-              .groupBy("c1", "c2", "a", "b").agg(F.count(F.lit(1)).alias("n")))
-
-
 def cramers_v_from_cells(cells: DataFrame) -> DataFrame:
     """Bias-corrected Cramér's V per pair from cell counts.
 
