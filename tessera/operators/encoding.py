@@ -70,6 +70,28 @@ def cardinality_routing(df: DataFrame, cols: Sequence[str] | None = None,
         "column string, n_unique long, method string")
 
 
+def cardinality_classes(df: DataFrame, cols: Sequence[str] | None = None, low: int = LOW_CARD,
+                        high: int = HIGH_CARD, columns_per_job: int = 60) -> dict:
+    """The route of every text column, without a shuffle of cells.
+
+    One pass counts the distinct values of all columns by sketch (HyperLogLog, 2 %).
+    Columns that are clearly above ``high`` are settled; for the others, which have
+    few values, a second pass collects the values themselves and counts them exactly.
+    """
+    cols = list(cols) if cols is not None else P.string_columns(df)
+
+    def job(make, names):
+        out = {}
+        for k in range(0, len(names), columns_per_job):
+            mine = names[k:k + columns_per_job]
+            row = df.agg(*[make(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(mine)]).first()
+            out |= {c: row[f"c{i}"] for i, c in enumerate(mine)}
+        return out
+    about = job(lambda c: F.approx_count_distinct(c, 0.02), cols)
+    exact = job(lambda c: F.size(F.collect_set(c)), [c for c in cols if about[c] <= 1.25 * high])
+    return {c: route(exact.get(c, about[c]), low, high) for c in cols}
+
+
 # --------------------------------------------------------------------------- C6a
 @dataclass
 class OneHotModel:
@@ -77,9 +99,9 @@ class OneHotModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``{col}_{level}`` booleans; null → all false; the source column is replaced."""
-        out_cols = [F.col(c) for c in df.columns if c not in self.levels]
+        out_cols = [F.col(f"`{c}`") for c in df.columns if c not in self.levels]
         for c, levels in self.levels.items():
-            out_cols += [F.coalesce(F.col(c) == F.lit(lv), F.lit(False)).alias(f"{c}_{lv}")
+            out_cols += [F.coalesce(F.col(f"`{c}`") == F.lit(lv), F.lit(False)).alias(f"{c}_{lv}")
                          for lv in levels]
         return df.select(*out_cols)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import parse_number
+from ..session import cut_lineage
 from .contingency import contingency
 from .gram import pearson_pairs
 
@@ -231,7 +232,8 @@ def cramers_v_from_cells(cells: DataFrame) -> DataFrame:
 
 
 def cramers_v_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return cramers_v_from_cells(contingency(df, cols))
+    # The cells are read four times; they are counted once.
+    return cramers_v_from_cells(cut_lineage(contingency(df, cols)))
 
 
 def recommended_removals(pairs: list, n_unique: dict, threshold: float,

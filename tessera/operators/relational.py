@@ -151,24 +151,49 @@ def equal_and_present(df: DataFrame, left: str, right: str, present: Sequence[st
 
 
 # --------------------------------------------------------------------------- J2
+#: Rows of one key up to which they are held as one array; a crowded key is joined state by state.
+KEY_ROWS = 10_000
+
+
 def state_conditioned_join(facts: DataFrame, values: DataFrame, keys: Sequence[str],
                            state_col: str, required: tuple[str, str],
                            optional: Sequence[tuple[str, str]], value_cols: Sequence[str],
-                           prefix: str = "OV") -> DataFrame:
+                           prefix: str = "OV", key_rows: int = KEY_ROWS) -> DataFrame:
     """Join one value row per state: the required state inner, the others left.
 
     ``required`` / ``optional`` are (state value, column suffix) pairs; each
-    value column comes out as ``{prefix}_{col}_{suffix}``.  Written as one join
-    per state so duplicate (keys, state) rows fan out exactly as the SQL does;
-    the joins share keys, so the fact side is exchanged once and reused.
+    value column comes out as ``{prefix}_{col}_{suffix}``.  One aggregation holds
+    the rows of each state of a key as arrays, one join brings them to the facts, and
+    the arrays are opened one after the other (the optional ones keep a fact without
+    rows), so duplicate (keys, state) rows fan out exactly as a join for each state.
+    Arrays hold at most ``key_rows`` rows of a key; the few keys with more are joined
+    state by state, where Spark splits them.  A null key matches nothing.
     """
-    keys = list(keys)
-    out = facts
+    keys, states = list(keys), [required, *optional]
+    used = values.where(F.col(state_col).isin(*[v for v, _ in states])).select(*keys, state_col, *value_cols)
+    crowded = used.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > key_rows).select(*keys)
+    row = F.struct(*value_cols)
+    rest = used if (plain := crowded.isEmpty()) else used.join(F.broadcast(crowded), keys, "left_anti")
+    packed = rest.groupBy(*keys).agg(*[F.collect_list(F.when(F.col(state_col) == F.lit(v), row)).alias(f"__s{i}")
+                                       for i, (v, _) in enumerate(states)])
+    out = facts.join(packed.where(F.size("__s0") > 0), on=keys, how="inner")
+    for i, (_, suffix) in enumerate(states):
+        opened = F.explode(f"__s{i}") if i == 0 else F.explode_outer(f"__s{i}")
+        out = out.withColumn(f"__r{i}", opened).drop(f"__s{i}")
+    out = out.select(*_all(out, without=[f"__r{i}" for i in range(len(states))]),
+                     *[F.col(f"__r{i}").getField(c).alias(f"{prefix}_{c}_{s}") for i, (_, s) in enumerate(states) for c in value_cols])
+    if plain:
+        return out
+    few = facts.join(F.broadcast(crowded), keys, "left_semi")
     for (state, suffix), how in [(required, "inner")] + [(o, "left") for o in optional]:
-        side = (values.where(F.col(state_col) == F.lit(state))
-                      .select(*keys, *[F.col(c).alias(f"{prefix}_{c}_{suffix}") for c in value_cols]))
-        out = out.join(side, on=keys, how=how)
-    return out
+        side = (used.where(F.col(state_col) == F.lit(state)).join(F.broadcast(crowded), keys, "left_semi")
+                .select(*keys, *[F.col(c).alias(f"{prefix}_{c}_{suffix}") for c in value_cols]))
+        few = few.join(side, on=keys, how=how)
+    return out.unionByName(few.select(*out.columns))
+
+
+def _all(df: DataFrame, without: Sequence[str]) -> list:
+    return [F.col(f"`{c}`") for c in df.columns if c not in without]
 
 
 # --------------------------------------------------------------------------- P3

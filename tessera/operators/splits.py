@@ -18,6 +18,7 @@ for positions to be well defined (Q14).
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,6 +28,7 @@ from pyspark.sql.types import ByteType, IntegerType, LongType, NumericType, Shor
 
 BUCKETS = 4096
 _CHUNK = 6  # bytes of a string that one 48-bit key holds
+_LAST = 2 ** 63 - 1  # stands for null, after every other value
 
 
 def order_keys(df: DataFrame, cols: Sequence[str]) -> list[Column]:
@@ -34,21 +36,23 @@ def order_keys(df: DataFrame, cols: Sequence[str]) -> list[Column]:
 
     Integers and floating-point numbers stand for themselves, dates and
     timestamps for their microseconds, strings for their bytes, six at a time.
+    Nulls (and NaN) come last.
     """
     out = []
     for c in cols:
         t = df.schema[c].dataType
         if isinstance(t, (ByteType, ShortType, IntegerType, LongType)):
-            out.append(F.col(c).cast("long"))
+            out.append(F.coalesce(F.col(c).cast("long"), F.lit(_LAST)))
         elif isinstance(t, NumericType):
-            out.append(F.col(c).cast("double"))
+            v = F.col(c).cast("double")
+            out.append(F.coalesce(F.when(~F.isnan(v), v), F.lit(sys.float_info.max)))
         elif isinstance(t, StringType):
             raw = F.encode(F.col(c), "UTF-8")
             longest = df.agg(F.max(F.octet_length(c))).first()[0] or 0
-            out += [F.conv(F.rpad(F.hex(F.substring(raw, 1 + i, _CHUNK)), 2 * _CHUNK, "0"), 16, 10).cast("long")
+            out += [F.when(F.col(c).isNull(), F.lit(_LAST)).otherwise(F.conv(F.rpad(F.hex(F.substring(raw, 1 + i, _CHUNK)), 2 * _CHUNK, "0"), 16, 10).cast("long"))
                     for i in range(0, max(1, longest), _CHUNK)]
         else:
-            out.append(F.unix_micros(F.col(c).cast("timestamp")))
+            out.append(F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(_LAST)))
     return out
 
 

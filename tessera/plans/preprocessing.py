@@ -26,6 +26,7 @@ from ..operators import encoding as E
 from ..operators import outliers as O
 from ..operators import profile as P
 from ..operators import splits as S
+from ..operators.relational import safe_name
 from ..operators.scaling import LogTarget, PCAReduction, StandardScaling
 from ..session import cut_lineage
 
@@ -66,6 +67,19 @@ class PrepConfig:
         return self.steps.get(name, True)
 
 
+def _plain_names(df: DataFrame) -> DataFrame:
+    """Columns named after levels with a dot or a backtick (which later steps cannot name) under plain names."""
+    names: list[str] = []
+    for c in df.columns:
+        plain = safe_name(c).replace("`", "_") if "." in c or "`" in c else c
+        taken = {x.lower() for x in [*names, *[d for d in df.columns if d != c]]}
+        k = 1
+        while (name := plain if k == 1 else f"{plain}_{k}").lower() in taken:
+            k += 1
+        names.append(name)
+    return df.toDF(*names)
+
+
 def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
     """Run the flow; returns the prepared table and a report of every fit."""
     info: dict = {"timings": {}}
@@ -108,13 +122,12 @@ def prepare(df: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, dict]:
     text = P.string_columns(out, protected + ["split"])
     target_cols = []
     if cfg.on("advanced_encoding") and text:
-        nu = E.cardinality(fit_rows, text)
-        routes = {c: E.route(nu[c], cfg.low_card, cfg.high_card) for c in text}
+        routes = E.cardinality_classes(fit_rows, text, cfg.low_card, cfg.high_card)
         onehot = [c for c, r in routes.items() if r == "one_hot"]
         label = [c for c, r in routes.items() if r == "label"]
         target_cols = [c for c, r in routes.items() if r == "target"]
         if onehot:
-            out = E.OneHot().fit(fit_rows, onehot).transform(out)
+            out = _plain_names(E.OneHot().fit(fit_rows, onehot).transform(out))
         if label:
             out = E.LabelEncoding(unseen=-1).fit(fit_rows, label).transform(out)
         info["encoding"] = routes

@@ -234,6 +234,31 @@ def q_constant_columns(spark, d):
     return const.select("column", rnd("top_share", 6).alias("top_share"))
 
 
+def _missing_input(spark, d):
+    """A number that is mostly NaN or null, a text that is half null, and columns without a frequent value."""
+    p = load(spark, d, "part")
+    k = F.col("p_partkey")
+    return p.select(F.when(k % 3 == 0, F.lit(float("nan"))).when(k % 3 == 1, None).otherwise(F.col("p_retailprice")).alias("gap"),
+                    F.when(k % 2 == 0, None).otherwise(F.col("p_brand")).alias("half"),
+                    F.when(k % 5 < 2, F.lit("low")).otherwise(F.lit("high")).alias("side"), "p_type", "p_partkey")
+
+
+@query("frequent_values", "A6,C2", oracle="""
+WITH t AS (SELECT CASE WHEN p_partkey % 3 < 2 THEN NULL ELSE p_retailprice END AS gap,
+   CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE p_brand END AS half,
+   CASE WHEN p_partkey % 5 < 2 THEN 'low' ELSE 'high' END AS side, p_type, p_partkey FROM part),
+cells AS (SELECT 'gap' AS column, NULL AS value, count(*) AS n FROM t WHERE gap IS NULL
+  UNION ALL SELECT 'half', half, count(*) FROM t GROUP BY half
+  UNION ALL SELECT 'side', side, count(*) FROM t GROUP BY side
+  UNION ALL SELECT 'p_type', p_type, count(*) FROM t GROUP BY p_type),
+rk AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value ASC NULLS FIRST) AS rn FROM cells)
+SELECT "column", n AS top_count, """ + sql_rnd("n / (SELECT count(*) FROM t)", 6) + """ AS top_share, value AS top_value,
+       (SELECT count(*) FROM t) AS n_rows
+FROM rk WHERE rn = 1 AND n >= 0.3 * (SELECT count(*) FROM t)""")
+def q_frequent_values(spark, d):
+    return P.frequent_values(_missing_input(spark, d), least_share=0.3).withColumn("top_share", rnd("top_share", 6))
+
+
 # --------------------------------------------------------------------------- A12 / C5
 _NUM_COLS = ["qty", "price", "disc", "tax", "qty2"]
 
@@ -266,6 +291,22 @@ def q_pearson_pairs(spark, d):
     return pairs.withColumn("r", rnd("r", 6))
 
 
+_WIDE = 40
+
+
+@query("pearson_wide", "A12", oracle=f"""
+WITH m AS (SELECT id, list(CASE WHEN (l_orderkey + k) % 11 > 0 THEN l_quantity * (k % 5 + 1) + (l_partkey * (k + 3)) % 97 END ORDER BY k) AS v
+      FROM (SELECT *, row_number() OVER () AS id FROM lineitem), (SELECT unnest(range(0, {_WIDE})) AS k) GROUP BY id)
+SELECT 'c' || a.k AS column1, 'c' || b.k AS column2, {sql_rnd('corr(v[a.k + 1], v[b.k + 1])', 6)} AS r
+FROM (SELECT unnest(range(0, {_WIDE})) AS k) AS a JOIN (SELECT unnest(range(0, {_WIDE})) AS k) AS b ON a.k < b.k, m
+GROUP BY a.k, b.k""")
+def q_pearson_wide(spark, d):
+    li = load(spark, d, "lineitem")
+    cols = [F.when((F.col("l_orderkey") + k) % 11 > 0, F.col("l_quantity") * (k % 5 + 1) + (F.col("l_partkey") * (k + 3)) % 97)
+            .alias(f"c{k}") for k in range(_WIDE)]
+    return P.pearson_pairs_df(li.select(*cols), [f"c{k}" for k in range(_WIDE)]).withColumn("r", rnd("r", 6))
+
+
 @query("pearson_drop_list", "C5", oracle=_NUM_SQL + " SELECT DISTINCT column2 AS column FROM pr WHERE abs(r) > 0.95")
 def q_pearson_drop_list(spark, d):
     from ..operators.cleaning import CorrelationPruning
@@ -314,6 +355,22 @@ def q_cramers_v_pairs(spark, d):
     return v.select("c1", "c2", rnd("chi2", 4).alias("chi2"), rnd("cramers_v", 6).alias("cramers_v"), "n")
 
 
+_CELL_COLS = ["flag", "line", "month", "supplier"]
+
+
+@query("contingency_cells", "A13", oracle="""
+WITH t AS (SELECT CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE l_returnflag END AS flag, CAST(l_linenumber AS VARCHAR) AS line,
+                  CAST(month(l_shipdate) AS VARCHAR) AS month, 's' || (l_partkey % 1000) AS supplier FROM lineitem)
+""" + " UNION ALL ".join(f"SELECT '{a}' AS c1, '{b}' AS c2, {a} AS a, {b} AS b, count(*) AS n FROM t "
+                        f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}" for a, b in itertools.combinations(_CELL_COLS, 2)))
+def q_contingency_cells(spark, d):
+    li = load(spark, d, "lineitem")
+    return P.contingency(li.select(
+        F.when(F.col("l_partkey") % 9 == 0, None).otherwise(F.col("l_returnflag")).alias("flag"),
+        F.col("l_linenumber").cast("string").alias("line"), F.month("l_shipdate").cast("string").alias("month"),
+        F.concat(F.lit("s"), F.col("l_partkey") % 1000).alias("supplier")), _CELL_COLS)
+
+
 @query("target_correlations", "A14", oracle=_NUM_SQL.split(",\npr AS")[0] + " " + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {sql_rnd(f'covar_pop(coalesce({c}, 0), price) / NULLIF(stddev_pop(coalesce({c}, 0)) * stddev_pop(price), 0)', 6)} AS r FROM t"
     for c in ["qty", "disc", "tax", "qty2"]))

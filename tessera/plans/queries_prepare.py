@@ -32,6 +32,16 @@ def q_cardinality_routing(spark, d):
     return E.cardinality_routing(_route_input(spark, d), _ROUTE_COLS)
 
 
+@query("cardinality_classes", "C6", oracle=" UNION ALL ".join(
+    f"SELECT '{c}' AS column, CASE WHEN count(DISTINCT {e}) < 10 THEN 'one_hot' WHEN count(DISTINCT {e}) < 100 THEN 'target' "
+    f"ELSE 'label' END AS method FROM part"
+    for c, e in [("p_name", "p_name"), ("p_brand", "p_brand"), ("p_type", "p_type"),
+                 ("code", "CAST(p_partkey AS VARCHAR)"), ("size_txt", "CAST(p_size AS VARCHAR)")]))
+def q_cardinality_classes(spark, d):
+    """Routes by sketch, with exact counts near the limits only."""
+    return spark.createDataFrame(list(E.cardinality_classes(_route_input(spark, d), _ROUTE_COLS).items()), "column string, method string")
+
+
 # --------------------------------------------------------------------------- C6a
 # Order priorities of the driver's orders table (oracle only; the
 # Spark side finds the levels itself).

@@ -145,6 +145,21 @@ def q_state_value_join(spark, d):
                       *[rnd(c, 4).alias(c) for c in vals])
 
 
+@query("state_value_fan_out", "J2", oracle="""
+SELECT o.o_orderkey, o.o_orderstatus, """ + ", ".join(f"{a}.{v} AS OV_{v}_{s}" for a, s in
+                                                    [("n", "normal"), ("a", "best"), ("r", "poor")] for v in ("l_quantity", "l_tax")) + """
+FROM orders o
+  JOIN lineitem n ON n.l_orderkey = o.o_orderkey AND n.l_returnflag = 'N'
+  LEFT JOIN lineitem a ON a.l_orderkey = o.o_orderkey AND a.l_returnflag = 'A'
+  LEFT JOIN lineitem r ON r.l_orderkey = o.o_orderkey AND r.l_returnflag = 'R'
+""")
+def q_state_value_fan_out(spark, d):
+    """Several value rows of one key and state: every combination comes out."""
+    values = load(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    facts = load(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return R.state_conditioned_join(facts, values, ["o_orderkey"], "l_returnflag", value_cols=["l_quantity", "l_tax"], **_VALUE_STATES)
+
+
 def _incomplete(spark, d, null_key: bool):
     li = load(spark, d, "lineitem")
     area = F.when(F.col("l_partkey") % 13 == 0, None).otherwise(F.col("l_quantity"))

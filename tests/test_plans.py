@@ -9,7 +9,7 @@ from tessera.plans.registry import all_queries
 PYTHON_NODES = ["BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow",
                 "FlatMapGroupsInPandas", "PythonMapInArrow"]
 # Operators that run Python in Arrow-batched tasks by design.
-PYTHON_ALLOWED = {"point_in_polygon_counts", "inside_any_zone", "knn_regress",
+PYTHON_ALLOWED = {"point_in_polygon_counts", "inside_any_zone", "knn_regress", "contingency_cells",
                   "isolation_forest", "outliers_vote_forest", "outliers_by_category_forest",
                   "permutation_importance", "importance_compare", "prepared_dataset",
                   "training_report"}

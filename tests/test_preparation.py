@@ -62,3 +62,24 @@ def test_nan_is_missing(spark, how, fill):
     assert out == [1.0, 1.0, 4.0] + [fill] * 4
     m = StandardScaling().fit(df, ["x"])
     assert m.means["x"] == 2.0 and m.scales["x"] == pytest.approx(np.std([1, 1, 4]))
+
+
+def test_flow_takes_levels_with_dots_backticks_and_blanks(spark):
+    levels = ["b.c", "b_c", "d`e", "f g", "B.C"]
+    rows = [(i, 2018 + i // 60, i % 12 + 1, levels[i % 5], float(i % 17), float(100 + i % 23)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, yr int, mo int, k string, x double, y double")
+    out, info = prepare(df, PrepConfig(target="y", row_id="id", year_col="yr", month_col="mo", outliers=False,
+                                       steps={"cramers_analysis": False, "correlation_removal": False}))
+    assert info["encoding"] == {"k": "one_hot"}
+    made = [c for c in out.columns if c.startswith("k_")]
+    assert len(made) == 4 and not any(ch in c for c in made for ch in ".`") and out.count() == 300
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+
+
+def test_cardinality_classes_match_exact_counts(spark):
+    df = spark.range(4000).select(*[(F.col("id") % n).cast("string").alias(f"c.{n}") for n in (1, 9, 10, 11, 99, 100, 101, 130, 4000)],
+                                  F.lit(None).cast("string").alias("none"))
+    got = E.cardinality_classes(df)
+    exact = {"c.1": "one_hot", "c.9": "one_hot", "c.10": "target", "c.11": "target", "c.99": "target", "c.100": "label",
+             "c.101": "label", "c.130": "label", "c.4000": "label", "none": "one_hot"}
+    assert got == exact

@@ -62,6 +62,26 @@ def test_state_join_fans_out_like_sql(spark):
     assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, sql.select(*cols).collect()))
 
 
+def test_state_join_of_crowded_keys_scans_values_once_otherwise(spark):
+    facts = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, None, 1), (4, "c", 1), (1, "a", 1)], "id int, k string, j int")
+    rows = [("a", 1, st, float(i)) for i, st in enumerate("NNNOOP")] + [("b", 1, "O", 7.0), ("c", 1, "N", None), (None, 1, "N", 1.0),
+                                                                          ("c", 1, "X", 2.0), ("b", 1, None, 3.0)]
+    vals = spark.createDataFrame(rows, "k string, j int, st string, v double")
+    facts.createOrReplaceTempView("f2")
+    vals.createOrReplaceTempView("v2")
+    sql = spark.sql("""SELECT f2.id, f2.k, n.v AS OV_v_n, o.v AS OV_v_o, p.v AS OV_v_p FROM f2
+                       JOIN v2 n ON n.k = f2.k AND n.j = f2.j AND n.st = 'N' LEFT JOIN v2 o ON o.k = f2.k AND o.j = f2.j AND o.st = 'O'
+                       LEFT JOIN v2 p ON p.k = f2.k AND p.j = f2.j AND p.st = 'P'""")
+    want = sorted(map(tuple, sql.collect()), key=str)
+    assert len(want) == 13
+    for most in (10_000, 3, 0):
+        out = R.state_conditioned_join(facts, vals, ["k", "j"], "st", ("N", "n"), [("O", "o"), ("P", "p")], ["v"], key_rows=most)
+        assert sorted(map(tuple, out.select(*sql.columns).collect()), key=str) == want
+        if most == 10_000:
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("Join") == 1
+
+
 def test_counts_wide_keeps_zero_rows(spark):
     ev = spark.createDataFrame([(1, "a-b"), (1, "a-b"), (2, "c d")], "u int, t string")
     ent = spark.createDataFrame([(1,), (2,), (3,)], "u int")

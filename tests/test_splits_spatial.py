@@ -138,3 +138,15 @@ def test_spatial_null_repeated_and_no_polygons(spark):
     for zones, want in ((polys, [1, 0]), (polys.limit(0), [0, 0]), (polys.where("wkt is null"), [0, 0])):
         flags = {r.i: r.in_zone for r in G.inside_any(points, "i", "x", "y", zones, "pid", "wkt").collect()}
         assert [flags[1], flags[2]] == want
+
+
+def test_null_tie_breaks_come_last(spark):
+    rows = [(i, 2020, 1, None if i % 3 == 0 else float(i % 7 + 1), None if i % 4 == 0 else f"s{i:03d}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, y int, m int, v double, t string")
+    for cols, key in ((["t"], lambda r: (r[4] is None, r[4] or "")), (["v", "id"], lambda r: (r[3] is None, r[3] or 0, r[0]))):
+        keys = S.order_keys(df, cols)
+        order = sorted(rows, key=key)
+        places = [p for p in (0, 7, 20, 33) if order.index(order[p]) == p]
+        bounds = S.boundaries(df, keys, places)
+        got = {r.id: r.b for r in df.select("id", S.block_index(keys, bounds).alias("b")).collect()}
+        assert got == {r[0]: sum(p <= k for p in places) for k, r in enumerate(order)}
