@@ -3,12 +3,14 @@
 * sample: a Bernoulli pool of about ``2·ψ·T`` rows (one pass, no shuffle),
   then ψ rows per tree by seeded hash rank within the pool (trees may share
   rows, as independent draws do);
-* grow: ``groupBy(group, tree).applyInPandas`` — each task grows one tree
-  from at most ψ rows (random feature, uniform split in the node's range,
-  depth limit ceil(log2 ψ));
-* score: the forest (T·(2ψ-1) nodes at most) is broadcast and every row is
-  scored in Arrow batches by ``mapInPandas``: s = 2^(-E[h(x)] / c(ψ)) with
-  h = edges to the leaf + c(leaf size);
+* grow: ``groupBy(group, block of trees).applyInPandas`` — every tree grows from
+  at most ψ rows (random feature, uniform split in the node's range, depth
+  limit ceil(log2 ψ)) and comes out as one binary row;
+* score: s = 2^(-E[h(x)] / c(ψ)) with h = edges to the leaf + c(leaf size), in
+  Arrow batches.  One forest (T·(2ψ-1) nodes at most) is broadcast.  Forests of
+  groups never pass the driver: rows and forests meet by co-grouping on (group,
+  salt), where a group has one salt for every ``SALT_ROWS`` rows, so a task holds
+  one forest and a bounded number of rows whatever the group's size;
 * threshold: rows whose score is above the exact (1 − contamination)
   quantile of the scores are outliers (``grouped_quantiles``, distributed).
 
@@ -30,8 +32,11 @@ from ..session import cut_lineage, ship_package
 from .quantiles import grouped_quantiles, quantiles
 
 EULER = 0.5772156649015329
-NODE_SCHEMA = ("grp string, tree int, node int, feature int, threshold double, "
-               "left int, right int, size long")
+TREE_SCHEMA = "grp string, psi long, tree int, nodes binary"
+#: A node in a tree's binary row.
+NODE = np.dtype([("feature", "<i4"), ("threshold", "<f8"), ("left", "<i4"), ("right", "<i4"), ("size", "<f8")])
+#: Trees that one task grows, and rows of a group that one task scores.
+TREE_BLOCK, SALT_ROWS = 25, 20_000
 
 
 def avg_path_length(n):
@@ -76,42 +81,28 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list:
 
 def _grow_udf(features: Sequence[str], max_depth: int, seed: int):
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        grp, tree = pdf["__grp"].iloc[0], int(pdf["__tree"].iloc[0])
-        x = pdf[list(features)].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, tree, zlib.crc32(str(grp).encode())])
-        nodes = _grow(x, rng, max_depth)
-        return pd.DataFrame({
-            "grp": grp, "tree": tree, "node": np.arange(len(nodes), dtype=np.int32),
-            "feature": np.array([n[0] for n in nodes], dtype=np.int32),
-            "threshold": np.array([n[1] for n in nodes], dtype=float),
-            "left": np.array([n[2] for n in nodes], dtype=np.int32),
-            "right": np.array([n[3] for n in nodes], dtype=np.int32),
-            "size": np.array([n[4] for n in nodes], dtype=np.int64)})
+        grp, psi, rows = pdf["__grp"].iloc[0], int(pdf["__psi"].iloc[0]), []
+        salt = zlib.crc32(str(grp).encode())
+        for tree, mine in pdf.groupby("__tree", sort=True):
+            x = mine[list(features)].to_numpy(dtype=float)
+            nodes = _grow(x, np.random.default_rng([seed, int(tree), salt]), max_depth)
+            rows.append((grp, psi, int(tree), pack_tree(nodes)))
+        return pd.DataFrame(rows, columns=["grp", "psi", "tree", "nodes"])
     return grow
 
 
-def _pack(nodes: pd.DataFrame) -> dict:
-    """Forest as dense arrays per group: (T, max_nodes) tables."""
-    packed = {}
-    for grp, g in nodes.groupby("grp"):
-        trees = sorted(g["tree"].unique())
-        m = int(g["node"].max()) + 1
-        shape = (len(trees), m)
-        feat = np.full(shape, -1, np.int32)
-        thr = np.zeros(shape)
-        left = np.full(shape, -1, np.int32)
-        right = np.full(shape, -1, np.int32)
-        size = np.zeros(shape)
-        pos = {t: i for i, t in enumerate(trees)}
-        ti = g["tree"].map(pos).to_numpy()
-        ni = g["node"].to_numpy()
-        feat[ti, ni] = g["feature"].to_numpy()
-        thr[ti, ni] = g["threshold"].to_numpy()
-        left[ti, ni] = g["left"].to_numpy()
-        right[ti, ni] = g["right"].to_numpy()
-        size[ti, ni] = g["size"].to_numpy()
-        packed[grp] = (feat, thr, left, right, size)
-    return packed
+def pack_tree(nodes: Sequence) -> bytes:
+    """(feature, threshold, left, right, size) nodes, the root first; feature -1 is a leaf."""
+    return np.array([tuple(n) for n in nodes], NODE).tobytes()
+
+
+def _forest(trees: Sequence[bytes]) -> tuple:
+    """Dense (trees, nodes) tables of the five fields."""
+    each = [np.frombuffer(t, NODE) for t in trees]
+    table = np.zeros((len(each), max(map(len, each))), NODE)
+    for row, t in zip(table, each):
+        row[:len(t)] = t
+    return tuple(np.ascontiguousarray(table[f]) for f in NODE.names)
 
 
 def _score(x: np.ndarray, forest, psi: int) -> np.ndarray:
@@ -141,7 +132,8 @@ def isolation_scores(df: DataFrame, features: Sequence[str], key_cols: Sequence[
                      seed: int = 42) -> DataFrame:
     """Anomaly score in (0, 1] per row (higher = more isolated).
 
-    Returns ``key_cols`` (+ group) and ``score``.  Nulls in features read as 0.
+    Returns ``key_cols`` (+ group) and ``score``.  Nulls in features read as 0; rows
+    without a group have no forest and score NaN.
     """
     features = list(features)
     spark = df.sparkSession
@@ -154,12 +146,10 @@ def isolation_scores(df: DataFrame, features: Sequence[str], key_cols: Sequence[
     counts = base.groupBy("__grp").agg(F.count(F.lit(1)).alias("__n"))
     n = F.col("__n").cast("double")
     frac = F.least(F.lit(1.0), F.lit(2.0 * psi * n_trees) / n)
-    params = counts.select(
-        "__grp", frac.alias("__frac"),
+    params = cut_lineage(counts.select(
+        "__grp", "__n", frac.alias("__frac"),
         F.least(F.lit(psi).cast("long"), F.col("__n")).alias("__psi"),
-        F.least(F.lit(1.0), F.lit(2.0 * psi) / F.greatest(F.lit(1.0), frac * n)).alias("__cand"))
-    params = cut_lineage(params.select("__grp", "__frac", "__psi", "__cand"))
-    psi_b = {r["__grp"]: int(r["__psi"]) for r in params.select("__grp", "__psi").collect()}
+        F.least(F.lit(1.0), F.lit(2.0 * psi) / F.greatest(F.lit(1.0), frac * n)).alias("__cand")))
 
     def unit(h):
         return F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30)
@@ -174,32 +164,56 @@ def isolation_scores(df: DataFrame, features: Sequence[str], key_cols: Sequence[
                    .where(unit(F.xxhash64(*keyc, F.col("__tree"), F.lit(seed + 2))) < F.col("__cand"))
                    .withColumn("__rk", F.row_number().over(w))
                    .where(F.col("__rk") <= F.col("__psi"))
-                   .drop("__rk", "__frac", "__psi", "__cand"))
+                   .drop("__rk", "__frac", "__cand", "__n"))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    nodes = (samples.groupBy("__grp", "__tree")
-                    .applyInPandas(_grow_udf(features, max_depth, seed), NODE_SCHEMA)
-                    .toPandas())
-    forest = spark.sparkContext.broadcast(_pack(nodes))
-    keys = list(key_cols) + ([group_col] if group_col else [])
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in
-                           base.select(*key_cols).schema.fields) + ", __grp string, score double"
+    trees = (samples.withColumn("__block", F.floor(F.col("__tree") / TREE_BLOCK)).groupBy("__grp", "__block")
+                    .applyInPandas(_grow_udf(features, max_depth, seed), TREE_SCHEMA))
+    if not group_col:
+        return score_rows(base.drop("__grp"), features, key_cols, [(t.psi, t.nodes) for t in trees.collect()])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("tree", "nodes"))), lambda t: t.nodes)  # n_trees at most
+    forests = cut_lineage(trees.groupBy("grp").agg(F.max("psi").alias("psi"), ordered.alias("trees")))
+    scored = _score_groups(with_p.select(*key_cols, "__grp", "__n", *features), forests, features, key_cols)
+    none = base.where("__grp is null").select(*key_cols, "__grp", F.lit(float("nan")).alias("score"))
+    return scored.unionByName(none).withColumnRenamed("__grp", group_col).select(*key_cols, group_col, "score")
+
+
+def score_rows(df: DataFrame, features: Sequence[str], key_cols: Sequence[str], trees: Sequence[tuple[int, bytes]]) -> DataFrame:
+    """``key_cols`` and the ``score`` of every row by one given forest: (sample size, packed nodes) of its trees.
+
+    Nulls in features read as 0; without trees the score is NaN.
+    """
+    ship_package(df.sparkSession)
+    psi = max((p for p, _ in trees), default=0)
+    forest = df.sparkSession.sparkContext.broadcast(_forest([t for _, t in trees]) if trees else None)
+    features, key_cols = list(features), list(key_cols)
+    rows = df.select(*key_cols, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__f{i}") for i, c in enumerate(features)])
 
     def score(batches):
-        packed = forest.value
         for pdf in batches:
-            res = np.full(len(pdf), np.nan)
-            for g, idx in pdf.groupby("__grp").indices.items():
-                if g in packed:
-                    x = pdf.iloc[idx][features].to_numpy(dtype=float)
-                    res[idx] = _score(x, packed[g], psi_b[g])
-            yield pd.DataFrame({**{c: pdf[c] for c in key_cols}, "__grp": pdf["__grp"], "score": res})
-
-    scored = base.mapInPandas(score, out_schema)
-    if group_col:
-        scored = scored.withColumnRenamed("__grp", group_col)
-    else:
-        scored = scored.drop("__grp")
-    return scored.select(*keys, "score")
+            x = pdf[[f"__f{i}" for i in range(len(features))]].to_numpy(dtype=float)
+            found = np.full(len(pdf), np.nan) if forest.value is None else _score(x, forest.value, psi)
+            yield pdf[key_cols].assign(score=found)
+    return rows.mapInPandas(score, _schema(df.select(*key_cols)) + ", score double")
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _score_groups(rows: DataFrame, forests: DataFrame, features: list[str], key_cols: Sequence[str]) -> DataFrame:
+    """Scores by the forest of the row's group; a group without a forest (no sampled row) scores NaN."""
+    keys = list(key_cols)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.floor(F.col("__n") / SALT_ROWS) + 1))
+    sizes = salted.groupBy(F.col("__grp").alias("grp"), F.col("__salt").alias("salt")).agg(F.count(F.lit(1)).alias("n"))
+    placed = forests.join(sizes, "grp")
+
+    def score(pdf: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        found = np.full(len(pdf), np.nan)
+        if len(forest) and len(pdf):
+            found = _score(pdf[features].to_numpy(dtype=float), _forest(forest["trees"].iloc[0]), int(forest["psi"].iloc[0]))
+        return pdf[keys + ["__grp"]].assign(score=found)
+    return (salted.groupBy("__grp", "__salt").cogroup(placed.groupBy("grp", "salt"))
+            .applyInPandas(score, _schema(rows.select(*keys)) + ", __grp string, score double"))
 
 
 def isolation_flags(df: DataFrame, features: Sequence[str], key_cols: Sequence[str],

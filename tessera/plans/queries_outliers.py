@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import outliers as O
-from ..operators.forest import isolation_flags
+from ..operators.forest import isolation_flags, pack_tree, score_rows
 from ..session import load
 from .common import rnd, sql_rnd
 from .queries_prepare import EMB_DIM, embedding_columns
@@ -111,3 +111,28 @@ def q_outliers_by_category_forest(spark, d):
                                         ["o_orderkey"], features=["o_totalprice", "yr", "mo"])
     return out.select("o_orderkey", "o_orderpriority", "z_out", "iqr_out", "iso_out", "votes",
                       "is_outlier")
+
+
+#: A forest of three trees over (quantity, discount), written out; nodes are (feature, threshold, left, right, size), 64 rows a tree.
+_FIXED_FOREST = [[(0, 25.0, 1, 2, 64), (1, 0.05, 3, 4, 30), (-1, 0.0, -1, -1, 34), (-1, 0.0, -1, -1, 12), (-1, 0.0, -1, -1, 18)],
+                 [(1, 0.02, 1, 2, 64), (-1, 0.0, -1, -1, 1), (0, 48.0, 3, 4, 63), (-1, 0.0, -1, -1, 61), (-1, 0.0, -1, -1, 2)],
+                 [(-1, 0.0, -1, -1, 64)]]
+
+
+def _depth_sql(n):
+    return f"{0.0 if n < 2 else 1.0} " if n <= 2 else f"(2 * (ln({n} - 1) + 0.5772156649015329) - 2.0 * ({n} - 1) / {n})"
+
+
+@query("isolation_fixed_forest", "O3", oracle=f"""
+WITH h AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CASE WHEN q >= 25 THEN 1 + {_depth_sql(34)} WHEN l_discount < 0.05 THEN 2 + {_depth_sql(12)} ELSE 2 + {_depth_sql(18)} END
+  + CASE WHEN l_discount < 0.02 THEN 1 + {_depth_sql(1)} WHEN q < 48 THEN 2 + {_depth_sql(61)} ELSE 2 + {_depth_sql(2)} END
+  + {_depth_sql(64)} AS path
+  FROM (SELECT *, CASE WHEN l_partkey % 6 = 0 THEN 0 ELSE l_quantity END AS q FROM lineitem))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {sql_rnd(f'pow(2, -(path / 3) / {_depth_sql(64)})', 6)} AS score FROM h""")
+def q_isolation_fixed_forest(spark, d):
+    """Scores of all lines by a forest that is given, with missing quantities read as 0."""
+    li = load(spark, d, "lineitem").withColumn("quantity", F.when(F.col("l_partkey") % 6 > 0, F.col("l_quantity")))
+    out = score_rows(li, ["quantity", "l_discount"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+                     [(64, pack_tree(t)) for t in _FIXED_FOREST])
+    return out.withColumn("score", rnd("score", 6))

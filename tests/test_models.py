@@ -166,3 +166,45 @@ def test_knn_takes_the_smallest_ids_of_many_ties_and_survives_large_norms():
     far = np.full(4, 1e8)
     steps = rng.permutation(300)
     assert nearest(far, far + steps[:, None] * 1e-3, steps) == [0, 1, 2, 3, 4]
+
+
+def test_forests_of_groups_equal_forests_of_each_group_alone(spark, monkeypatch):
+    """Salts and co-grouping change nothing; rows without a group have no score."""
+    from tessera.operators import forest as I
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 50 == 7 else "big" if i % 3 else f"g{i % 4}", float(a), None if i % 9 == 0 else float(b))
+            for i, (a, b) in enumerate(rng.normal(size=(900, 2)))]
+    df = spark.createDataFrame(rows, "i long, g string, a double, b double")
+
+    def scores():
+        return {r.i: (r.g, r.score) for r in I.isolation_scores(df, ["a", "b"], ["i"], "g", n_trees=7, psi=32).collect()}
+    once = scores()
+    monkeypatch.setattr(I, "SALT_ROWS", 40)
+    monkeypatch.setattr(I, "TREE_BLOCK", 2)
+    assert len(once) == 900 and str(sorted(scores().items())) == str(sorted(once.items()))
+    assert all(np.isnan(v) == (g is None) for g, v in once.values())
+    far = df.withColumn("a", F.when(F.col("i") == 11, 60.0).otherwise(F.col("a")))
+    got = {r.i: r.score for r in I.isolation_scores(far.where("g = 'big'"), ["a", "b"], ["i"], "g", n_trees=50, psi=64).collect()}
+    assert max(got, key=got.get) == 11
+
+
+def test_many_groups_send_no_forest_to_the_driver(spark, monkeypatch):
+    from tessera.operators import forest as I
+    df = spark.range(3000).select("id", (F.col("id") % 1000).cast("string").alias("g"), F.rand(1).alias("a"))
+    kind, sent = type(df), []
+    monkeypatch.setattr(kind, "toPandas", lambda self: sent.append("toPandas"))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: sent.append("broadcast"))
+    assert I.isolation_scores(df, ["a"], ["id"], "g", n_trees=3, psi=16).where("score > 0").count() == 3000
+    assert sent == []
+
+
+def test_score_of_a_fixed_forest(spark):
+    from tessera.operators import forest as I
+    trees = [(4, I.pack_tree([(0, 1.5, 1, 2, 4), (-1, 0.0, -1, -1, 3), (-1, 0.0, -1, -1, 1)])),
+             (4, I.pack_tree([(1, 0.0, 1, 2, 4), (-1, 0.0, -1, -1, 2), (0, 5.0, 3, 4, 2), (-1, 0.0, -1, -1, 1), (-1, 0.0, -1, -1, 1)]))]
+    df = spark.createDataFrame([(1, 1.0, -1.0), (2, 2.0, 3.0), (3, 9.0, None)], "k int, x double, y double")
+    got = {r.k: r.score for r in I.score_rows(df, ["x", "y"], ["k"], trees).collect()}
+    c = {n: float(I.avg_path_length([n])[0]) for n in (1, 2, 3, 4)}
+    paths = {1: (1 + c[3]) + (1 + c[2]), 2: (1 + c[1]) + (2 + c[1]), 3: (1 + c[1]) + (2 + c[1])}
+    assert got == pytest.approx({k: 2 ** (-(p / 2) / c[4]) for k, p in paths.items()})
+    assert np.isnan(I.score_rows(df, ["x", "y"], ["k"], []).first().score)

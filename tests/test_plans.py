@@ -10,6 +10,7 @@ PYTHON_NODES = ["BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow
                 "FlatMapGroupsInPandas", "PythonMapInArrow"]
 # Operators that run Python in Arrow-batched tasks by design.
 PYTHON_ALLOWED = {"point_in_polygon_counts", "inside_any_zone", "knn_regress", "contingency_cells",
+                  "isolation_fixed_forest",
                   "isolation_forest", "outliers_vote_forest", "outliers_by_category_forest",
                   "permutation_importance", "importance_compare", "prepared_dataset",
                   "training_report"}
