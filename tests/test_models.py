@@ -184,7 +184,7 @@ def test_forests_of_groups_equal_forests_of_each_group_alone(spark, monkeypatch)
     assert len(once) == 900 and str(sorted(scores().items())) == str(sorted(once.items()))
     assert all(np.isnan(v) == (g is None) for g, v in once.values())
     far = df.withColumn("a", F.when(F.col("i") == 11, 60.0).otherwise(F.col("a")))
-    got = {r.i: r.score for r in I.isolation_scores(far.where("g = 'big'"), ["a", "b"], ["i"], "g", n_trees=50, psi=64).collect()}
+    got = {r.i: r.score for r in I.isolation_scores(far.where("g = 'big'"), ["a", "b"], ["i"], "g", n_trees=50, psi=512).collect()}
     assert max(got, key=got.get) == 11
 
 
