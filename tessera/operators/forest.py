@@ -133,7 +133,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], key_cols: Sequence[
     """Anomaly score in (0, 1] per row (higher = more isolated).
 
     Returns ``key_cols`` (+ group) and ``score``.  Nulls in features read as 0; rows
-    without a group have no forest and score NaN.
+    without a group have no forest and no score (null).
     """
     features = list(features)
     spark = df.sparkSession
@@ -173,14 +173,14 @@ def isolation_scores(df: DataFrame, features: Sequence[str], key_cols: Sequence[
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("tree", "nodes"))), lambda t: t.nodes)  # n_trees at most
     forests = cut_lineage(trees.groupBy("grp").agg(F.max("psi").alias("psi"), ordered.alias("trees")))
     scored = _score_groups(with_p.select(*key_cols, "__grp", "__n", *features), forests, features, key_cols)
-    none = base.where("__grp is null").select(*key_cols, "__grp", F.lit(float("nan")).alias("score"))
+    none = base.where("__grp is null").select(*key_cols, "__grp", F.lit(None).cast("double").alias("score"))
     return scored.unionByName(none).withColumnRenamed("__grp", group_col).select(*key_cols, group_col, "score")
 
 
 def score_rows(df: DataFrame, features: Sequence[str], key_cols: Sequence[str], trees: Sequence[tuple[int, bytes]]) -> DataFrame:
     """``key_cols`` and the ``score`` of every row by one given forest: (sample size, packed nodes) of its trees.
 
-    Nulls in features read as 0; without trees the score is NaN.
+    Nulls in features read as 0; without trees there is no score (null).
     """
     ship_package(df.sparkSession)
     psi = max((p for p, _ in trees), default=0)
@@ -201,7 +201,7 @@ def _schema(df: DataFrame) -> str:
 
 
 def _score_groups(rows: DataFrame, forests: DataFrame, features: list[str], key_cols: Sequence[str]) -> DataFrame:
-    """Scores by the forest of the row's group; a group without a forest (no sampled row) scores NaN."""
+    """Scores by the forest of the row's group; a group without a forest (no sampled row) gives null."""
     keys = list(key_cols)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.floor(F.col("__n") / SALT_ROWS) + 1))
     sizes = salted.groupBy(F.col("__grp").alias("grp"), F.col("__salt").alias("salt")).agg(F.count(F.lit(1)).alias("n"))
