@@ -2,8 +2,8 @@
 Shapley values, and the method comparison with an average-tie rank.
 
 Permutation importance draws the seeded permutations of all features and
-repeats from one distributed ordering (numbered without a single-partition
-window), scores all shuffled copies in one job, and reports MSE(shuffled) −
+repeats by a keyed bijection of row numbers (``permutation``), scores all
+shuffled copies in one job, and reports MSE(shuffled) −
 MSE(original), mean and population std over repeats.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .metrics import average_rank
 from .models import FEATURES, assemble
 from .numbering import number_rows
+from .permutation import permuted
 
 
 def basic_importance(model: Model, features: Sequence[str], name: str,
@@ -45,21 +46,24 @@ def permuted_rows(base: DataFrame, row_id: str, features: Sequence[str], n: int,
                   seed: int = 42) -> DataFrame:
     """Every row once per (feature, repeat), with that feature's value from a seeded permutation of the rows.
 
-    ``run`` = feature index * n_repeats + repeat.  The rows of all runs are sorted
-    together by (run, seeded hash) and numbered; the row at the same place of the
-    natural order takes the value.
+    ``run`` = feature index * n_repeats + repeat.  A row's value goes to the row whose
+    number a keyed bijection of its own number gives, so nothing is sorted but the rows
+    once, for their numbers.  The values meet by place (one for each run) before the
+    rows do, so the whole rows are shuffled once and not for each run.
     """
-    runs = F.explode(F.sequence(F.lit(0), F.lit(len(features) * n_repeats - 1)))
+    runs = F.explode(F.sequence(F.lit(0), F.lit(len(features) * n_repeats - 1))).alias("run")
     values = F.array(*[F.col(f).cast("double") for f in features])
-    which = F.floor(F.col("run") / n_repeats).cast("int")
+
+    def which(run):
+        return F.floor(run / n_repeats).cast("int")
     natural = number_rows(base, [F.col(row_id)], "pos")
-    donors = natural.select(row_id, values.alias("__x"), runs.alias("run")).select(
-        "run", F.get("__x", which).alias("__val"), F.xxhash64(F.col(row_id), F.col("run"), F.lit(seed)).alias("__h"), row_id)
-    donors = number_rows(donors, ["run", "__h", row_id], "__g").select(
-        "run", (F.col("__g") - F.col("run") * n).alias("pos"), "__val")
-    rows = natural.select("*", runs.alias("run")).join(donors, ["run", "pos"])
-    return rows.withColumns({f: F.when(which == j, F.col("__val")).otherwise(F.col(f).cast("double"))
-                             for j, f in enumerate(features)}).drop("__val", "pos")
+    given = (natural.select("pos", values.alias("__x"), runs)
+             .select(permuted(F.col("pos"), n, F.col("run"), F.lit(seed)).alias("pos"),
+                     F.struct("run", F.get("__x", which(F.col("run"))).alias("value")).alias("__g"))
+             .groupBy("pos").agg(F.collect_list("__g").alias("__g")))
+    rows = natural.join(given, "pos").select(*natural.columns, F.explode("__g").alias("__g")).withColumn("run", F.col("__g.run"))
+    return rows.withColumns({f: F.when(which(F.col("run")) == j, F.col("__g.value")).otherwise(F.col(f).cast("double"))
+                             for j, f in enumerate(features)}).drop("__g", "pos")
 
 
 def permutation_importance(model: Model, df: DataFrame, features: Sequence[str], row_id: str,

@@ -208,3 +208,33 @@ def test_score_of_a_fixed_forest(spark):
     paths = {1: (1 + c[3]) + (1 + c[2]), 2: (1 + c[1]) + (2 + c[1]), 3: (1 + c[1]) + (2 + c[1])}
     assert got == pytest.approx({k: 2 ** (-(p / 2) / c[4]) for k, p in paths.items()})
     assert I.score_rows(df, ["x", "y"], ["k"], []).first().score is None
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 97, 1000, 4097])
+def test_permuted_is_a_bijection_that_depends_on_the_seed(spark, n):
+    from tessera.operators.permutation import permuted, sides
+    df = spark.range(n).select("id", *[permuted(F.col("id"), n, F.lit(s), F.lit(7)).alias(f"p{s}") for s in range(3)])
+    rows = df.collect()
+    for s in range(3):
+        assert sorted(r[f"p{s}"] for r in rows) == list(range(n))
+    if n >= 97:
+        a, b = sides(n)
+        assert 0 <= a * b - n < a
+        x = np.array([(r.id, r.p0, r.p1) for r in rows], float)
+        assert abs(np.corrcoef(x.T) - np.eye(3)).max() < 0.3
+        assert sum(r.p0 == r.p1 for r in rows) < 0.05 * n and sum(r.p0 == r.id for r in rows) < 0.05 * n
+
+
+def test_permutation_importance_equals_the_closed_form(spark):
+    """Shuffling x adds 2 * beta^2 * var(x) to the squared error; nothing but row numbers is sorted."""
+    from pyspark.ml.regression import LinearRegression
+
+    from tessera.operators import importance as I
+    from tessera.operators.models import assemble
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 2)) * [1.0, 3.0]
+    df = spark.createDataFrame([(i, float(a), float(b), float(2 * a - b)) for i, (a, b) in enumerate(x)], "i long, a double, b double, y double")
+    model = LinearRegression(labelCol="y", featuresCol="__features").fit(assemble(df, ["a", "b"]))
+    got = {r.feature: (r.importance_mean, r.importance_std) for r in I.permutation_importance(model, df, ["a", "b"], "i", "y", n_repeats=5).collect()}
+    assert got["a"][0] == pytest.approx(2 * 4 * x[:, 0].var(), rel=0.1) and got["b"][0] == pytest.approx(2 * x[:, 1].var(), rel=0.1)
+    assert 0 < got["a"][1] < 0.2 * got["a"][0]
