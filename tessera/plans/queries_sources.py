@@ -4,13 +4,15 @@ J8, W8, F3)."""
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
 from ..operators import relational as R
-from ..session import ensure_checkpoint_dir, load
-from ..sources.io import cached_step, sample_rows
+from ..session import ensure_checkpoint_dir, load, table_path
+from ..sources.io import cached_step, sample_rows, step_state
+from .common import rnd, sql_rnd
 from .queries_columns import _TEXT_SQL, floor_input, floor_oracle, _sql_parse, _text_table
 from .registry import query
 
@@ -45,6 +47,27 @@ def q_cached_floor_features(spark, d):
     return cached_step(spark, path, build, force=True)
 
 
+@query("cached_step_acts", "S4", oracle="""
+SELECT a.act, a.state, count(*) AS n_rows, """ + sql_rnd("sum(l_tax)", 4) + """ AS tax
+FROM lineitem, (SELECT 1 AS act, 'build' AS state, 10 AS least UNION ALL SELECT 2, 'skip', 10 UNION ALL SELECT 3, 'rebuild', 20
+                UNION ALL SELECT 4, 'skip', 20) AS a
+WHERE l_quantity >= a.least GROUP BY a.act, a.state""")
+def q_cached_step_acts(spark, d):
+    """A step built, skipped, rebuilt for another setting and skipped again: its state before each act, and what it holds then."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "tessera-steps", uuid.uuid4().hex)
+    source, rows = table_path(d, "lineitem"), None
+    for act, least in enumerate((10, 10, 20, 20), 1):
+        settings = {"least": least}
+        state = step_state(spark, path, [source], settings)
+        held = cached_step(spark, path, lambda: spark.read.parquet(source).where(F.col("l_quantity") >= least).select("l_tax"),
+                           inputs=[source], settings=settings)
+        # One row of numbers for each act, taken before the next act replaces the files.
+        r = held.agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("l_tax"), 4).alias("tax")).first()
+        new = spark.createDataFrame([(act, state, r.n, r.tax)], "act int, state string, n_rows long, tax double")
+        rows = new if rows is None else rows.unionByName(new)
+    return rows
+
+
 _RETRIEVAL_SQL = """
 WITH v AS (SELECT l_partkey, l_linestatus, l_returnflag, min(l_extendedprice / l_quantity) AS vmin
            FROM lineitem GROUP BY ALL),

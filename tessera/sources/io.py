@@ -6,9 +6,10 @@ of our own is format inference, the step cache and the split reload.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,15 +86,83 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS"))
 
 
+MANIFEST = "_manifest.json"
+
+
+def input_files(spark: SparkSession, inputs: Sequence[str]) -> list[list]:
+    """[path, bytes, time of change] of every data file below the inputs, sorted; a missing input is listed as such."""
+    sc = spark.sparkContext
+    Path = sc._jvm.org.apache.hadoop.fs.Path
+    out: list[list] = []
+    for root in inputs:
+        path = Path(root)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            out.append([root, -1, 0])
+            continue
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                out.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return sorted(out)
+
+
+def _manifest(spark: SparkSession, path: str, text: str | None = None) -> str | None:
+    """Read the manifest of an output, or write it."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{MANIFEST}")
+    fs = place.getFileSystem(sc._jsc.hadoopConfiguration())
+    if text is None:
+        if not fs.exists(place):
+            return None
+        stream = fs.open(place)
+        try:
+            return sc._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    out = fs.create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return text
+
+
+def step_state(spark: SparkSession, path: str, inputs: Sequence[str] | None = None, settings: dict | None = None) -> str:
+    """What ``cached_step`` would do: ``build`` (no committed output), ``skip``, or ``rebuild`` (other inputs or settings).
+
+    Without ``inputs`` and ``settings`` any committed output is taken.
+    """
+    if not _exists(spark, path):
+        return "build"
+    if inputs is None and settings is None:
+        return "skip"
+    known = _manifest(spark, path)
+    return "skip" if known == _told(spark, inputs, settings) else "rebuild"
+
+
+def _told(spark: SparkSession, inputs: Sequence[str] | None, settings: dict | None) -> str:
+    said = json.dumps(settings or {}, sort_keys=True, default=str)
+    return json.dumps({"inputs": input_files(spark, inputs or ()), "settings": hashlib.sha256(said.encode()).hexdigest()})
+
+
 def cached_step(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-                force: bool = False, fmt: str = "parquet") -> DataFrame:
-    """Skip a step whose committed output exists, unless ``force``.
+                force: bool = False, fmt: str = "parquet", inputs: Sequence[str] | None = None,
+                settings: dict | None = None) -> DataFrame:
+    """Skip a step whose committed output exists and fits, unless ``force``.
 
     The check looks at the committer's ``_SUCCESS`` marker, so a half-written
-    output from a lost job is rebuilt rather than trusted.
+    output from a lost job is rebuilt rather than trusted.  With ``inputs`` (paths) or
+    ``settings`` a manifest lies beside the data: the input files with their sizes and
+    times of change, and a digest of the settings; if it differs, the step runs again.
+    The manifest is written last and the writer removes the old one with the data, so
+    an output without its own manifest is never taken for current.
     """
-    if force or not _exists(spark, path):
+    if force or step_state(spark, path, inputs, settings) != "skip":
+        # Taken before the build: an input that changes meanwhile is seen the next time.
+        told = _told(spark, inputs, settings)
         write_table(build(), path, fmt)
+        if inputs is not None or settings is not None:
+            _manifest(spark, path, told)
     return read_table(spark, path, fmt)
 
 

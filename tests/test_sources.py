@@ -54,3 +54,29 @@ def test_catalogue_alias_and_projection(spark):
     assert rows["Poligono"].type == "geometry" and rows["Poligono"].retrieve is False
     out = t.alias("ZT").select(*catalog_select_list(cat.collect()))
     assert out.columns == ["ZT_Id", "ZT_V"]
+
+
+def test_step_is_rebuilt_when_inputs_or_settings_change(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(5).write.parquet(source)
+    built = []
+
+    def step(settings):
+        def build():
+            built.append(settings)
+            return spark.read.parquet(source).where(f"id >= {settings['least']}")
+        state = IO.step_state(spark, out, [source], settings)
+        return state, IO.cached_step(spark, out, build, inputs=[source], settings=settings).count()
+    assert step({"least": 1}) == ("build", 4)
+    assert step({"least": 1}) == ("skip", 4)
+    assert step({"least": 3}) == ("rebuild", 2)
+    spark.range(9).write.mode("append").parquet(source)
+    assert step({"least": 3}) == ("rebuild", 8)
+    assert step({"least": 3}) == ("skip", 8)
+    assert len(built) == 3
+    (tmp_path / "out" / IO.MANIFEST).unlink()  # as after a driver that was lost before the manifest
+    assert step({"least": 3}) == ("rebuild", 8)
+    (tmp_path / "out" / "_SUCCESS").unlink()
+    assert step({"least": 3}) == ("build", 8)
+    assert IO.step_state(spark, out, [str(tmp_path / "none")], {"least": 3}) == "rebuild"
+    assert IO.step_state(spark, out) == "skip"
