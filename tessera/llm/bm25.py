@@ -8,8 +8,10 @@ summed over all shards, so every shard scores with the global statistics.
 Queries run block by block of a stated query set.  In a shard, a query's upper
 bound for each block of documents is the sum of its terms' block maxima.  The
 most promising blocks are scored first; their k-th score is the threshold, and
-only blocks whose bound reaches it are scored besides.  The best k of every shard
-are merged: a document is left out only if k others score at least as high.
+only blocks whose bound reaches it are scored besides.  A task keeps the best k of all
+its shards for each query, starts the next shard from their k-th score, and gives them
+once; the tasks are merged: a document is left out only if k others score at least as
+high.
 """
 
 from __future__ import annotations
@@ -157,27 +159,43 @@ class Shard:
         return best, total[best]
 
 
+def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The first ``k`` of each query's (query, document, null id, score) rows: by score, then known ids in order."""
+    q, d, null, s = rows
+    order = np.lexsort((d, null, -s, q))
+    q = q[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return [x[order[place < k]] for x in rows]
+
+
 def _search(shared, k: int, k1: float, b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, at, terms, weights, mean_length = shared.value
         reached = np.zeros(len(ids))  # what k documents of this task's shards have scored at least
+        place = {int(q): i for i, q in enumerate(ids)}
+        # The best of all shards of the task so far: k rows a query, whatever the number of shards.
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0)]
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard(_loaded(batch, i), k1, b, mean_length)
                 rows = []
                 for q in range(len(ids)):
                     docs, scores = shard.top(terms[at[q]:at[q + 1]], weights[at[q]:at[q + 1]], k, reached[q])
+                    scores = np.round(scores, 6)
                     if len(docs) > k:
-                        scores = np.round(scores, 6)
                         best = np.lexsort((shard.ids[docs], shard.null[docs], -scores))[:k]
                         docs, scores = docs[best], scores[best]
-                    if len(docs) == k:
-                        reached[q] = max(reached[q], scores.min() - 1e-6)
-                    rows.append((np.full(len(docs), ids[q]), shard.ids[docs], shard.null[docs], np.round(scores, 6)))
-                q, d, null, s = (np.concatenate(x) for x in zip(*rows)) if rows else (np.empty(0, np.int64),) * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(d, pa.int64(), mask=null.astype(bool)), pa.array(s, pa.float64())],
-                    ["query_id", "doc_id", "score"])
+                    if len(docs):
+                        rows.append((np.full(len(docs), ids[q]), shard.ids[docs], shard.null[docs].astype(bool), scores))
+                if rows:
+                    kept = _best([np.concatenate([x, *y]) for x, y in zip(kept, zip(*rows))], k)
+                    found, first, count = np.unique(kept[0], return_index=True, return_counts=True)
+                    for q, last in zip(found[count == k], (first + k - 1)[count == k]):
+                        reached[place[int(q)]] = max(reached[place[int(q)]], kept[3][last] - 1e-6)
+        q, d, null, s = kept
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(q, pa.int64()), pa.array(d, pa.int64(), mask=null), pa.array(s, pa.float64())],
+            ["query_id", "doc_id", "score"])
     return run
 
 

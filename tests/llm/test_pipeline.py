@@ -53,5 +53,5 @@ def test_stages(spark, tmp_path):
 
 def test_every_numbered_query_is_registered_and_whole():
     names = sorted(int(q[2:].split("_")[0]) for q in queries.queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
