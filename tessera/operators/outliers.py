@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .encoding import sized_broadcast
 from .forest import isolation_flags
-from .quantiles import grouped_quantiles
+from .quantiles import grouped_quantiles, quantiles
 
 
 def _z_flag(y: Column, mean: Column, std: Column, t: float) -> Column:
@@ -60,6 +60,25 @@ def detect_outliers(df: DataFrame, y: str, key_cols: Sequence[str],
     return out.withColumn("votes", votes).withColumn("is_outlier", F.col("votes") >= min_methods)
 
 
+def outlier_statistics(flagged: DataFrame, y: str, iqr_multiplier: float = 1.5) -> DataFrame:
+    """O4 report: one row of numbers about a table that ``detect_outliers`` has flagged.
+
+    n_rows, one ``n_<method>`` for each method used, total_outliers, outlier_percentage,
+    and of the target: min, max, mean, sample std, q1, q3, iqr and the two bounds.
+    Missing targets count as rows only; an empty table gives zeros and nulls.
+    """
+    v = F.col(y).cast("double")
+    v = F.when(~F.isnan(v), v)
+    methods = [c for c in ("z_out", "iqr_out", "iso_out") if c in flagged.columns]
+    out = flagged.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(m).alias(f"n_{m.removesuffix('_out')}") for m in methods],
+                      F.count_if("is_outlier").alias("total_outliers"), F.min(v).alias("target_min"), F.max(v).alias("target_max"),
+                      F.avg(v).alias("target_mean"), F.stddev_samp(v).alias("target_std"))
+    q1, q3 = (F.lit(q).cast("double") for q in quantiles(flagged.where(v.isNotNull()), y, [0.25, 0.75]))
+    share = F.try_divide(F.col("total_outliers").cast("double"), F.col("n_rows")) * 100
+    return out.select("*", share.alias("outlier_percentage"), q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
+                      (q1 - (q3 - q1) * iqr_multiplier).alias("lower_bound"), (q3 + (q3 - q1) * iqr_multiplier).alias("upper_bound"))
+
+
 def detect_outliers_by_category(df: DataFrame, y: str, category: str, key_cols: Sequence[str],
                                 features: Sequence[str] | None = None, z_threshold: float = 2.5,
                                 iqr_multiplier: float = 1.5, contamination: float = 0.05,

@@ -48,6 +48,23 @@ def q_outliers_vote(spark, d):
     return out.select("o_orderkey", "z_out", "iqr_out", "votes", "is_outlier")
 
 
+@query("outliers_statistics", "O4", oracle=_GLOBAL_SQL.format(z=2.0) + ", q AS (SELECT " + ", ".join(
+    f"{e} AS {n}" for e, n in [("count(*)", "n_rows"), ("min(o_totalprice)", "target_min"), ("max(o_totalprice)", "target_max"),
+                               ("avg(o_totalprice)", "target_mean"), ("stddev_samp(o_totalprice)", "target_std"),
+                               ("quantile_cont(o_totalprice, 0.25)", "q1"), ("quantile_cont(o_totalprice, 0.75)", "q3")]) + """ FROM orders),
+n AS (SELECT count(*) FILTER (WHERE z_out) AS n_z, count(*) FILTER (WHERE iqr_out) AS n_iqr,
+             count(*) FILTER (WHERE z_out OR iqr_out) AS total_outliers FROM f)
+SELECT n_rows, n_z, n_iqr, total_outliers, """ + ", ".join(f"{sql_rnd(e)} AS {n}" for e, n in [
+    ("100.0 * total_outliers / n_rows", "outlier_percentage"), ("target_min", "target_min"), ("target_max", "target_max"),
+    ("target_mean", "target_mean"), ("target_std", "target_std"), ("q1", "q1"), ("q3", "q3"), ("q3 - q1", "iqr"),
+    ("q1 - 1.5 * (q3 - q1)", "lower_bound"), ("q3 + 1.5 * (q3 - q1)", "upper_bound")]) + " FROM q, n")
+def q_outliers_statistics(spark, d):
+    flagged = O.detect_outliers(_orders(spark, d), "o_totalprice", ["o_orderkey"], z_threshold=2.0, min_methods=1)
+    out = O.outlier_statistics(flagged, "o_totalprice")
+    whole = ["n_rows", "n_z", "n_iqr", "total_outliers"]
+    return out.select(*whole, *[rnd(c, 4).alias(c) for c in out.columns if c not in whole])
+
+
 _CAT_SQL = """
 WITH t AS (SELECT o_orderkey, o_orderpriority AS c, o_totalprice, ln(1 + o_totalprice) AS y FROM orders),
 s AS (SELECT c, count(*) AS rows, avg(y) AS m, stddev_pop(y) AS sd,

@@ -238,3 +238,18 @@ def test_permutation_importance_equals_the_closed_form(spark):
     got = {r.feature: (r.importance_mean, r.importance_std) for r in I.permutation_importance(model, df, ["a", "b"], "i", "y", n_repeats=5).collect()}
     assert got["a"][0] == pytest.approx(2 * 4 * x[:, 0].var(), rel=0.1) and got["b"][0] == pytest.approx(2 * x[:, 1].var(), rel=0.1)
     assert 0 < got["a"][1] < 0.2 * got["a"][0]
+
+
+def test_outlier_statistics_match_pandas(spark):
+    rng = np.random.default_rng(9)
+    y = np.concatenate([rng.normal(size=200), [30.0, -25.0]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)] + [(900, None)], "i long, y double")
+    flagged = O.detect_outliers(df, "y", ["i"], z_threshold=2.0, min_methods=2)
+    r = O.outlier_statistics(flagged, "y").first()
+    q1, q3 = np.quantile(y, [0.25, 0.75])
+    z, iqr = abs((y - y.mean()) / y.std()) > 2, (y < q1 - 1.5 * (q3 - q1)) | (y > q3 + 1.5 * (q3 - q1))
+    assert (r.n_rows, r.n_z, r.n_iqr, r.total_outliers) == (203, z.sum(), iqr.sum(), (z & iqr).sum())
+    assert (r.target_min, r.target_max, r.q1, r.q3) == pytest.approx((y.min(), y.max(), q1, q3))
+    assert (r.target_mean, r.target_std, r.upper_bound) == pytest.approx((y.mean(), y.std(ddof=1), q3 + 1.5 * (q3 - q1)))
+    none = O.outlier_statistics(flagged.limit(0), "y").first()
+    assert (none.n_rows, none.total_outliers, none.outlier_percentage, none.q1) == (0, 0, None, None)
