@@ -77,3 +77,33 @@ class Scratch:
             if path:
                 p, fs = self._path(path)
                 fs.delete(p, True)
+
+
+class KeyFilter:
+    """A set of 64-bit keys as one bitmap: lets every key of the set pass, and few others.
+
+    The bitmap has 64 bits for each row of ``keys``, at most ``most_bits`` (16 MB),
+    so it can be broadcast whatever the number of keys; rows are tested where they
+    lie.  Beyond that size more other keys pass: callers check what passes exactly.
+    """
+
+    def __init__(self, keys: DataFrame, key: str, scratch: Scratch, most_bits: int = 1 << 27):
+        self.bits = min(most_bits, max(1 << 15, 1 << (64 * keys.count()).bit_length()))
+        bit = F.pmod(F.col(key), F.lit(self.bits))
+        # Each slice of 32768 bits is put together in one place from its positions.
+        slices = keys.select(F.floor(bit / 32768).alias("_slice"), (bit % 32768).alias("_bit")).repartition("_slice")
+        self.slices = scratch.write(slices.groupBy("_slice").agg(F.bitmap_construct_agg("_bit").alias("_map")), "bitmap")
+
+    def marked(self, rows: DataFrame, key: Column, name: str) -> DataFrame:
+        """``rows`` with the boolean column ``name``: false only where ``key`` is surely not in the set."""
+        bit = F.pmod(key, F.lit(self.bits))
+        at = bit % 32768
+        byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.getbit(byte, (at % 8).cast("int")) == 1
+        found = rows.withColumn("_at", F.floor(bit / 32768)).join(
+            F.broadcast(self.slices), F.col("_at") == F.col("_slice"), "left")
+        return found.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_at", "_slice", "_map")
+
+    def kept(self, rows: DataFrame, key: Column) -> DataFrame:
+        """The rows whose ``key`` may be in the set."""
+        return self.marked(rows, key, "_pass").where("_pass").drop("_pass")

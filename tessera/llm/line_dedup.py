@@ -16,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import KeyFilter, Scratch
+
+#: At most this many windows are taken as hot; a hot one has over 1 / HOT_WINDOWS of all rows, so no more can be.
+HOT_WINDOWS = 100_000
 
 
 def _windows(hashes: Column, run: int) -> Column:
@@ -58,25 +61,40 @@ def dedup_lines(docs: DataFrame, *, run_lines: int = 2) -> DataFrame:
         .select("id", "th", F.explode(_windows(F.col("h"), run_lines)).alias("w"))
         .select("id", "th", "w.*"), "windows")
 
-    # Fingerprints selected at one place only cannot be in a repeated window.
+    # Fingerprints selected at one place only cannot be in a repeated window.  The others are a bitmap, tested where
+    # the windows lie; the few windows it lets through by chance are left out by their hash below.
     place = F.struct("id", "th", "at")
-    marks = (windows.groupBy("mark").agg(F.min(place).alias("x"), F.max(place).alias("y"))
-             .where(~F.col("x").eqNullSafe(F.col("y"))).select("mark"))
-    near = scratch.write(windows.join(marks, "mark", "left_semi").select("id", "th", "start", "lines", "gram"), "near")
+    marks = scratch.write(windows.groupBy("mark").agg(F.min(place).alias("x"), F.max(place).alias("y"))
+                          .where(~F.col("x").eqNullSafe(F.col("y"))).select("mark"), "marks")
+    near = scratch.write(KeyFilter(marks, "mark", scratch).kept(windows, F.col("mark"))
+                         .select("id", "th", "start", "lines", "gram"), "near")
     place = F.struct("id", "th", "start")
-    grams = (near.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .where(~F.col("first").eqNullSafe(F.col("last"))).select("gram", "first"))
-    later = (near.join(grams, "gram").where(~F.col("first").eqNullSafe(place)).select("id", "th", "start", "lines"))
+    grams = scratch.write(
+        near.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+        .where(~F.col("first").eqNullSafe(F.col("last"))).select("gram", "first", "n"), "grams")
+    # Windows of more than ``often`` places are at most HOT_WINDOWS: they meet their places by broadcast, so no key
+    # of the other join has more than ``often`` rows.
+    often = F.lit(max(1000, near.count() // HOT_WINDOWS))
+    hot = grams.where(F.col("n") > often).select("gram", F.col("first").alias("hot"))
+    marked = near.join(F.broadcast(hot), "gram", "left")
+    rare = (marked.where("hot is null").drop("hot")
+            .join(grams.where(F.col("n") <= often).select("gram", "first").hint("merge"), "gram"))
+    later = (rare.unionByName(marked.where("hot is not null").withColumnRenamed("hot", "first"))
+             .where(~F.col("first").eqNullSafe(place)).select("id", "th", "start", "lines"))
     # Windows of one document that overlap or touch are one run: the union of their lines.
     runs = (later.groupBy("id", "th")
             .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("lines") - 1))))
                  .alias("gone")))
     runs = scratch.write(runs.select(F.col("id").alias("rid"), F.col("th").alias("rth"), "gone"), "runs")
-    scratch.drop(windows, near)
+    scratch.drop(windows, marks, near, grams)
 
+    # Only texts that the bitmap of touched rows lets through travel; all others stay where they lie.
+    maybe = KeyFilter(runs.select(F.xxhash64("rid", "rth").alias("key")), "key", scratch).marked(rows, F.xxhash64("id", "th"), "maybe")
+    touched = (maybe.where("maybe").drop("maybe")
+               .join(runs.hint("merge"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left"))
+    untouched = maybe.where("not maybe").drop("maybe").select("*", F.lit(None).cast("array<int>").alias("gone"))
     places = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
-    joined = rows.join(runs, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
-    joined = joined.withColumn("places", F.when(F.col("gone").isNotNull(), places)).withColumn(
+    joined = touched.drop("rid", "rth").withColumn("places", F.when(F.col("gone").isNotNull(), places)).withColumn(
         "parts", F.when(F.col("gone").isNotNull(), lines))
     gone = F.transform("gone", lambda j: F.get(F.col("places"), j))
     left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), gone)
@@ -84,8 +102,11 @@ def dedup_lines(docs: DataFrame, *, run_lines: int = 2) -> DataFrame:
         F.array_join(F.transform(F.array_sort(left), lambda i: F.get(F.col("parts"), i)), "\n"))
     columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names
                if c not in ("n_lines", "n_deleted")]
-    return joined.select(*columns, F.coalesce(F.size(filled), F.lit(0)).cast("long").alias("n_lines"),
-                         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    counts = (F.coalesce(F.size(filled), F.lit(0)).cast("long").alias("n_lines"),
+              F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    whole = [F.col("row").getField(c).cast("string").alias(c) if c == "text" else F.col("row").getField(c).alias(c)
+             for c in names if c not in ("n_lines", "n_deleted")]
+    return joined.select(*columns, *counts).unionByName(untouched.select(*whole, *counts))
 
 
 #: The same result by comparing every window of every document directly ({run} consecutive lines).
