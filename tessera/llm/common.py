@@ -79,6 +79,25 @@ class Scratch:
                 fs.delete(p, True)
 
 
+#: At most this many keys are taken as hot: a hot key has over 1 / HOT_KEYS of all rows, so no more can be.
+HOT_KEYS = 100_000
+
+
+def join_one(rows: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``one``, which has one thin row per ``key`` and, as ``n``, the rows of that key.
+
+    ``total`` is the number of ``rows``.  Keys of more than max(1000, total / HOT_KEYS)
+    rows are at most HOT_KEYS; they are broadcast, so no task gets more rows of one
+    key.  All other keys meet their rows by a shuffle.
+    """
+    often = F.lit(max(1000, total // HOT_KEYS))
+    hot = one.where(F.col(n) > often)
+    tested = rows.join(F.broadcast(hot.select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left")
+    # Rows of rare keys only; the hint keeps the plan the same at every size.
+    rare = tested.where("_hot is null").drop("_hot").join(one.where(F.col(n) <= often).hint("merge"), key)
+    return rare.unionByName(rows.join(F.broadcast(hot), key))
+
+
 class KeyFilter:
     """A set of 64-bit keys as one bitmap: lets every key of the set pass, and few others.
 

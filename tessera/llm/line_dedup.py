@@ -16,10 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Scratch
-
-#: At most this many windows are taken as hot; a hot one has over 1 / HOT_WINDOWS of all rows, so no more can be.
-HOT_WINDOWS = 100_000
+from .common import KeyFilter, Scratch, join_one
 
 
 def _windows(hashes: Column, run: int) -> Column:
@@ -72,15 +69,8 @@ def dedup_lines(docs: DataFrame, *, run_lines: int = 2) -> DataFrame:
     grams = scratch.write(
         near.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
         .where(~F.col("first").eqNullSafe(F.col("last"))).select("gram", "first", "n"), "grams")
-    # Windows of more than ``often`` places are at most HOT_WINDOWS: they meet their places by broadcast, so no key
-    # of the other join has more than ``often`` rows.
-    often = F.lit(max(1000, near.count() // HOT_WINDOWS))
-    hot = grams.where(F.col("n") > often).select("gram", F.col("first").alias("hot"))
-    marked = near.join(F.broadcast(hot), "gram", "left")
-    rare = (marked.where("hot is null").drop("hot")
-            .join(grams.where(F.col("n") <= often).select("gram", "first").hint("merge"), "gram"))
-    later = (rare.unionByName(marked.where("hot is not null").withColumnRenamed("hot", "first"))
-             .where(~F.col("first").eqNullSafe(place)).select("id", "th", "start", "lines"))
+    later = (join_one(near, grams, "gram", "n", near.count()).where(~F.col("first").eqNullSafe(place))
+             .select("id", "th", "start", "lines"))
     # Windows of one document that overlap or touch are one run: the union of their lines.
     runs = (later.groupBy("id", "th")
             .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("lines") - 1))))
