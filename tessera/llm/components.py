@@ -2,7 +2,7 @@
 
 Each round hooks every node to the smallest label among its neighbours (one
 partial aggregation, so a node with very many neighbours is combined before the
-shuffle) and then follows the hooks; the number of rounds is logarithmic in
+shuffle; its neighbours read its label by broadcast) and then follows the hooks; the number of rounds is logarithmic in
 practice.  Nothing is collected but one count per round.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_one
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -23,16 +23,18 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = (links.where("a is not null and b is not null and a <> b")
              .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    old = None
+    edges = scratch.write(edges, "edges")
+    old = edges
     while True:
+        total = 2 * edges.count()
         # Large star: every larger neighbour of u moves to the smallest of u and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+        large = (join_one(both, low, "u", "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .distinct())
         # Small star: u and its smaller neighbours move to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = join_one(large, low, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = scratch.write(small, "edges")
         scratch.drop(old)

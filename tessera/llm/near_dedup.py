@@ -2,8 +2,9 @@
 
 1. Every document becomes its set of word shingles (64-bit hashes); documents
    with the same set form one class, so exact copies are never paired.
-2. ``n_hashes`` MinHash values per class are cut into bands; a class meets the
-   smallest class of each of its buckets (a star, never all pairs).
+2. ``n_hashes`` MinHash values per class are cut into bands; a class meets one
+   class of each of its buckets (a star, never all pairs): the one that meets the
+   most others over all its buckets, which most copies of one text are near to.
 3. Each candidate pair compares its signatures batch by batch and is dropped as
    soon as the posterior probability of reaching the threshold falls below
    ``miss`` (uniform prior: P(J >= t | m of n agree) = P(Binomial(n + 1, t) <= m)).
@@ -12,9 +13,11 @@
    prefix filtering: the shingles of a set are ordered from the rarest among
    these classes on, and two sets of the threshold's similarity share one of
    their first n - ceil(t n) + 1, with enough shingles left after the first
-   shared one (prefix and positional filter).  The copies of one text differ in
-   their rare shingles, so this pairs neither whole buckets nor classes already
-   connected, and no two texts that share a band stay unchecked.
+   shared one (prefix and positional filter).  First the classes that share such
+   a shingle meet the one of them whose shingles are the most common; what is
+   left, mostly pairs of which one end differs too much from its group, is then
+   joined except inside a component.  So this pairs neither whole buckets nor
+   classes already connected, and no two texts that share a band stay unchecked.
 
 The only loss is the chosen one: a pair at the threshold shares no band with
 probability at most ``miss``, or is pruned by step 3 with that probability.
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, ship_package
+from .common import Scratch, bounded, join_one, ship_package
 from .components import connected_components
 
 #: Up to this many ids a document filter is broadcast (about 32 MB); beyond it, Spark joins by shuffle.
@@ -137,16 +140,15 @@ def _sets(k: int):
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shingles, label) -> one row (node, label, n, shingle) for every shingle."""
+    """(node, shingles) -> one row (node, n, shingle) for every shingle."""
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
             sizes = [len(x) for x in sets]
-            take = pa.array(np.repeat(np.arange(len(sets)), sizes))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(take), part.column(2).take(take), pa.array(np.repeat(sizes, sizes), pa.int64()),
-                 pa.array(np.concatenate(sets), pa.int64())], ["node", "label", "n", "shingle"])
+                [part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.repeat(sizes, sizes), pa.int64()),
+                 pa.array(np.concatenate(sets), pa.int64())], ["node", "n", "shingle"])
 
 
 def _bayes(bounds: list[tuple[int, int]], n_hashes: int):
@@ -209,23 +211,53 @@ class _Verifier:
         self.scratch.drop(ids)
         return sets
 
-    def prefix_pairs(self, named: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different components among (node, label) that share a shingle of their rarest."""
+    def prefixes(self, named: DataFrame) -> DataFrame:
+        """The rarest shingles of some classes, those that several share: node, n, left, shingle, common.
+
+        ``left`` counts the shingles from this one on: no pair whose first common shingle this is has more in
+        common.  ``common`` is the mean number of classes that hold a shingle of this class.
+        """
         rows = self.scratch.write(
-            self.sets(named.select("node")).join(named, "node")
-            .mapInArrow(bounded(_shingle_rows), "node binary, label binary, n long, shingle long"), "shingles")
+            self.sets(named).mapInArrow(bounded(_shingle_rows), "node binary, n long, shingle long"), "shingles")
         often = rows.groupBy("shingle").agg(F.count("*").alias("df"))
         # A shingle of one class only takes a place in its class's prefix but joins nothing.
-        place = Window.partitionBy("node").orderBy("df", "shingle")
-        head = (rows.join(often, "shingle").withColumn("nth", F.row_number().over(place))
+        one = Window.partitionBy("node")
+        head = (rows.join(often, "shingle").withColumn("common", F.avg("df").over(one))
+                .withColumn("nth", F.row_number().over(one.orderBy("df", "shingle")))
                 .where(100 * (F.col("nth") - 1) <= (100 - self.percent) * F.col("n")).where("df > 1"))
-        # Shingles from this one on: no pair whose first common shingle this is has more in common.
-        head = head.withColumn("left", F.col("n") - F.col("nth") + 1)
-        head = self.scratch.write(head.select("node", "label", "n", "left", "shingle"), "prefixes")
-        x, y = (head.select("shingle", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "label", "n", "left"))) for e in "xy")
-        enough = (100 + self.percent) * F.least("left_x", "left_y") >= self.percent * (F.col("n_x") + F.col("n_y"))
-        return (x.join(y, "shingle")
-                .where((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & enough)
+        head = head.join(named, "node", "left_semi")
+        head = self.scratch.write(head.select("node", "n", (F.col("n") - F.col("nth") + 1).alias("left"), "shingle", "common"),
+                                  "prefixes")
+        self.scratch.drop(rows)
+        return head
+
+    def _centres(self, head: DataFrame) -> DataFrame:
+        """For every shingle with classes of several components, the class whose shingles are the most common."""
+        return (head.groupBy("shingle").agg(
+            F.max_by(F.struct("node", "label", "n", "left"), F.struct("common", "node")).alias("centre"),
+            F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows"))
+            .where("x <> y").select("shingle", "centre", "rows"))
+
+    def _enough(self, left: tuple, n: tuple):
+        return (100 + self.percent) * F.least(*left) >= self.percent * (n[0] + n[1])
+
+    def central_pairs(self, head: DataFrame) -> DataFrame:
+        """Pairs (a, b): the centre of each shingle with the classes of other components that share it."""
+        rows = join_one(head, self._centres(head), "shingle", "rows", head.count())
+        return (rows.where((F.col("label") != F.col("centre.label"))
+                           & self._enough(("left", "centre.left"), (F.col("n"), F.col("centre.n"))))
+                .select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct())
+
+    def prefix_pairs(self, head: DataFrame) -> DataFrame:
+        """All pairs (a, b) of different components that share a shingle of their rarest."""
+        head = self.scratch.write(
+            join_one(head, self._centres(head), "shingle", "rows", head.count())
+            .select("shingle", "node", "label", "n", "left", (F.col("label") == F.col("centre.label")).alias("main")), "open")
+        x, y = (head.select("shingle", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "label", "n", "left", "main"))) for e in "xy")
+        # The classes around the centre are one component: each pair has at least one end outside it.
+        return (x.where("not main_x").join(y, "shingle")
+                .where(((F.col("main_y")) | (F.col("node_x") < F.col("node_y"))) & (F.col("label_x") != F.col("label_y"))
+                       & self._enough(("left_x", "left_y"), (F.col("n_x"), F.col("n_y"))))
                 .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -273,11 +305,16 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
 
     keys = [F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * rows * i, 4 * rows)) for i in range(bands)]
     banded = classes.select("node", F.explode(F.array(*keys)).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = scratch.write(banded.join(buckets, "key"), "members")
-
-    # First leaders: a star per bucket. Each class is checked with its likeliest leader, then with the rest.
-    star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    buckets = scratch.write(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = scratch.write(join_one(banded, buckets, "key", "size", bands * classes.count()), "members")
+
+    # A star per bucket around the member that meets the most others over all its buckets: the one with the fewest
+    # changes, which most copies of a text are near to.  Each class is checked with its likeliest leader, then with the rest.
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    leaders = scratch.write(members.join(met, "node").groupBy("key").agg(
+        F.max_by("node", F.struct("met", "node")).alias("leader"), F.count("*").alias("n")), "leaders")
+    star = (join_one(members, leaders, "key", "n", members.count()).where("node <> leader")
+            .select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     alive = scratch.write(v.survivors(star), "alive")
     best = alive.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
     links = v.links(best)
@@ -289,11 +326,14 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     # The rest of the buckets that still hold several components.
     named = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = scratch.write(named.join(open_, "key", "left_semi").select("node", "label").distinct(), "open")
+    rest = scratch.write(named.join(open_, "key", "left_semi").select("node").distinct(), "open")
     if not rest.isEmpty():
-        pairs = scratch.write(v.survivors(v.prefix_pairs(rest)), "rest")
-        if not pairs.isEmpty():
-            labels = _merge(labels, v.links(pairs), scratch)
+        head = v.prefixes(rest)
+        for pairs_of in (v.central_pairs, v.prefix_pairs):
+            labelled = head.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            pairs = scratch.write(v.survivors(pairs_of(labelled)), "rest")
+            if not pairs.isEmpty():
+                labels = _merge(labels, v.links(pairs), scratch)
 
     named = classes.select("node", "min_id").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))

@@ -47,6 +47,20 @@ def test_matches_brute_force_on_copies_and_odd_rows(docs_of):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_copies_of_one_text_are_not_paired_with_each_other(docs_of, monkeypatch):
+    rows, made = near_copies(400, 3), []
+    pairs = N._Verifier.prefix_pairs
+
+    def counted(self, named):
+        out = pairs(self, named)
+        made.append(out.count())
+        return out
+    monkeypatch.setattr(N._Verifier, "prefix_pairs", counted)
+    got = N.near_duplicates(docs_of(rows), shingle_words=3, percent=85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_force(rows, 3, 85)
+    assert sum(made) <= 400
+
+
 def test_one_row_of_each_component_stays_and_columns_too(docs_of):
     rows = [(5, "a b c d e f g h i j"), (3, "a b c d e f g h i j"), (3, "a b c d e f g h i j"), (9, None), (9, None),
             (4, "something else entirely in here")]
