@@ -13,7 +13,9 @@ the end, the boundary, meet the exact even-odd test.
 
 So the work follows the boundary of the polygons, not the points inside them, and
 neither side is joined row by row to the other except there.  The edges for the exact
-test are broadcast in parts of a checked size.
+test are broadcast in parts of a checked size.  Grids and covers compress to a small
+part of their size, so their joins are merge joins whatever a shuffle measures: the
+driver never holds one as a hash table.
 """
 
 from __future__ import annotations
@@ -240,25 +242,26 @@ def category_counts_in_polygons(points: DataFrame, x_col: str, y_col: str, categ
     found = []
     if levels.get(True):
         grid = count_grid(near, "__x", "__y", cells, levels[True], flags)
-        found.append(covers.where("__inside").join(grid, "__cell").groupBy("__pid").agg(*[F.sum(n).alias(n) for n in flags]))
+        found.append(covers.where("__inside").join(grid.hint("merge"), "__cell").groupBy("__pid").agg(*[F.sum(n).alias(n) for n in flags]))
     if levels.get(False):
         keyed = near.select("*", F.explode(F.array(*[cells.of_point("__x", "__y", k) for k in levels[False]])).alias("__cell"))
-        found.append(_boundary_hits(keyed.join(covers.where("not __inside").select("__pid", "__cell"), "__cell"), prepared, whole.edges)
+        edge = covers.where("not __inside").select("__pid", "__cell")
+        found.append(_boundary_hits(keyed.join(edge.hint("merge"), "__cell"), prepared, whole.edges, ["__pid", "__c"])
                      .groupBy("__pid").agg(*[F.sum(c).alias(n) for n, c in flags.items()]))
     counts = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    by_id = counts.join(ids, "__pid").groupBy("__id").agg(*[F.sum(n).alias(n) for n in flags])
-    return (polys.select(poly_id).join(by_id, F.col(poly_id) == F.col("__id"), "left")
+    by_id = counts.join(ids.hint("merge"), "__pid").groupBy("__id").agg(*[F.sum(n).alias(n) for n in flags])
+    return (polys.select(poly_id).join(by_id.hint("merge"), F.col(poly_id) == F.col("__id"), "left")
             .select(poly_id, *[F.coalesce(n, F.lit(0)).alias(names[str(c)]) for n, c in zip(flags, categories)]))
 
 
-def _boundary_hits(near: DataFrame, prepared: DataFrame, edges: int) -> DataFrame:
-    """(__pid, __c) of the points of boundary cells (__x, __y, __c, __pid) that lie strictly inside."""
-    near = near.select("__x", "__y", "__c", "__pid")
+def _boundary_hits(near: DataFrame, prepared: DataFrame, edges: int, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns of the points of boundary cells (__x, __y, __pid) that lie strictly inside."""
+    near = near.select("__x", "__y", "__pid", *[c for c in keep if c != "__pid"])
     parts = -(-edges // spatial.PART_EDGES)
     out = None
     for part in range(parts):
         def mine(df):
             return df.where(F.pmod(F.xxhash64("__pid"), F.lit(parts)) == part) if parts > 1 else df
-        hits = spatial.exact_inside(mine(near), "__x", "__y", spatial.pack_polygons(mine(prepared)), ["__pid", "__c"])
+        hits = spatial.exact_inside(mine(near), "__x", "__y", spatial.pack_polygons(mine(prepared)), keep)
         out = hits if out is None else out.unionByName(hits)
     return out

@@ -111,3 +111,14 @@ def test_edges_in_parts(spark, monkeypatch):
     once = sorted(map(tuple, C.category_counts_in_polygons(*args).collect()))
     monkeypatch.setattr(G, "PART_EDGES", 200)
     assert sorted(map(tuple, C.category_counts_in_polygons(*args).collect())) == once
+
+
+def test_grids_and_covers_are_never_broadcast(spark):
+    """Small when shuffled, they are large as hash tables of the driver."""
+    polys, pts = fixture(4)
+    got = C.category_counts_in_polygons(spark.createDataFrame(pts, "x double, y double, kind string"), "x", "y", "kind",
+                                        spark.createDataFrame([(k, _wkt(r)) for k, r in polys], "pid int, wkt string"), "pid", "wkt", KINDS)
+    assert got.count() == len(polys)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
