@@ -16,6 +16,9 @@ neither side is joined row by row to the other except there.  The edges for the
 test are broadcast in parts of a checked size.  Grids and covers compress to a small
 part of their size, so their joins are merge joins whatever a shuffle measures: the
 driver never holds one as a hash table.
+
+Whether a point lies in any polygon at all (J4) takes the same covers: a point in an
+inside cell is done, and only the others meet the polygons of their boundary cells.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .relational import count_names
 POINTS_PER_CELL = 2.0
 #: A polygon is cut at most this often, so its cover has some thousand cells even when its cells are crowded.
 MAX_DEPTH = 9
+#: The same for the test of any polygon, where a point has to meet an inside cell of one polygon only.
+ANY_DEPTH = 5
 #: (cell, edge) pairs that are tested at once.
 PAIRS = 1_000_000
 
@@ -186,14 +191,14 @@ def count_grid(points: DataFrame, x: str, y: str, cells: Cells, levels: list[int
     return out
 
 
-def polygon_cover(prepared: DataFrame, cells: Cells) -> DataFrame:
-    """(__pid, __lvl, __cell, __inside) of the polygons, down to the finest cells or MAX_DEPTH cuts of their own size."""
+def polygon_cover(prepared: DataFrame, cells: Cells, depth: int = MAX_DEPTH) -> DataFrame:
+    """(__pid, __lvl, __cell, __inside) of the polygons, down to the finest cells or ``depth`` cuts of their own size."""
     ext = F.greatest(F.col("bbox.maxx") - F.col("bbox.minx"), F.col("bbox.maxy") - F.col("bbox.miny"))
     finest = F.lit(cells.finest).cast("long")
     # The exponent is only a start size: rounding of the logarithm may add a row of cells, never lose one.
     top = F.greatest(F.ceil(F.log2(F.greatest(ext, F.lit(1e-300)))).cast("long"), finest)
     rows = prepared.select("__pid", "bbox", *spatial.EDGE_COLS, top.alias("__top")).withColumn(
-        "__bottom", F.greatest(F.col("__top") - MAX_DEPTH, finest))
+        "__bottom", F.greatest(F.col("__top") - depth, finest))
     ship_package(prepared.sparkSession)
     return rows.mapInArrow(_cover_rows(cells), "__pid long, __lvl int, __cell long, __inside boolean")
 
@@ -265,3 +270,40 @@ def _boundary_hits(near: DataFrame, prepared: DataFrame, edges: int, keep: list[
         hits = spatial.exact_inside(mine(near), "__x", "__y", spatial.pack_polygons(mine(prepared)), keep)
         out = hits if out is None else out.unionByName(hits)
     return out
+
+
+def ids_inside_any(points: DataFrame, id_col: str, x_col: str, y_col: str, prepared: DataFrame,
+                   points_per_cell: float = POINTS_PER_CELL) -> DataFrame | None:
+    """Distinct ``__id`` of the points strictly inside at least one polygon, or None where there can be none.
+
+    ``prepared`` has numbered polygons (``__pid``) whose edges are all finite.
+    """
+    box = [F.col(f"bbox.{c}") for c in ("minx", "miny", "maxx", "maxy")]
+    whole = prepared.agg(F.sum(F.size(spatial.EDGE_COLS[0])).alias("edges"), F.min(box[0]).alias("x0"), F.min(box[1]).alias("y0"),
+                         F.max(box[2]).alias("x1"), F.max(box[3]).alias("y1")).first()
+    if not whole.edges:
+        return None
+    near = (points.select(F.col(id_col).alias("__id"), F.col(x_col).cast("double").alias("__x"), F.col(y_col).cast("double").alias("__y"))
+            .where(F.col("__x").between(whole.x0, whole.x1) & F.col("__y").between(whole.y0, whole.y1) & F.col("__id").isNotNull()))
+    n = near.count()
+    area = (whole.x1 - whole.x0) * (whole.y1 - whole.y0)
+    if not n or not area:
+        return None
+    cells = Cells(whole.x0, whole.y0, whole.x1, whole.y1, math.floor(math.log2(points_per_cell * area / n) / 2))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    covers = cut_lineage(polygon_cover(prepared.repartition(tasks, "__pid"), cells, ANY_DEPTH))
+    used = covers.groupBy("__inside").agg(F.collect_set("__lvl").alias("l")).collect()  # a few dozen numbers
+    levels = {r["__inside"]: sorted(r["l"]) for r in used}
+
+    def keyed(rows, inside):
+        return rows.select("*", F.explode(F.array(*[cells.of_point("__x", "__y", k) for k in levels[inside]])).alias("__cell"))
+    found, rest = [], near
+    if levels.get(True):
+        whole_cells = covers.where("__inside").select("__cell").distinct()
+        done = cut_lineage(keyed(near, True).join(whole_cells.hint("merge"), "__cell", "left_semi").select("__id").distinct())
+        found.append(done)
+        rest = near.join(done.hint("merge"), "__id", "left_anti")
+    if levels.get(False):
+        edge = covers.where("not __inside").select("__pid", "__cell")
+        found.append(_boundary_hits(keyed(rest, False).join(edge.hint("merge"), "__cell"), prepared, whole.edges, ["__id"]).distinct())
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])

@@ -148,9 +148,28 @@ def points_in_polygons(points: DataFrame, x_col: str, y_col: str, polys: DataFra
 
 def inside_any(points: DataFrame, point_id: str, x_col: str, y_col: str, zones: DataFrame,
                zone_id: str, wkt_col: str, out_col: str = "in_zone") -> DataFrame:
-    """1 when the point lies strictly inside at least one zone, else 0."""
-    hits = (points_in_polygons(points.select(point_id, x_col, y_col), x_col, y_col,
-                               zones, zone_id, wkt_col)
-            .select(point_id).distinct().withColumn(out_col, F.lit(1)))
+    """1 when the point lies strictly inside at least one zone, else 0.
+
+    No (point, zone) pair is formed for a point that lies in an inside cell of some
+    zone's cover (``cell_counts``), and zones of one text are one shape.  Zones with
+    edges that are not finite have no cover and are joined to the points pair by pair.
+    """
+    from .cell_counts import ids_inside_any
+    shapes = zones.where(F.col(wkt_col).isNotNull()).select(F.col(wkt_col).alias("__shape")).distinct()
+    prepared = prepare_polygons(shapes, "__shape", "__shape")
+    # A null or NaN is not below the limit, and a sum with one is one.
+    odd = F.exists("edges", lambda e: ~F.coalesce(sum((F.abs(e[k]) for k in ("y1", "x2", "y2")), F.abs(e["x1"])) < 1e300, F.lit(False)))
+    # Written once: the numbers given here stay when a later task is run again.
+    prepared = cut_lineage(prepared.where(F.size(EDGE_COLS[0]) > 0).withColumn("__odd", odd)
+                           .withColumn("__pid", F.monotonically_increasing_id()))
+    found = [ids_inside_any(points, point_id, x_col, y_col, prepared.where("not __odd"))]
+    strange = prepared.where("__odd").select("__shape")
+    if not strange.isEmpty():
+        found.append(points_in_polygons(points.select(F.col(point_id).alias("__id"), x_col, y_col), x_col, y_col,
+                                        strange.select("__shape", F.col("__shape").alias("__text")), "__shape", "__text").select("__id"))
+    hits = points.select(F.col(point_id).alias("__id")).limit(0)
+    for f in found:
+        hits = hits if f is None else hits.unionByName(f)
+    hits = hits.distinct().select(F.col("__id").alias(point_id), F.lit(1).alias(out_col))
     return (points.join(hits, on=point_id, how="left")
                   .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0))))

@@ -122,3 +122,25 @@ def test_grids_and_covers_are_never_broadcast(spark):
     got.collect()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_inside_any_meets_few_pairs(spark, monkeypatch):
+    polys, pts = fixture(5)
+    rows = [(k, _wkt(r)) for k, r in polys] + [(None, _wkt(polys[3][1])), (61, None)]
+    # Many zones that differ a little and lie on each other.
+    many = [[(20 + k / 1000, 20.0), (30.0, 20 - k / 1000), (30.0, 30.0), (20.0, 30 + k / 1000)] for k in range(200)]
+    rows += [(100 + k, _wkt([r])) for k, r in enumerate(many)]
+    spots = [(x, y) for x, y, _ in pts] + [(21 + i / 50, 25.0) for i in range(400)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)] + [(0, 1e9, 0.0), (None, 25.0, 25.0), (9999, float("nan"), 1.0)],
+                                   "id long, x double, y double")
+    met, test = [], G.exact_inside
+
+    def seen(cand, *rest):
+        met.append(cand.count())
+        return test(cand, *rest)
+    monkeypatch.setattr(G, "exact_inside", seen)
+    got = {r.id: r.in_zone for r in G.inside_any(points, "id", "x", "y", spark.createDataFrame(rows, "z int, wkt string"), "z", "wkt").collect()}
+    shapes = [r for _, r in polys] + [[r] for r in many]
+    assert all(got[i] == int(any(_inside(x, y, s) for s in shapes)) for i, (x, y) in enumerate(spots) if i)
+    assert got[None] == 0 and got[9999] == 0
+    assert sum(met) < 400 * 200 / 2
