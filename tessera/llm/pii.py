@@ -6,9 +6,9 @@ digits with the usual separators (as ip, card or phone) and any address with a
 written-out or spaced sign (as email).  A gradient-boosted tree classifier learns
 from the base spans what such data look like; its features are format and context
 only, not the checks that make a base span valid, so that look-alikes which the
-strict patterns miss can score high.  For each kind the threshold is the lowest
-that keeps the wanted precision on held-out candidates; where none does, nothing
-is added.
+strict patterns miss can score high.  It learns from all candidates that are not held out.  For
+each kind the threshold is the lowest that keeps the wanted precision on all
+held-out candidates; where none does, nothing is added.
 
 Every text is cut at the matches of each pattern, so a span's start is the running
 sum of the pieces before it; the documents' text is read once and never shuffled.
@@ -75,8 +75,9 @@ def _valid() -> Column:
 
 
 def _features() -> dict[str, Column]:
-    """Format and context of a candidate; no sign that decides whether it is a base span."""
-    hit, before, after = F.col("hit"), F.col("before"), F.col("after")
+    """Format and context of a candidate; no sign that decides whether it is a base span, as a country's code does."""
+    before, after = F.col("before"), F.col("after")
+    hit = F.regexp_replace("hit", r"^\+[0-9]{1,3}[\x20.-]+(?=[0-9(])|^\+[0-9]{1,3}(?=\()", "")
 
     def count(pattern: str) -> Column:
         return F.char_length(F.regexp_replace(hit, f"[^{pattern}]", "")).cast("double")
@@ -98,7 +99,10 @@ def _features() -> dict[str, Column]:
 
 
 def _candidates(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id) of all documents, and (row, kind, start, end, base, hit, before, after) of all spans."""
+    """(row, doc_id) of all documents, and (row, kind, start, end, base, failed, hit, before, after) of all spans.
+
+    ``base``: a match of the kind's pattern that passes its check; ``failed``: one that does not; neither: a candidate.
+    """
     patterns = BASE | {name: p for name, (_, p) in WIDE.items()}
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Texts without a digit and without a sign for "at" hold nothing that any pattern finds.
@@ -112,40 +116,61 @@ def _candidates(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     flat = flat.withColumn("end", F.sum(F.col("gap") + size).over(along)).withColumn("start", F.col("end") - size)
     kinds = F.create_map(*[x for k in patterns for x in (
         F.lit(k), F.array(*map(F.lit, WIDE[k][0] if k in WIDE else (k,))))])
-    flat = (flat.withColumn("base", F.col("source").isin(*BASE))
-            .where(~F.col("base") | _valid())
-            .withColumn("kind", F.explode(F.element_at(kinds, F.col("source")))))
-    return rows.select("row", "doc_id"), flat.select("row", "kind", "start", "end", "base", "hit", "before", "after")
+    flat = (flat.withColumn("strict", F.col("source").isin(*BASE)).withColumn("valid", _valid())
+            .withColumn("kind", F.explode(F.element_at(kinds, F.col("source"))))
+            .withColumn("base", F.col("strict") & F.col("valid")).withColumn("failed", F.col("strict") & ~F.col("valid")))
+    return rows.select("row", "doc_id"), flat.select("row", "kind", "start", "end", "base", "failed", "hit", "before", "after")
+
+
+#: Thresholds lie on a grid of this many steps, so what the driver sees of the held-out candidates is bounded.
+STEPS = 10_000
 
 
-def _train(spans: DataFrame, scratch: Scratch, max_candidates: int, precision: float, least: int):
-    """(assembler, model, threshold by kind) fitted on a bounded sample of candidates, or None without both classes."""
+def _probability() -> Column:
+    return vector_to_array("probability")[1]
+
+
+def _train(spans: DataFrame, scratch: Scratch, precision: float, least: int):
+    """(assembler, model, threshold by kind) fitted on all candidates, or None without both classes.
+
+    Candidates of equal features are one row weighted by their number.  Held out, a
+    candidate that is a base span counts as right and one that fails its kind's
+    check as wrong.  One that no strict pattern reads is neither: it counts as right
+    by its score over the mean score of the base spans, as is usual in learning from
+    positive and unlabelled data.
+    """
     names = list(_features())
     same = Window.partitionBy("row", "kind", "end")
-    marked = spans.withColumn("label", F.max(F.col("base").cast("double")).over(same)).where("not base")
+    marked = (spans.withColumn("label", F.max(F.col("base").cast("double")).over(same))
+              .withColumn("wrong", F.max("failed").over(same) & (F.col("label") == 0)).where("not base and not failed"))
     fold = F.pmod(F.xxhash64("row", "start"), F.lit(1000))
-    sample = (marked.withColumn("order", F.xxhash64("row", "start", "kind")).orderBy("order").limit(max_candidates)
-              .select("label", "kind", (fold < 300).alias("held"), *(c.alias(n) for n, c in _features().items())))
-    sample = scratch.write(VectorAssembler(inputCols=names, outputCol="features").transform(sample)
-                           .select("label", "kind", "held", "features"), "sample")
-    fit = sample.where("not held")
+    alike = (marked.select("label", "wrong", "kind", (fold < 300).alias("held"), *(c.alias(n) for n, c in _features().items()))
+             .groupBy("label", "wrong", "kind", "held", *names).agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    alike = scratch.write(assembler.transform(alike).select(
+        "label", "wrong", "kind", "held", "weight", "features"), "candidates")
+    fit = alike.where("not held")
     if fit.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.3, seed=5).fit(fit)
-    held = (model.transform(sample.where("held"))
-            .select("kind", "label", vector_to_array("probability")[1].alias("p")).orderBy(F.desc("p")).collect())
+    model = GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.3, seed=5, weightCol="weight").fit(fit)
+    w, p = F.col("weight"), _probability()
+    steps = (model.transform(alike.where("held")).groupBy("kind", F.floor(p * STEPS).alias("step"))
+             .agg(F.sum(w).alias("n"), F.sum(w * F.col("label")).alias("base"), F.sum(w * F.col("label") * p).alias("p_base"),
+                  F.sum(F.when((F.col("label") == 0) & ~F.col("wrong"), w)).alias("open"))
+             .fillna(0).orderBy(F.desc("step")).collect())
     cuts = {}
     for kind in KINDS:
+        mine = [r for r in steps if r.kind == kind]
+        mean = sum(r.p_base for r in mine) / max(1, sum(r.base for r in mine))
         good = seen = 0
-        for r in (r for r in held if r.kind == kind):
-            seen, good = seen + 1, good + int(r.label)
+        for r in mine if mean else ():
+            seen, good = seen + r.n, good + r.base + r.open * min(1, r.step / STEPS / mean)
             if seen >= least and good >= precision * seen:
-                cuts[kind] = r.p
-    return VectorAssembler(inputCols=names, outputCol="features"), model, cuts
+                cuts[kind] = r.step / STEPS
+    return assembler, model, cuts
 
 
-def find_personal_data(docs: DataFrame, *, max_candidates: int = 20_000, precision: float = 0.95,
-                       least: int = 20) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, precision: float = 0.95, least: int = 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and hash are of the base spans, ``spans`` lists base and added spans as
@@ -158,15 +183,15 @@ def find_personal_data(docs: DataFrame, *, max_candidates: int = 20_000, precisi
     """
     scratch = Scratch(docs.sparkSession)
     rows, spans = _candidates(docs, scratch)
-    trained = _train(spans, scratch, max_candidates, precision, least)
+    trained = _train(spans, scratch, precision, least)
     base = spans.where("base").select("row", "kind", "start", "end", F.lit(True).alias("base"))
     order = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("kind"))
     if trained and trained[2]:
         assembler, model, cuts = trained
-        wide = spans.where("not base").withColumns(_features())
-        scored = model.transform(assembler.transform(wide)).withColumn("p", vector_to_array("probability")[1])
+        wide = spans.where("not base and not failed").withColumns(_features())
+        scored = model.transform(assembler.transform(wide)).withColumn("p", _probability())
         least_p = F.element_at(F.create_map(*[x for k, c in cuts.items() for x in (F.lit(k), F.lit(float(c)))]), F.col("kind"))
-        added = (scored.where(F.col("p") >= least_p)
+        added = (scored.where(F.floor(F.col("p") * STEPS) / STEPS >= least_p)
                  .withColumn("nth", F.row_number().over(Window.partitionBy("row", "start", "end").orderBy(F.desc("p"), "kind")))
                  .where("nth = 1").select("row", "kind", "start", "end", F.lit(False).alias("base")))
         both = base.unionByName(added).repartition("row")

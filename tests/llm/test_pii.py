@@ -79,3 +79,35 @@ def test_empty_table_and_plan_without_python(docs_of):
     assert P.find_personal_data(docs_of([])).collect() == []
     plan = P.find_personal_data(docs_of([(1, "a@b.c")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))
+
+
+def test_all_candidates_train_and_set_the_thresholds(docs_of, monkeypatch):
+    seen = []
+
+    class Fit(P.GBTClassifier):
+        def fit(self, rows):
+            model = super().fit(rows)
+            seen.append(rows.groupBy().sum("weight").first()[0])
+            apply = model.transform
+
+            def transform(held):
+                if "weight" in held.columns:
+                    seen.append(held.groupBy().sum("weight").first()[0])
+                return apply(held)
+            model.transform = transform
+            return model
+    monkeypatch.setattr(P, "GBTClassifier", Fit)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"n {rng.randint(10**7, 10**8 - 1)}" for _ in range(100))) for i in range(80)]
+    rows += [(1000 + i, f"write a{i}@mail.example.com") for i in range(120)]
+    P.find_personal_data(docs_of(rows)).collect()
+    # Every number is a candidate of three kinds, every address of one.
+    assert sum(seen) == 80 * 100 * 3 + 120 and len(seen) == 2
+
+
+def test_threshold_takes_equal_scores_together(docs_of):
+    # Numbers that the classifier cannot tell apart stand below all calls: none of them is added.
+    rows = [(i, f"please call +1 (212) 555-{1000 + i} today") for i in range(250)]
+    rows += [(300 + i, f"numbers {2_000_000_000 + 7 * i} here") for i in range(250)]
+    got = P.find_personal_data(docs_of(rows)).collect()
+    assert not any(r.spans for r in got if r.doc_id >= 300)
