@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -98,3 +99,48 @@ def test_unclosed_quotes_and_huge_tags_end_at_the_next_bracket():
         start = time.perf_counter()
         assert text(f"<html><body><article>{tag}Told words stay here.</p></article></body></html>") == "Told words stay here."
         assert time.perf_counter() - start < 1
+
+
+def test_all_pages_of_a_layout_choose_the_path(spark):
+    # The dozen pages with the smallest hashes hold their article in the box itself, twenty others in a quote with a line below.
+    def inner(k):
+        return f"<div class=box><p>Story {k} {'word ' * 40}end {k}.</p><p>Second {k} {'more ' * 40}end.</p></div>"
+
+    def quoted(k):
+        return (f"<div class=box><blockquote><p>Story {k} {'word ' * 40}end {k}.</p><p>Second {k} {'more ' * 40}end.</p>"
+                f"</blockquote><p>Printed {k} in town</p></div>")
+    made = [(k, f(k)) for k, f in [(k, inner) for k in range(60)] + [(100 + k, quoted) for k in range(60)]]
+    rows = spark.createDataFrame(made, "k int, html string").selectExpr("k", "html", "xxhash64(html) as h").orderBy("h").collect()
+    few = [r for r in rows if r.k < 100][:12]
+    many = [r for r in rows if r.k >= 100 and r.h > few[-1].h][:20]
+    assert len(many) == 20
+    df = spark.createDataFrame([(r.k, "http://h.example/", r.html) for r in few + many], "page_id long, url string, html string")
+    for r in H.extract_pages(df).collect():
+        k = r.page_id
+        assert r.text == f"Story {k} {'word ' * 40}end {k}. Second {k} {'more ' * 40}end."
+
+
+def test_alignment_of_trees_is_the_largest():
+    def plain(x, y):
+        if x.name != y.name:
+            return 0
+        p, q = ([c for c in n.children if not isinstance(c, str)] for n in (x, y))
+        table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, c in enumerate(p):
+            for j, d in enumerate(q):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + plain(c, d))
+        return table[-1][-1] + 1
+    rng = random.Random(3)
+
+    def tree(depth):
+        return "".join(f"<div class={rng.choice('abc')}>{tree(depth - 1)}</div>" for _ in range(rng.randint(0, 3))) if depth else "x"
+    for _ in range(100):
+        a, b, pairs = H.parse(tree(4)), H.parse(tree(4)), []
+        assert H.align(a, b, pairs) == plain(a, b) == len(pairs)
+
+
+def test_the_operator_finds_the_wrapper_of_pages_in_memory(spark):
+    sources = [page(k, f"<article><p>Follow our channel</p>{a}</article>") for k, a in enumerate(ARTICLES)]
+    wrapper = H.induce(sources)
+    wrapper["constant"] = {tuple(x) for x in wrapper["constant"]}
+    assert site(spark, sources) == {k: H.extract(s, wrapper) for k, s in enumerate(sources)}
