@@ -136,7 +136,7 @@ def elements(root: Node) -> Iterator[Node]:
     while stack:
         node = stack.pop()
         yield node
-        stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+        stack.extend([c for c in reversed(node.children) if not isinstance(c, str)])
 
 
 def path_of(node: Node) -> str:
@@ -150,7 +150,8 @@ def path_of(node: Node) -> str:
 
 def own_text(node: Node) -> str:
     if node.text is None:
-        node.text = " ".join(html.unescape(" ".join([c for c in node.children if isinstance(c, str)])).split())
+        parts = [c for c in node.children if isinstance(c, str)]
+        node.text = " ".join(html.unescape(" ".join(parts)).split()) if parts else ""
     return node.text
 
 
