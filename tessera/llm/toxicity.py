@@ -42,6 +42,10 @@ LEAN, SURE = 1.5, 3.5
 _EDGE = ".,;:?\"'()[]{}<>!"
 #: A longer repetition stands for the same letters as three.
 _LONG = re.compile(r"(.)\1{3,}", re.S)
+#: What may stand between spelled-out letters, and every white space, by code point.
+_GAP, _SPACE = np.zeros(0x3001, bool), np.zeros(0x3001, bool)
+_GAP[[ord(c) for c in " .-_*"]] = True
+_SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
 #: Longest word that the decoder remembers.
 MAX_SEEN = 40
 
@@ -87,6 +91,20 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(smooth / smooth.sum(axis=2, keepdims=True))
 
 
+def _signs_of_disguise(low: str) -> tuple[list[str], bool]:
+    """The letters that a text holds three times in a row, and whether single characters with gaps may be spelled out in it."""
+    u = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(u) < 3:
+        return [], False
+    same = u[1:] == u[:-1]
+    letters = map(chr, set(u[2:][same[1:] & same[:-1]].tolist()))
+    known = np.minimum(u, 0x3000)
+    gap = _GAP[known] & (u <= 0x3000)
+    # Two gaps around one character, the first a character after white space or the start.
+    first = np.concatenate(([True], _SPACE[known] & (u <= 0x3000)))
+    return [c * 3 for c in letters if c.isalpha()], bool((gap[1:-2] & gap[3:] & first[:-4]).any())
+
+
 class Decoder:
     """Viterbi decoding of disguised words; remembers a bounded number of words."""
 
@@ -149,21 +167,22 @@ class Decoder:
     def restored(self, text: str) -> set[str]:
         """The distinct words of a text with what disguised words stand for."""
         low = text.lower()
+        tripled, spelled = _signs_of_disguise(low)
         out = set()
         for word in set(low.split()):
             bare = word.strip(_EDGE)
             if bare.isalpha():
                 out.add(bare)
-                bare = _LONG.sub(r"\1\1\1", bare)
-                if _SUSPECT.search(bare):
-                    out.add(self.decode(bare))
+                # Of letters alone, only those with one of them three times are disguised.
+                if tripled and any(t in bare for t in tripled):
+                    out.add(self.decode(_LONG.sub(r"\1\1\1", bare)))
             else:
                 out.update(re.findall(r"[^\W\d_]+", word))
                 short = _LONG.sub(r"\1\1\1", word)
                 if len(word) >= 3 and _SUSPECT.search(short):
                     for form in {short.strip(_EDGE), short.rstrip(".,;:?")}:
                         out.add(self.decode(form))
-        for m in _SPELLED.finditer(low):
+        for m in _SPELLED.finditer(low) if spelled else ():
             letters = re.sub(r"[ .\-_]", "", m.group())
             if len(set(letters)) > 1:
                 out.add(self.decode(letters))
@@ -189,14 +208,30 @@ class Scorer:
     weights: np.ndarray | None
     prior: float
 
-    def strongest(self, text: str) -> tuple[float, float]:
-        words = self.decoder.restored(text)
+    def __post_init__(self):
+        # The first three letters of all words that can have a feature with odds.
+        self.heads = {(x[1:] if x[0] == "=" else x)[:3] for x in self.odds}
+        # The log-odds of a bounded number of words.
+        self.known: dict[str, float] = {}
+
+    def lean(self, word: str) -> float:
+        """The highest log-odds of a word and its beginnings, 0 at least."""
         get = self.odds.get
+        return max(0.0, get(f"={word}", 0.0), *(get(word[:k], 0.0) for k in range(3, min(6, len(word)) + 1)))
+
+    def strongest(self, text: str) -> tuple[float, float]:
+        heads, known = self.heads, self.known
         best = []
-        for w in words:
-            v = get(f"={w}", 0.0)
-            for k in range(3, min(6, len(w)) + 1):
-                v = max(v, get(w[:k], 0.0))
+        for w in self.decoder.restored(text):
+            if w[:3] not in heads:
+                continue
+            v = known.get(w)
+            if v is None:
+                v = self.lean(w)
+                if len(known) >= 100_000:
+                    known.clear()
+                if len(w) <= MAX_SEEN:
+                    known[w] = v
             if v > 0:
                 best.append(v)
         best.sort(reverse=True)

@@ -117,3 +117,30 @@ def test_decoder_restores_words_stretched_over_forty_characters(said):
 def test_decoder_reads_long_and_short_spelled_words():
     d = decoder([" ".join(WORDS * 3), "idiot stupid moron fat " + "ab" * 30])
     assert "fat" in d.restored("so f a t indeed") and "ab" * 30 in d.restored(".".join("ab" * 30))
+
+
+def test_words_are_scanned_once_and_only_odd_texts_by_patterns(monkeypatch):
+    class Never:
+        def finditer(self, text):
+            raise AssertionError("a text without spelled-out letters was searched for them")
+    d = decoder(["such an idiot here"] * 5 + [" ".join(WORDS)] * 20)
+    monkeypatch.setattr(T, "_SPELLED", Never())
+    assert d.restored("Plain words, and a b only.") == {"plain", "words", "and", "a", "b", "only"}
+    assert "idiot" in d.restored("an idiooooot") | d.restored("an iddddiot")
+    s = T.Scorer(d, {"=river": 4.0, "hous": 5.0, "=i": 2.0}, np.zeros(3), 0.0)
+    asked = []
+    monkeypatch.setattr(s, "lean", lambda w, lean=s.lean: asked.append(w) or lean(w))
+    assert s.strongest("The river past our houses") == s.strongest("River houses, birds river") == (5.0, 1)
+    assert s.strongest("I rivers") == (2.0, 0) and sorted(asked) == ["houses", "i", "river", "rivers"]
+
+
+def test_signs_of_disguise_miss_nothing():
+    rng = random.Random(4)
+    kinds = list("abcABC  ..--__**13@$€!|\t\n　\xa0 zßİ²½漢ー\U0001F600'\",()aaa")
+    for _ in range(4000):
+        low = "".join(rng.choice(kinds) for _ in range(rng.randint(0, 14))).lower()
+        tripled, spelled = T._signs_of_disguise(low)
+        assert spelled or not T._SPELLED.search(low)
+        for bare in (w.strip(T._EDGE) for w in low.split()):
+            if bare.isalpha():
+                assert any(t in bare for t in tripled) == bool(T._SUSPECT.search(T._LONG.sub(r"\1\1\1", bare)))
