@@ -118,3 +118,27 @@ def test_frequent_values_do_not_shuffle_by_value(spark, monkeypatch):
     assert len(plans) == 2
     for p in plans:
         assert "hashpartitioning" not in p._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pearson_when_the_first_rows_tell_nothing(spark):
+    rng = np.random.default_rng(5)
+    n = 3 * G.FIRST_ROWS
+    late = np.where(np.arange(n) < 2 * G.FIRST_ROWS, 7.0, 1e9 + rng.normal(size=n))
+    tail = 1e9 + rng.normal(size=n)
+    plain = rng.normal(size=n)
+    rows = [(float(a), float(c) if i >= 2 * G.FIRST_ROWS else None, float(p), float(p + a / 1e9), 3.0, float("nan"))
+            for i, (a, c, p) in enumerate(zip(late, tail, plain))]
+    df = spark.createDataFrame(rows, "late double, tail double, plain double, both double, flat double, none double").coalesce(1)
+    got = {(a, b): r for a, b, r in G.pearson_pairs(df, df.columns)}
+    seen = slice(2 * G.FIRST_ROWS, None)
+    for pair, x, y in ((("late", "plain"), late, plain), (("late", "tail"), late[seen], tail[seen]),
+                       (("tail", "plain"), tail[seen], plain[seen]), (("plain", "both"), plain, plain + late / 1e9)):
+        assert got[pair] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-6)
+    assert all(r is None for p, r in got.items() if "flat" in p or "none" in p)
+
+
+def test_pearson_reads_all_rows_once_when_the_first_ones_serve(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(G, "_sizes", lambda df, old=G._sizes: passes.append(df.count()) or old(df))
+    df = spark.range(4 * G.FIRST_ROWS).selectExpr("id % 17 as a", "id % 5 as b", "(id * 7) % 13 as c")
+    assert len(G.pearson_pairs(df, ["a", "b", "c"])) == 3 and passes == [G.FIRST_ROWS]
