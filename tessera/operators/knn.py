@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage, ship_package
 
@@ -116,7 +117,10 @@ def knn_regress(train: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
     """
     spark = train.sparkSession
     ship_package(spark)
-    vec = F.col(vec_col).cast("array<double>").alias("vec")
+    # Vectors of floats travel as floats, exactly half of what they would take as doubles, and are measured as doubles.
+    floats = all(isinstance(x.schema[vec_col].dataType.elementType, T.FloatType) for x in (train, queries))
+    cell = "float" if floats else "double"
+    vec = F.col(vec_col).cast(f"array<{cell}>").alias("vec")
     t = train.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vec, F.col(label_col).cast("double").alias("y"))
     q = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vec, F.lit(None).cast("double").alias("y"))
     kind = train.schema[id_col].dataType.simpleString()
@@ -127,7 +131,7 @@ def knn_regress(train: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
         return spark.createDataFrame([], f"`{id_col}` {kind}, prediction double, k_found long")
     pivots = np.array([r["vec"] for r in sample], float)
     shared = spark.sparkContext.broadcast(pivots)
-    placed = f"id {kind}, vec array<double>, y double, cell long, dist double"
+    placed = f"id {kind}, vec array<{cell}>, y double, cell long, dist double"
     t, q = (cut_lineage(x.mapInArrow(_nearest_pivot(shared), placed)) for x in (t, q))
     t_cells, q_cells = _cells_of(t), _cells_of(q)
     pairs = spark.createDataFrame(cell_pairs(pivots, q_cells, t_cells, k), "qcell long, cell long")

@@ -253,3 +253,17 @@ def test_outlier_statistics_match_pandas(spark):
     assert (r.target_mean, r.target_std, r.upper_bound) == pytest.approx((y.mean(), y.std(ddof=1), q3 + 1.5 * (q3 - q1)))
     none = O.outlier_statistics(flagged.limit(0), "y").first()
     assert (none.n_rows, none.total_outliers, none.outlier_percentage, none.q1) == (0, 0, None, None)
+
+
+def test_knn_vectors_of_floats_travel_as_floats(spark, monkeypatch):
+    from tessera.operators import knn as K
+    kept = []
+    monkeypatch.setattr(K, "cut_lineage", lambda df, old=K.cut_lineage: kept.append(dict(df.dtypes)["vec"]) or old(df))
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=5).astype("f4")], float(i % 7)) for i in range(80)]
+    out = []
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"id long, v array<{kind}>, y double")
+        out.append(sorted(map(tuple, K.knn_regress(df.where("id >= 20"), df.where("id < 20"), "id", "v", "y").collect())))
+    assert out[0] == out[1] and len(out[0]) == 20
+    assert kept == ["array<float>"] * 2 + ["array<double>"] * 2
