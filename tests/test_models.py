@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import forest as FN
 from tessera.operators import importance as I
 from tessera.operators import models as ML
 from tessera.operators import outliers as O
@@ -267,3 +268,22 @@ def test_knn_vectors_of_floats_travel_as_floats(spark, monkeypatch):
         out.append(sorted(map(tuple, K.knn_regress(df.where("id >= 20"), df.where("id < 20"), "id", "v", "y").collect())))
     assert out[0] == out[1] and len(out[0]) == 20
     assert kept == ["array<float>"] * 2 + ["array<double>"] * 2
+
+
+def test_forest_scores_go_down_the_trees_without_path_lengths_by_row(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 4))
+    x[0, 1], x[1, 2] = np.nan, np.inf
+    trees = [FN._grow(np.nan_to_num(x[i:i + n]), np.random.default_rng(i), 5) for i, n in enumerate((64, 32, 1))]
+
+    def height(nodes, row):
+        node = depth = 0
+        while nodes[node][0] >= 0:
+            f, threshold, left, right, _ = nodes[node]
+            node, depth = left if row[f] < threshold else right, depth + 1
+        return depth + FN.avg_path_length([nodes[node][4]])[0]
+    want = [2.0 ** (-np.mean([height(t, row) for t in trees]) / FN.avg_path_length([64])[0]) for row in x]
+    calls, length = [], FN.avg_path_length
+    monkeypatch.setattr(FN, "avg_path_length", lambda n: calls.append(np.size(n)) or length(n))
+    assert FN._score(x, FN._forest([FN.pack_tree(t) for t in trees]), 64) == pytest.approx(want, abs=1e-12)
+    assert len(calls) == 2

@@ -83,3 +83,15 @@ def test_cardinality_classes_match_exact_counts(spark):
     exact = {"c.1": "one_hot", "c.9": "one_hot", "c.10": "target", "c.11": "target", "c.99": "target", "c.100": "label",
              "c.101": "label", "c.130": "label", "c.4000": "label", "none": "one_hot"}
     assert got == exact
+
+
+def test_target_codes_are_worked_out_per_category_not_per_row(spark):
+    rows = [(i, "ab"[i % 2], float(i * i % 11), i % 3) for i in range(30)] + [(30, "a", None, None), (31, "new", None, None), (32, "new", None, 1)]
+    df = spark.createDataFrame(rows, "id long, c string, y double, fold int")
+    out = E.TargetEncoding().encode_split(df, ["c"], "y", "fold")
+    assert "try_divide" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r.id: r.c for r in out.collect()}
+    mean = {f: [y for i, _, y, g in rows[:30] if g != f] for f in (None, 1)}
+    assert got[31] == pytest.approx(sum(mean[None]) / len(mean[None]))
+    assert got[32] == pytest.approx(sum(mean[1]) / len(mean[1]))
+    assert len({got[i] for i in range(0, 30, 2)}) == 3 and got[30] not in {got[i] for i in range(30)}
