@@ -114,7 +114,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = batch.schema.names
         hits = batch.column(names.index("_hits")).to_pylist()
         items = batch.column(names.index("_items")).to_pylist()
-        keep = [c for c in names if c not in ("_hits", "_items")]
+        keep = [c for c in names if c not in ("_text", "_hits", "_items")]
         counts = [h.count(1) for h in hits]
         yield pa.RecordBatch.from_arrays(
             [batch.column(names.index(c)) for c in keep]
@@ -150,15 +150,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ke
     scratch, old = Scratch(spark), None
     for k in range(parts):
         mine = [(r.item_id, (r.text or "").encode()) for r in items.where(part == k).collect()]
-        tables = spark.sparkContext.broadcast(shift_tables(mine, window))
-        state = state.mapInArrow(bounded(_scan(tables)), state.schema)
+        scan = _scan(spark.sparkContext.broadcast(shift_tables(mine, window)))
         if k + 1 < parts:
-            state = scratch.write(state, "hits")
+            state = scratch.write(state.mapInArrow(bounded(scan), state.schema), "hits")
             scratch.drop(old)
             old = state
-    state = state.drop("_text")
-    return state.mapInArrow(bounded(_digest), ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name not in ("_hits", "_items"))
+    # The last search and the digest share a worker: one Python process a task, and the rows cross to it once.
+    return state.mapInArrow(bounded(lambda batches: _digest(scan(batches))), ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name not in ("_text", "_hits", "_items"))
         + ", " + RESULT)
 
 

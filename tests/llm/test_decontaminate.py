@@ -68,3 +68,11 @@ def test_empty_tables(spark, docs_of):
     assert D.contamination(docs_of([]), none).collect() == []
     r = D.contamination(docs_of([(1, "a b")]), none).first()
     assert (r.n_words, r.n_hit, r.contaminated) == (2, 0, False)
+
+
+def test_search_and_digest_share_a_worker(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("x", "b c")], "item_id string, text string")
+    got = D.contamination(docs, items, window=2)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in got.collect()} == {1: (4, 2, True), 2: (0, 0, False)}
