@@ -21,6 +21,7 @@ import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -79,28 +80,47 @@ def _fixed(node: Node, text: str, constant: Keys | set[tuple[str, str]]) -> bool
     return text_key(node, text) in constant if isinstance(constant, Keys) else (path_of(node), text) in constant
 
 
+def _marks_of(given: str) -> tuple[str, bool]:
+    """The label that the attributes of a tag add to its name, and whether they mark the element."""
+    words, label = [], ""
+    for key, *values in _NAMED.findall(given):
+        value = next((v for v in values if v), "")
+        words += [w.lower() for w in _SPLIT.split(value)]
+        if key.lower() == "class":
+            label = "." + re.sub(r"\d+", "#", " ".join(value.lower().split()))
+    return label, not MARKS.isdisjoint(words)
+
+
+#: Most elements have the attributes of others; long attributes are not kept.
+_marks_of_short = lru_cache(4096)(_marks_of)
+_RAW_END = {tag: re.compile(rf"</{re.escape(tag)}\s*[>/\s]", re.I) for tag in RAW}
+
+
 def parse(source: str) -> Node:
     """The element tree of a page, with the repairs that browsers make for unclosed elements."""
     root = Node("#root", "#root", None, False)
     at, top, depth = 0, root, 0
     n = len(source)
     while at < n:
-        m = _TOKEN.search(source, at)
-        if not m:
+        start = source.find("<", at)
+        while start >= 0 and not (m := _TOKEN.match(source, start)):
+            start = source.find("<", start + 1)
+        if start < 0:
             top.children.append(source[at:])
             break
-        if m.start() > at:
-            top.children.append(source[at:m.start()])
+        if start > at:
+            top.children.append(source[at:start])
         at = m.end()
-        if m.group(1):
-            tag = m.group(1).lower()
+        closed, opened, given = m.groups()
+        if closed:
+            tag = closed.lower()
             node = top
             while node.parent is not None and node.tag != tag:
                 node = node.parent
             if node.parent is not None:
                 top = node.parent
-        elif m.group(2):
-            tag, given = m.group(2).lower(), m.group(3)
+        elif opened:
+            tag = opened.lower()
             if tag in BLOCK and tag not in ("br", "hr"):
                 node = top  # a block ends an open paragraph
                 while node.parent is not None and node.tag != "p" and (node.tag not in BLOCK or node.tag == "p"):
@@ -114,17 +134,13 @@ def parse(source: str) -> Node:
                     node = node.parent
                 if node.tag in ends:
                     top = node.parent
-            words, label = [], ""
+            label, marked = "", False
             if given and "=" in given:
-                for key, *values in _NAMED.findall(given):
-                    value = next((v for v in values if v), "")
-                    words += [w.lower() for w in _SPLIT.split(value)]
-                    if key.lower() == "class":
-                        label = "." + re.sub(r"\d+", "#", " ".join(value.lower().split()))
-            node = Node(tag, tag + label, top, not MARKS.isdisjoint(words))
+                label, marked = (_marks_of_short if len(given) <= 200 else _marks_of)(given)
+            node = Node(tag, tag + label, top, marked)
             top.children.append(node)
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*[>/\s]", re.I).search(source, at)
+                end = _RAW_END[tag].search(source, at)
                 at = n if not end else source.find(">", end.start()) + 1 or n
             elif tag not in VOID and not given.endswith("/"):
                 top = node
@@ -374,8 +390,8 @@ def text_of(root: Node, constant: set[tuple[str, str]] = frozenset()) -> str:
             blocks.append("".join(line))
             line = []
             continue
-        if constant and node is not root and _fixed(node, own_text(node), constant):
-            if not any(not isinstance(c, str) for c in node.children):
+        if constant and node is not root and all(isinstance(c, str) for c in node.children):
+            if _fixed(node, own_text(node), constant):
                 continue
         if node.tag in BLOCK:
             blocks.append("".join(line))
@@ -384,7 +400,7 @@ def text_of(root: Node, constant: set[tuple[str, str]] = frozenset()) -> str:
         inside = inside or node.tag in ("article", "main")
         stack.extend((c, inside) for c in reversed(node.children))
     blocks.append("".join(line))
-    return " ".join(w for b in blocks for w in html.unescape(b).split())
+    return " ".join(html.unescape(" ".join(filter(None, blocks))).split())
 
 
 def _above(node: Node) -> Iterator[Node]:

@@ -144,3 +144,11 @@ def test_the_operator_finds_the_wrapper_of_pages_in_memory(spark):
     wrapper = H.induce(sources)
     wrapper["constant"] = {tuple(x) for x in wrapper["constant"]}
     assert site(spark, sources) == {k: H.extract(s, wrapper) for k, s in enumerate(sources)}
+
+
+def test_the_blocks_of_a_page_are_decoded_together(monkeypatch):
+    calls, unescape = [], H.html.unescape
+    monkeypatch.setattr(H.html, "unescape", lambda s: calls.append(s) or unescape(s))
+    page = H.parse("<body>" + "".join(f"<p>a{i} &am</p><div class='x{i % 3}'>p; b&lt;\u00a0</div>" for i in range(40)))
+    assert H.text_of(page).split() == [w for i in range(40) for w in (f"a{i}", "&am", "p;", "b<")]
+    assert len(calls) == 1
