@@ -5,13 +5,16 @@ and words: for every term its postings in document order, cut into blocks of
 ``BLOCK`` neighbouring documents.  Document frequencies and the mean length are
 summed over all shards, so every shard scores with the global statistics.
 
-Queries run block by block of a stated query set.  In a shard, a query's upper
-bound for each block of documents is the sum of its terms' block maxima.  The
-most promising blocks are scored first; their k-th score is the threshold, and
-only blocks whose bound reaches it are scored besides.  A task keeps the best k of all
-its shards for each query, starts the next shard from their k-th score, and gives them
-once; the tasks are merged: a document is left out only if k others score at least as
-high.
+Queries run block by block of a stated query set, a few dozen of them at a time in a
+shard.  Terms that most pairs of a query and a document share are the columns of two
+matrices; all others are added posting by posting.  A query's upper bound for each block
+of documents is the product of its weights with the blocks' maxima of the common terms,
+and the highest sum of the others in the block.  Only blocks whose bound reaches the
+threshold of a query are multiplied, in single precision; what comes near the k-th score
+is worked out again in double precision, so rounding never decides.  A task keeps the
+best k of all its shards for each query, starts the next shard from their k-th score,
+and gives them once; the tasks are merged: a document is left out only if k others score
+at least as high.
 """
 
 from __future__ import annotations
@@ -90,15 +93,19 @@ def _loaded(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
 
 
 def _frequencies(shared):
-    """Documents of a shard that hold each term of the queries."""
+    """Documents of a task's shards that hold each term of the queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
+        df = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 terms, starts = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((0, np.uint64), (1, np.int64)))
-                _, x, y = np.intersect1d(terms, vocabulary, assume_unique=True, return_indices=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(y, pa.int64()), pa.array(starts[x + 1] - starts[x], pa.int64())], ["term", "df"])
+                place = np.searchsorted(vocabulary, terms)
+                here = np.flatnonzero(place < len(vocabulary))
+                here = here[vocabulary[place[here]] == terms[here]]
+                df[place[here]] += starts[here + 1] - starts[here]
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(df[held], pa.int64())], ["term", "df"])
     return run
 
 
@@ -108,55 +115,101 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+#: Queries whose scores are worked out together, and what a rounded sum of positive numbers may be off by.
+CHUNK, SLACK = 64, 2e-4
+#: A term is common, and multiplied as a column, from this share of (query, document) pairs on; at most so many terms are.
+COMMON_SHARE, COMMON_TERMS = 1 / 300, 1024
+
+
+#: Tasks of a search, so that each has shards enough to reach high scores.
+TASKS_PER_CORE = 4
+
+
+class Queries:
+    """Queries that run together: weights of common terms as a matrix, those of all others as a list by query.
+
+    Terms are places in the sorted ``vocabulary``; ``at`` has where each query's begin.
+    """
+
+    def __init__(self, at: np.ndarray, place: np.ndarray, weights: np.ndarray, vocabulary: np.ndarray, common: np.ndarray):
+        self.n, self.vocabulary, self.common = len(at) - 1, vocabulary, common
+        slot = np.full(len(vocabulary), -1)
+        slot[common] = np.arange(len(common))
+        row, column = np.repeat(np.arange(self.n), np.diff(at)), slot[place]
+        often = column >= 0
+        self.matrix = np.zeros((self.n, len(common)))
+        self.matrix[row[often], column[often]] = weights[often]
+        self.rounded = self.matrix.astype(np.float32)
+        self.row, self.place, self.weight = row[~often], place[~often], weights[~often]
+        self.at = np.searchsorted(self.row, np.arange(self.n + 1))
+
+
 class Shard:
-    """One shard ready to be searched: impacts of postings, and block maxima of terms."""
+    """One shard ready to be searched: impacts of postings, and of common terms as a matrix with its block maxima."""
 
     def __init__(self, parts: list[np.ndarray], k1: float, b: float, mean_length: float):
         self.ids, lengths, self.null, self.terms, self.starts, self.doc, tf = parts
         norm = k1 * (1 - b + b * lengths / mean_length)
         self.impact = tf * (k1 + 1) / (tf + norm[self.doc])
         self.n_blocks = -(-len(self.ids) // BLOCK)
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
-        key = term * self.n_blocks + self.doc // BLOCK
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.entry_block = key[first] % self.n_blocks if len(first) else key
-        self.entry_start = first
-        self.entry_size = np.diff(np.append(first, len(key)))
-        self.entry_max = np.maximum.reduceat(self.impact, first) if len(first) else self.impact
-        self.term_entry = np.searchsorted(key[first], np.arange(len(self.terms) + 1) * self.n_blocks)
+
+    def prepare(self, queries: Queries) -> None:
+        """Where the terms of the queries have their postings here."""
+        place = np.searchsorted(queries.vocabulary, self.terms)
+        here = np.flatnonzero(place < len(queries.vocabulary))
+        here = here[queries.vocabulary[place[here]] == self.terms[here]]
+        self.first, self.count = np.zeros(len(queries.vocabulary), np.int64), np.zeros(len(queries.vocabulary), np.int64)
+        self.first[place[here]], self.count[place[here]] = self.starts[here], self.starts[here + 1] - self.starts[here]
+        size = self.count[queries.common]
+        post = _ranges(self.first[queries.common], size)
+        # The last block is filled up with documents that have no words.
+        self.matrix = np.zeros((self.n_blocks * BLOCK, len(queries.common)))
+        self.matrix[self.doc[post], np.repeat(np.arange(len(size)), size)] = self.impact[post]
+        self.rounded = np.ascontiguousarray(self.matrix.T.astype(np.float32))
+        self.maxima = self.rounded.reshape(len(size), self.n_blocks, BLOCK).max(axis=2)
+
+    def best(self, queries: Queries, a: int, b: int, k: int, reached: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, documents, scores) of at least the shard's best k of the queries from ``a`` to ``b``.
+
+        ``reached`` has for each of them a score that k others have already.
+        """
+        n, wide = b - a, self.n_blocks * BLOCK
+        mine = slice(queries.at[a], queries.at[b])
+        size = self.count[queries.place[mine]]
+        found = np.flatnonzero(size)
+        size = size[found]
+        post = _ranges(self.first[queries.place[mine][found]], size)
+        rare = np.bincount(np.repeat((queries.row[mine][found] - a) * wide, size) + self.doc[post],
+                           np.repeat(queries.weight[mine][found], size) * self.impact[post], n * wide).astype(float, copy=False).reshape(n, wide)
+        least = (reached * (1 - SLACK)).astype(np.float32)
+        bound = queries.rounded[a:b] @ self.maxima + rare.reshape(n, self.n_blocks, BLOCK).max(axis=2).astype(np.float32)
+        blocks = np.flatnonzero(((bound >= least[:, None]) & (bound > 0)).any(axis=0))
+        if len(blocks) == self.n_blocks:
+            total = queries.rounded[a:b] @ self.rounded
+            docs = np.arange(wide)
+        else:
+            docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            total = queries.rounded[a:b] @ self.rounded[:, docs]
+            rare = rare[:, docs]
+        total += rare
+        take = (total >= least[:, None]) & (total > 0)
+        many = np.flatnonzero(np.count_nonzero(take, axis=1) > 4 * k)
+        if len(many):
+            kth = np.partition(total[many], total.shape[1] - k, axis=1)[:, -k].astype(float)
+            take[many] &= total[many] >= np.maximum(least[many], (kth * (1 - SLACK) - 1e-6) * (1 - SLACK))[:, None]
+        q, at = np.nonzero(take)
+        scores = rare[q, at]
+        for i in range(0, len(q), 1024):
+            some = slice(i, i + 1024)
+            scores[some] += np.einsum("ij,ij->i", queries.matrix[a + q[some]], self.matrix[docs[at[some]]])
+        return a + q, docs[at], scores
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of at least the shard's best k above a threshold already reached by k others."""
-        at = np.searchsorted(self.terms, terms)
-        here = at < len(self.terms)
-        here[here] = self.terms[at[here]] == terms[here]
-        at, weights = at[here], weights[here]
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0)
-        sizes = self.term_entry[at + 1] - self.term_entry[at]
-        entry = _ranges(self.term_entry[at], sizes)
-        weight = np.repeat(weights, sizes)
-        block = self.entry_block[entry]
-        bound = np.bincount(block, weight * self.entry_max[entry], self.n_blocks) * (1 + 1e-9)
-        total = np.zeros(len(self.ids))
-
-        def score(blocks: np.ndarray) -> None:
-            use = blocks[block]
-            e = entry[use]
-            post = _ranges(self.entry_start[e], self.entry_size[e])
-            total[:] += np.bincount(self.doc[post], np.repeat(weight[use], self.entry_size[e]) * self.impact[post],
-                                    len(self.ids))
-
-        lead = np.zeros(self.n_blocks, bool)
-        lead[np.argsort(-bound)[:max(1, min(4, self.n_blocks // 8))]] = True
-        score(lead & (bound >= threshold))
-        if np.count_nonzero(total) >= k:
-            threshold = max(threshold, np.partition(total, -k)[-k])
-        score(~lead & (bound >= threshold) & (bound > 0))
-        if np.count_nonzero(total) > k:
-            threshold = max(threshold, np.partition(total, -k)[-k])
-        best = np.flatnonzero((total > 0) & (total >= threshold - 1e-6))
-        return best, total[best]
+        queries = Queries(np.array([0, len(terms)]), np.arange(len(terms)), weights, terms, np.arange(0, len(terms), 2))
+        self.prepare(queries)
+        _, docs, scores = self.best(queries, 0, 1, k, np.array([threshold]))
+        return docs, scores
 
 
 def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
@@ -170,28 +223,25 @@ def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
 
 def _search(shared, k: int, k1: float, b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, at, terms, weights, mean_length = shared.value
+        ids, at, place, weights, vocabulary, common, mean_length = shared.value
+        queries = Queries(at, place, weights, vocabulary, common)
         reached = np.zeros(len(ids))  # what k documents of this task's shards have scored at least
-        place = {int(q): i for i, q in enumerate(ids)}
+        number = {int(q): i for i, q in enumerate(ids)}
         # The best of all shards of the task so far: k rows a query, whatever the number of shards.
         kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0)]
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard(_loaded(batch, i), k1, b, mean_length)
-                rows = []
-                for q in range(len(ids)):
-                    docs, scores = shard.top(terms[at[q]:at[q + 1]], weights[at[q]:at[q + 1]], k, reached[q])
-                    scores = np.round(scores, 6)
-                    if len(docs) > k:
-                        best = np.lexsort((shard.ids[docs], shard.null[docs], -scores))[:k]
-                        docs, scores = docs[best], scores[best]
-                    if len(docs):
-                        rows.append((np.full(len(docs), ids[q]), shard.ids[docs], shard.null[docs].astype(bool), scores))
-                if rows:
-                    kept = _best([np.concatenate([x, *y]) for x, y in zip(kept, zip(*rows))], k)
-                    found, first, count = np.unique(kept[0], return_index=True, return_counts=True)
-                    for q, last in zip(found[count == k], (first + k - 1)[count == k]):
-                        reached[place[int(q)]] = max(reached[place[int(q)]], kept[3][last] - 1e-6)
+                shard.prepare(queries)
+                rows = [kept]
+                for a in range(0, queries.n, CHUNK):
+                    end = min(a + CHUNK, queries.n)
+                    q, docs, scores = shard.best(queries, a, end, k, reached[a:end])
+                    rows.append([ids[q], shard.ids[docs], shard.null[docs].astype(bool), np.round(scores, 6)])
+                kept = _best([np.concatenate(x) for x in zip(*rows)], k)
+                found, first, count = np.unique(kept[0], return_index=True, return_counts=True)
+                for q, last in zip(found[count == k], (first + k - 1)[count == k]):
+                    reached[number[int(q)]] = max(reached[number[int(q)]], kept[3][last] - 1e-6)
         q, d, null, s = kept
         yield pa.RecordBatch.from_arrays(
             [pa.array(q, pa.int64()), pa.array(d, pa.int64(), mask=null), pa.array(s, pa.float64())],
@@ -224,6 +274,8 @@ def search(docs: DataFrame, is_query: Column, *, k: int = 10, k1: float = 1.2, b
     words = queries.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(words / query_words))
     found = None
+    # A task gives k rows a query whatever its shards, and the later ones start from what the first reach.
+    shards = index.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     for i in range(blocks if sizes.words else 0):
         mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).where("n > 0").orderBy("query_id").collect()
         if not mine:
@@ -232,15 +284,19 @@ def search(docs: DataFrame, is_query: Column, *, k: int = 10, k1: float = 1.2, b
         counts = np.concatenate([np.frombuffer(r.counts, np.int32) for r in mine])
         flat = np.concatenate(terms)
         vocabulary, place = np.unique(flat, return_inverse=True)
-        df = (index.select("terms", "starts").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)),
+        df = (shards.select("terms", "starts").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)),
                                                          "term long, df long")
               .groupBy("term").agg(F.sum("df").alias("df")).toPandas())
         seen = np.zeros(len(vocabulary))
         seen[df.term.to_numpy(np.int64)] = df.df.to_numpy(float)
         weights = np.log(1 + (sizes.n - seen + 0.5) / (seen + 0.5))[place] * counts
+        pairs = seen / sizes.n * np.bincount(place, minlength=len(vocabulary)) / len(mine)
+        common = np.argsort(-pairs, kind="stable")[:COMMON_TERMS]
+        common = np.sort(common[pairs[common] >= COMMON_SHARE])
         shared = spark.sparkContext.broadcast(
-            (np.array([r.query_id for r in mine]), np.cumsum([0, *map(len, terms)]), flat, weights, sizes.words / sizes.n))
-        part = index.mapInArrow(bounded(_search(shared, k, k1, b)), "query_id long, doc_id long, score double")
+            (np.array([r.query_id for r in mine]), np.cumsum([0, *map(len, terms)]), place, weights, vocabulary, common,
+             sizes.words / sizes.n))
+        part = shards.mapInArrow(bounded(_search(shared, k, k1, b)), "query_id long, doc_id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "query_id long, doc_id long, score double")

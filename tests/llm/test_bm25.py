@@ -70,3 +70,30 @@ def test_pruned_blocks_never_change_the_best():
 def test_empty_table_and_no_queries(docs_of):
     assert B.search(docs_of([]), F.col("doc_id") % 100 == 0).collect() == []
     assert B.search(docs_of([(1, "a"), (2, None)]), F.col("doc_id") % 100 == 0).collect() == []
+
+
+def test_scores_of_common_and_rare_terms_together_are_exact(monkeypatch):
+    """The best of many queries at once, by matrix and by postings, are those of the plain sum."""
+    import numpy as np
+    monkeypatch.setattr(B, "BLOCK", 8)
+    rng = np.random.default_rng(1)
+    texts = [np.sort(rng.zipf(1.4, int(rng.integers(1, 80))) % 500).astype(np.uint64) for _ in range(203)] + [np.empty(0, np.uint64)]
+    shard = B.Shard([np.frombuffer(x, t) for x, t in zip(B.build_shard(list(range(204)), texts), B._TYPES)], 1.2, 0.75, 30.0)
+    terms = [np.unique(t) for t in texts]
+    vocabulary, place = np.unique(np.concatenate(terms), return_inverse=True)
+    weights = rng.random(len(place)) + 0.01
+    at = np.cumsum([0, *map(len, terms)])
+    want = np.zeros((204, 204))
+    for q in range(204):
+        for t, w in zip(place[at[q]:at[q + 1]], weights[at[q]:at[q + 1]]):
+            span = slice(shard.starts[t], shard.starts[t + 1])
+            want[q, shard.doc[span]] += w * shard.impact[span]
+    for common in (np.arange(0), np.arange(20), np.arange(len(vocabulary))):
+        queries = B.Queries(at, place, weights, vocabulary, common)
+        shard.prepare(queries)
+        for reached in (np.zeros(204), np.sort(want)[:, -5]):
+            q, docs, scores = shard.best(queries, 0, 204, 5, reached)
+            assert np.allclose(scores, want[q, docs], rtol=1e-12, atol=0)
+            assert len(q) < 204 * 21  # few besides the best
+            for i in range(204):
+                assert np.allclose(np.sort(scores[q == i])[::-1][:5], [s for s in np.sort(want[i])[::-1][:5] if s > 0])
