@@ -1,30 +1,33 @@
-"""Points of each category inside polygons (J3 + J5), by a count grid and cell covers.
-
-*Grid.*  Cells are squares whose side is a power of two, so a point's cell at a coarser
-level is its finer cell shifted, and no rounding moves a point across a border.  Points
-are counted by cell and category at the finest level; every coarser level is summed
-from the one below.
-
-*Cover.*  A polygon starts from the at most 2 x 2 cells of its own size.  A cell that
-no edge touches is inside or outside as a whole; a touched cell is cut into four, down
-to the level where a cell holds a few points (or at most ``MAX_DEPTH`` times).  Inside
-cells add their counts as numbers.  Only the points of cells that are still touched at
-the end, the boundary, meet the exact even-odd test.
-
-So the work follows the boundary of the polygons, not the points inside them, and
-neither side is joined row by row to the other except there.  The edges for the exact
-test are broadcast in parts of a checked size.  Grids and covers compress to a small
-part of their size, so their joins are merge joins whatever a shuffle measures: the
-driver never holds one as a hash table.
-
-Whether a point lies in any polygon at all (J4) takes the same covers: a point in an
-inside cell is done, and only the others meet the polygons of their boundary cells.
+"""Points of each category inside polygons (J3 + J5) by tiles of points, and whether a point lies in any (J4) by cell covers.
+
+*Tiles.*  The points are sorted by x and cut into tiles of a bounded number of points.
+A tile is one row: its points in the order of a grid of cells that hold a few points
+each, row by row.  Every polygon goes to the tiles that its box meets, and the polygons
+of a tile are dealt to groups of a bounded number of edges, each with a copy of the tile.
+
+*Counting.*  Rows of cells run along the longer side of a tile, so an edge meets few of
+them.  In a row, an edge touches one range of cells.  Between the ranges
+of a polygon's edges no edge lies, so all cells there are inside or all outside, by the
+number of edges to their left, and running totals of the row count them.  The points of
+touched cells are compared with the edges of their row; those that lie within a small
+part of a cell of an edge, where rounding could decide, meet the exact even-odd test.
+
+So the work follows the boundary of the polygons, not the points inside them, and only
+counts and the few points near an edge leave a group.  The edges for the exact test are
+broadcast in parts of a checked size.  Joins with the polygons' rows are merge joins
+whatever a shuffle measures: the driver never holds one as a hash table.
+
+*Cover* (J4).  Cells are squares whose side is a power of two.  A polygon starts from
+the at most 2 x 2 cells of its own size.  A cell that no edge touches is inside or
+outside as a whole; a touched cell is cut into four, down to the level where a cell
+holds a few points (or at most ``ANY_DEPTH`` times).  A point in an inside cell is done,
+and only the others meet the polygons of their boundary cells.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +40,7 @@ from .relational import count_names
 
 #: Points that a cell at the end of a cover holds on average.
 POINTS_PER_CELL = 2.0
-#: A polygon is cut at most this often, so its cover has some thousand cells even when its cells are crowded.
-MAX_DEPTH = 9
-#: The same for the test of any polygon, where a point has to meet an inside cell of one polygon only.
+#: A cover is cut at most this often: a point has to meet an inside cell of one polygon only.
 ANY_DEPTH = 5
 #: (cell, edge) pairs that are tested at once.
 PAIRS = 1_000_000
@@ -176,22 +177,7 @@ def _cell(x: str, level: int):
     return F.floor(F.col(x) * F.lit(math.ldexp(1.0, -level)))
 
 
-def count_grid(points: DataFrame, x: str, y: str, cells: Cells, levels: list[int], sums: dict) -> DataFrame:
-    """(__cell, sums...) of all cells with points at the given levels, each level summed from the finer one."""
-    level, out = min(levels), None
-    grid = points.groupBy(_cell(x, level).alias("__cx"), _cell(y, level).alias("__cy")).agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()])
-    for nxt in sorted(levels):
-        if nxt > level:
-            grid = grid.groupBy(*[F.shiftright(c, nxt - level).alias(c) for c in ("__cx", "__cy")]).agg(
-                *[F.sum(n).alias(n) for n in sums])
-            level = nxt
-        mine = grid.select(cells.number(level, F.col("__cx"), F.col("__cy")).alias("__cell"), *sums)
-        out = mine if out is None else out.unionByName(mine)
-    return out
-
-
-def polygon_cover(prepared: DataFrame, cells: Cells, depth: int = MAX_DEPTH) -> DataFrame:
+def polygon_cover(prepared: DataFrame, cells: Cells, depth: int) -> DataFrame:
     """(__pid, __lvl, __cell, __inside) of the polygons, down to the finest cells or ``depth`` cuts of their own size."""
     ext = F.greatest(F.col("bbox.maxx") - F.col("bbox.minx"), F.col("bbox.maxy") - F.col("bbox.miny"))
     finest = F.lit(cells.finest).cast("long")
@@ -203,6 +189,176 @@ def polygon_cover(prepared: DataFrame, cells: Cells, depth: int = MAX_DEPTH) ->
     return rows.mapInArrow(_cover_rows(cells), "__pid long, __lvl int, __cell long, __inside boolean")
 
 
+#: Points of a tile, edges and (if that gives tasks enough) polygons that meet a copy of it.
+TILE_POINTS, GROUP_EDGES, GROUP_POLYGONS = 500_000, 1_000_000, 500
+#: Points nearer to an edge than this part of a cell meet the exact test.
+NEAR_PART = 1 / 64
+_TILE = "x0 double, x1 double, y0 double, y1 double, turned boolean, rows long, cols long, starts binary, x binary, y binary, c binary"
+
+
+def pack_tile(x: np.ndarray, y: np.ndarray, c: np.ndarray, per_cell: float) -> dict:
+    """Points in the order of the cells of a grid, row by row, and where each cell's points start.
+
+    ``turned`` tells that x and y have changed places, so that rows run along the longer side.
+    """
+    turned = bool(x.max() - x.min() < y.max() - y.min())
+    x, y = (y, x) if turned else (x, y)
+    box = [float(v) for v in (x.min(), x.max(), y.min(), y.max())]
+    wide, high = box[1] - box[0], box[3] - box[2]
+    most = max(1, int(len(x) / per_cell))
+    side = math.sqrt(wide * high / most)
+    cols = min(max(1, round(wide / side)), most) if side else most if wide else 1
+    rows = max(1, most // cols) if high else 1
+    cell = _row_of(y, box[2:], rows) * cols + _row_of(x, box[:2], cols)
+    order = np.argsort(cell, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=rows * cols))])
+    return dict(zip(("x0", "x1", "y0", "y1"), box), turned=turned, rows=rows, cols=cols, starts=starts, x=x[order], y=y[order], c=c[order])
+
+
+def _row_of(v: np.ndarray, ends: Sequence[float], n: int) -> np.ndarray:
+    """The row (or column) of values; never falls when they grow, and the first and last take all beyond."""
+    size = (ends[1] - ends[0]) / n or 1.0
+    return np.clip(np.floor((v - ends[0]) / size), 0, n - 1).astype(np.int64)
+
+
+def _tile_rows(most: int, per_cell: float):
+    kinds = {"starts": np.int64, "x": np.float64, "y": np.float64, "c": np.int32}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tile() -> pa.RecordBatch:
+            t = pack_tile(*(np.concatenate(v) for v in zip(*held)), per_cell)
+            return pa.RecordBatch.from_pylist([{k: v.astype(kinds[k]).tobytes() if k in kinds else v for k, v in t.items()}], schema)
+        schema = pa.schema([(n, {"double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[t])
+                            for n, t in (f.split() for f in _TILE.split(", "))])
+        held, n = [], 0
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                piece = b.slice(at, most - n)
+                held.append([piece.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+                at, n = at + piece.num_rows, n + piece.num_rows
+                if n == most:
+                    yield tile()
+                    held, n = [], 0
+        if n:
+            yield tile()
+    return run
+
+
+def count_in_tile(tile: dict, offs: np.ndarray, edges: tuple[np.ndarray, ...], n_kinds: int) -> tuple[np.ndarray, ...]:
+    """(counts by polygon and kind, polygons and points that are near an edge and not counted).
+
+    Polygon i has the edges offs[i] to offs[i + 1], whose rings are closed.
+    """
+    px, py, pc, starts, rows, cols = (tile[k] for k in ("x", "y", "c", "starts", "rows", "cols"))
+    xs, ys = (tile["x0"], tile["x1"]), (tile["y0"], tile["y1"])
+    wide, high = (xs[1] - xs[0]) / cols or 1.0, (ys[1] - ys[0]) / rows or 1.0
+    cell = np.repeat(np.arange(rows * cols), np.diff(starts))
+    upto = [np.concatenate([[0], np.cumsum(np.bincount(cell[pc == k], minlength=rows * cols))]) for k in range(n_kinds)]
+    ex1, ey1, ex2, ey2 = [edges[i] for i in ((1, 0, 3, 2) if tile["turned"] else (0, 1, 2, 3))]
+    owner = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    low, top = np.minimum(ey1, ey2), np.maximum(ey1, ey2)
+    left, right = np.minimum(ex1, ex2), np.maximum(ex1, ex2)
+    # Far above any rounding of the numbers at hand.
+    tiny = 1e-13 * (np.abs(ex1) + np.abs(ex2) + np.abs(ey1) + np.abs(ey2) + abs(xs[0]) + abs(xs[1]) + abs(ys[0]) + abs(ys[1]))
+    with np.errstate(all="ignore"):
+        slope = (ex2 - ex1) / (ey2 - ey1)
+    flat = ~(np.abs(slope) < 1e6)
+    # The line of an edge: x = base + (y - ey1) * slope, and how near to it the exact test decides.
+    slope, base = np.where(flat, 0.0, slope), np.where(flat, left / 2 + right / 2, ex1)
+    near = wide * NEAR_PART + (100 + np.abs(slope)) * tiny
+    reach = near + np.where(flat, right / 2 - left / 2, 0.0)
+    under, over = low - tiny, top + tiny
+    meets = (over >= ys[0]) & (under <= ys[1])
+    first, last = _row_of(under, ys, rows), _row_of(over, ys, rows)
+    spans = np.where(meets, last - first + 1, 0)
+    counts = np.zeros((len(offs) - 1) * n_kinds)
+    found = []
+    total = np.concatenate([[0], np.cumsum(spans)])
+    for some in _pieces(total[offs[1:]] - total[offs[:-1]]):
+        mine = np.arange(offs[some[0]], offs[some[-1] + 1])
+        edge = np.repeat(mine, spans[mine])
+        if not len(edge):
+            continue
+        row = _edge_numbers(first[mine], spans[mine])
+        # The x range of the edge in its row.
+        at = ys[0] + row * high
+        slack = 1e-6 * high + 1e-11 * (abs(ys[0]) + abs(ys[1]))
+        lo_y, hi_y = low[edge], top[edge]
+        # The first and the last row take all that lies beyond.
+        ends = [np.where(row == 0, lo_y, np.minimum(np.maximum(at - slack, lo_y), hi_y)),
+                np.where(row == rows - 1, hi_y, np.maximum(np.minimum(at + (high + slack), hi_y), lo_y))]
+        ends = [base[edge] + (v - ey1[edge]) * slope[edge] for v in ends]
+        lo, hi = np.minimum(*ends) - reach[edge], np.maximum(*ends) + reach[edge]
+        a = np.where(lo > xs[1], cols, np.where(lo < xs[0], -1, _row_of(lo, xs, cols)))
+        b = np.where(hi < xs[0], -1, np.where(hi > xs[1], cols, _row_of(hi, xs, cols)))
+        middle = at + high / 2
+        odd = (lo_y <= middle) & (middle < hi_y)
+        group = owner[edge] * rows + row
+        order = np.argsort(group * (cols + 2) + a)
+        a, b, odd, group, edge, row = a[order], b[order], odd[order], group[order], edge[order], row[order]
+        new = np.ones(len(group), bool)
+        new[1:] = group[1:] != group[:-1]
+        rank = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(group)))
+        done = np.maximum.accumulate(b + rank * (cols + 2)) - rank * (cols + 2)
+        # Between this range and the next one of the row no edge lies.
+        passed = np.cumsum(odd)
+        passed = passed - (passed - odd)[begin][rank]
+        gap_to = np.append(a[1:], 0) - 1
+        gap = np.flatnonzero(~np.append(new[1:], True) & (passed % 2 == 1))
+        gap = gap[np.maximum(done[gap] + 1, 0) <= np.minimum(gap_to[gap], cols - 1)]
+        left_cell, after = row[gap] * cols + np.maximum(done[gap] + 1, 0), row[gap] * cols + np.minimum(gap_to[gap], cols - 1) + 1
+        for k in range(n_kinds):
+            counts[k::n_kinds] += np.bincount(owner[edge[gap]], upto[k][after] - upto[k][left_cell], len(offs) - 1)
+        # The points of the touched cells, each cell once.
+        before = np.append(-1, done[:-1])
+        ta, tb = np.maximum(np.where(new, a, np.maximum(a, before + 1)), 0), np.minimum(b, cols - 1)
+        touched = np.flatnonzero(ta <= tb)
+        p0 = starts[row[touched] * cols + ta[touched]]
+        n_points = starts[row[touched] * cols + tb[touched] + 1] - p0
+        item = np.repeat(touched, n_points)
+        point = _edge_numbers(p0, n_points)
+        for part in _pieces(size[rank[item]]):
+            mates = size[rank[item[part]]]
+            e = edge[_edge_numbers(begin[rank[item[part]]], mates)]
+            where = np.repeat(point[part], mates)
+            y = py[where]
+            away = base[e] + (y - ey1[e]) * slope[e] - px[where]
+            begins = np.concatenate([[0], np.cumsum(mates)[:-1]])
+            unsure = np.logical_or.reduceat((y >= under[e]) & (y <= over[e]) & ~(np.abs(away) > reach[e]), begins)
+            inside = np.logical_xor.reduceat((y >= low[e]) & (y < top[e]) & (away > 0), begins)
+            sure = part[inside & ~unsure]
+            counts += np.bincount(owner[edge[item[sure]]] * n_kinds + pc[point[sure]], minlength=len(counts))
+            found.append((owner[edge[item[part[unsure]]]], point[part[unsure]]))
+    found = [np.concatenate(v) for v in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
+    return counts.astype(np.int64).reshape(-1, n_kinds), *found
+
+
+def _count_groups(n_kinds: int):
+    """Polygons of a tile (left) meet it (right): a row of counts for a polygon, and a row for a point near its edges."""
+    def run(polygons: pa.Table, tiles: pa.Table) -> pa.Table:
+        names = ["__pid", "__x", "__y", "__c", *[f"__n{k}" for k in range(n_kinds)]]
+        kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int32(), *[pa.int64()] * n_kinds]
+        empty = pa.schema(list(zip(names, kinds))).empty_table()
+        if not polygons.num_rows or not tiles.num_rows:
+            return empty
+        polygons = polygons.combine_chunks()
+        lists = [polygons.column(c).combine_chunks() for c in spatial.EDGE_COLS]
+        offs = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        edges = tuple(v.flatten().to_numpy(zero_copy_only=False).astype(float) for v in lists)
+        pid = polygons.column("__pid").to_numpy()
+        tile = tiles.slice(0, 1).to_pylist()[0]
+        tile |= {k: np.frombuffer(tile[k], t) for k, t in (("starts", np.int64), ("x", np.float64), ("y", np.float64), ("c", np.int32))}
+        counts, poly, point = count_in_tile(tile, offs, edges, n_kinds)
+        held = np.flatnonzero(counts.any(axis=1))
+        a = [pa.array(pid[held]), *[pa.nulls(len(held), t) for t in kinds[1:4]], *[pa.array(counts[held, k]) for k in range(n_kinds)]]
+        b = [pa.array(pid[poly]), *[pa.array(tile[k][point]) for k in ("yxc" if tile["turned"] else "xyc")], *[pa.nulls(len(poly), pa.int64())] * n_kinds]
+        return pa.concat_tables([pa.table(a, names), pa.table(b, names), empty])
+    return run
+
+
 def category_counts_in_polygons(points: DataFrame, x_col: str, y_col: str, category_col: str,
                                 polys: DataFrame, poly_id: str, wkt_col: str, categories: list,
                                 prefix: str = "POI", points_per_cell: float = POINTS_PER_CELL) -> DataFrame:
@@ -221,13 +377,13 @@ def category_counts_in_polygons(points: DataFrame, x_col: str, y_col: str, categ
     finite = F.lit(True)
     for b in box:
         finite = finite & (F.abs(b) < F.lit(1e300))
+    spark = polys.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     # Written once: the numbers given here stay when a later task is run again.
-    prepared = cut_lineage(prepared.where((F.size(spatial.EDGE_COLS[0]) > 0) & finite)
+    prepared = cut_lineage(prepared.where((F.size(spatial.EDGE_COLS[0]) > 0) & finite).drop("edges")
                            .withColumn("__pid", F.monotonically_increasing_id()))
-    # Covers differ in size, so the polygons of one file are dealt out.
-    tasks = int(polys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = prepared.agg(F.sum(F.size(spatial.EDGE_COLS[0])).alias("edges"), F.min(box[0]).alias("x0"), F.min(box[1]).alias("y0"),
-                         F.max(box[2]).alias("x1"), F.max(box[3]).alias("y1")).first()
+    whole = prepared.agg(F.sum(F.size(spatial.EDGE_COLS[0])).alias("edges"), F.count(F.lit(1)).alias("n"), F.min(box[0]).alias("x0"),
+                         F.min(box[1]).alias("y0"), F.max(box[2]).alias("x1"), F.max(box[3]).alias("y1")).first()
     if not whole.edges or not categories:
         return polys.select(poly_id, *zero)
     x, y = F.col(x_col).cast("double"), F.col(y_col).cast("double")
@@ -236,27 +392,34 @@ def category_counts_in_polygons(points: DataFrame, x_col: str, y_col: str, categ
     near = (points.select(x.alias("__x"), y.alias("__y"), place.alias("__c"))
             .where(F.col("__x").between(whole.x0, whole.x1) & F.col("__y").between(whole.y0, whole.y1) & (F.col("__c") >= 0)))
     n = near.count()
-    area = (whole.x1 - whole.x0) * (whole.y1 - whole.y0)
-    if not n or not area:
+    if not n or whole.x1 == whole.x0 or whole.y1 == whole.y0:
         return polys.select(poly_id, *zero)
-    cells = Cells(whole.x0, whole.y0, whole.x1, whole.y1, math.floor(math.log2(points_per_cell * area / n) / 2))
-    covers = cut_lineage(polygon_cover(prepared.repartition(tasks, "__pid"), cells))
-    used = covers.groupBy("__inside").agg(F.collect_set("__lvl").alias("l")).collect()  # a few dozen numbers
-    levels = {r["__inside"]: sorted(r["l"]) for r in used}
+    ship_package(spark)
+    # Running totals of a tile take as much memory as its points, whatever the number of categories.
+    most = max(1000, min(TILE_POINTS, 32 * TILE_POINTS // len(categories)))
+    # Points of one place are many at most by their number, so no task gets them all.
+    sorted_points = (near.withColumn("__at", F.monotonically_increasing_id())
+                     .repartitionByRange(max(1, -(-n // most)), "__x", "__y", "__at").sortWithinPartitions("__x", "__y"))
+    tiles = cut_lineage(sorted_points.select("__x", "__y", "__c").mapInArrow(_tile_rows(most, points_per_cell), _TILE)
+                        .withColumn("__tile", F.monotonically_increasing_id()))
+    ends = [F.when(F.col("turned"), F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("y0", "x0"), ("y1", "x1"), ("x0", "y0"), ("x1", "y1"))]
+    boxes = tiles.select("__tile", *ends).collect()  # a row for each half million points
+    groups = max(-(-whole.edges // GROUP_EDGES), min(-(-4 * cores // len(boxes)), -(-whole.n // GROUP_POLYGONS)))
+    met = F.filter(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in b.asDict().items()]) for b in boxes]),
+                   lambda t: (t["x0"] <= box[2]) & (t["x1"] >= box[0]) & (t["y0"] <= box[3]) & (t["y1"] >= box[1]))
+    dealt = (prepared.select("__pid", *spatial.EDGE_COLS, F.explode(met["__tile"]).alias("__tile"))
+             .withColumn("__group", F.pmod(F.xxhash64("__pid"), F.lit(groups))).repartition(groups * len(boxes), "__tile", "__group"))
+    copies = (tiles.withColumn("__group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+              .repartition(groups * len(boxes), "__tile", "__group"))
+    counted = cut_lineage(dealt.groupBy("__tile", "__group").cogroup(copies.groupBy("__tile", "__group")).applyInArrow(
+        _count_groups(len(categories)), ", ".join(["__pid long, __x double, __y double, __c int", *[f"`{k}` long" for k in flags]])))
     ids = prepared.select("__pid", F.col(poly_id).alias("__id"))
-    found = []
-    if levels.get(True):
-        grid = count_grid(near, "__x", "__y", cells, levels[True], flags)
-        found.append(covers.where("__inside").join(grid.hint("merge"), "__cell").groupBy("__pid").agg(*[F.sum(n).alias(n) for n in flags]))
-    if levels.get(False):
-        keyed = near.select("*", F.explode(F.array(*[cells.of_point("__x", "__y", k) for k in levels[False]])).alias("__cell"))
-        edge = covers.where("not __inside").select("__pid", "__cell")
-        found.append(_boundary_hits(keyed.join(edge.hint("merge"), "__cell"), prepared, whole.edges, ["__pid", "__c"])
-                     .groupBy("__pid").agg(*[F.sum(c).alias(n) for n, c in flags.items()]))
-    counts = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    by_id = counts.join(ids.hint("merge"), "__pid").groupBy("__id").agg(*[F.sum(n).alias(n) for n in flags])
+    hits = _boundary_hits(counted.where("__c is not null"), prepared, whole.edges, ["__pid", "__c"])
+    counts = counted.where("__c is null").select("__pid", *flags).unionByName(
+        hits.groupBy("__pid").agg(*[F.sum(c).alias(k) for k, c in flags.items()]))
+    by_id = counts.join(ids.hint("merge"), "__pid").groupBy("__id").agg(*[F.sum(k).alias(k) for k in flags])
     return (polys.select(poly_id).join(by_id.hint("merge"), F.col(poly_id) == F.col("__id"), "left")
-            .select(poly_id, *[F.coalesce(n, F.lit(0)).alias(names[str(c)]) for n, c in zip(flags, categories)]))
+            .select(poly_id, *[F.coalesce(k, F.lit(0)).alias(names[str(c)]) for k, c in zip(flags, categories)]))
 
 
 def _boundary_hits(near: DataFrame, prepared: DataFrame, edges: int, keep: list[str]) -> DataFrame:
