@@ -72,12 +72,12 @@ def _centres_inside(poly: np.ndarray, x: np.ndarray, y: np.ndarray, offs: np.nda
     return out
 
 
-def _pieces(count: np.ndarray) -> Iterator[np.ndarray]:
-    """Consecutive entries with at most PAIRS pairs together (one at least)."""
+def _pieces(count: np.ndarray, most: int = PAIRS) -> Iterator[np.ndarray]:
+    """Consecutive entries with at most ``most`` pairs together (one at least)."""
     total, at = np.cumsum(count), 0
     while at < len(count):
         before = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, before + PAIRS, side="right")))
+        end = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
         yield np.arange(at, end)
         at = end
 
@@ -193,6 +193,8 @@ def polygon_cover(prepared: DataFrame, cells: Cells, depth: int) -> DataFrame:
 TILE_POINTS, GROUP_EDGES, GROUP_POLYGONS = 500_000, 1_000_000, 500
 #: Points nearer to an edge than this part of a cell meet the exact test.
 NEAR_PART = 1 / 64
+#: (row, edge) or (point, edge) pairs of a tile that are worked on at once: few enough for a processor's cache.
+TILE_PAIRS = 100_000
 _TILE = "x0 double, x1 double, y0 double, y1 double, turned boolean, rows long, cols long, starts binary, x binary, y binary, c binary"
 
 
@@ -275,7 +277,7 @@ def count_in_tile(tile: dict, offs: np.ndarray, edges: tuple[np.ndarray, ...], n
     counts = np.zeros((len(offs) - 1) * n_kinds)
     found = []
     total = np.concatenate([[0], np.cumsum(spans)])
-    for some in _pieces(total[offs[1:]] - total[offs[:-1]]):
+    for some in _pieces(total[offs[1:]] - total[offs[:-1]], TILE_PAIRS):
         mine = np.arange(offs[some[0]], offs[some[-1] + 1])
         edge = np.repeat(mine, spans[mine])
         if not len(edge):
@@ -320,7 +322,7 @@ def count_in_tile(tile: dict, offs: np.ndarray, edges: tuple[np.ndarray, ...], n
         n_points = starts[row[touched] * cols + tb[touched] + 1] - p0
         item = np.repeat(touched, n_points)
         point = _edge_numbers(p0, n_points)
-        for part in _pieces(size[rank[item]]):
+        for part in _pieces(size[rank[item]], TILE_PAIRS):
             mates = size[rank[item[part]]]
             e = edge[_edge_numbers(begin[rank[item[part]]], mates)]
             where = np.repeat(point[part], mates)
@@ -404,7 +406,7 @@ def category_counts_in_polygons(points: DataFrame, x_col: str, y_col: str, categ
                         .withColumn("__tile", F.monotonically_increasing_id()))
     ends = [F.when(F.col("turned"), F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("y0", "x0"), ("y1", "x1"), ("x0", "y0"), ("x1", "y1"))]
     boxes = tiles.select("__tile", *ends).collect()  # a row for each half million points
-    groups = max(-(-whole.edges // GROUP_EDGES), min(-(-4 * cores // len(boxes)), -(-whole.n // GROUP_POLYGONS)))
+    groups = max(-(-whole.edges // GROUP_EDGES), min(-(-8 * cores // len(boxes)), -(-whole.n // GROUP_POLYGONS)))
     met = F.filter(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in b.asDict().items()]) for b in boxes]),
                    lambda t: (t["x0"] <= box[2]) & (t["x1"] >= box[0]) & (t["y0"] <= box[3]) & (t["y1"] >= box[1]))
     dealt = (prepared.select("__pid", *spatial.EDGE_COLS, F.explode(met["__tile"]).alias("__tile"))

@@ -144,3 +144,27 @@ def test_inside_any_meets_few_pairs(spark, monkeypatch):
     assert all(got[i] == int(any(_inside(x, y, s) for s in shapes)) for i, (x, y) in enumerate(spots) if i)
     assert got[None] == 0 and got[9999] == 0
     assert sum(met) < 400 * 200 / 2
+
+
+@pytest.mark.parametrize("seed,per_cell,pairs", [(1, 2.0, 100_000), (2, 0.05, 50), (3, 400.0, 1000)])
+def test_tile_counts_without_a_row_for_each_cell_or_point(monkeypatch, seed, per_cell, pairs):
+    """Counts of a tile, wide or narrow, with the few points near an edge, are those of a ray cast."""
+    monkeypatch.setattr(C, "TILE_PAIRS", pairs)
+    polys, pts = fixture(seed)
+    edges, offs = [], [0]
+    for _, rings in polys:
+        for ring in rings:
+            closed = ring if ring[0] == ring[-1] else ring + ring[:1]
+            edges += [(*a, *b) for a, b in zip(closed, closed[1:])]
+        offs.append(len(edges))
+    edges = tuple(np.array(v, float) for v in zip(*edges))
+    for far in (99, 3):
+        mine = [(x, y, KINDS.index(kind)) for x, y, kind in pts if kind and abs(x) <= far]
+        tile = C.pack_tile(*map(np.array, zip(*mine)), per_cell)
+        assert tile["turned"] == (far == 3) and tile["starts"][-1] == len(mine)
+        got, poly, point = C.count_in_tile(tile, np.array(offs), edges, 3)
+        xs, ys = (tile["y"], tile["x"]) if tile["turned"] else (tile["x"], tile["y"])
+        for a, b in zip(poly, point):
+            got[a, tile["c"][b]] += _inside(xs[b], ys[b], polys[a][1])
+        assert got.tolist() == [[sum(c == k and _inside(x, y, rings) for x, y, c in mine) for k in range(3)] for _, rings in polys]
+        assert per_cell > 2 or len(poly) < 200
