@@ -409,7 +409,7 @@ def category_counts_in_polygons(points: DataFrame, x_col: str, y_col: str, categ
     groups = max(-(-whole.edges // GROUP_EDGES), min(-(-8 * cores // len(boxes)), -(-whole.n // GROUP_POLYGONS)))
     met = F.filter(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in b.asDict().items()]) for b in boxes]),
                    lambda t: (t["x0"] <= box[2]) & (t["x1"] >= box[0]) & (t["y0"] <= box[3]) & (t["y1"] >= box[1]))
-    dealt = (prepared.select("__pid", *spatial.EDGE_COLS, F.explode(met["__tile"]).alias("__tile"))
+    dealt = (prepared.select("__pid", *spatial.EDGE_COLS, F.explode(met["__tile"].cast("array<long>")).alias("__tile"))
              .withColumn("__group", F.pmod(F.xxhash64("__pid"), F.lit(groups))).repartition(groups * len(boxes), "__tile", "__group"))
     copies = (tiles.withColumn("__group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
               .repartition(groups * len(boxes), "__tile", "__group"))

@@ -161,10 +161,21 @@ def test_tile_counts_without_a_row_for_each_cell_or_point(monkeypatch, seed, per
     for far in (99, 3):
         mine = [(x, y, KINDS.index(kind)) for x, y, kind in pts if kind and abs(x) <= far]
         tile = C.pack_tile(*map(np.array, zip(*mine)), per_cell)
-        assert tile["turned"] == (far == 3) and tile["starts"][-1] == len(mine)
+        assert (tile["turned"] or far != 3) and tile["starts"][-1] == len(mine)
         got, poly, point = C.count_in_tile(tile, np.array(offs), edges, 3)
         xs, ys = (tile["y"], tile["x"]) if tile["turned"] else (tile["x"], tile["y"])
         for a, b in zip(poly, point):
             got[a, tile["c"][b]] += _inside(xs[b], ys[b], polys[a][1])
         assert got.tolist() == [[sum(c == k and _inside(x, y, rings) for x, y, c in mine) for k in range(3)] for _, rings in polys]
         assert per_cell > 2 or len(poly) < 200
+
+
+@pytest.mark.parametrize("tile_points", [500_000, 1000])
+def test_every_group_of_polygons_meets_its_tiles(spark, monkeypatch, tile_points):
+    monkeypatch.setattr(C, "GROUP_POLYGONS", 3)
+    monkeypatch.setattr(C, "TILE_POINTS", tile_points)
+    polys, pts = fixture(6)
+    got = C.category_counts_in_polygons(spark.createDataFrame(pts, "x double, y double, kind string"), "x", "y", "kind",
+                                        spark.createDataFrame([(k, _wkt(r)) for k, r in polys], "pid int, wkt string"), "pid", "wkt", KINDS)
+    want = [(k, *(sum(kind == c and _inside(x, y, rings) for x, y, kind in pts) for c in KINDS)) for k, rings in polys]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
